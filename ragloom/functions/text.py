@@ -69,35 +69,42 @@ def keyword_tokens(text, stop_words: Sequence[str] = L.STOP_WORDS,
                     lambda t: (F.length(t) >= min_len) & ~F.array_contains(stops, t))
 
 
-def extract_keywords(text, top_k: int = L.KEYWORD_TOP_K,
-                     stop_words: Sequence[str] = L.STOP_WORDS,
-                     min_len: int = L.KEYWORD_MIN_LEN) -> Column:
-    """The ``top_k`` most frequent keywords, ties by first occurrence.
+def with_keywords(df, text, out: str = "keywords", top_k: int = L.KEYWORD_TOP_K,
+                  stop_words: Sequence[str] = L.STOP_WORDS,
+                  min_len: int = L.KEYWORD_MIN_LEN):
+    """Add ``out`` = the ``top_k`` most frequent keywords, ties by first
+    occurrence.
 
     Per row and O(n log n): tag each token with its position, sort by
     (token, position), find run starts, turn every run into
     (-count, first position, token) and sort those. No shuffle and no
-    per-token Python.
+    per-token Python. Intermediate arrays are separate projections because
+    Catalyst does not share sub-expressions referenced inside lambdas.
     """
+    tmp = [f"_{out}_t", f"_{out}_s", f"_{out}_r"]
     toks = keyword_tokens(text, stop_words, min_len)
-    n = F.size(toks)
-    tagged = F.array_sort(F.arrays_zip(toks.alias("w"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("p")))
-    # arrays_zip pads the shorter side with NULL; drop the pad for empty input
-    tagged = F.filter(tagged, lambda s: s["w"].isNotNull())
-    m = F.size(tagged)
+    df = df.withColumn(tmp[0], toks)
+    tk = F.col(tmp[0])
+    n = F.size(tk)
+    df = df.withColumn(tmp[1], F.when(n > 0, F.array_sort(F.arrays_zip(
+        tk.alias("w"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("p")))))
+    tagged = F.col(tmp[1])
+    m = F.coalesce(F.size(tagged), F.lit(0))
     starts = F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
                       lambda i: (m > 0) & ((i == 1) | (F.element_at(tagged, i)["w"] != F.element_at(tagged, i - 1)["w"])))
-    ns = F.size(starts)
+    df = df.withColumn(tmp[2], starts)
+    st = F.col(tmp[2])
+    ns = F.size(st)
 
     def run(j):
-        start = F.element_at(starts, j)
-        nxt = F.when(j == ns, m + 1).otherwise(F.element_at(starts, j + 1))
+        start = F.element_at(st, j)
+        nxt = F.when(j == ns, m + 1).otherwise(F.element_at(st, j + 1))
         first = F.element_at(tagged, start)
         return F.struct((start - nxt).alias("neg_count"), first["p"].alias("pos"), first["w"].alias("w"))
 
     runs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(ns, F.lit(1))), lambda j: ns > 0), run)
     top = F.slice(F.array_sort(runs), 1, top_k)
-    return F.transform(top, lambda r: r["w"])
+    return df.withColumn(out, F.when(col_(text).isNotNull(), F.transform(top, lambda r: r["w"]))).drop(*tmp)
 
 
 def contains_any(lower_text: Column, terms: Sequence[str]) -> Column:
@@ -134,7 +141,8 @@ def technical_complexity(text, terms: Sequence[str] = L.TECHNICAL_INDICATORS,
 def tag_terms(text, terms: Sequence[str] = L.TAG_TERMS) -> Column:
     """The lexicon terms present, in lexicon order."""
     lt = F.lower(col_(text))
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.instr(lt, t) > 0)
+    hits = F.array(*[F.when(lt.contains(t), F.lit(t)) for t in terms])
+    return F.filter(hits, lambda x: x.isNotNull())
 
 
 def has_any(text, terms: Sequence[str] = L.DIAGRAM_INDICATORS) -> Column:
