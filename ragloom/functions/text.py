@@ -6,6 +6,7 @@ higher-order functions over arrays. Nothing here shuffles.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Sequence
 
@@ -62,11 +63,21 @@ def word_tokens(text) -> Column:
     return F.filter(toks, lambda t: t.rlike(ASCII_WORD_RE))
 
 
+def keyword_pattern(stop_words: Sequence[str] = L.STOP_WORDS,
+                    min_len: int = L.KEYWORD_MIN_LEN) -> str:
+    """One regex that extracts exactly the keyword tokens of lower-cased text:
+    a whole word (not touching another word character) of at least
+    ``min_len`` letters a-z that is not a stop word."""
+    nw = r"[\p{L}\p{N}_]"
+    stops = sorted({w for w in stop_words if len(w) >= min_len and re.fullmatch("[a-z]+", w)})
+    neg = f"(?!(?:{'|'.join(stops)})(?!{nw}))" if stops else ""
+    return f"(?<!{nw}){neg}[a-z]{{{min_len},}}(?!{nw})"
+
+
 def keyword_tokens(text, stop_words: Sequence[str] = L.STOP_WORDS,
                    min_len: int = L.KEYWORD_MIN_LEN) -> Column:
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(word_tokens(text),
-                    lambda t: (F.length(t) >= min_len) & ~F.array_contains(stops, t))
+    """Keyword tokens in text order, extracted in a single regex pass."""
+    return F.regexp_extract_all(F.lower(col_(text)), F.lit(keyword_pattern(stop_words, min_len)), 0)
 
 
 def with_keywords(df, text, out: str = "keywords", top_k: int = L.KEYWORD_TOP_K,
