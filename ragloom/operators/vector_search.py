@@ -1,31 +1,31 @@
-"""Brute-force vector scoring of a batch of queries against a chunk table
-(J1 ``score_all_queries`` and the scoring half of R1/R2/R4/R5).
+"""Scoring a batch of queries against a large chunk table, exactly, without
+a pair table (J1, and the retrieval cores of R1/R2/R4/R5 and V4).
 
 Plan shape, chosen for a chunk table far larger than memory:
 
-* the chunk table is scanned once, column-pruned to (keys, vector) and is
-  never shuffled and never paired row-by-row with the queries (no cross
-  join, no pair table);
-* the queries are collected in blocks of at most ``block_rows`` rows (the
-  size is counted first, so what is broadcast has a proven bound) and each
-  block is broadcast as a normalised float64 matrix;
-* every task multiplies its Arrow batch of chunk vectors with the query
-  matrix (numpy, cache-sized slices) and emits, per query, only the rows
-  above the threshold that can still be in that query's top-k (all ties at
-  the k-th score are kept, so the final cut is exact);
-* one small window ``row_number() <= k`` per query finishes the job; Spark
-  adds a partial ``WindowGroupLimit`` before its shuffle, so at most
-  k-plus-ties rows per query and partition cross the network.
-
-Scores are cosine similarities rounded to ``digits`` decimals (1e-9 by
-default) so that equal vectors tie exactly whatever the summation order;
-ties are broken by the caller's chunk keys.
+* the chunk table is scanned once, column-pruned to what the scorer needs,
+  and is never shuffled nor joined row-by-row with the queries (no cross
+  join, no keyword/postings join that would emit every pair of a hot key);
+* the queries are collected in blocks whose size is counted first
+  (``block_bytes``), so what is broadcast has a proven bound; more queries
+  simply mean more blocks, each its own scan;
+* every task scores its Arrow batch against the whole query block with
+  numpy (cache-sized slices) and emits, per query, only the rows that pass
+  the filter and can still be in that query's top-k -- every tie at the
+  k-th score is kept, so the final cut is exact;
+* one ``row_number() <= k`` window per query finishes the job; Spark plans
+  a partial ``WindowGroupLimit`` before that shuffle, so at most
+  k-plus-ties rows per query and partition move.
+
+Scores are rounded to ``digits`` decimals (1e-9) before ranking so equal
+inputs tie exactly whatever the summation order; ties go to the caller's
+tie columns.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,84 +33,146 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024       # query matrix bytes per broadcast
+DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024       # payload bytes per broadcast block
 SLICE_CELLS = 2_000_000                      # score cells per numpy slice
+UNBOUNDED = 1 << 62
 
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None,
-                  block_bytes: int):
-    """Yield (ids, normalised matrix, dim) for bounded blocks of queries."""
-    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qv"))
-    if dim is None:
-        row = q.where(F.col("qv").isNotNull()).select(F.max(F.size("qv")).alias("d")).first()
-        dim = int(row["d"] or 0)
+def query_blocks(queries: DataFrame, cols: Sequence[str], row_bytes: int,
+                 block_bytes: int = DEFAULT_BLOCK_BYTES, key: str = "query_id"):
+    """Collect ``queries`` in blocks of bounded size; yields lists of Rows.
+
+    The row count is taken first; with ``row_bytes`` an upper bound of one
+    row's payload the number of blocks is chosen so each block stays under
+    ``block_bytes``. Blocks are hash ranges of the query key.
+    """
+    q = queries.select(*cols)
     n = q.count()
-    per_block = max(1, block_bytes // (8 * max(dim, 1)))
+    per_block = max(1, block_bytes // max(row_bytes, 1))
     nblocks = max(1, math.ceil(n / per_block))
     for b in range(nblocks):
-        part = q if nblocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(nblocks)) == b)
-        rows = part.collect()          # bounded: ~per_block rows by construction
-        ids = [r["qid"] for r in rows]
-        mat = np.zeros((len(rows), dim), dtype=np.float64)
-        for i, r in enumerate(rows):
-            v = r["qv"]
-            if v is not None and len(v) == dim:
-                a = np.asarray(v, dtype=np.float64)
-                nrm = np.sqrt(a @ a)
-                if nrm > 0:
-                    mat[i] = a / nrm     # zero / bad vectors stay all-zero -> score 0
-        yield ids, mat, dim
-
-
-def _score_partitions(chunks: DataFrame, key_cols: Sequence[str], cvec: str, ids, mat,
-                      dim: int, k: int, threshold: float, strict: bool, digits: int,
-                      qid_type: T.DataType) -> DataFrame:
+        part = q if nblocks == 1 else q.where(F.pmod(F.xxhash64(key), F.lit(nblocks)) == b)
+        yield part.collect()
+
+
+def vector_matrix(values, dim: int) -> np.ndarray:
+    """Rows -> L2-normalised float64 matrix; NULL, wrong-length or zero
+    vectors become zero rows (their cosine with anything is 0)."""
+    m = np.zeros((len(values), dim), dtype=np.float64)
+    for i, v in enumerate(values):
+        if v is not None and len(v) == dim:
+            m[i] = v
+    nrm = np.sqrt(np.einsum("ij,ij->i", m, m))
+    ok = nrm > 0
+    m[ok] /= nrm[ok][:, None]
+    return m
+
+
+def vocab_index(term_lists) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Inverted index of query terms: vocab id -> the queries holding it.
+
+    Returns (vocab, indptr, query_idx) in CSR form over distinct terms.
+    """
+    vocab: dict = {}
+    pairs = []
+    for qi, terms in enumerate(term_lists):
+        for t in set(terms or ()):
+            pairs.append((vocab.setdefault(t, len(vocab)), qi))
+    pairs.sort()
+    indptr = np.zeros(len(vocab) + 1, dtype=np.int64)
+    qidx = np.array([p[1] for p in pairs], dtype=np.int64)
+    if pairs:
+        np.add.at(indptr, np.array([p[0] for p in pairs]) + 1, 1)
+        indptr = np.cumsum(indptr)
+    return vocab, indptr, qidx
+
+
+def expand_matches(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray,
+                   indptr: np.ndarray, qidx: np.ndarray, n: int, nq: int) -> np.ndarray:
+    """Dense (n x nq) sum of ``weights`` over the (row, term) entries,
+    spread to every query holding the term (sparse product, numpy only)."""
+    out = np.zeros((n, nq), dtype=np.float64)
+    if len(rows) == 0:
+        return out
+    cnt = indptr[terms + 1] - indptr[terms]
+    rr = np.repeat(rows, cnt)
+    ww = np.repeat(weights, cnt)
+    starts = np.repeat(indptr[terms], cnt)
+    offs = np.arange(len(rr)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+    qq = qidx[starts + offs]
+    np.add.at(out, (rr, qq), ww)
+    return out
+
+
+def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence[str],
+                   query_ids: list, payload, scorer: Callable, k: int,
+                   out_cols: Sequence[tuple[str, T.DataType]], qid_type: T.DataType) -> DataFrame:
+    """Generic per-partition top-k scan.
+
+    ``scorer(pdf_slice, payload)`` returns ``(rank_matrix, keep_mask,
+    {out_name: matrix})`` of shape (rows x queries); rows above the k-th
+    ``rank_matrix`` value per query (ties kept) that pass ``keep_mask`` are
+    emitted with their key columns and the named output matrices.
+    """
     spark = chunks.sparkSession
-    bc = spark.sparkContext.broadcast((list(ids), mat))
-    key_fields = [f for f in chunks.schema.fields if f.name in key_cols]
-    key_fields = sorted(key_fields, key=lambda f: list(key_cols).index(f.name))
-    out_schema = T.StructType([T.StructField("query_id", qid_type)] + key_fields
-                              + [T.StructField("score", T.DoubleType())])
-    src = chunks.select(*key_cols, F.col(cvec).alias("_v"))
+    bc = spark.sparkContext.broadcast((list(query_ids), payload))
+    fields = {f.name: f for f in chunks.schema.fields}
+    schema = T.StructType([T.StructField("query_id", qid_type)] + [fields[c] for c in key_cols]
+                          + [T.StructField(n, t) for n, t in out_cols])
+    src = chunks.select(*dict.fromkeys(list(key_cols) + list(in_cols)))
     keys = list(key_cols)
+    outs = [n for n, _ in out_cols]
 
     def run(batches):
-        q_ids, qm = bc.value
+        q_ids, pay = bc.value
         q_ids = np.asarray(q_ids, dtype=object)
-        nq = qm.shape[0]
+        nq = len(q_ids)
         for pdf in batches:
             n = len(pdf)
             if n == 0 or nq == 0:
                 continue
-            cm = np.zeros((n, dim), dtype=np.float64)
-            for i, v in enumerate(pdf["_v"].values):
-                if v is not None and len(v) == dim:
-                    cm[i] = v
-            nrm = np.sqrt(np.einsum("ij,ij->i", cm, cm))
-            ok = nrm > 0
-            cm[ok] /= nrm[ok][:, None]
-            step = max(1, SLICE_CELLS // n)
-            out_r, out_q, out_s = [], [], []
-            for j0 in range(0, nq, step):
-                s = np.round(cm @ qm[j0:j0 + step].T, digits)      # n x slice
-                keep = s > threshold if strict else s >= threshold
-                if n > k:
-                    kth = np.partition(s, n - k, axis=0)[n - k]      # k-th largest per query
-                    keep &= s >= kth[None, :]
-                r, c = np.nonzero(keep)
-                out_r.append(r)
-                out_q.append(c + j0)
-                out_s.append(s[r, c])
-            r = np.concatenate(out_r)
+            step = max(1, SLICE_CELLS // max(nq, 1))
+            parts = []
+            for r0 in range(0, n, step):
+                sl = pdf.iloc[r0:r0 + step]
+                rank, keep, extra = scorer(sl, pay)
+                parts.append((r0, rank, keep, extra))
+            # per-query k-th best over the whole batch (ties kept)
+            rank_all = np.vstack([p[1] for p in parts])
+            keep_all = np.vstack([p[2] for p in parts])
+            if n > k:
+                masked = np.where(keep_all, rank_all, -np.inf)
+                kth = np.partition(masked, n - k, axis=0)[n - k]
+                keep_all = keep_all & (rank_all >= kth[None, :])
+            r, c = np.nonzero(keep_all)
             if len(r) == 0:
                 continue
-            res = {"query_id": q_ids[np.concatenate(out_q)]}
+            res = {"query_id": q_ids[c]}
             for kc in keys:
                 res[kc] = pdf[kc].values[r]
-            res["score"] = np.concatenate(out_s)
-            yield pd.DataFrame(res, columns=["query_id"] + keys + ["score"])
+            for name in outs:
+                full = np.vstack([p[3][name] for p in parts])
+                res[name] = full[r, c]
+            yield pd.DataFrame(res, columns=["query_id"] + keys + outs)
 
-    return src.mapInPandas(run, out_schema)
+    return src.mapInPandas(run, schema)
+
+
+def finish_topk(cand: DataFrame, k: int, order_cols: Sequence) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(*order_cols)
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _dim(df: DataFrame, col: str) -> int:
+    row = df.where(F.col(col).isNotNull()).select(F.max(F.size(col)).alias("d")).first()
+    return int(row["d"] or 0)
 
 
 def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
@@ -118,45 +180,60 @@ def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
                     key_cols: Sequence[str] = ("chunk_id",), chunk_vec: str = "embedding",
                     query_id: str = "query_id", query_vec: str = "embedding",
                     tie_cols: Sequence[str] | None = None, digits: int = 9,
-                    dim: int | None = None,
+                    dim: int | None = None, secondary: str | None = None,
                     block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """Exact top-k chunks per query by cosine similarity (R1 retrieval core).
+    """Exact top-k chunks per query by cosine similarity (R1/R2 core).
 
-    Returns (query_id, *key_cols, score, rank) with rank 1..k per query,
-    ordered by score desc then ``tie_cols`` (default: the key columns).
+    ``secondary`` names a chunk column used as the second sort key (e.g.
+    quality); it is carried into the output. Returns (query_id, *key_cols,
+    score[, secondary], rank).
     """
+    dim = dim or _dim(queries, query_vec)
     qid_type = queries.schema[query_id].dataType
-    parts = [
-        _score_partitions(chunks, key_cols, chunk_vec, ids, mat, d, k, threshold, strict,
-                          digits, qid_type)
-        for ids, mat, d in _query_blocks(queries, query_id, query_vec, dim, block_bytes)
-    ]
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    order = [F.col("score").desc()] + [F.col(c).asc() for c in (tie_cols or key_cols)]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def score_threshold(chunks: DataFrame, queries: DataFrame, threshold: float,
-                    strict: bool = True, key_cols: Sequence[str] = ("chunk_id",),
-                    chunk_vec: str = "embedding", query_id: str = "query_id",
-                    query_vec: str = "embedding", digits: int = 9,
-                    dim: int | None = None) -> DataFrame:
-    """All (query, chunk) pairs scoring past ``threshold`` (E17 sweep input).
-
-    Same broadcast plan as ``top_k_by_vector`` with k unbounded: every task
-    emits only the pairs that pass the threshold.
-    """
+    extra_in = [secondary] if secondary else []
+    out_cols = [("score", T.DoubleType())]
+
+    def scorer(pdf, qm):
+        cm = vector_matrix(pdf["_v"].values, dim)
+        s = np.round(cm @ qm.T, digits)
+        keep = s > threshold if strict else s >= threshold
+        return s, keep, {"score": s}
+
+    src = chunks.withColumn("_v", F.col(chunk_vec))
+    keys = list(dict.fromkeys(list(key_cols) + extra_in))
+    parts = []
+    for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
+                             ["query_id", "qv"], 8 * dim + 64, block_bytes):
+        qm = vector_matrix([r["qv"] for r in rows], dim)
+        parts.append(broadcast_topk(src, keys, ["_v"], [r["query_id"] for r in rows], qm,
+                                    scorer, k,
+                                    out_cols, qid_type))
+    cand = _union(parts)
+    order = [F.col("score").desc()]
+    if secondary:
+        order.append(F.col(secondary).desc())
+    order += [F.col(c).asc() for c in (tie_cols or key_cols)]
+    return finish_topk(cand, k, order)
+
+
+def pairs_above(chunks: DataFrame, queries: DataFrame, threshold: float, strict: bool = True,
+                key_cols: Sequence[str] = ("chunk_id",), chunk_vec: str = "embedding",
+                query_id: str = "query_id", query_vec: str = "embedding", digits: int = 9,
+                dim: int | None = None) -> DataFrame:
+    """Every (query, chunk) pair scoring past ``threshold`` (E17 input); the
+    same broadcast scan with no k, so only passing pairs are emitted."""
+    dim = dim or _dim(queries, query_vec)
     qid_type = queries.schema[query_id].dataType
-    big = 1 << 62
-    parts = [
-        _score_partitions(chunks, key_cols, chunk_vec, ids, mat, d, big, threshold, strict,
-                          digits, qid_type)
-        for ids, mat, d in _query_blocks(queries, query_id, query_vec, dim, DEFAULT_BLOCK_BYTES)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def scorer(pdf, qm):
+        s = np.round(vector_matrix(pdf["_v"].values, dim) @ qm.T, digits)
+        return s, (s > threshold if strict else s >= threshold), {"score": s}
+
+    src = chunks.withColumn("_v", F.col(chunk_vec))
+    parts = []
+    for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
+                             ["query_id", "qv"], 8 * dim + 64):
+        qm = vector_matrix([r["qv"] for r in rows], dim)
+        parts.append(broadcast_topk(src, list(key_cols), ["_v"], [r["query_id"] for r in rows], qm,
+                                    scorer, UNBOUNDED, [("score", T.DoubleType())], qid_type))
+    return _union(parts)

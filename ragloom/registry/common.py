@@ -81,3 +81,35 @@ def keyword_rows_sql(source: str, key: str, text_expr: str, stop_words, min_len:
       SELECT {key}, regexp_extract_all(lower({text_expr}), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM {source}))
   WHERE regexp_matches(w, '^[a-z]+$') AND length(w) >= {min_len}
     AND NOT list_contains({sql_str_list(stop_words)}, w))"""
+
+
+# ---- the fixture chunk table of ``plans.fixtures.search_chunks`` in SQL ----
+def importance_sql(nk_expr: str) -> str:
+    return f"""least(greatest(0.5
+    + (1.0 - CAST(chunk_index AS DOUBLE) / greatest(CAST(total_chunks AS DOUBLE), 1.0)) * 0.2
+    + greatest(0.0, 1.0 - abs(CAST(chunk_length AS DOUBLE) - 500.0) / 500.0) * 0.2
+    + least(least({nk_expr}, 5) / 5.0, 1.0) * 0.1, 0.0), 1.0)"""
+
+
+def search_chunks_ctes(with_vectors: bool = True) -> str:
+    """CTEs ``sc`` (chunks + attributes) and ``ck`` (chunk keyword rows)."""
+    from ..functions import lexicons as L
+    src = ("(SELECT d.doc_id, d.text, d.lang, d.source FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
+           if with_vectors else "documents")
+    from .text import _quality_sql  # noqa: WPS433 (shared formula text)
+    return f"""
+ch AS {window_chunks_sql(extra=', lang, source', source=src)},
+kwr AS {keyword_rows_sql('ch', 'chunk_id', 'chunk_text', L.STOP_WORDS, L.KEYWORD_MIN_LEN)},
+kwg AS (SELECT chunk_id, w, count(*) AS cnt, min(pos) AS fp FROM kwr GROUP BY chunk_id, w),
+kwo AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY cnt DESC, fp) AS rn FROM kwg),
+ck AS (SELECT chunk_id, w, rn FROM kwo WHERE rn <= 10),
+nk AS (SELECT chunk_id, count(*) AS nkw FROM ck GROUP BY chunk_id),
+sc AS (SELECT ch.*, coalesce(nk.nkw, 0) AS nkw,
+              {importance_sql('coalesce(nk.nkw, 0)')} AS importance_score,
+              round(CAST({_quality_sql('chunk_text')} AS DOUBLE), 6) AS quality_score
+       FROM ch LEFT JOIN nk ON nk.chunk_id = ch.chunk_id)"""
+
+
+def cosine_sql(a: str, b: str) -> str:
+    c = f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+    return f"round(CASE WHEN isnan({c}) THEN 0.0 ELSE {c} END, 9)"
