@@ -80,42 +80,62 @@ def keyword_tokens(text, stop_words: Sequence[str] = L.STOP_WORDS,
     return F.regexp_extract_all(F.lower(col_(text)), F.lit(keyword_pattern(stop_words, min_len)), 0)
 
 
+def _runs_from_sorted(tagged: Column, top_k: int) -> Column:
+    m = F.size(tagged)
+    idx = F.sequence(F.lit(1), F.greatest(m, F.lit(1)))
+    z = F.arrays_zip(tagged.alias("t"), idx.alias("i"))
+    none = F.array(F.lit(None).cast("struct<t:struct<w:string,p:int>,i:int>"))
+    prev = F.concat(none, F.slice(z, 1, F.greatest(m - 1, F.lit(0))))
+    return F.filter(F.zip_with(z, prev, lambda x, y: F.struct(
+        x["t"]["w"].alias("w"), x["t"]["p"].alias("p"), x["i"].alias("i"),
+        (y.isNull() | (x["t"]["w"] != y["t"]["w"])).alias("s"))),
+        lambda r: r["s"] & r["w"].isNotNull())
+
+
+def _top_from_starts(starts: Column, m: Column, top_k: int) -> Column:
+    sentinel = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(None).cast("int").alias("p"),
+                                (m + 1).alias("i"), F.lit(True).alias("s")))
+    nxt = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), sentinel)
+    runs = F.filter(F.zip_with(starts, nxt, lambda a, b: F.struct(
+        (a["i"] - b["i"]).alias("neg_count"), a["p"].alias("pos"), a["w"].alias("w"))),
+        lambda r: r["w"].isNotNull())
+    return F.transform(F.slice(F.array_sort(runs), 1, top_k), lambda r: r["w"])
+
+
+def _sorted_tagged(toks: Column) -> Column:
+    n = F.size(toks)
+    pos = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.filter(F.array_sort(F.arrays_zip(toks.alias("w"), pos.alias("p"))), lambda x: x["w"].isNotNull())
+
+
+def keywords_expr(text, top_k: int = L.KEYWORD_TOP_K,
+                  stop_words: Sequence[str] = L.STOP_WORDS,
+                  min_len: int = L.KEYWORD_MIN_LEN) -> Column:
+    """P7 as one expression (see ``with_keywords``; that form is faster)."""
+    tagged = _sorted_tagged(keyword_tokens(text, stop_words, min_len))
+    return F.when(col_(text).isNotNull(),
+                  _top_from_starts(_runs_from_sorted(tagged, top_k), F.size(tagged), top_k))
+
+
 def with_keywords(df, text, out: str = "keywords", top_k: int = L.KEYWORD_TOP_K,
                   stop_words: Sequence[str] = L.STOP_WORDS,
                   min_len: int = L.KEYWORD_MIN_LEN):
     """Add ``out`` = the ``top_k`` most frequent keywords, ties by first
     occurrence.
 
-    Per row and O(n log n): tag each token with its position, sort by
-    (token, position), find run starts, turn every run into
-    (-count, first position, token) and sort those. No shuffle and no
-    per-token Python. Intermediate arrays are separate projections because
-    Catalyst does not share sub-expressions referenced inside lambdas.
+    Per row and O(n log n): tag tokens with their position, sort by (token,
+    position), mark run starts by zipping the sorted array with itself
+    shifted by one, turn runs into (-count, first position, token) and sort
+    those. No shuffle, no per-token Python, and every lambda reads only its
+    own elements (no ``element_at`` into an outer array), so even when
+    Catalyst inlines the staged columns (e.g. pushing a filter below them)
+    the cost stays linear in the text.
     """
-    tmp = [f"_{out}_t", f"_{out}_s", f"_{out}_r"]
-    toks = keyword_tokens(text, stop_words, min_len)
-    df = df.withColumn(tmp[0], toks)
-    tk = F.col(tmp[0])
-    n = F.size(tk)
-    df = df.withColumn(tmp[1], F.when(n > 0, F.array_sort(F.arrays_zip(
-        tk.alias("w"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("p")))))
-    tagged = F.col(tmp[1])
-    m = F.coalesce(F.size(tagged), F.lit(0))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
-                      lambda i: (m > 0) & ((i == 1) | (F.element_at(tagged, i)["w"] != F.element_at(tagged, i - 1)["w"])))
-    df = df.withColumn(tmp[2], starts)
-    st = F.col(tmp[2])
-    ns = F.size(st)
-
-    def run(j):
-        start = F.element_at(st, j)
-        nxt = F.when(j == ns, m + 1).otherwise(F.element_at(st, j + 1))
-        first = F.element_at(tagged, start)
-        return F.struct((start - nxt).alias("neg_count"), first["p"].alias("pos"), first["w"].alias("w"))
-
-    runs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(ns, F.lit(1))), lambda j: ns > 0), run)
-    top = F.slice(F.array_sort(runs), 1, top_k)
-    return df.withColumn(out, F.when(col_(text).isNotNull(), F.transform(top, lambda r: r["w"]))).drop(*tmp)
+    t_, s_, r_ = f"_{out}_t", f"_{out}_s", f"_{out}_r"
+    df = df.withColumn(t_, F.when(col_(text).isNotNull(), _sorted_tagged(keyword_tokens(text, stop_words, min_len))))
+    df = df.withColumn(r_, _runs_from_sorted(F.col(t_), top_k))
+    return df.withColumn(out, F.when(F.col(t_).isNotNull(), _top_from_starts(F.col(r_), F.size(F.col(t_)), top_k))) \
+             .drop(t_, r_)
 
 
 def contains_any(lower_text: Column, terms: Sequence[str]) -> Column:
