@@ -139,3 +139,6 @@ BM25_B = 0.75
 FIXTURE_TERMS = ["that", "with", "this", "from", "tion", "ment", "test"]
 FIXTURE_CLASSES = [("c_that", ["that"]), ("c_with", ["with"]),
                    ("c_tion", ["tion"]), ("c_ment", ["ment"])]
+
+# --- FIXED VALUES: technical-content indicators of the dataset check --------
+DATASET_QUALITY_TERMS = ["procedure", "specification", "safety", "maintenance", "quality", "control"]

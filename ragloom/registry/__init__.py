@@ -1,6 +1,6 @@
 """All checked queries; importing this package registers them."""
 
-from . import core, search, text  # noqa: F401
+from . import core, search, stats, text  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
