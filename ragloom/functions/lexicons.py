@@ -142,3 +142,33 @@ FIXTURE_CLASSES = [("c_that", ["that"]), ("c_with", ["with"]),
 
 # --- FIXED VALUES: technical-content indicators of the dataset check --------
 DATASET_QUALITY_TERMS = ["procedure", "specification", "safety", "maintenance", "quality", "control"]
+
+# --- FIXED VALUES: evaluation word lists ------------------------------------
+SAFETY_RESULT_KEYWORDS = ["warning", "caution", "danger", "emergency", "safety", "hazard"]
+MULTIMODAL_TEXT_INDICATORS = ["table", "figure", "chart", "diagram", "image", "see below", "above"]
+SAFETY_DENSITY_INDICATORS = ["warning", "caution", "danger", "ppe", "protective equipment",
+                             "emergency", "shutdown", "evacuation", "hazard", "toxic",
+                             "safety", "protocol", "procedure"]
+SAFETY_DENSITY_MARKERS = ["safety procedure", "warning", "caution"]
+ANSWER_TERM_GROUPS = [["daily"], ["weekly"], ["monthly"],
+                      ["vacuum", "temperature", "particle", "calibrat"]]
+FACILITY_WORDS = ["facility", "site"]
+
+# --- FIXED VALUES: grade bands ------------------------------------------------
+IMPROVEMENT_GRADES = [(50, "A+"), (30, "A"), (20, "B+"), (10, "B"), (0, "C")]   # else D
+SCORE_GRADES = [(90, "A+"), (85, "A"), (80, "B+"), (75, "B"), (70, "C+"), (65, "C")]  # else D
+
+# --- FIXED VALUES: targets and alert thresholds (metric, op, threshold, message)
+TARGET_RULES = [
+    ("avg_latency_ms", ">", 500.0, "average latency above target"),
+    ("p95_latency_ms", ">", 1000.0, "p95 latency above target"),
+    ("f1_score", "<", 0.85, "F1 below target"),
+    ("precision", "<", 0.8, "precision below target"),
+    ("recall", "<", 0.8, "recall below target"),
+    ("max_latency_ms", ">", 2000.0, "query latency alert"),
+    ("error_rate", ">", 0.05, "error rate alert"),
+]
+
+# --- FIXED VALUES: baseline metrics of the comparison ------------------------
+BASELINE_METRICS = [("avg_query_latency_ms", 500.0), ("p95_query_latency_ms", 1200.0),
+                    ("throughput_qps", 10.0), ("accuracy_f1_score", 0.76), ("cost_per_1k_queries", 1.0)]
