@@ -113,3 +113,12 @@ sc AS (SELECT ch.*, coalesce(nk.nkw, 0) AS nkw,
 def cosine_sql(a: str, b: str) -> str:
     c = f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
     return f"round(CASE WHEN isnan({c}) THEN 0.0 ELSE {c} END, 9)"
+
+
+_DEC = __import__("re").compile(r"(?<![\w'.])(\d+\.\d+)(?![\w'.])")
+
+
+def dbl(sql: str) -> str:
+    """Type every decimal literal of an oracle as DOUBLE (DuckDB would
+    otherwise compute in DECIMAL, while Spark's literals are doubles)."""
+    return _DEC.sub(r"CAST(\1 AS DOUBLE)", sql)
