@@ -172,3 +172,28 @@ TARGET_RULES = [
 # --- FIXED VALUES: baseline metrics of the comparison ------------------------
 BASELINE_METRICS = [("avg_query_latency_ms", 500.0), ("p95_query_latency_ms", 1200.0),
                     ("throughput_qps", 10.0), ("accuracy_f1_score", 0.76), ("cost_per_1k_queries", 1.0)]
+
+# --- FIXED VALUES: validation query templates per document type ---------------
+QUERY_TEMPLATES = [
+    ("maintenance_manual", ["daily maintenance procedure for equipment", "weekly maintenance checklist",
+                            "equipment calibration procedure"]),
+    ("procedure", ["standard operating procedure", "step by step process guide", "quality control procedure"]),
+    ("safety_guide", ["safety procedures and protocols", "emergency response procedures",
+                      "personal protective equipment requirements"]),
+    ("quality_manual", ["quality management system", "inspection procedures and requirements",
+                        "statistical process control methods"]),
+    ("specification", ["technical specifications and requirements", "process parameters and settings",
+                       "measurement and testing procedures"]),
+]
+GENERAL_QUERIES = ["equipment maintenance and service", "quality control and inspection",
+                   "safety protocols and procedures"]
+MAX_TEST_QUERIES = 6
+
+# --- FIXED VALUES: post-migration validation thresholds ----------------------
+COUNT_VARIANCE_MAX = 0.2
+CHUNKS_PER_DOCUMENT_ESTIMATE = 2.5
+SEARCH_MIN_RESULTS, SEARCH_MIN_SIMILARITY, SEARCH_MIN_QUALITY = 1, 0.6, 0.7
+LATENCY_AVG_MAX_MS, LATENCY_MAX_MS = 1000.0, 2000.0
+INTEGRITY_TYPE_COVERAGE, INTEGRITY_MIN_QUALITY, INTEGRITY_PASS_SHARE = 0.8, 0.7, 0.8
+WAVE_MIN_SUCCESS = 0.8
+SYSTEM_SIMILARITY_ISSUE, SYSTEM_SIMILARITY_ADVICE = 0.7, 0.8
