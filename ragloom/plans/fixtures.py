@@ -38,7 +38,8 @@ def vector_queries(t, with_keywords: bool = False) -> DataFrame:
     if not with_keywords:
         return q
     d = X.with_keywords(t.documents.select(F.col("doc_id").alias("query_id"), "text"), "text", "keywords", 5)
-    return q.join(d.select("query_id", "keywords"), "query_id")
+    return q.join(d.select("query_id", "keywords"), "query_id", "left") \
+            .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
 def text_queries(t) -> DataFrame:
