@@ -87,21 +87,34 @@ def vocab_index(term_lists) -> tuple[dict, np.ndarray, np.ndarray]:
     return vocab, indptr, qidx
 
 
+EXPAND_CELLS = 4_000_000                     # (row, query) increments per numpy step
+
+
 def expand_matches(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray,
                    indptr: np.ndarray, qidx: np.ndarray, n: int, nq: int) -> np.ndarray:
     """Dense (n x nq) sum of ``weights`` over the (row, term) entries,
-    spread to every query holding the term (sparse product, numpy only)."""
-    out = np.zeros((n, nq), dtype=np.float64)
+    spread to every query holding the term (a sparse product in numpy:
+    flat ``bincount`` over pieces of at most EXPAND_CELLS increments, so
+    memory stays bounded however common a term is)."""
+    out = np.zeros(n * nq, dtype=np.float64)
     if len(rows) == 0:
-        return out
+        return out.reshape(n, nq)
     cnt = indptr[terms + 1] - indptr[terms]
-    rr = np.repeat(rows, cnt)
-    ww = np.repeat(weights, cnt)
-    starts = np.repeat(indptr[terms], cnt)
-    offs = np.arange(len(rr)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    qq = qidx[starts + offs]
-    np.add.at(out, (rr, qq), ww)
-    return out
+    cum = np.cumsum(cnt)
+    lo = 0
+    while lo < len(rows):
+        base = cum[lo - 1] if lo > 0 else 0
+        hi = int(np.searchsorted(cum, base + EXPAND_CELLS, side="right"))
+        hi = max(hi, lo + 1)
+        c = cnt[lo:hi]
+        rr = np.repeat(rows[lo:hi], c)
+        ww = np.repeat(weights[lo:hi], c)
+        starts = np.repeat(indptr[terms[lo:hi]], c)
+        offs = np.arange(len(rr)) - np.repeat(np.cumsum(c) - c, c)
+        qq = qidx[starts + offs]
+        out += np.bincount(rr * nq + qq, weights=ww, minlength=n * nq)
+        lo = hi
+    return out.reshape(n, nq)
 
 
 def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence[str],
