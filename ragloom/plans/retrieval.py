@@ -16,14 +16,20 @@ from ..operators.vector_search import top_k_by_vector
 
 
 def chunk_vectors(documents: DataFrame, embeddings: DataFrame, size: int = 1000,
-                  overlap: int = 200) -> DataFrame:
+                  overlap: int = 200, with_text: bool = True) -> DataFrame:
     """Window chunks of every document that has a vector, with that vector.
 
     The join is done at document granularity (one row per document on both
-    sides, a shuffle on the id at most) before the chunks multiply the rows.
+    sides) before the chunks multiply the rows. Without ``with_text`` only
+    (doc_id, text length) meets the vectors, so a shuffle join moves no
+    text at all; the chunk keys follow from the length.
     """
-    docs = documents.select("doc_id", "text").join(
-        embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    vecs = embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    if not with_text:
+        lens = documents.select("doc_id", F.length("text").alias("text_length"))
+        return chunking.chunk_window_keys(lens.join(vecs, "doc_id"), size=size, overlap=overlap,
+                                          keep=("embedding",))
+    docs = documents.select("doc_id", "text").join(vecs, "doc_id")
     return chunking.chunk_window(docs, size=size, overlap=overlap, keep=("embedding",))
 
 

@@ -26,7 +26,7 @@ SELECT query_id, doc_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE r
 @register("semantic_search", FLAGSHIP_SQL)
 def semantic_search(t):
     """S1+C1+C8+J1+V1+F2+R1: top-5 chunks per query vector, cosine > 0.3."""
-    chunks = retrieval.chunk_vectors(t.documents, t.embeddings)
+    chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False)
     return retrieval.semantic_search(chunks, retrieval.query_vectors(t.embeddings))
 
 

@@ -50,7 +50,7 @@ def _results(t, k=5):
     label. The result table (queries x k rows) is the broadcast side; the
     chunk table is only scanned."""
     from ..operators import chunking
-    chunks = retrieval.chunk_vectors(t.documents, t.embeddings)
+    chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False)
     res = retrieval.semantic_search(chunks, retrieval.query_vectors(t.embeddings), k=k)
     ch = chunking.chunk_window(t.documents.select("doc_id", "text", "lang", "source"), keep=("lang", "source"))
     lab = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("clabel"))
@@ -351,7 +351,7 @@ FROM s JOIN th ON s.score >= th.threshold GROUP BY threshold""")
 def threshold_sweep(t):
     """Result counts at thresholds 0.1..0.5 from one broadcast scan
     that emits only pairs past the lowest threshold."""
-    chunks = retrieval.chunk_vectors(t.documents, t.embeddings)
+    chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False)
     pairs = VS.pairs_above(chunks, retrieval.query_vectors(t.embeddings), min(SWEEP), strict=False)
     r = EV.threshold_sweep(pairs, SWEEP)
     return r.select("threshold", "results", "queries_with_results", F.round("avg_score", 6).alias("avg_score"))

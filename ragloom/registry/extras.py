@@ -12,7 +12,7 @@ N_LISTS, NPROBE = 8, 3
 
 
 def _ivf(t):
-    chunks = retrieval.chunk_vectors(t.documents, t.embeddings).select("doc_id", "chunk_id", "embedding")
+    chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False).select("doc_id", "chunk_id", "embedding")
     cents, idx = ivf.ivf_build(chunks, n_lists=N_LISTS, seed=7)
     q = retrieval.query_vectors(t.embeddings)
     return ivf.ivf_search(idx, q, cents, k=5, nprobe=NPROBE), chunks, q
@@ -75,7 +75,7 @@ def column_encryption(t):
     round trip is decrypted and measured."""
     d = t.documents
     aad = F.col("doc_id").cast("string")
-    enc = F.aes_encrypt(F.col("text"), F.lit(KEY), F.lit("GCM"), F.lit("DEFAULT"), F.lit(None).cast("binary"),
+    enc = F.aes_encrypt(F.col("text"), F.lit(KEY), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"),
                         aad)
     dec = F.aes_decrypt(F.col("cipher"), F.lit(KEY), F.lit("GCM"), F.lit("DEFAULT"), aad)
     return d.select("doc_id", enc.alias("cipher"), aad.alias("doc_aad")).select(

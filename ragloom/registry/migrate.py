@@ -74,7 +74,7 @@ def reuse_or_regenerate(t):
 
 @register("embed_batches")
 def embed_batches(t):
-    """V5 + J8: keep stored vectors, embed the other documents' whole texts
+    """V5 + X4 + J8: keep stored vectors, embed the other documents' whole texts
     in Arrow batches of 100 with the hash embedder (rows-only check)."""
     r = M.migrate_embeddings(t.documents.select("doc_id", "text"), t.embeddings, 64)
     return r.select("doc_id", "embedding_action", "embed_status", F.size("embedding").alias("dims"))
@@ -268,14 +268,57 @@ def compare_systems(t):
 
 
 # ---------------------------------------- chunkers checked by rows / tests
-@register("chunk_sentence")
+def sentence_pack_sql(text_expr: str, size: int = 1000) -> str:
+    """DuckDB form of the sentence packing fold (overlap > 0): a list of
+    {t, n} structs for one text."""
+    sents = f"string_split(regexp_replace({text_expr}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    red = (f"list_reduce({sents}, lambda acc, x: CASE WHEN acc.sz + length(x) > {size} AND len(acc.cur) > 0 "
+           "THEN {'out': list_append(acc.out, {'t': array_to_string(acc.cur, ' '), 'n': len(acc.cur)}), "
+           "'cur': [acc.cur[-1], x], 'sz': length(acc.cur[-1]) + length(x)} "
+           "ELSE {'out': acc.out, 'cur': list_append(acc.cur, x), 'sz': acc.sz + length(x)} END, "
+           "{'out': []::STRUCT(t VARCHAR, n BIGINT)[], 'cur': []::VARCHAR[], 'sz': 0::BIGINT})")
+    return (f"(CASE WHEN len(({red}).cur) > 0 THEN list_append(({red}).out, "
+            f"{{'t': array_to_string(({red}).cur, ' '), 'n': len(({red}).cur)}}) ELSE ({red}).out END)")
+
+
+CHUNKS_OUT_SQL = """
+SELECT doc_id, chunk_index, printf('%s_chunk_%04d', CAST(doc_id AS VARCHAR), chunk_index) AS chunk_id,
+       CAST(length(ch.t) AS BIGINT) AS chunk_length, CAST(ch.n AS BIGINT) AS {count}, CAST(total_chunks AS BIGINT) AS total_chunks,
+       md5(ch.t) AS h
+FROM (SELECT doc_id, unnest(chunks) AS ch, unnest(range(0, len(chunks))) AS chunk_index, len(chunks) AS total_chunks FROM c)"""
+
+
+@register("chunk_sentence", f"""
+WITH c AS (SELECT doc_id, {sentence_pack_sql('text')} AS chunks FROM documents WHERE text IS NOT NULL)
+{CHUNKS_OUT_SQL.format(count='sentence_count')}""")
 def chunk_sentence(t):
     """Sentence-packed 1000/200 chunks of every document."""
     return chunking.chunk_sentence(t.documents).select("doc_id", "chunk_index", "chunk_id", "chunk_length",
                                                       "sentence_count", "total_chunks", F.md5("chunk_text").alias("h"))
 
 
-@register("chunk_recursive")
+RECURSIVE_SQL = f"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS paras FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, list_reduce(paras, lambda acc, x:
+        CASE WHEN length(x) > 1000 THEN {{'out': list_concat(acc.out,
+                 CASE WHEN len(acc.cur) > 0 THEN [{{'t': array_to_string(acc.cur, chr(10)), 'n': len(acc.cur), 'big': false}}]
+                      ELSE []::STRUCT(t VARCHAR, n BIGINT, big BOOLEAN)[] END, [{{'t': x, 'n': 1, 'big': true}}]),
+                 'cur': []::VARCHAR[], 'sz': 0::BIGINT}}
+             WHEN acc.sz + length(x) > 1000 AND len(acc.cur) > 0 THEN {{'out': list_append(acc.out,
+                 {{'t': array_to_string(acc.cur, chr(10)), 'n': len(acc.cur), 'big': false}}), 'cur': [x], 'sz': length(x)}}
+             ELSE {{'out': acc.out, 'cur': list_append(acc.cur, x), 'sz': acc.sz + length(x)}} END,
+        {{'out': []::STRUCT(t VARCHAR, n BIGINT, big BOOLEAN)[], 'cur': []::VARCHAR[], 'sz': 0::BIGINT}}) AS r FROM p),
+gg AS (SELECT doc_id, CASE WHEN len(r.cur) > 0 THEN list_append(r.out, {{'t': array_to_string(r.cur, chr(10)), 'n': len(r.cur), 'big': false}})
+                           ELSE r.out END AS groups FROM g),
+pieces AS (SELECT doc_id, gi, grp FROM (SELECT doc_id, unnest(groups) AS grp, unnest(range(0, len(groups))) AS gi FROM gg)),
+expanded AS (SELECT doc_id, gi, CASE WHEN grp.big THEN {sentence_pack_sql('grp.t')}
+                                     ELSE [{{'t': grp.t, 'n': grp.n}}] END AS parts FROM pieces),
+flat AS (SELECT doc_id, gi, unnest(parts) AS ch, unnest(range(0, len(parts))) AS pi FROM expanded),
+c AS (SELECT doc_id, list(ch ORDER BY gi, pi) AS chunks FROM flat GROUP BY doc_id)
+{CHUNKS_OUT_SQL.format(count='piece_count')}"""
+
+
+@register("chunk_recursive", RECURSIVE_SQL)
 def chunk_recursive(t):
     """C4 with the line break as paragraph delimiter (the fixture has no
     blank lines)."""

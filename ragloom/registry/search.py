@@ -108,7 +108,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 
 
 def _semantic(t, k):
-    chunks = retrieval.chunk_vectors(t.documents, t.embeddings)
+    chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False)
     return retrieval.semantic_search(chunks, retrieval.query_vectors(t.embeddings), k=k)
 
 
