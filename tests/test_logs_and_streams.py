@@ -51,7 +51,9 @@ def test_cache_lookup_boundary(spark):
 def test_stream_metrics_equal_batch(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     batch = {r.window_start: (r.queries, r.max_ms) for r in ST.query_metrics(ev).collect()}
-    stream = spark.readStream.schema(ev.schema).parquet("/root/testdata/sf0.001/events.parquet")
+    src = scratch_path(spark, "events-stream")
+    ev.repartition(4).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = (ST.query_metrics(stream).writeStream.format("memory").queryName("qm_test").outputMode("complete")
          .trigger(availableNow=True).start())
     q.awaitTermination()
