@@ -159,6 +159,8 @@ def with_keywords(df, text, out: str = "keywords", top_k: int = L.KEYWORD_TOP_K,
     Catalyst inlines the staged columns (e.g. pushing a filter below them)
     the cost stays linear in the text.
     """
+    from ..session import spread
+    df = spread(df)
     if engine == "arrow":
         return df.withColumn(out, keywords_udf(top_k, stop_words, min_len)(col_(text)))
     t_, r_ = f"_{out}_t", f"_{out}_r"

@@ -78,4 +78,5 @@ def embed_batches(df: DataFrame, text_col: str = "chunk_text", out_col: str = "e
             out["embed_status"] = status
             yield out
 
-    return df.mapInPandas(run, schema)
+    from ..session import spread
+    return spread(df).mapInPandas(run, schema)

@@ -145,27 +145,36 @@ def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence
             if n == 0 or nq == 0:
                 continue
             step = max(1, SLICE_CELLS // max(nq, 1))
-            parts = []
+            rr, cc, vv, ex = [], [], [], {name: [] for name in outs}
             for r0 in range(0, n, step):
-                sl = pdf.iloc[r0:r0 + step]
-                rank, keep, extra = scorer(sl, pay)
-                parts.append((r0, rank, keep, extra))
-            # per-query k-th best over the whole batch (ties kept)
-            rank_all = np.vstack([p[1] for p in parts])
-            keep_all = np.vstack([p[2] for p in parts])
-            if n > k:
-                masked = np.where(keep_all, rank_all, -np.inf)
-                kth = np.partition(masked, n - k, axis=0)[n - k]
-                keep_all = keep_all & (rank_all >= kth[None, :])
-            r, c = np.nonzero(keep_all)
+                rank, keep, extra = scorer(pdf.iloc[r0:r0 + step], pay)
+                m = rank.shape[0]
+                if m > k:                      # slice top-k per query, ties kept
+                    masked = np.where(keep, rank, -np.inf)
+                    kth = np.partition(masked, m - k, axis=0)[m - k]
+                    keep = keep & (rank >= kth[None, :])
+                r, c = np.nonzero(keep)
+                rr.append(r + r0)
+                cc.append(c)
+                vv.append(rank[r, c])
+                for name in outs:
+                    ex[name].append(extra[name][r, c])
+            r, c, v = np.concatenate(rr), np.concatenate(cc), np.concatenate(vv)
             if len(r) == 0:
                 continue
-            res = {"query_id": q_ids[c]}
+            sel = np.arange(len(r))
+            if len(rr) > 1:                    # k-th best per query across the slices
+                o = np.lexsort((-v, c))
+                cs, vs = c[o], v[o]
+                starts = np.r_[0, np.flatnonzero(np.diff(cs)) + 1]
+                counts = np.diff(np.r_[starts, len(cs)])
+                kth = vs[starts + np.minimum(counts, k) - 1]
+                sel = o[vs >= np.repeat(kth, counts)]
+            res = {"query_id": q_ids[c[sel]]}
             for kc in keys:
-                res[kc] = pdf[kc].values[r]
+                res[kc] = pdf[kc].values[r[sel]]
             for name in outs:
-                full = np.vstack([p[3][name] for p in parts])
-                res[name] = full[r, c]
+                res[name] = np.concatenate(ex[name])[sel]
             yield pd.DataFrame(res, columns=["query_id"] + keys + outs)
 
     return src.mapInPandas(run, schema)

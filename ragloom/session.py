@@ -78,3 +78,20 @@ def cut_lineage(df, spark: SparkSession | None = None):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for staged tables."""
     return os.path.join(checkpoint_dir(spark), "staged", name)
+
+
+def spread(df, target: int | None = None):
+    """Round-robin spread of an under-split input before heavy per-row work.
+
+    A small source (one file, one row group) is scanned by a single task;
+    text splitting and scoring after it would then run on one core. When
+    the input has fewer partitions than the cluster's parallelism it is
+    spread over ``target`` (default: the parallelism); a large input is
+    left untouched, so on big data this adds no shuffle.
+    """
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- streaming frames have no RDD
+        return df
+    return df.repartition(target) if n < target else df
