@@ -40,6 +40,14 @@ def ivf_build(chunks: DataFrame, n_lists: int = 16, vec_col: str = "embedding",
     return cents, assigned
 
 
+def ivf_write_index(assigned: DataFrame, path: str) -> DataFrame:
+    """Persist the index partitioned by list under a shared path and read
+    it back: later searches prune to the probed lists (partition filter on
+    ``ivf_list``), and the k-means lineage is cut."""
+    assigned.write.mode("overwrite").partitionBy("ivf_list").parquet(path)
+    return assigned.sparkSession.read.parquet(path)
+
+
 def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 5,
                nprobe: int = 4, threshold: float = 0.3, key_cols=("chunk_id",), vec_col: str = "embedding",
                query_vec: str = "embedding", digits: int = 9) -> DataFrame:

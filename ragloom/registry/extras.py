@@ -13,7 +13,10 @@ N_LISTS, NPROBE = 8, 3
 
 def _ivf(t):
     chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False).select("doc_id", "chunk_id", "embedding")
-    cents, idx = ivf.ivf_build(chunks, n_lists=N_LISTS, seed=7)
+    cents, assigned = ivf.ivf_build(chunks, n_lists=N_LISTS, seed=7)
+    import uuid
+    from ..session import scratch_path
+    idx = ivf.ivf_write_index(assigned, scratch_path(t.spark, f"ivf-{uuid.uuid4().hex[:12]}"))
     q = retrieval.query_vectors(t.embeddings)
     return ivf.ivf_search(idx, q, cents, k=5, nprobe=NPROBE), chunks, q
 
