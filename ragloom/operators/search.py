@@ -167,6 +167,26 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
     return finish_topk(_union(parts), k, order)
 
 
+def hybrid_left_join(semantic: DataFrame, keyword: DataFrame, k: int = 10, alpha: float = L.HYBRID_ALPHA,
+                     threshold: float = L.SEMANTIC_THRESHOLD, on: Sequence[str] = ("query_id", "chunk_id"),
+                     importance: str = "importance_score") -> DataFrame:
+    """J2 + F5: semantic scores LEFT JOIN externally supplied keyword scores.
+
+    For keyword scores computed elsewhere (one row per (query, chunk) at
+    most, so the join cannot fan out); the WHERE keeps
+    ``semantic > threshold OR keyword > 0`` with SQL NULL semantics before
+    the keyword score is defaulted to 0, then ranks the hybrid score.
+    """
+    kw = keyword.select(*on, F.col("keyword_score").alias("_kw")).dropDuplicates(list(on))
+    j = semantic.join(kw, list(on), "left").where((F.col("semantic_score") > threshold) | (F.col("_kw") > 0))
+    hyb = (alpha * F.col("semantic_score") + (1 - alpha) * L.HYBRID_KEYWORD_WEIGHT * F.coalesce("_kw", F.lit(0.0))
+           + F.col(importance) * L.HYBRID_IMPORTANCE_WEIGHT)
+    out = j.withColumn("keyword_score", F.coalesce("_kw", F.lit(0.0))).withColumn("hybrid_score", F.round(hyb, 9)) \
+           .drop("_kw")
+    w = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), F.col("chunk_id"))
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def term_tokens(text) -> Column:
     """BM25 terms as a Column: lower-cased Unicode word tokens."""
     return F.regexp_extract_all(F.lower(col_(text)), F.lit(WORD_RE), 0)

@@ -376,3 +376,43 @@ def free_filter(t):
     from ..operators import chunking
     pred = (F.col("lang") == "de") & (F.col("chunk_length") < 1000)
     return chunking.chunk_window(t.documents, keep=("lang",)).where(pred).select("chunk_id")
+
+
+@register("hybrid_left_join", f"""
+WITH {search_chunks_ctes()},
+{QK_CTES},
+m AS (SELECT qk.query_id, ck.chunk_id, count(*) AS matches FROM qk JOIN ck ON ck.w = qk.w GROUP BY 1, 2),
+kws AS (SELECT m.query_id, m.chunk_id, m.matches / CAST(sc.nkw AS DOUBLE) AS keyword_score
+        FROM m JOIN sc ON sc.chunk_id = m.chunk_id WHERE sc.doc_id = m.query_id),
+sem AS (SELECT q.vec_id AS query_id, sc.chunk_id, sc.importance_score,
+               {cosine_sql('ce.embedding', 'q.embedding')} AS semantic_score
+        FROM embeddings q CROSS JOIN sc JOIN embeddings ce ON ce.vec_id = sc.doc_id),
+j AS (SELECT sem.*, kws.keyword_score AS kw FROM sem LEFT JOIN kws ON kws.query_id = sem.query_id AND kws.chunk_id = sem.chunk_id
+      WHERE sem.semantic_score > 0.3 OR kws.keyword_score > 0),
+h AS (SELECT *, round(0.7 * semantic_score + CAST('{W_KW}' AS DOUBLE) * coalesce(kw, 0.0) + importance_score * 0.2, 9) AS hyb FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hyb DESC, chunk_id) AS rank FROM h)
+SELECT query_id, chunk_id, round(semantic_score, 6) AS semantic_score, round(coalesce(kw, 0.0), 6) AS keyword_score,
+       round(hyb, 6) AS hybrid_score, rank FROM r WHERE rank <= 10""")
+def hybrid_left_join(t):
+    """J2 + F5: candidates = pairs past the semantic threshold (broadcast
+    scan, only passing pairs emitted) plus the pairs of an external
+    keyword-score table (R3 scores of each query's own document chunks,
+    scored row-wise after an equi-join); candidates LEFT JOIN keyword
+    scores, NULL-aware filter, top-10."""
+    from ..functions import vectors as V_
+    from ..operators import vector_search as VS_
+    ch = FX.search_chunks(t)
+    q = FX.vector_queries(t)
+    kws = keyword_score(t)
+    sem = VS_.pairs_above(ch, q, 0.3, key_cols=("chunk_id",)).select("query_id", "chunk_id",
+                                                                     F.col("score").alias("semantic_score"))
+    kw_pairs = kws.select("query_id", "chunk_id") \
+                  .join(ch.select("chunk_id", F.col("embedding").alias("cv")), "chunk_id") \
+                  .join(q.select("query_id", F.col("embedding").alias("qv")), "query_id") \
+                  .select("query_id", "chunk_id", F.round(V_.cosine_similarity("cv", "qv"), 9).alias("semantic_score"))
+    cands = sem.unionByName(kw_pairs).dropDuplicates(["query_id", "chunk_id"]) \
+               .join(ch.select("chunk_id", "importance_score"), "chunk_id")
+    r = S.hybrid_left_join(cands, kws, k=10)
+    return r.select("query_id", "chunk_id", F.round("semantic_score", 6).alias("semantic_score"),
+                    F.round("keyword_score", 6).alias("keyword_score"), F.round("hybrid_score", 6).alias("hybrid_score"),
+                    F.col("rank").cast("long").alias("rank"))
