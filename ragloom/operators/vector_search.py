@@ -42,17 +42,22 @@ def query_blocks(queries: DataFrame, cols: Sequence[str], row_bytes: int,
                  block_bytes: int = DEFAULT_BLOCK_BYTES, key: str = "query_id"):
     """Collect ``queries`` in blocks of bounded size; yields lists of Rows.
 
-    The row count is taken first; with ``row_bytes`` an upper bound of one
-    row's payload the number of blocks is chosen so each block stays under
-    ``block_bytes``. Blocks are hash ranges of the query key.
+    ``row_bytes`` bounds one row's payload, so a block of
+    ``block_bytes // row_bytes`` rows stays under ``block_bytes``. The first
+    job fetches at most one row more than a block: if that is everything,
+    it is the only block (one job); otherwise the rows are counted and
+    split into hash ranges of the query key, each collected on its own.
     """
     q = queries.select(*cols)
-    n = q.count()
     per_block = max(1, block_bytes // max(row_bytes, 1))
+    first = q.limit(per_block + 1).collect()
+    if len(first) <= per_block:
+        yield first
+        return
+    n = q.count()
     nblocks = max(1, math.ceil(n / per_block))
     for b in range(nblocks):
-        part = q if nblocks == 1 else q.where(F.pmod(F.xxhash64(key), F.lit(nblocks)) == b)
-        yield part.collect()
+        yield q.where(F.pmod(F.xxhash64(key), F.lit(nblocks)) == b).collect()
 
 
 def vector_matrix(values, dim: int) -> np.ndarray:
