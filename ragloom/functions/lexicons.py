@@ -197,3 +197,37 @@ LATENCY_AVG_MAX_MS, LATENCY_MAX_MS = 1000.0, 2000.0
 INTEGRITY_TYPE_COVERAGE, INTEGRITY_MIN_QUALITY, INTEGRITY_PASS_SHARE = 0.8, 0.7, 0.8
 WAVE_MIN_SUCCESS = 0.8
 SYSTEM_SIMILARITY_ISSUE, SYSTEM_SIMILARITY_ADVICE = 0.7, 0.8
+
+# --- FIXED VALUES: the labelled evaluation queries ----------------------------
+# (category, query, expected document types, complexity, expected keywords)
+LABELLED_QUERIES = [
+    ("equipment_maintenance", "daily maintenance procedure for ion implanter equipment",
+     ["maintenance_manual", "procedure"], "medium", ["ion implanter", "maintenance", "daily"]),
+    ("equipment_maintenance", "weekly calibration schedule for metrology tools",
+     ["maintenance_manual", "procedure"], "medium", ["calibration", "metrology", "weekly"]),
+    ("equipment_maintenance", "preventive maintenance checklist for CVD equipment",
+     ["maintenance_manual", "checklist"], "medium", ["preventive", "maintenance", "cvd"]),
+    ("safety_procedures", "emergency shutdown procedure for chemical vapor deposition",
+     ["safety_guide", "procedure"], "high", ["emergency", "shutdown", "cvd"]),
+    ("safety_procedures", "personal protective equipment requirements for clean room",
+     ["safety_guide", "specification"], "medium", ["ppe", "clean room", "protective"]),
+    ("safety_procedures", "lockout tagout procedures for equipment maintenance",
+     ["safety_guide", "procedure"], "high", ["lockout", "tagout", "maintenance"]),
+    ("quality_control", "statistical process control methods for manufacturing",
+     ["quality_manual", "procedure"], "high", ["statistical", "process control", "manufacturing"]),
+    ("quality_control", "defect classification system for wafer inspection",
+     ["quality_manual", "specification"], "high", ["defect", "classification", "wafer", "inspection"]),
+    ("quality_control", "measurement uncertainty analysis for critical dimensions",
+     ["quality_manual", "procedure"], "very_high", ["measurement", "uncertainty", "critical dimensions"]),
+    ("process_specifications", "photolithography process parameters for 7nm technology",
+     ["specification", "process_guide"], "very_high", ["photolithography", "parameters", "7nm"]),
+    ("process_specifications", "ion implantation energy levels for boron doping",
+     ["specification", "process_guide"], "high", ["ion implantation", "energy", "boron", "doping"]),
+    ("process_specifications", "chemical mechanical planarization slurry composition",
+     ["specification", "process_guide"], "high", ["cmp", "slurry", "composition"]),
+]
+
+# Expected type names of the labelled set -> the classes the classifier
+# produces (the two vocabularies never meet otherwise).
+TYPE_ALIASES = {"maintenance_manual": "maintenance", "safety_guide": "safety",
+                "quality_manual": "quality", "process_guide": "procedure"}

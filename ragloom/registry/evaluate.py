@@ -355,3 +355,38 @@ def threshold_sweep(t):
     pairs = VS.pairs_above(chunks, retrieval.query_vectors(t.embeddings), min(SWEEP), strict=False)
     r = EV.threshold_sweep(pairs, SWEEP)
     return r.select("threshold", "results", "queries_with_results", F.round("avg_score", 6).alias("avg_score"))
+
+
+@register("labelled_eval")
+def labelled_eval(t):
+    """E1 + E2 + E4 + E6 end to end with the labelled query set: every
+    document is window-chunked, typed (P12) and hash-embedded (V5); the 12
+    labelled queries are embedded the same way and answered by the exact
+    top-5 search (cosine > 0.1); retrieved types are scored against the
+    expected ones through the alias table; rows-only (Python embedder)."""
+    from ..operators import chunking
+    from ..operators import embed as EM
+    spark = t.spark
+    ch = chunking.chunk_window(t.documents).withColumn(
+        "document_type", X.classify_ordered("chunk_text", L.DOCUMENT_TYPE_CLASSES, "general"))
+    ch = EM.embed_batches(ch, "chunk_text")
+    rows = [(i, c, q, [L.TYPE_ALIASES.get(x, x) for x in exp], kw)
+            for i, (c, q, exp, _, kw) in enumerate(L.LABELLED_QUERIES)]
+    qs = spark.createDataFrame(rows, "query_id long, category string, query_text string, "
+                                     "expected array<string>, expected_keywords array<string>")
+    qv = EM.embed_batches(qs, "query_text")
+    res = retrieval.top_k_by_vector(ch, qv, k=5, threshold=0.1, key_cols=("chunk_id",))
+    res = res.join(F.broadcast(res.select("chunk_id").distinct()).join(ch.select("chunk_id", "document_type",
+                                                                                 "chunk_text"), "chunk_id"),
+                   "chunk_id")
+    got = res.groupBy("query_id").agg(F.collect_list("document_type").alias("retrieved"),
+                                      F.max(F.when(F.col("rank") == 1, F.col("chunk_text"))).alias("top_text"))
+    j = qs.join(got, "query_id", "left")
+    m = EV.prf("retrieved", "expected")
+    per_q = j.select("category", m["precision"].alias("precision"), m["recall"].alias("recall"), m["f1"].alias("f1"),
+                     F.when(F.col("top_text").isNotNull(),
+                            EV.term_coverage("top_text", ["maintenance", "safety", "quality", "process"]))
+                      .alias("term_coverage"))
+    return per_q.groupBy("category").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")],
+                                         F.round(F.avg("term_coverage"), 6).alias("term_coverage"),
+                                         F.count(F.lit(1)).alias("query_count"))
