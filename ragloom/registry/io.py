@@ -102,7 +102,7 @@ k AS (SELECT * FROM qa WHERE contains(lower(coalesce(domain, '')), 'that') OR co
         OR contains(lower(coalesce(question, '')), 'that') OR contains(lower(coalesce(question, '')), 'tion')
         OR contains(lower(coalesce(context, '')), 'that') OR contains(lower(coalesce(context, '')), 'tion'))
 SELECT 'ragbench_' || CAST(row_number() OVER (ORDER BY row_order) - 1 AS VARCHAR) AS id, question AS title,
-       length(context) AS content_length FROM k""")
+       CAST(length(context) AS BIGINT) AS content_length FROM k""")
 def filter_external_corpus(t):
     """S3: QA pairs (user turn + next assistant turn) filtered by keywords,
     numbered densely in conversation order."""
@@ -114,7 +114,7 @@ def filter_external_corpus(t):
                   F.lit(None).cast("string").alias("domain"), F.col("u.text").alias("question"),
                   F.col("a.text").alias("context"), F.lit(None).cast("string").alias("answer"))
     r = D.filter_external_corpus(qa, CORPUS_TERMS)
-    return r.select("id", "title", F.length("content").alias("content_length"))
+    return r.select("id", "title", F.length("content").cast("long").alias("content_length"))
 
 
 @register("atom_roundtrip", """

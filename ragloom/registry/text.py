@@ -190,8 +190,8 @@ def classify_by_name_and_head(t):
 
 
 @register("build_metadata", """
-SELECT doc_id, to_json({'title': '', 'document_type': lang, 'facility': source,
-                        'chunk_length': CAST(length(text) AS BIGINT), 'total_chunks': CAST(1 AS BIGINT)}) AS metadata
+SELECT doc_id, CAST(to_json({'title': '', 'document_type': lang, 'facility': source,
+                        'chunk_length': CAST(length(text) AS BIGINT), 'total_chunks': CAST(1 AS BIGINT)}) AS VARCHAR) AS metadata
 FROM documents""")
 def build_metadata(t):
     """P20: metadata JSON per document."""
@@ -267,8 +267,8 @@ SELECT ch.doc_id, ch.chunk_id, ch.chunk_index, md5(chunk_text) AS chunk_hash,
     + (1.0 - CAST(chunk_index AS DOUBLE) / greatest(CAST(total_chunks AS DOUBLE), 1.0)) * 0.2
     + greatest(0.0, 1.0 - abs(CAST(chunk_length AS DOUBLE) - 500.0) / 500.0) * 0.2
     + least(coalesce(k.n5, 0) / 5.0, 1.0) * 0.1, 0.0), 1.0), 6) AS importance_score,
-  to_json({{'title': '', 'document_type': lang, 'facility': source,
-           'chunk_length': chunk_length, 'total_chunks': total_chunks}}) AS metadata
+  CAST(to_json({{'title': '', 'document_type': lang, 'facility': source,
+           'chunk_length': chunk_length, 'total_chunks': total_chunks}}) AS VARCHAR) AS metadata
 FROM ch LEFT JOIN k ON k.chunk_id = ch.chunk_id"""
 
 

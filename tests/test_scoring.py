@@ -145,3 +145,10 @@ def test_dedup_keeps_first(spark):
                                "chunk_hash string, doc_id long, chunk_index long, chunk_id string")
     got = {r.chunk_hash: r.chunk_id for r in S.dedup_chunks(df).collect()}
     assert got == {"h1": "a", "h2": "c"}
+
+
+def test_dedup_hot_hash(spark):
+    rows = [("hot" if i % 3 == 0 else f"h{i}", i // 7, i % 7, f"c{i:04d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "chunk_hash string, doc_id long, chunk_index long, chunk_id string").repartition(8)
+    got = {r.chunk_hash: (r.doc_id, r.chunk_index) for r in S.dedup_chunks(df).collect()}
+    assert len(got) == 1 + 2000 and got["hot"] == (0, 0)
