@@ -133,7 +133,7 @@ def implementation_compare(runs: DataFrame, impl="implementation", ms="value", o
 
 def throughput(log: DataFrame, by: Sequence[str], ts="ts") -> DataFrame:
     """Completed / elapsed seconds (NULL when elapsed is 0)."""
-    secs = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6
+    secs = F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / 1e6      # no session-zone conversion
     return log.groupBy(*by).agg(F.count(F.lit(1)).alias("completed"), secs.alias("elapsed_s")) \
               .withColumn("qps", F.expr("try_divide(completed, elapsed_s)"))
 

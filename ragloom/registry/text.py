@@ -42,7 +42,7 @@ FROM events""")
 def query_id(t):
     """md5(query text + log time); here the text is the user key."""
     ev = t.events
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")   # zone-free
     return ev.select("event_id", X.query_id(F.col("user_id").cast("string"), micros).alias("query_id"))
 
 

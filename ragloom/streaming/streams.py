@@ -49,8 +49,9 @@ def query_metrics(log: DataFrame, ts: str = "ts", window: str = "1 hour", delay:
     """ST3: per window count, mean/max latency and error rate, with alert
     flags (latency > 2000 ms, error rate > 5 %). Works on a batch or a
     stream (the watermark is ignored in batch)."""
-    log = log.withColumn(ts, F.col(ts).cast("timestamp"))       # watermarks need TIMESTAMP
-    agg = log.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w")).agg(
+    if log.isStreaming:                       # watermarks need TIMESTAMP; batch stays zone-free
+        log = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    agg = log.groupBy(F.window(ts, window).alias("w")).agg(
         F.count(F.lit(1)).alias("queries"), F.avg(ms).alias("avg_ms"), F.max(ms).alias("max_ms"),
         F.avg((F.col(kind) == "error").cast("double")).alias("error_rate"))
     return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "queries", "avg_ms", "max_ms", "error_rate",
