@@ -301,11 +301,12 @@ def context_assembly(results: DataFrame, texts: DataFrame, n: int = 3, sep: str
                      on: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
     """The first ``n`` result texts of each query joined by ``sep``.
 
-    The per-query results are small (queries x k), so they are the
-    broadcast side and the chunk table is only scanned, not shuffled.
+    The per-query results (queries x n rows) are the broadcast side when
+    their counted size allows, so the chunk table is only scanned.
     """
+    from ..session import bounded_broadcast
     top = results.where(F.col("rank") <= n).select("query_id", "rank", on)
-    j = texts.select(on, text_col).join(F.broadcast(top), on)
+    j = texts.select(on, text_col).join(bounded_broadcast(top), on)
     g = j.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", text_col))).alias("_r"))
     return g.select("query_id", F.array_join(F.transform("_r", lambda x: x[text_col]), sep).alias("context"),
                     F.size("_r").cast("long").alias("n_context"))

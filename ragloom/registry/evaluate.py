@@ -54,7 +54,9 @@ def _results(t, k=5):
     res = retrieval.semantic_search(chunks, retrieval.query_vectors(t.embeddings), k=k)
     ch = chunking.chunk_window(t.documents.select("doc_id", "text", "lang", "source"), keep=("lang", "source"))
     lab = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("clabel"))
-    attrs = ch.select("doc_id", "chunk_id", "chunk_text", "lang", "source").join(F.broadcast(res), ["doc_id", "chunk_id"])
+    from ..session import bounded_broadcast
+    attrs = ch.select("doc_id", "chunk_id", "chunk_text", "lang", "source").join(bounded_broadcast(res),
+                                                                                 ["doc_id", "chunk_id"])
     return attrs.join(lab, "doc_id")
 
 
@@ -376,9 +378,9 @@ def labelled_eval(t):
                                      "expected array<string>, expected_keywords array<string>")
     qv = EM.embed_batches(qs, "query_text")
     res = retrieval.top_k_by_vector(ch, qv, k=5, threshold=0.1, key_cols=("chunk_id",))
-    res = res.join(F.broadcast(res.select("chunk_id").distinct()).join(ch.select("chunk_id", "document_type",
-                                                                                 "chunk_text"), "chunk_id"),
-                   "chunk_id")
+    from ..session import bounded_broadcast
+    res = res.join(bounded_broadcast(res.select("chunk_id").distinct()).join(
+        ch.select("chunk_id", "document_type", "chunk_text"), "chunk_id"), "chunk_id")
     got = res.groupBy("query_id").agg(F.collect_list("document_type").alias("retrieved"),
                                       F.max(F.when(F.col("rank") == 1, F.col("chunk_text"))).alias("top_text"))
     j = qs.join(got, "query_id", "left")
