@@ -152,3 +152,12 @@ def test_dedup_hot_hash(spark):
     df = spark.createDataFrame(rows, "chunk_hash string, doc_id long, chunk_index long, chunk_id string").repartition(8)
     got = {r.chunk_hash: (r.doc_id, r.chunk_index) for r in S.dedup_chunks(df).collect()}
     assert len(got) == 1 + 2000 and got["hot"] == (0, 0)
+
+
+def test_hybrid_empty_keywords_and_null_vector(spark):
+    cdf = spark.createDataFrame([(1, "a", [1.0, 0.0], [], 0.5), (2, "b", None, ["pump"], 0.1)],
+                                "doc_id long, chunk_id string, embedding array<double>, keywords array<string>, "
+                                "importance_score double")
+    qdf = spark.createDataFrame([(0, [1.0, 0.0], ["pump"])], "query_id long, embedding array<double>, keywords array<string>")
+    got = {r.chunk_id: (r.semantic_score, r.keyword_score) for r in S.hybrid_search(cdf, qdf, k=5).collect()}
+    assert got == {"a": (1.0, 0.0), "b": (0.0, 1.0)}
