@@ -379,3 +379,34 @@ def chunk_pages(t):
     r = chunking.chunk_pages(chunking.chunk_window(t.documents), pages)
     return r.select("chunk_id", F.array_join(F.transform("page_numbers", lambda x: x.cast("string")), "|")
                     .alias("page_numbers"))
+
+
+def _ingest_meta_sql() -> str:
+    from .common import sql_classify, sql_contains_any, sql_count_present, sql_str_list
+    lt = "lower(piece)"
+    body = BOUNDARY_SQL.rsplit("SELECT doc_id, CAST(doc_id AS VARCHAR)", 1)[0]
+    return body + f"""
+SELECT doc_id, CAST(doc_id AS VARCHAR) || '_chunk_' || CAST(i AS VARCHAR) AS chunk_id,
+  {sql_classify(lt, L.SECTION_CLASSES, 'general')} AS section_type,
+  {sql_classify(lt, L.DOCUMENT_TYPE_CLASSES, 'general')} AS document_type,
+  {sql_classify(lt, L.EQUIPMENT_CLASSES, 'general')} AS equipment_type,
+  {sql_classify(lt, L.SAFETY_CLASSES, L.SAFETY_DEFAULT)} AS safety_level,
+  {sql_classify(lt, L.PROCESS_CLASSES, 'general')} AS process_category,
+  least(10, {sql_count_present(lt, L.TECHNICAL_INDICATORS)}) AS technical_complexity,
+  array_to_string(list_filter({sql_str_list(L.TAG_TERMS)}, lambda x: contains({lt}, x)), '|') AS keyword_tags,
+  {sql_contains_any(lt, L.DIAGRAM_INDICATORS)} AS has_diagrams,
+  round(CAST({_quality_sql('piece')} AS DOUBLE), 6) AS quality_score,
+  md5(piece) AS chunk_hash
+FROM k"""
+
+
+@register("ingest_metadata", _ingest_meta_sql())
+def ingest_metadata(t):
+    """H1 without the embedding step: boundary chunks (C5) with section,
+    document, equipment, safety and process classes, complexity, tags,
+    diagram flag, quality score and content hash (P1, P9, P11-P18)."""
+    ch = chunking.chunk_boundary(t.documents)
+    m = E.manufacturing_metadata(ch).withColumn("chunk_hash", F.md5("chunk_text"))
+    return m.select("doc_id", "chunk_id", "section_type", "document_type", "equipment_type", "safety_level",
+                    "process_category", "technical_complexity", F.array_join("keyword_tags", "|").alias("keyword_tags"),
+                    "has_diagrams", F.round("quality_score", 6).alias("quality_score"), "chunk_hash")
