@@ -25,16 +25,20 @@ _WORD = re.compile(r"\w+")
 
 
 def hash_embedder(dim: int = 64) -> Callable[[Sequence[str]], list]:
-    """Signed feature hashing of lower-cased word tokens, L2-normalised."""
-    import xxhash
+    """Signed feature hashing of lower-cased word tokens, L2-normalised.
+
+    token -> md5 hex h; bucket = int(h[0:8], 16) % dim; sign = +1 when the
+    9th hex digit is odd, else -1. md5 keeps the model reproducible in any
+    engine (the SQL oracle rebuilds the same vectors)."""
+    import hashlib
 
     def embed(texts: Sequence[str]) -> list:
         out = []
         for t in texts:
             v = np.zeros(dim, dtype=np.float64)
             for tok in _WORD.findall(t.lower()):
-                h = xxhash.xxh64_intdigest(tok)
-                v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
+                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+                v[int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) & 1 else -1.0
             n = np.sqrt(v @ v)
             out.append((v / n).tolist() if n > 0 else v.tolist())
         return out

@@ -410,3 +410,21 @@ def ingest_metadata(t):
     return m.select("doc_id", "chunk_id", "section_type", "document_type", "equipment_type", "safety_level",
                     "process_category", "technical_complexity", F.array_join("keyword_tags", "|").alias("keyword_tags"),
                     "has_diagrams", F.round("quality_score", 6).alias("quality_score"), "chunk_hash")
+
+
+@register("embedding_vectors", """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS tok FROM documents
+           WHERE text IS NOT NULL AND text <> ''),
+b AS (SELECT doc_id, CAST(CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS BIGINT) AS dim,
+             CASE WHEN (CAST(('0x' || substr(md5(tok), 9, 1)) AS BIGINT) & 1) = 1 THEN 1.0 ELSE -1.0 END AS sgn FROM t),
+s AS (SELECT doc_id, dim, sum(sgn) AS v FROM b GROUP BY doc_id, dim),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS nrm FROM s GROUP BY doc_id)
+SELECT s.doc_id, s.dim, round(CAST(s.v AS DOUBLE) / n.nrm, 6) AS value
+FROM s JOIN n USING (doc_id) WHERE s.v <> 0 AND n.nrm > 0""")
+def embedding_vectors(t):
+    """V5: the bundled hash embedder over whole documents in Arrow batches;
+    the non-zero coordinates of every vector."""
+    e = EM.embed_batches(t.documents.select("doc_id", "text"), "text")
+    x = e.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    return x.where(F.col("value") != 0).select("doc_id", F.col("dim").cast("long").alias("dim"),
+                                              F.round("value", 6).alias("value"))
