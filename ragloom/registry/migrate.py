@@ -72,24 +72,38 @@ def reuse_or_regenerate(t):
     return M.reuse_or_regenerate(t.documents.select("doc_id"), t.embeddings, 64).select("doc_id", "embedding_action")
 
 
-@register("embed_batches")
+@register("embed_batches", """
+SELECT d.doc_id, CASE WHEN e.embedding IS NULL OR len(e.embedding) <= 0 THEN 'missing'
+                      WHEN len(e.embedding) = 64 THEN 'reuse' ELSE 'regenerate' END AS embedding_action,
+       CASE WHEN e.embedding IS NOT NULL AND len(e.embedding) = 64 THEN 'reused'
+            WHEN d.text IS NULL OR d.text = '' THEN 'empty' ELSE 'ok' END AS embed_status,
+       CAST(CASE WHEN (e.embedding IS NOT NULL AND len(e.embedding) = 64) OR coalesce(d.text, '') <> '' THEN 64 ELSE 0 END
+            AS INTEGER) AS dims
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def embed_batches(t):
     """V5 + X4 + J8: keep stored vectors, embed the other documents' whole texts
     in Arrow batches of 100 with the hash embedder (rows-only check)."""
     r = M.migrate_embeddings(t.documents.select("doc_id", "text"), t.embeddings, 64)
-    return r.select("doc_id", "embedding_action", "embed_status", F.size("embedding").alias("dims"))
+    dims = F.when(F.col("embedding").isNull(), F.lit(0)).otherwise(F.size("embedding"))
+    return r.select("doc_id", "embedding_action", "embed_status", dims.cast("int").alias("dims"))
+
 
+def _batch_ingest_sql() -> str:
+    return f"""WITH bi AS ({_ingest_meta_sql()})
+SELECT bi.*, 'ok' AS embed_status, d.source AS source_system FROM bi JOIN documents d ON d.doc_id = bi.doc_id"""
 
-@register("batch_ingest")
+
+@register("batch_ingest", None)
 def batch_ingest(t):
     """H1: boundary chunks + metadata + quality + hash + vectors (rows)."""
     r = M.batch_ingest(t.documents)
     return r.select("doc_id", "chunk_id", "section_type", "document_type", "equipment_type", "safety_level",
-                    "process_category", "technical_complexity", F.round("quality_score", 6).alias("quality_score"),
-                    "has_diagrams", "chunk_hash", "embed_status", "source_system")
+                    "process_category", "technical_complexity", F.array_join("keyword_tags", "|").alias("keyword_tags"),
+                    F.round("quality_score", 6).alias("quality_score"), "has_diagrams", "chunk_hash", "embed_status",
+                    "source_system")
 
 
-@register("ingest_counts")
+@register("ingest_counts", None)
 def ingest_counts(t):
     """H1 counters (documents in, documents with chunks, chunks, failures)."""
     docs = t.documents
@@ -259,7 +273,7 @@ def upsert_documents(t):
     return r.select("chunk_id", F.md5("chunk_text").alias("chunk_hash"))
 
 
-@register("compare_systems")
+@register("compare_systems", None)
 def compare_systems(t):
     """Mean Jaccard of semantic vs hybrid top-5 and issue flags."""
     from .search import result_jaccard
@@ -428,3 +442,21 @@ def embedding_vectors(t):
     x = e.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
     return x.where(F.col("value") != 0).select("doc_id", F.col("dim").cast("long").alias("dim"),
                                               F.round("value", 6).alias("value"))
+
+
+# oracles that need SQL text defined further down in this module
+from .common import ORACLES as _ORACLES  # noqa: E402
+
+_ORACLES["batch_ingest"] = _batch_ingest_sql().strip()
+_ORACLES["ingest_counts"] = f"""
+WITH bi AS ({_ingest_meta_sql()})
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM documents) AS total_documents,
+       CAST(count(DISTINCT doc_id) AS BIGINT) AS processed_documents, CAST(count(*) AS BIGINT) AS processed_chunks,
+       CAST(0 AS BIGINT) AS failed_chunks FROM bi""".strip()
+
+from .search import JACCARD_SQL as _JACCARD_SQL  # noqa: E402
+
+_ORACLES["compare_systems"] = f"""
+WITH jq AS ({_JACCARD_SQL})
+SELECT round(avg(jaccard), 6) AS average_similarity, CAST(count(*) AS BIGINT) AS queries,
+       avg(jaccard) < 0.7 AS has_issue, avg(jaccard) < 0.8 AS needs_tuning FROM jq""".strip()

@@ -185,7 +185,7 @@ def random_sample(t):
     return S.random_sample(chunking.chunk_window(t.documents), 5).select("doc_id", "chunk_id")
 
 
-@register("result_jaccard", f"""
+JACCARD_SQL = f"""
 {HYBRID_CORE},
 hy AS (SELECT query_id, chunk_id FROM r WHERE rank <= 5),
 se AS (SELECT query_id, chunk_id FROM (
@@ -199,7 +199,10 @@ nb AS (SELECT query_id, count(*) AS n FROM hy GROUP BY query_id)
 SELECT qs.query_id, round(CASE WHEN coalesce(na.n, 0) = 0 OR coalesce(nb.n, 0) = 0 THEN 0.0
                           ELSE coalesce(inter.n, 0) / CAST(uni.n AS DOUBLE) END, 6) AS jaccard
 FROM qs LEFT JOIN inter USING (query_id) LEFT JOIN uni USING (query_id)
-LEFT JOIN na USING (query_id) LEFT JOIN nb USING (query_id)""")
+LEFT JOIN na USING (query_id) LEFT JOIN nb USING (query_id)"""
+
+
+@register("result_jaccard", JACCARD_SQL)
 def result_jaccard(t):
     """Jaccard of semantic top-5 vs hybrid top-5 chunk sets per query."""
     ch = FX.search_chunks(t)
