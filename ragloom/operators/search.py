@@ -319,8 +319,10 @@ def top_importance(chunks: DataFrame, where: Column, n: int = 10,
 
 
 def random_sample(df: DataFrame, n: int, seed: int = 42, key: str = "chunk_id") -> DataFrame:
-    """Reproducible sample of ``n`` rows (seeded hash order + limit)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Reproducible sample of ``n`` rows: order by md5(key:seed), take
+    ``n`` (TakeOrderedAndProject -- a per-task top-n, then one merge).
+    md5 makes the sample identical in any engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)
 
 
 def response_record(results: DataFrame, search_type: str,

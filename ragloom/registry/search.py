@@ -178,9 +178,10 @@ def top_importance(t):
     return r.select("chunk_id", F.round("importance_score", 6).alias("importance_score"))
 
 
-@register("random_sample")
+@register("random_sample", f"""
+SELECT doc_id, chunk_id FROM {window_chunks_sql()} ORDER BY md5(chunk_id || ':42'), chunk_id LIMIT 5""")
 def random_sample(t):
-    """Seeded sample of 5 chunks (a sampling operator; rows-only check)."""
+    """Seeded sample of 5 chunks (the sample is the feature)."""
     from ..operators import chunking
     return S.random_sample(chunking.chunk_window(t.documents), 5).select("doc_id", "chunk_id")
 
