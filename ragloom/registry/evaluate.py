@@ -17,7 +17,7 @@ from ..operators import stats as A
 from ..operators import vector_search as VS
 from ..plans import retrieval
 from .common import (cosine_sql, register, sql_classify, sql_contains_any, sql_count_present,
-                     window_chunks_sql)
+                     sql_str_list, window_chunks_sql)
 
 HIGH, MEDIUM = ["that", "with"], ["this", "from", "tion"]
 TERMS = ["that", "with", "this", "from"]
@@ -359,13 +359,54 @@ def threshold_sweep(t):
     return r.select("threshold", "results", "queries_with_results", F.round("avg_score", 6).alias("avg_score"))
 
 
-@register("labelled_eval")
+def sqlq(x):
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _labelled_sql() -> str:
+    vals = ", ".join(
+        f"({i}, {sqlq(c)}, {sqlq(q)}, {sql_str_list([L.TYPE_ALIASES.get(x, x) for x in exp])})"
+        for i, (c, q, exp, _, _) in enumerate(L.LABELLED_QUERIES))
+    tok = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+    terms = ["maintenance", "safety", "quality", "process"]
+    return f"""
+WITH ch AS {window_chunks_sql()},
+ct AS (SELECT chunk_id, chunk_text, {sql_classify('lower(chunk_text)', L.DOCUMENT_TYPE_CLASSES, 'general')} AS document_type FROM ch),
+q AS (SELECT * FROM (VALUES {vals}) v(query_id, category, query_text, expected)),
+tk AS (SELECT 'c' AS side, chunk_id AS id, unnest({tok.format('chunk_text')}) AS tok FROM ct
+       UNION ALL SELECT 'q', CAST(query_id AS VARCHAR), unnest({tok.format('query_text')}) FROM q),
+b AS (SELECT side, id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS dim,
+             CASE WHEN (CAST(('0x' || substr(md5(tok), 9, 1)) AS BIGINT) & 1) = 1 THEN 1.0 ELSE -1.0 END AS sgn FROM tk),
+v AS (SELECT side, id, dim, sum(sgn) AS val FROM b GROUP BY side, id, dim),
+nv AS (SELECT side, id, sqrt(sum(val * val)) AS nrm FROM v GROUP BY side, id),
+vn AS (SELECT v.side, v.id, v.dim, v.val / nv.nrm AS x FROM v JOIN nv ON nv.side = v.side AND nv.id = v.id WHERE nv.nrm > 0),
+cs AS (SELECT CAST(qv.id AS BIGINT) AS query_id, cv.id AS chunk_id, round(sum(qv.x * cv.x), 9) AS score
+       FROM (SELECT * FROM vn WHERE side = 'q') qv JOIN (SELECT * FROM vn WHERE side = 'c') cv ON qv.dim = cv.dim
+       GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cs WHERE score > 0.1),
+top AS (SELECT r.query_id, r.rank, ct.document_type, ct.chunk_text FROM r JOIN ct ON ct.chunk_id = r.chunk_id WHERE r.rank <= 5),
+got AS (SELECT query_id, list(DISTINCT document_type) AS retrieved, max(CASE WHEN rank = 1 THEN chunk_text END) AS top_text
+        FROM top GROUP BY query_id),
+pq AS (SELECT q.category, got.top_text,
+              coalesce(len(list_filter(coalesce(got.retrieved, []), lambda x: list_contains(q.expected, x))), 0) AS hit,
+              coalesce(len(got.retrieved), 0) AS nr, len(list_distinct(q.expected)) AS ne
+       FROM q LEFT JOIN got ON got.query_id = q.query_id),
+m AS (SELECT category,
+             CASE WHEN nr = 0 AND ne = 0 THEN 1.0 WHEN nr = 0 OR ne = 0 THEN 0.0 ELSE hit / CAST(nr AS DOUBLE) END AS p,
+             CASE WHEN nr = 0 AND ne = 0 THEN 1.0 WHEN nr = 0 THEN 0.0 WHEN ne = 0 THEN 1.0 ELSE hit / CAST(ne AS DOUBLE) END AS rc,
+             CASE WHEN top_text IS NOT NULL THEN {sql_count_present('lower(top_text)', terms)} / 4.0 END AS tc FROM pq),
+m2 AS (SELECT *, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END AS f1 FROM m)
+SELECT category, round(avg(p), 6) AS precision, round(avg(rc), 6) AS recall, round(avg(f1), 6) AS f1,
+       round(avg(tc), 6) AS term_coverage, CAST(count(*) AS BIGINT) AS query_count FROM m2 GROUP BY category"""
+
+
+@register("labelled_eval", _labelled_sql())
 def labelled_eval(t):
     """E1 + E2 + E4 + E6 end to end with the labelled query set: every
     document is window-chunked, typed (P12) and hash-embedded (V5); the 12
     labelled queries are embedded the same way and answered by the exact
     top-5 search (cosine > 0.1); retrieved types are scored against the
-    expected ones through the alias table; rows-only (Python embedder)."""
+    expected ones through the alias table."""
     from ..operators import chunking
     from ..operators import embed as EM
     spark = t.spark
@@ -392,3 +433,19 @@ def labelled_eval(t):
     return per_q.groupBy("category").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")],
                                          F.round(F.avg("term_coverage"), 6).alias("term_coverage"),
                                          F.count(F.lit(1)).alias("query_count"))
+
+
+@register("labelled_retrieval", _labelled_sql().split("\ntop AS", 1)[0] + """
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def labelled_retrieval(t):
+    """V5 + R1 with the labelled queries: hash-embedded chunks of every
+    document, top-5 per labelled query (cosine > 0.1) -- the retrieval step
+    of ``labelled_eval``."""
+    from ..operators import chunking
+    from ..operators import embed as EM
+    spark = t.spark
+    ch = EM.embed_batches(chunking.chunk_window(t.documents), "chunk_text")
+    qs = spark.createDataFrame([(i, q) for i, (_, q, _, _, _) in enumerate(L.LABELLED_QUERIES)],
+                               "query_id long, query_text string")
+    res = retrieval.top_k_by_vector(ch, EM.embed_batches(qs, "query_text"), k=5, threshold=0.1, key_cols=("chunk_id",))
+    return res.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
