@@ -12,7 +12,6 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import lexicons as L
 from ..operators import chunking
 from ..session import scratch_path
 from ..sinks import writers as K

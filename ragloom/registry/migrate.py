@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions import text as X
 from ..operators import chunking
 from ..operators import embed as EM
 from ..operators import enrich as E
