@@ -387,9 +387,11 @@ SELECT pr.chunk_id, coalesce((SELECT string_agg(CAST(page_no AS VARCHAR), '|' OR
 FROM pr""")
 def chunk_pages(t):
     """Pages (here: the lines of the document) holding any of the
-    chunk's first three lines; [1] when none does."""
-    pages = t.documents.select("doc_id", F.split("text", "\n", -1).alias("pages"))
-    r = chunking.chunk_pages(chunking.chunk_window(t.documents), pages)
+    chunk's first three lines; [1] when none does. The pages live in the
+    document row, so the in-row form is used (``chunk_pages`` joins an
+    external page table instead)."""
+    docs = t.documents.select("doc_id", "text", F.split("text", "\n", -1).alias("pages"))
+    r = chunking.chunk_window_pages(docs)
     return r.select("chunk_id", F.array_join(F.transform("page_numbers", lambda x: x.cast("string")), "|")
                     .alias("page_numbers"))
 
