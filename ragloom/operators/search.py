@@ -156,6 +156,9 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
     outs = [("semantic_score", T.DoubleType()), ("keyword_score", T.DoubleType()),
             ("hybrid_score", T.DoubleType())]
     q = queries.select(F.col("query_id"), F.col(query_vec).alias("qv"), F.col(query_kw).alias("qk"))
+    from .vector_search import materialize_if_multi_block
+    src = materialize_if_multi_block(src.select(*dict.fromkeys(list(key_cols) + ["_v", "_kw", "_imp"])), q,
+                                     8 * dim + 512)
     parts = []
     for rows in query_blocks(q, ["query_id", "qv", "qk"], 8 * dim + 512):
         qm = vector_matrix([r["qv"] for r in rows], dim)
@@ -222,6 +225,8 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
     qid_type = queries.schema["query_id"].dataType
     src = chunks.select(*key_cols, F.col(text_col).alias("_txt"))
     q = queries.select("query_id", F.col(query_text).alias("qt"))
+    from .vector_search import materialize_if_multi_block
+    src = materialize_if_multi_block(src, q, 4096)
     parts = []
     for rows in query_blocks(q, ["query_id", "qt"], 4096):
         qterms = [sorted(set(py_terms(r["qt"]))) for r in rows]

@@ -60,6 +60,19 @@ def query_blocks(queries: DataFrame, cols: Sequence[str], row_bytes: int,
         yield q.where(F.pmod(F.xxhash64(key), F.lit(nblocks)) == b).collect()
 
 
+def materialize_if_multi_block(src: DataFrame, queries: DataFrame, row_bytes: int,
+                               block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """When the query set needs several broadcast blocks the chunk plan
+    would be recomputed (chunked, enriched) once per block; in that case
+    it is written once with a reliable checkpoint into the shared
+    ``spark.checkpoint.dir`` and every block scans that."""
+    per_block = max(1, block_bytes // max(row_bytes, 1))
+    if queries.limit(per_block + 1).count() <= per_block:
+        return src
+    from ..session import cut_lineage
+    return cut_lineage(src)
+
+
 def vector_matrix(values, dim: int) -> np.ndarray:
     """Rows -> L2-normalised float64 matrix; NULL, wrong-length or zero
     vectors become zero rows (their cosine with anything is 0)."""
@@ -228,6 +241,7 @@ def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
 
     src = chunks.withColumn("_v", F.col(chunk_vec))
     keys = list(dict.fromkeys(list(key_cols) + extra_in))
+    src = materialize_if_multi_block(src.select(*dict.fromkeys(keys + ["_v"])), queries, 8 * dim + 64, block_bytes)
     parts = []
     for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
                              ["query_id", "qv"], 8 * dim + 64, block_bytes):
