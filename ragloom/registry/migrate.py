@@ -369,7 +369,65 @@ def chunk_boundary(t):
     return chunking.chunk_boundary(t.documents).select("doc_id", "chunk_id", "start_pos", "end_pos", "chunk_length")
 
 
-@register("chunk_separators")
+# ---- C6 in SQL: a recursive CTE for the separator recursion and a
+# list_reduce fold for the overlap merge (the pop-front loop becomes "the
+# smallest prefix to drop").
+def sql_lit(x):
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+def c6_sql(size=1000, overlap=200, seps=L.SEPARATORS):
+    """DuckDB form of ``chunking.separator_split`` over ``documents``."""
+    seplist = "[" + ", ".join(sql_lit(s) for s in seps) + "]"
+    n = len(seps)
+    # first separator index (1-based) at or after level present in txt; else n (the last one, rest empty)
+    pick = f"coalesce(list_filter(range(lvl + 1, {n} + 1), lambda i: contains(txt, {seplist}[i]))[1], {n})"
+    return f"""
+WITH RECURSIVE seg(doc_id, path, txt, lvl, kind) AS (
+  SELECT doc_id, []::INTEGER[], text, 0, 'split' FROM documents WHERE text IS NOT NULL AND text <> ''
+  UNION ALL
+  SELECT doc_id, list_append(path, k), piece, j,
+         CASE WHEN length(piece) < {size} THEN 'small' WHEN j < {n} AND found THEN 'split' ELSE 'big' END
+  FROM (
+    SELECT doc_id, path, j, found, unnest(pieces) AS piece, unnest(range(0, len(pieces))) AS k FROM (
+      SELECT doc_id, path, j, found,
+             list_filter(list_transform(string_split(txt, {seplist}[j]),
+                                        lambda p, i: CASE WHEN i = 1 THEN p ELSE {seplist}[j] || p END), lambda p: p <> '') AS pieces
+      FROM (SELECT *, {pick} AS j, len(list_filter(range(lvl + 1, {n} + 1), lambda i: contains(txt, {seplist}[i]))) > 0 AS found
+            FROM seg WHERE kind = 'split')))),
+leaves AS (SELECT doc_id, path, txt, kind FROM seg WHERE kind <> 'split'),
+runs AS (SELECT *, path[1:len(path) - 1] AS parent,
+                sum(CASE WHEN kind = 'small' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, path[1:len(path) - 1] ORDER BY path[-1]) AS run
+         FROM seg WHERE len(path) > 0),
+grp AS (SELECT doc_id, parent, run, min(path) AS first_path, list(txt ORDER BY path[-1]) AS pieces
+        FROM runs WHERE kind = 'small' GROUP BY doc_id, parent, run),
+merged AS (SELECT doc_id, first_path AS path, list_reduce(pieces, lambda acc, d:
+   CASE WHEN acc.total + length(d) > {size} AND len(acc.cur) > 0 THEN
+     {{'docs': CASE WHEN regexp_replace(array_to_string(acc.cur, ''), '^\\s+|\\s+$', '', 'g') <> ''
+                    THEN list_append(acc.docs, regexp_replace(array_to_string(acc.cur, ''), '^\\s+|\\s+$', '', 'g')) ELSE acc.docs END,
+      'cur': list_append(acc.cur[list_filter(range(0, len(acc.cur) + 1), lambda i:
+                 NOT (coalesce(list_sum(list_transform(acc.cur[i + 1:], lambda z: length(z))), 0) > {overlap}
+                      OR (coalesce(list_sum(list_transform(acc.cur[i + 1:], lambda z: length(z))), 0) + length(d) > {size}
+                          AND coalesce(list_sum(list_transform(acc.cur[i + 1:], lambda z: length(z))), 0) > 0)))[1] + 1:], d),
+      'total': coalesce(list_sum(list_transform(acc.cur[list_filter(range(0, len(acc.cur) + 1), lambda i:
+                 NOT (coalesce(list_sum(list_transform(acc.cur[i + 1:], lambda z: length(z))), 0) > {overlap}
+                      OR (coalesce(list_sum(list_transform(acc.cur[i + 1:], lambda z: length(z))), 0) + length(d) > {size}
+                          AND coalesce(list_sum(list_transform(acc.cur[i + 1:], lambda z: length(z))), 0) > 0)))[1] + 1:], lambda z: length(z))), 0) + length(d)}}
+   ELSE {{'docs': acc.docs, 'cur': list_append(acc.cur, d), 'total': acc.total + length(d)}} END,
+   {{'docs': []::VARCHAR[], 'cur': []::VARCHAR[], 'total': 0::BIGINT}}) AS st FROM grp),
+fixed AS (SELECT doc_id, path, list_concat(st.docs,
+            CASE WHEN regexp_replace(array_to_string(st.cur, ''), '^\\s+|\\s+$', '', 'g') <> ''
+                 THEN [regexp_replace(array_to_string(st.cur, ''), '^\\s+|\\s+$', '', 'g')] ELSE []::VARCHAR[] END) AS outs
+          FROM merged),
+allp AS (SELECT doc_id, path, 0 AS sub, txt AS chunk FROM leaves WHERE kind = 'big'
+         UNION ALL SELECT doc_id, path, unnest(range(0, len(outs))) AS sub, unnest(outs) AS chunk FROM fixed),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path, sub) - 1 AS chunk_index,
+             count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM allp)
+SELECT doc_id, printf('%s_chunk_%04d', CAST(doc_id AS VARCHAR), chunk_index) AS chunk_id,
+       CAST(length(chunk) AS BIGINT) AS chunk_length, CAST(total_chunks AS BIGINT) AS total_chunks FROM o"""
+
+
+
+@register("chunk_separators", c6_sql())
 def chunk_separators(t):
     """Priority-separator splitter, 1000/200."""
     return chunking.chunk_separators(t.documents).select("doc_id", "chunk_id", "chunk_length", "total_chunks")
