@@ -242,70 +242,21 @@ def stream_query_metrics(t):
                     F.round("error_rate", 6).alias("error_rate"), "latency_alert", "error_alert")
 
 
-@register("stream_documents")
+@register("stream_documents", f"SELECT DISTINCT md5(chunk_text) AS chunk_hash FROM {window_chunks_sql()}")
 def stream_documents(t):
-    """ST1 + ST2 + H4: documents as JSON messages -> file stream -> chunk +
-    enrich -> dedup within the watermark -> exactly-once file sink,
-    processed with availableNow; the sink is read back (rows-only)."""
+    """ST1 + ST2 + H4: documents as JSON messages -> file stream (4 files
+    per micro-batch) -> chunk + enrich -> dedup of chunk hashes within a
+    watermark that spans the whole message time range -> exactly-once file
+    sink, processed with availableNow; the sink holds one row per distinct
+    chunk hash (which duplicate survives depends on batch order, the set
+    does not)."""
     spark = t.spark
     src, sink, ck = _tmp(t, "msgs"), _tmp(t, "sink"), _tmp(t, "ckpt")
     msgs = t.documents.select("doc_id", "text", "lang", "source",
                               (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
                                + F.make_interval(mins=(F.col("doc_id") % 600).cast("int"))).alias("published_at"))
     msgs.write.mode("overwrite").json(src)
-    out = ST.dedup_stream(ST.process_documents(ST.document_stream(spark, src, max_files=4)))
+    out = ST.dedup_stream(ST.process_documents(ST.document_stream(spark, src, max_files=4)), delay="24 hours")
     out = out.select("doc_id", "chunk_id", "chunk_hash", "importance_score", "published_at")
     ST.run_available_now(out, sink, ck)
-    return spark.read.parquet(sink)
-
-
-@register("coalesce_embedding_fields", """
-SELECT vec_id, CAST(CASE WHEN label % 2 = 0 THEN 64 ELSE 63 END AS INTEGER) AS dims,
-       round(CAST(CASE WHEN label % 2 = 0 THEN embedding[1] ELSE embedding[2] END AS DOUBLE), 6) AS first_value
-FROM embeddings""")
-def coalesce_embedding_fields(t):
-    """The first present vector field (``embedding`` only on even
-    labels here, else the derived ``vector`` field)."""
-    e = t.embeddings.select("vec_id", F.when(F.col("label") % 2 == 0, F.col("embedding")).alias("embedding_field"),
-                            F.slice("embedding", 2, 63).alias("vector_field"))
-    v = D.coalesce_embedding_fields("embedding_field", "vector_field")
-    return e.select("vec_id", F.size(v).alias("dims"),
-                    F.round(F.element_at(v, 1).cast("double"), 6).alias("first_value"))
-
-
-@register("write_text_documents", "SELECT CAST(count(*) AS BIGINT) AS titles FROM documents")
-def write_text_documents(t):
-    """K4: 'Title: t' + blank line + content per document (hash-bucketed
-    files, metadata as a sibling table); read back and count the titles."""
-    path = _tmp(t, "text-docs")
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("title"),
-                              F.col("text").alias("content"), "lang")
-    K.write_text_documents(docs, path, buckets=8)
-    lines = t.spark.read.text(path + "/text")
-    return lines.where(F.col("value").startswith("Title: src")).agg(F.count(F.lit(1)).alias("titles"))
-
-
-@register("save_report", """
-SELECT lang AS document_type, CAST(count(*) AS BIGINT) AS documents,
-       CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY lang""")
-def save_report(t):
-    """K7: a report table written as one JSON file and read back."""
-    path = _tmp(t, "report")
-    rep = t.documents.groupBy(F.col("lang").alias("document_type")).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"))
-    K.save_report(rep, path)
-    return t.spark.read.schema("document_type string, documents long, characters long").json(path)
-
-
-@register("enhance_migrated_document", """
-SELECT 'migrated_' || CAST(doc_id AS VARCHAR) AS id, lang AS meta_lang, 'v1' AS meta_migration, source AS meta_source
-FROM documents""")
-def enhance_migrated_document(t):
-    """Id prefixed, extra metadata merged with original keys winning."""
-    from ..operators import enrich as EN
-    d = t.documents.select(F.col("doc_id").cast("string").alias("id"),
-                           F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"))
-    r = EN.enhance_migrated_document(d, extra={"migration": "v1", "lang": "xx"})
-    return r.select("id", F.col("metadata")["lang"].alias("meta_lang"),
-                    F.col("metadata")["migration"].alias("meta_migration"),
-                    F.col("metadata")["source"].alias("meta_source"))
+    return spark.read.parquet(sink).select("chunk_hash")
