@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.text import WORD_RE, col_
-from .vector_search import (_dim, _union, broadcast_topk, expand_matches, finish_topk,
-                            query_blocks, vector_matrix, vocab_index)
+from .vector_search import (DEFAULT_BLOCK_BYTES, _dim, _union, broadcast_topk, expand_matches,
+                            finish_topk, query_blocks, vector_matrix, vocab_index)
 
 
 # ------------------------------------------------------------------ filters
@@ -113,7 +113,8 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
                   key_cols: Sequence[str] = ("doc_id", "chunk_id"), tie_cols: Sequence[str] = ("chunk_id",),
                   chunk_vec: str = "embedding", chunk_kw: str = "keywords",
                   importance: str = "importance_score", query_vec: str = "embedding",
-                  query_kw: str = "keywords", digits: int = 9) -> DataFrame:
+                  query_kw: str = "keywords", digits: int = 9,
+                  block_bytes: int | None = None) -> DataFrame:
     """R4 (+J2 collapsed): alpha*semantic + (1-alpha)*keyword*0.5 + importance*0.2,
     keep semantic > threshold OR keyword > 0, top-k per query.
 
@@ -156,14 +157,14 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
     outs = [("semantic_score", T.DoubleType()), ("keyword_score", T.DoubleType()),
             ("hybrid_score", T.DoubleType())]
     q = queries.select(F.col("query_id"), F.col(query_vec).alias("qv"), F.col(query_kw).alias("qk"))
-    from .vector_search import materialize_if_multi_block
-    src = materialize_if_multi_block(src.select(*dict.fromkeys(list(key_cols) + ["_v", "_kw", "_imp"])), q,
-                                     8 * dim + 512)
+    from .vector_search import ChunkInput
+    inp = ChunkInput(src.select(*dict.fromkeys(list(key_cols) + ["_v", "_kw", "_imp"])))
     parts = []
-    for rows in query_blocks(q, ["query_id", "qv", "qk"], 8 * dim + 512):
+    for rows in query_blocks(q, ["query_id", "qv", "qk"], 8 * dim + 512,
+                             block_bytes or DEFAULT_BLOCK_BYTES, on_multi=inp.materialize):
         qm = vector_matrix([r["qv"] for r in rows], dim)
         vocab, indptr, qidx = vocab_index([r["qk"] for r in rows])
-        parts.append(broadcast_topk(src, list(key_cols), ["_v", "_kw", "_imp"],
+        parts.append(broadcast_topk(inp.df, list(key_cols), ["_v", "_kw", "_imp"],
                                     [r["query_id"] for r in rows], (qm, vocab, indptr, qidx),
                                     scorer, k, outs, qid_type))
     order = [F.col("hybrid_score").desc()] + [F.col(c).asc() for c in tie_cols]
@@ -207,7 +208,8 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
                 k1: float = L.BM25_K1, b: float = L.BM25_B,
                 key_cols: Sequence[str] = ("doc_id", "chunk_id"), tie_cols: Sequence[str] = ("chunk_id",),
                 text_col: str = "chunk_text", query_text: str = "query_text",
-                digits: int = 9, where: Column | None = None) -> DataFrame:
+                digits: int = 9, where: Column | None = None,
+                block_bytes: int | None = None) -> DataFrame:
     """V4: Okapi BM25 ranking of chunks for a batch of text queries.
 
     Per query block two scans of the chunk table, both inside Arrow tasks
@@ -225,10 +227,11 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
     qid_type = queries.schema["query_id"].dataType
     src = chunks.select(*key_cols, F.col(text_col).alias("_txt"))
     q = queries.select("query_id", F.col(query_text).alias("qt"))
-    from .vector_search import materialize_if_multi_block
-    src = materialize_if_multi_block(src, q, 4096)
+    from .vector_search import ChunkInput
+    inp = ChunkInput(src)
     parts = []
-    for rows in query_blocks(q, ["query_id", "qt"], 4096):
+    for rows in query_blocks(q, ["query_id", "qt"], 4096, block_bytes or DEFAULT_BLOCK_BYTES,
+                             on_multi=inp.materialize):
         qterms = [sorted(set(py_terms(r["qt"]))) for r in rows]
         vocab, indptr, qidx = vocab_index(qterms)
         bv = spark.sparkContext.broadcast(frozenset(vocab))
@@ -246,7 +249,7 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
             terms = list(dfc) + [None]
             yield pd.DataFrame({"term": terms, "n": [dfc[x] for x in dfc] + [n], "dl": [0] * len(dfc) + [dl]})
 
-        agg = src.select("_txt").mapInPandas(stats, "term string, n long, dl long") \
+        agg = inp.df.select("_txt").mapInPandas(stats, "term string, n long, dl long") \
                  .groupBy("term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).collect()
         tot = [r for r in agg if r["term"] is None]
         n_docs = int(tot[0]["n"]) if tot else 0
@@ -280,7 +283,7 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
                                         len(pdf), _nq), digits)
             return s, s > 0, {"score": s}
 
-        parts.append(broadcast_topk(src, list(key_cols), ["_txt"], [r["query_id"] for r in rows],
+        parts.append(broadcast_topk(inp.df, list(key_cols), ["_txt"], [r["query_id"] for r in rows],
                                     (vocab, indptr, qidx), scorer, k, [("score", T.DoubleType())], qid_type))
     order = [F.col("score").desc()] + [F.col(c).asc() for c in tie_cols]
     return finish_topk(_union(parts), k, order)

@@ -39,7 +39,7 @@ UNBOUNDED = 1 << 62
 
 
 def query_blocks(queries: DataFrame, cols: Sequence[str], row_bytes: int,
-                 block_bytes: int = DEFAULT_BLOCK_BYTES, key: str = "query_id"):
+                 block_bytes: int = DEFAULT_BLOCK_BYTES, key: str = "query_id", on_multi=None):
     """Collect ``queries`` in blocks of bounded size; yields lists of Rows.
 
     ``row_bytes`` bounds one row's payload, so a block of
@@ -54,23 +54,27 @@ def query_blocks(queries: DataFrame, cols: Sequence[str], row_bytes: int,
     if len(first) <= per_block:
         yield first
         return
+    if on_multi is not None:          # several scans follow: let the caller materialise its input
+        on_multi()
     n = q.count()
     nblocks = max(1, math.ceil(n / per_block))
     for b in range(nblocks):
         yield q.where(F.pmod(F.xxhash64(key), F.lit(nblocks)) == b).collect()
 
 
-def materialize_if_multi_block(src: DataFrame, queries: DataFrame, row_bytes: int,
-                               block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """When the query set needs several broadcast blocks the chunk plan
-    would be recomputed (chunked, enriched) once per block; in that case
-    it is written once with a reliable checkpoint into the shared
+class ChunkInput:
+    """The chunk-side input of a broadcast scan. When the query set needs
+    several blocks (``query_blocks`` calls ``materialize``) the chunk plan
+    would be recomputed (chunked, enriched) once per block; it is then
+    written once with a reliable checkpoint into the shared
     ``spark.checkpoint.dir`` and every block scans that."""
-    per_block = max(1, block_bytes // max(row_bytes, 1))
-    if queries.limit(per_block + 1).count() <= per_block:
-        return src
-    from ..session import cut_lineage
-    return cut_lineage(src)
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def materialize(self) -> None:
+        from ..session import cut_lineage
+        self.df = cut_lineage(self.df)
 
 
 def vector_matrix(values, dim: int) -> np.ndarray:
@@ -241,12 +245,12 @@ def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
 
     src = chunks.withColumn("_v", F.col(chunk_vec))
     keys = list(dict.fromkeys(list(key_cols) + extra_in))
-    src = materialize_if_multi_block(src.select(*dict.fromkeys(keys + ["_v"])), queries, 8 * dim + 64, block_bytes)
+    inp = ChunkInput(src.select(*dict.fromkeys(keys + ["_v"])))
     parts = []
     for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
-                             ["query_id", "qv"], 8 * dim + 64, block_bytes):
+                             ["query_id", "qv"], 8 * dim + 64, block_bytes, on_multi=inp.materialize):
         qm = vector_matrix([r["qv"] for r in rows], dim)
-        parts.append(broadcast_topk(src, keys, ["_v"], [r["query_id"] for r in rows], qm,
+        parts.append(broadcast_topk(inp.df, keys, ["_v"], [r["query_id"] for r in rows], qm,
                                     scorer, k,
                                     out_cols, qid_type))
     cand = _union(parts)

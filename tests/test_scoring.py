@@ -161,3 +161,23 @@ def test_hybrid_empty_keywords_and_null_vector(spark):
     qdf = spark.createDataFrame([(0, [1.0, 0.0], ["pump"])], "query_id long, embedding array<double>, keywords array<string>")
     got = {r.chunk_id: (r.semantic_score, r.keyword_score) for r in S.hybrid_search(cdf, qdf, k=5).collect()}
     assert got == {"a": (1.0, 0.0), "b": (0.0, 1.0)}
+
+
+def test_multi_block_hybrid_and_bm25_equal_single_block(spark):
+    rng = np.random.default_rng(5)
+    words = ["pump", "valve", "seal", "motor", "belt", "gear"]
+    chunks = spark.createDataFrame(
+        [(i, f"k{i:02d}", rng.normal(size=4).tolist(), [words[i % 6], words[(i + 2) % 6]], float(i % 4) / 4,
+          f"{words[i % 6]} {words[(i + 1) % 6]} {words[i % 6]}") for i in range(30)],
+        "doc_id long, chunk_id string, embedding array<double>, keywords array<string>, importance_score double, "
+        "chunk_text string")
+    qv = spark.createDataFrame([(j, rng.normal(size=4).tolist(), [words[j % 6]]) for j in range(9)],
+                               "query_id long, embedding array<double>, keywords array<string>")
+    qt = spark.createDataFrame([(f"q{j}", f"{words[j % 6]} {words[(j + 3) % 6]}") for j in range(9)],
+                               "query_id string, query_text string")
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select("query_id", "chunk_id", "rank").collect())
+
+    assert rows(S.hybrid_search(chunks, qv, k=3)) == rows(S.hybrid_search(chunks, qv, k=3, block_bytes=(8 * 4 + 512) * 2))
+    assert rows(S.bm25_search(chunks, qt, k=3)) == rows(S.bm25_search(chunks, qt, k=3, block_bytes=4096 * 2))
