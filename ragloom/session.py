@@ -7,6 +7,7 @@ this module only owns the knobs a job sets once per session.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,20 +49,39 @@ def get_spark(master: str | None = None, app: str = "ragloom",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, else the context's own.
 
-    A cluster names a shared (HDFS/object-store) folder there; only when it is
-    unset -- as in local tests -- do we pick a scratch folder ourselves.
+    Only a local session, whose tasks run on this machine, may do without either;
+    it gets a temporary folder. Anywhere else a folder that all executors share
+    has to be named.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="ragloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    # getCheckpointDir returns the per-application sub-folder; keep the root.
-    return spark.conf.get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if named is None and current is not None:
+        return os.path.dirname(current)  # the context adds a folder of its own
+    if named is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="ragloom-checkpoints-")
+    if current is None or not current.removeprefix("file:").startswith(named.removeprefix("file://").rstrip("/")):
+        sc.setCheckpointDir(named)
+    return named
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers, once per context.
+
+    Jobs started from elsewhere have it on the driver's path only; the context's
+    own file server hands the zipped package to every executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_ragloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="ragloom-zip-"), "ragloom")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._ragloom_shipped = True
 
 
 def cut_lineage(df, spark: SparkSession | None = None):
