@@ -27,7 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return combination_join.keep_one_per_component(docs, settings=combination_join.Settings(words=5, percent=80))
+    near = combination_join.Settings(words=5, percent=80, extension=0.05)
+    return combination_join.keep_one_per_component(docs, settings=near)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,8 +103,10 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(gram)
 
 
-def _signatures(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(id, n, digest, prefix) of every row; hash order is the global order."""
+def _signatures(docs: DataFrame, settings: Settings, prefixes: bool) -> DataFrame:
+    """(id, n, digest) of every row, and the prefix in hash order, which is the global order."""
+    names = ["id", "n", "digest"] + ["prefix"] * prefixes
+
     def sign(batches):
         for batch in batches:
             n, digest, prefix = [], [], []
@@ -112,13 +114,35 @@ def _signatures(docs: DataFrame, settings: Settings) -> DataFrame:
                 tokens = shingles(text.as_py(), settings.words)
                 n.append(len(tokens))
                 digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                prefix.append(tokens[:settings.prefix(len(tokens))].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "digest", "prefix"])
+                if prefixes:
+                    prefix.append(tokens[:settings.prefix(len(tokens))].view(np.int64))
+            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())]
+            if prefixes:
+                columns.append(pa.array(prefix, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, n long, digest binary, prefix array<long>")
+    return docs.mapInArrow(sign, f"id {kind}, n long, digest binary" + ", prefix array<long>" * prefixes)
+
+
+#: Bits of the membership filter; its table has at most a 64th as many rows.
+FILTER_BITS = 1 << 24
+
+
+def _likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in ``ids``, and by chance a few others, without moving the rest.
+
+    The broadcast table of 64-bit words has at most FILTER_BITS / 64 rows of two
+    longs (4 MB) however many ids there are.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = (ids.select(bit.alias("_bit"))
+             .select(F.shiftright("_bit", 6).alias("_word"),
+                     F.expr("shiftleft(1L, cast(_bit % 64 AS int))").alias("_mask"))
+             .groupBy("_word").agg(F.bit_or("_mask").alias("_mask")))
+    tested = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+    return (tested.join(F.broadcast(words), "_word")
+            .filter("(shiftrightunsigned(_mask, cast(_bit % 64 AS int)) & 1L) = 1").drop("_word", "_bit", "_mask"))
 
 
 def _index_entries(found: DataFrame, settings: Settings) -> DataFrame:
@@ -260,8 +284,9 @@ def jaccard_links(docs: DataFrame, settings: Settings = Settings()) -> tuple[Dat
     representatives (the smallest ids of their digests) into exactly the components
     that all qualifying pairs would give.
     """
-    signed = frozen(_signatures(docs, settings))
-    classes = (signed.filter("n > 0").groupBy("digest", "n")
+    # Texts are read once more for the prefixes rather than storing those of all rows.
+    signed = frozen(_signatures(docs, settings, False))
+    classes = (_signatures(docs, settings, True).filter("n > 0").groupBy("digest", "n")
                .agg(F.min("id").alias("id"), F.first("prefix").alias("prefix")))
     tokens = classes.select("id", "n", F.explode("prefix").alias("token"))
     held = tokens.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1")
@@ -273,9 +298,9 @@ def jaccard_links(docs: DataFrame, settings: Settings = Settings()) -> tuple[Dat
              .agg(F.collect_list(F.struct("token", (F.col("holders") > settings.rare).alias("frequent"))).alias("tokens"))
              .filter(F.size("tokens") >= least))
     entries = frozen(_index_entries(found, settings))
-    groups = _gatherings(entries, settings)
+    groups = frozen(_gatherings(entries, settings))
     kind = docs.schema["id"].dataType.simpleString()
-    links = (groups.join(docs, "id").groupBy("leader", "i", "j")
+    links = (groups.join(_likely_members(docs, groups.select("id").distinct()), "id").groupBy("leader", "i", "j")
              .applyInPandas(_verified(settings), f"u {kind}, v {kind}"))
     return signed, links
 
@@ -299,7 +324,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = (signed.select("id", "n", "digest").join(of_class, "digest", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.coalesce("component", "id").alias("component_id")))
-    nameless = _signatures(source.filter("id is null"), settings).select(
+    nameless = _signatures(source.filter("id is null"), settings, False).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return rows.unionByName(nameless)
 
