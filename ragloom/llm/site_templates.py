@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import frozen
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
@@ -220,7 +222,7 @@ def host_of(url: Column) -> Column:
 
 
 def site_templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, templates) from a table (host, html): hashes recurring on many pages of the host.
+    """(host, pages, templates) from a table (host, html): hashes recurring on many pages of the host.
 
     Tasks add up their own pages before the shuffle; the list of a host is bounded
     by the share, whatever its number of pages.
@@ -246,8 +248,9 @@ def site_templates(pages: DataFrame, settings: Settings = Settings()) -> DataFra
               .groupBy("host", "key").agg(F.sum("n").alias("n")))
     hosts = counts.filter("key is null").select("host", F.col("n").alias("pages"))
     many = F.greatest(F.lit(settings.least_pages), F.ceil(F.col("pages") * settings.share))
-    return (counts.filter(F.col("key").isNotNull() & (F.col("n") >= settings.least_pages)).join(hosts, "host")
-            .filter(F.col("n") >= many).groupBy("host").agg(F.collect_list("key").alias("templates")))
+    recurring = (counts.filter(F.col("key").isNotNull() & (F.col("n") >= settings.least_pages)).join(hosts, "host")
+                 .filter(F.col("n") >= many).groupBy("host").agg(F.collect_list("key").alias("templates")))
+    return hosts.join(recurring, "host", "left")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -262,13 +265,20 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
                           F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
                           F.nullif(host_of(F.col(url_col)), F.lit("")).alias("host"))
-    known = site_templates(source.filter("host is not null"), settings)
+    known = frozen(site_templates(source.filter("host is not null"), settings))
+    total = known.agg(F.sum("pages")).first()[0] or 0
+    # Hosts with a thousandth of all pages are a thousand at most, with bounded lists: their
+    # pages stay where they are. All other hosts are small keys of a shuffled join.
+    large = F.broadcast(known.filter(F.col("pages") * 1000 >= total))
+    small = known.filter(F.col("pages") * 1000 < total)
+    joined = source.join(large, "host").unionByName(
+        source.join(large.select("host"), "host", "left_anti").join(small, "host", "left"))
 
     @F.pandas_udf("string")
     def extracted(page: pd.Series, templates: pd.Series) -> pd.Series:
         return pd.Series([main_text(p or "", () if t is None else np.asarray(t).tolist())
                           for p, t in zip(page, templates)], dtype=object)
 
-    found = source.join(known, "host", "left").select("id", "url", extracted("html", "templates").alias("text"))
+    found = joined.select("id", "url", extracted("html", "templates").alias("text"))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
                         F.length("text").cast("long").alias("n_chars"))
