@@ -168,7 +168,7 @@ def test_quality_keeps_good_documents_and_drops_junk(spark):
 def test_templates_accept_exactly_their_wordings():
     machine = licenses.compile_template("Use <<beginOptional>>and <<beginOptional>>or<<endOptional>> copy<<endOptional>>"
                                         " of <<var;words=1-2>> is granted")
-    accepted = {f"use{o} of {v} is granted" for o in ("", " and copy", " and or copy") for v in ("x", "x y")}
+    accepted = {f"use{o} of {v} is granted" for o in ("", " and copy", " and or copy") for v in ("x", "y", "x y")}
     words = ["use", "and", "or", "copy", "of", "x", "y", "is", "granted"]
     for n in range(5, 10):
         for choice in itertools.combinations(words, n):
