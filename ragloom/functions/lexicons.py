@@ -187,7 +187,6 @@ QUERY_TEMPLATES = [
 ]
 GENERAL_QUERIES = ["equipment maintenance and service", "quality control and inspection",
                    "safety protocols and procedures"]
-MAX_TEST_QUERIES = 6
 
 # --- FIXED VALUES: post-migration validation thresholds ----------------------
 COUNT_VARIANCE_MAX = 0.2

@@ -26,13 +26,13 @@ from .vector_search import (_dim, _union, broadcast_topk, finish_topk, query_blo
 
 
 def ivf_build(chunks: DataFrame, n_lists: int = 16, vec_col: str = "embedding", seed: int = 42,
-              max_train_rows: int = 200_000, max_iter: int = 20):
-    """Returns (centroids as a numpy matrix, chunks with ``ivf_list``)."""
+              max_iter: int = 20):
+    """Returns (centroids as a numpy matrix, chunks with ``ivf_list``).
+
+    k-means runs on all vectors, as a distributed job at every size."""
     norm = chunks.withColumn("_nv", array_to_vector(l2_normalize(vec_col)))
-    n = norm.count()
-    train = norm if n <= max_train_rows else norm.sample(False, max_train_rows / n, seed)
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_nv",
-                   predictionCol="ivf_list").fit(train.where(F.col("_nv").isNotNull()))
+                   predictionCol="ivf_list").fit(norm.where(F.col("_nv").isNotNull()))
     cents = np.array([c for c in model.clusterCenters()], dtype=np.float64)
     nrm = np.linalg.norm(cents, axis=1, keepdims=True)
     cents = cents / np.where(nrm > 0, nrm, 1)

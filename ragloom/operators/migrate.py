@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +21,10 @@ from . import chunking, embed, enrich, search
 
 # ----------------------------------------------------------- planning joins
 def template_expand(stores: DataFrame, templates=L.QUERY_TEMPLATES, general=L.GENERAL_QUERIES,
-                    limit: int = L.MAX_TEST_QUERIES, alias: dict | None = None,
+                    limit: int | None = None, alias: dict | None = None,
                     types_col: str = "document_types") -> DataFrame:
     """Test queries of each store = templates of its document types (in
-    its type order), then the general queries, first ``limit``.
+    its type order), then the general queries (the first ``limit`` if given).
 
     ``alias`` maps store type names onto template keys (the reference's
     type names never match its template keys)."""
@@ -43,8 +44,10 @@ def template_expand(stores: DataFrame, templates=L.QUERY_TEMPLATES, general=L.GE
                              .alias("template_pos", "query")) \
                      .select("store_id", F.lit(1 << 30).alias("type_pos"), "template_pos", "query")
     w = Window.partitionBy("store_id").orderBy("type_pos", "template_pos")
-    return typed.unionByName(gen_rows).withColumn("query_rank", F.row_number().over(w)) \
-                .where(F.col("query_rank") <= limit).select("store_id", "query_rank", "query")
+    ranked = typed.unionByName(gen_rows).withColumn("query_rank", F.row_number().over(w))
+    if limit is not None:
+        ranked = ranked.where(F.col("query_rank") <= limit)
+    return ranked.select("store_id", "query_rank", "query")
 
 
 def reuse_or_regenerate(docs: DataFrame, vectors: DataFrame, target_dim: int,
@@ -94,26 +97,40 @@ def incremental_batch(source: DataFrame, done_ids: DataFrame, key: str = "doc_id
     return search.not_yet_migrated(source, done_ids, key)
 
 
-def incremental_migration(spark: SparkSession, source: DataFrame, transform, target_path: str,
-                          checkpoint_path: str, key: str = "doc_id") -> int:
-    """H3: migrate what is not in the checkpoint, append to the target,
-    then append the ids to the checkpoint (written last, so a failure
-    before it only causes an idempotent retry of the same ids).
+def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table at ``path``; empty if nothing has been written there.
+    Any other failure to read is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
 
-    Both paths live under the shared checkpoint folder (or any shared
-    storage); the batch is read from the source, never from the target.
+def incremental_migration(spark: SparkSession, source: DataFrame, transform, target_path: str,
+                          checkpoint_path: str, batch_id: str, key: str = "doc_id") -> int:
+    """H3: migrate what no earlier batch has migrated; returns the number of ids.
+
+    The ids of a batch are written first and stay its ids whatever the source does
+    later. Its rows overwrite ``target_path/batch_id=<id>`` and a finished batch
+    is marked last, under ``checkpoint_path``; so a batch that failed anywhere
+    is repeated under the same ``batch_id`` without duplicates or losses. Both
+    paths are shared storage.
     """
-    try:
-        done = spark.read.parquet(checkpoint_path).select(key)
-    except Exception:  # noqa: BLE001 -- first run: empty checkpoint
-        done = spark.createDataFrame([], source.select(key).schema)
-    batch = incremental_batch(source, done, key)
-    out = transform(batch)
-    out.write.mode("append").parquet(target_path)
-    ids = batch.select(key).distinct()
-    n = ids.count()
-    ids.write.mode("append").parquet(checkpoint_path)
-    return n
+    schema = source.select(key).schema
+    frozen, done = f"{checkpoint_path}/frozen/{batch_id}", f"{checkpoint_path}/done"
+    finished = _read_if_there(spark, f"{done}/batch_id={batch_id}", schema)
+    if not finished.isEmpty():
+        return finished.count()
+    ids = _read_if_there(spark, frozen, schema)
+    if ids.isEmpty():
+        earlier = _read_if_there(spark, done, schema)
+        incremental_batch(source, earlier, key).select(key).distinct().write.mode("overwrite").parquet(frozen)
+        ids = _read_if_there(spark, frozen, schema)
+    transform(source.join(ids, key, "left_semi")).write.mode("overwrite").parquet(f"{target_path}/batch_id={batch_id}")
+    ids.write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
+    return ids.count()
 
 
 def delete_documents(chunks: DataFrame, deleted: DataFrame, key: str = "doc_id") -> DataFrame:

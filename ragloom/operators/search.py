@@ -290,16 +290,18 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
 
 
 # ------------------------------------------------------- result processing
-def rerank(results: DataFrame, scores: DataFrame, top_k: int = 5, scored: int = 10,
+def rerank(results: DataFrame, scores: DataFrame, top_k: int = 5, scored: int | None = None,
            on: Sequence[str] = ("query_id", "chunk_id")) -> DataFrame:
-    """Attach external relevance scores to the first ``scored`` results
-    (others 0), order by score desc keeping the prior order for ties, cut.
+    """Attach external relevance scores (0 if missing; with ``scored`` only to
+    so many first results), order by score desc keeping the prior order for ties, cut.
 
     ``results`` carries ``rank``; ``scores`` has ``on`` + ``rerank_score``.
     """
     j = results.join(scores.select(*on, "rerank_score"), list(on), "left")
-    j = j.withColumn("rerank_score", F.when(F.col("rank") <= scored,
-                                            F.coalesce(F.col("rerank_score"), F.lit(0.0))).otherwise(F.lit(0.0)))
+    score = F.coalesce(F.col("rerank_score"), F.lit(0.0))
+    if scored is not None:
+        score = F.when(F.col("rank") <= scored, score).otherwise(F.lit(0.0))
+    j = j.withColumn("rerank_score", score)
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("rank").asc())
     return j.withColumn("prior_rank", F.col("rank")).withColumn("rank", F.row_number().over(w)) \
             .where(F.col("rank") <= top_k)
@@ -312,9 +314,8 @@ def context_assembly(results: DataFrame, texts: DataFrame, n: int = 3, sep: str
     The per-query results (queries x n rows) are the broadcast side when
     their counted size allows, so the chunk table is only scanned.
     """
-    from ..session import bounded_broadcast
     top = results.where(F.col("rank") <= n).select("query_id", "rank", on)
-    j = texts.select(on, text_col).join(bounded_broadcast(top), on)
+    j = texts.select(on, text_col).join(top, on)
     g = j.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", text_col))).alias("_r"))
     return g.select("query_id", F.array_join(F.transform("_r", lambda x: x[text_col]), sep).alias("context"),
                     F.size("_r").cast("long").alias("n_context"))

@@ -78,12 +78,13 @@ class ChunkInput:
 
 
 def vector_matrix(values, dim: int) -> np.ndarray:
-    """Rows -> L2-normalised float64 matrix; NULL, wrong-length or zero
-    vectors become zero rows (their cosine with anything is 0)."""
+    """Rows -> L2-normalised float64 matrix; NULL, wrong-length, zero and
+    non-finite vectors become zero rows (their cosine with anything is 0)."""
     m = np.zeros((len(values), dim), dtype=np.float64)
     for i, v in enumerate(values):
         if v is not None and len(v) == dim:
             m[i] = v
+    m[~np.isfinite(m).all(axis=1)] = 0
     nrm = np.sqrt(np.einsum("ij,ij->i", m, m))
     ok = nrm > 0
     m[ok] /= nrm[ok][:, None]

@@ -54,8 +54,7 @@ def _results(t, k=5):
     res = retrieval.semantic_search(chunks, retrieval.query_vectors(t.embeddings), k=k)
     ch = chunking.chunk_window(t.documents.select("doc_id", "text", "lang", "source"), keep=("lang", "source"))
     lab = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("clabel"))
-    from ..session import bounded_broadcast
-    attrs = ch.select("doc_id", "chunk_id", "chunk_text", "lang", "source").join(bounded_broadcast(res),
+    attrs = ch.select("doc_id", "chunk_id", "chunk_text", "lang", "source").join(res,
                                                                                  ["doc_id", "chunk_id"])
     return attrs.join(lab, "doc_id")
 
@@ -410,18 +409,17 @@ def labelled_eval(t):
     from ..operators import chunking
     from ..operators import embed as EM
     spark = t.spark
-    ch = chunking.chunk_window(t.documents).withColumn(
+    plain = chunking.chunk_window(t.documents).withColumn(
         "document_type", X.classify_ordered("chunk_text", L.DOCUMENT_TYPE_CLASSES, "general"))
-    ch = EM.embed_batches(ch, "chunk_text")
+    ch = EM.embed_batches(plain, "chunk_text")
     rows = [(i, c, q, [L.TYPE_ALIASES.get(x, x) for x in exp], kw)
             for i, (c, q, exp, _, kw) in enumerate(L.LABELLED_QUERIES)]
     qs = spark.createDataFrame(rows, "query_id long, category string, query_text string, "
                                      "expected array<string>, expected_keywords array<string>")
     qv = EM.embed_batches(qs, "query_text")
     res = retrieval.top_k_by_vector(ch, qv, k=5, threshold=0.1, key_cols=("chunk_id",))
-    from ..session import bounded_broadcast
-    res = res.join(bounded_broadcast(res.select("chunk_id").distinct()).join(
-        ch.select("chunk_id", "document_type", "chunk_text"), "chunk_id"), "chunk_id")
+    # Types and texts come from the chunks before embedding: the corpus is embedded once.
+    res = res.join(plain.select("chunk_id", "document_type", "chunk_text"), "chunk_id")
     got = res.groupBy("query_id").agg(F.collect_list("document_type").alias("retrieved"),
                                       F.max(F.when(F.col("rank") == 1, F.col("chunk_text"))).alias("top_text"))
     j = qs.join(got, "query_id", "left")

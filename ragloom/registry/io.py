@@ -52,7 +52,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS link_ra
       FROM l WHERE href <> '' AND ends_with(href, '{suffix}')),
 a AS (SELECT *, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS origin,
              regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) AS scheme,
-             regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') || '/' AS dir0 FROM f WHERE link_rank <= 10),
+             regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') || '/' AS dir0 FROM f),
 b AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
                      WHEN starts_with(href, '//') THEN scheme || ':' || href
                      WHEN starts_with(href, '/') THEN origin || href
@@ -71,7 +71,7 @@ def pdf_links(t):
 
 @register("page_links", _links_sql(""))
 def page_links(t):
-    """S6 with an empty suffix: the first 10 links of every page, absolute."""
+    """S6 with an empty suffix: all links of every page, absolute."""
     r = W.pdf_links(t.pages, suffix="")
     return r.select("page_id", F.col("link_rank").cast("long").alias("link_rank"), "pdf_url", "title", "source")
 
@@ -168,15 +168,14 @@ def generate_documents(t):
 @register("union_sources", """
 WITH u AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS document_id, 'documents' AS source FROM documents
            UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), 'pages' FROM pages
-           UNION ALL SELECT 'b' || CAST(item_id AS VARCHAR), 'benchmark' FROM benchmark),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY document_id) AS rn FROM u)
-SELECT document_id, source FROM r WHERE rn <= 100""")
+           UNION ALL SELECT 'b' || CAST(item_id AS VARCHAR), 'benchmark' FROM benchmark)
+SELECT document_id, source FROM u""")
 def union_sources(t):
-    """Three sources, all included, at most 100 documents each."""
+    """Three sources, all included, whole."""
     srcs = {"documents": t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id")),
             "pages": t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("document_id")),
             "benchmark": t.benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("document_id"))}
-    return D.union_sources(srcs, max_per_source=100).select("document_id", "source")
+    return D.union_sources(srcs).select("document_id", "source")
 
 
 @register("normalize_documents", """

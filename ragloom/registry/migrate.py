@@ -7,6 +7,8 @@ Fixture mapping: the source store is ``documents``; documents that have a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -16,6 +18,7 @@ from ..operators import enrich as E
 from ..operators import migrate as M
 from ..operators import planning as P
 from ..operators import search as S
+from ..session import scratch_path
 from .common import register, window_chunks_sql
 from .planning import ASSESS_SQL, UNIT
 from .text import _quality_sql
@@ -54,9 +57,9 @@ u AS (SELECT ty.store_id, ty.type_pos, tpl.template_pos, tpl.query FROM ty
       JOIN al ON al.doc_type = ty.doc_type JOIN tpl ON tpl.template_key = al.template_key
       UNION ALL SELECT st.store_id, 1073741824, gen.template_pos, gen.query FROM st, gen),
 r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY type_pos, template_pos) AS query_rank FROM u)
-SELECT store_id, query_rank, query FROM r WHERE query_rank <= 6""")
+SELECT store_id, query_rank, query FROM r""")
 def template_expand(t):
-    """Six test queries per store from its document types + general."""
+    """The test queries of every store from its document types + general."""
     stores = P.store_inventory(t.documents, doc_unit=UNIT)
     r = M.template_expand(stores, alias=ALIAS)
     return r.select("store_id", F.col("query_rank").cast("long").alias("query_rank"), "query")
@@ -119,6 +122,31 @@ def incremental_batch(t):
     return chunking.chunk_window(b).select("doc_id", "chunk_id", F.md5("chunk_text").alias("chunk_hash"))
 
 
+@register("incremental_migration", f"""
+WITH ch AS {window_chunks_sql()}
+SELECT doc_id, chunk_id, md5(chunk_text) AS chunk_hash,
+       CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'b1' ELSE 'b2' END AS batch_id FROM ch""")
+def incremental_migration(t):
+    """H3 as a write: a first batch of the labelled documents that fails before it is
+    marked done and is repeated, then a second batch over the whole source."""
+    target, marks = (scratch_path(t.spark, f"h3-{uuid.uuid4().hex}/{x}") for x in ("target", "marks"))
+
+    def chunks(docs):
+        return chunking.chunk_window(docs).select("doc_id", "chunk_id", F.md5("chunk_text").alias("chunk_hash"))
+
+    def failing(docs):
+        chunks(docs).write.parquet(f"{target}/batch_id=b1")  # rows of the failed attempt are left behind
+        raise InterruptedError
+
+    first = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    try:
+        M.incremental_migration(t.spark, first, failing, target, marks, "b1")
+    except InterruptedError:
+        M.incremental_migration(t.spark, first, chunks, target, marks, "b1")
+    M.incremental_migration(t.spark, t.documents, chunks, target, marks, "b2")
+    return t.spark.read.parquet(target).select("doc_id", "chunk_id", "chunk_hash", "batch_id")
+
+
 GUARDED = window_chunks_sql(extra=", lang, source", source="(SELECT * FROM documents WHERE text IS NOT NULL AND length(text) >= 50)")
 
 
@@ -437,15 +465,15 @@ def chunk_separators(t):
 WITH ch AS {window_chunks_sql()},
 pg AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS page, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page_no
        FROM documents),
-pr AS (SELECT chunk_id, doc_id, string_split(chunk_text, chr(10))[1:3] AS probes FROM ch),
+pr AS (SELECT chunk_id, doc_id, string_split(chunk_text, chr(10)) AS probes FROM ch),
 hit AS (SELECT pr.chunk_id, pg.page_no FROM pr JOIN pg ON pg.doc_id = pr.doc_id
         WHERE len(list_filter(pr.probes, lambda l: contains(pg.page, l))) > 0)
 SELECT pr.chunk_id, coalesce((SELECT string_agg(CAST(page_no AS VARCHAR), '|' ORDER BY page_no) FROM hit
                               WHERE hit.chunk_id = pr.chunk_id), '1') AS page_numbers
 FROM pr""")
 def chunk_pages(t):
-    """Pages (here: the lines of the document) holding any of the
-    chunk's first three lines; [1] when none does. The pages live in the
+    """Pages (here: the lines of the document) holding any line
+    of the chunk; [1] when none does. The pages live in the
     document row, so the in-row form is used (``chunk_pages`` joins an
     external page table instead)."""
     docs = t.documents.select("doc_id", "text", F.split("text", "\n", -1).alias("pages"))

@@ -121,16 +121,16 @@ def _label_scores(t, res):
 
 
 @register("enhanced_search", SEM20 + """,
-rr AS (SELECT *, CASE WHEN rank <= 10 AND clabel = qlabel THEN 1.0 ELSE 0.0 END AS rerank_score
+rr AS (SELECT *, CASE WHEN clabel = qlabel THEN 1.0 ELSE 0.0 END AS rerank_score
        FROM r WHERE rank <= 20),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM rr)
 SELECT query_id, chunk_id, CAST(rerank_score AS DOUBLE) AS rerank_score, rank AS prior_rank, new_rank AS rank
 FROM o WHERE new_rank <= 10""")
 def enhanced_search(t):
-    """R5 + R6: over-fetch 2k=20, rerank the first 10 by an external score
+    """R5 + R6: over-fetch 2k=20, rerank them by an external score
     table (label agreement), stable, cut to k=10."""
     res = _semantic(t, 20)
-    rr = S.rerank(res, _label_scores(t, res), top_k=10, scored=10)
+    rr = S.rerank(res, _label_scores(t, res), top_k=10)
     return rr.select("query_id", "chunk_id", "rerank_score", F.col("prior_rank").cast("long").alias("prior_rank"),
                      F.col("rank").cast("long").alias("rank"))
 

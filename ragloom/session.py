@@ -115,13 +115,3 @@ def spread(df, target: int | None = None):
     except Exception:  # noqa: BLE001 -- streaming frames have no RDD
         return df
     return df.repartition(target) if n < target else df
-
-
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast hint only behind a counted size bound; above it the join
-    is left to Catalyst/AQE (shuffle join)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df

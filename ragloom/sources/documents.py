@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.text import col_, contains_any
+from ..session import cut_lineage
 
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("document_id", T.StringType()), T.StructField("title", T.StringType()),
@@ -34,9 +35,13 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "row_index",
                 partitions: int | None = None) -> DataFrame:
     """0-based dense numbering in ``order`` without a single-task window:
     range-partition, number rows inside each partition, add the partition's
-    offset (per-partition counts are one small aggregate)."""
+    offset (per-partition counts are one small aggregate).
+
+    Range bounds are sampled, so two plans of one range shuffle may cut
+    differently; the partitioned rows are therefore written once (a reliable
+    checkpoint), and both numbers come from what was written."""
     n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    p = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    p = cut_lineage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
     p = p.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = p.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
@@ -111,16 +116,13 @@ def coalesce_embedding_fields(*cols) -> Column:
 def generate_documents(ids: DataFrame, templates: DataFrame, id_col: str = "i",
                        n_facilities: int = 3) -> DataFrame:
     """Document i uses template i % n_templates, id ``doc_%04d``,
-    facility ``FAB-<i % n + 1>``. The template table is broadcast after
-    its row count has been checked."""
+    facility ``FAB-<i % n + 1>``."""
     n = templates.count()
     if n == 0:
         raise ValueError("no templates")
-    if n > 100_000:
-        raise ValueError("template table too large to broadcast")
     tpl = dense_index(templates, ["template_order"], "_t").select("_t", "template")
     d = ids.select(F.col(id_col).cast("long").alias("_i")).withColumn("_t", F.col("_i") % n)
-    return d.join(F.broadcast(tpl), "_t").select(
+    return d.join(tpl, "_t").select(
         F.format_string("doc_%04d", "_i").alias("document_id"), F.col("template").alias("content"),
         F.concat(F.lit("FAB-"), ((F.col("_i") % n_facilities) + 1).cast("string")).alias("facility"))
 

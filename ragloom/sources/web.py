@@ -47,10 +47,10 @@ def absolutize(base, href) -> Column:
             .otherwise(F.concat(directory, h)))
 
 
-def pdf_links(pages: DataFrame, suffix: str = ".pdf", per_page: int = 10, url_col: str = "url",
+def pdf_links(pages: DataFrame, suffix: str = ".pdf", per_page: int | None = None, url_col: str = "url",
               html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Anchors whose href ends with ``suffix``, first ``per_page`` per
-    page in document order, made absolute; title attribute or the last
+    """Anchors whose href ends with ``suffix``, in document order (the first
+    ``per_page`` per page if given), made absolute; title attribute or the last
     path segment. The per-page cut is a partial top-n (WindowGroupLimit)."""
     tags = pages.select(id_col, url_col, F.posexplode(F.regexp_extract_all(col_(html_col), F.lit(r"(<a\s[^>]*>)"), 1))
                         .alias("pos", "tag"))
@@ -58,7 +58,9 @@ def pdf_links(pages: DataFrame, suffix: str = ".pdf", per_page: int = 10, url_co
                         F.regexp_extract("tag", r'title="([^"]*)"', 1).alias("title_attr")) \
                 .where((F.col("href") != "") & F.col("href").endswith(suffix))
     w = Window.partitionBy(id_col).orderBy("pos")
-    top = links.withColumn("link_rank", F.row_number().over(w)).where(F.col("link_rank") <= per_page)
+    top = links.withColumn("link_rank", F.row_number().over(w))
+    if per_page is not None:
+        top = top.where(F.col("link_rank") <= per_page)
     absu = absolutize(F.col(url_col), F.col("href"))
     return top.select(id_col, "link_rank", absu.alias("pdf_url"),
                       F.when(F.col("title_attr") != "", F.col("title_attr"))

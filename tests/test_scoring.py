@@ -137,6 +137,8 @@ def test_rerank_is_stable(spark):
     scores = spark.createDataFrame([(1, "c3", 0.9), (1, "c5", 0.9), (1, "c12", 1.0)],
                                    "query_id long, chunk_id string, rerank_score double")
     got = [r.chunk_id for r in S.rerank(res, scores, top_k=4).orderBy("rank").collect()]
+    assert got == ["c12", "c3", "c5", "c1"]
+    got = [r.chunk_id for r in S.rerank(res, scores, top_k=4, scored=10).orderBy("rank").collect()]
     assert got == ["c3", "c5", "c1", "c2"]          # c12 is beyond the first 10 -> 0
 
 
