@@ -186,16 +186,16 @@ def test_license_scan(edge_docs, no_docs, spark):
                         if words[i:i + len(phrase.split())] == phrase.split())
         return (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None,
                 ",".join(sorted({x for _, x in places})))
-    extra = spark.createDataFrame([(90, "Licensed under the Apache License, Version 2.0. MIT-License mit license"),
-                                   (91, "This work is licensed under the GNU General Public License, version 3."),
-                                   (92, "the gnu general public licenses")], "doc_id long, text string")
+    extra = spark.createDataFrame([(9090, "Licensed under the Apache License, Version 2.0. MIT-License mit license"),
+                                   (9091, "This work is licensed under the GNU General Public License, version 3."),
+                                   (9092, "the gnu general public licenses")], "doc_id long, text string")
     docs = edge_docs.select("doc_id", "text").unionByName(extra).unionByName(
         table(spark, SF, "documents").select("doc_id", "text"))
     got = licenses.license_scan(docs).collect()
     assert Counter(tuple(r)[:6] for r in got) == Counter((r.doc_id, *brute(r.text or "")) for r in docs.collect())
-    named = {r.doc_id: r for r in got if r.doc_id and r.doc_id in (90, 91, 92) and r.n_words < 20}
-    assert "apache-2.0-notice" in named[90].labels and "gpl-notice" in named[91].labels
-    assert named[91].matches == "gpl-notice:0-12" and named[92].labels == ""
+    named = {r.doc_id: r for r in got if r.doc_id and r.doc_id in (9090, 9091, 9092)}
+    assert "apache-2.0-notice" in named[9090].labels and "gpl-notice" in named[9091].labels
+    assert named[9091].matches == "gpl-notice:0-12" and named[9092].labels == ""
     assert all(0 <= r.score <= 1 for r in got)
     assert licenses.license_scan(no_docs).count() == 0
 
