@@ -9,6 +9,7 @@ shared folder (no local files, no driver-side state).
 from __future__ import annotations
 
 from typing import Sequence
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -145,6 +146,24 @@ def upsert_documents(chunks: DataFrame, new_docs: DataFrame, chunker, key: str =
     return kept.unionByName(chunker(new_docs), allowMissingColumns=True)
 
 
+def replace_table(rows: DataFrame, table: str, location: str) -> None:
+    """H13 + H14 write: stage ``rows`` whole at ``location``, then point ``table`` there.
+
+    ``rows`` may be computed from the table itself. Readers see the old rows until
+    the one catalog change; a failed staging is overwritten by the next attempt at
+    the same ``location``, and an attempt after the change does nothing. The
+    location is shared storage; the old one stays for readers that still use it.
+    """
+    spark = rows.sparkSession
+    now = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+    if urlparse(now).path.rstrip("/") == urlparse(location).path.rstrip("/"):
+        return
+    rows.write.mode("overwrite").parquet(location)
+    quoted = location.replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{quoted}'")
+    spark.catalog.refreshTable(table)
+
+
 def corpus_file_list(chunks: DataFrame, key: str = "doc_id", text: str = "chunk_text") -> DataFrame:
     """One row per file: name, chunks, characters."""
     return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"),

@@ -76,7 +76,8 @@ def page_links(t):
     return r.select("page_id", F.col("link_rank").cast("long").alias("link_rank"), "pdf_url", "title", "source")
 
 
-@register("json_roundtrip", "SELECT 'd' || CAST(doc_id AS VARCHAR) AS document_id, CAST(length(text) AS BIGINT) AS n FROM documents")
+@register("json_roundtrip", "SELECT 'd' || CAST(doc_id AS VARCHAR) AS document_id, md5(text) AS content_hash, "
+          "lang AS document_type, source AS facility FROM documents")
 def json_roundtrip(t):
     """K3 + S2: documents written as JSON lines and read back by schema."""
     path = _tmp(t, "json-docs")
@@ -86,7 +87,7 @@ def json_roundtrip(t):
                               F.lit("fixture").alias("source"), F.lit(None).cast("string").alias("created_date"))
     K.write_json_documents(docs, path)
     back = D.read_json_documents(t.spark, path)
-    return back.select("document_id", F.length("content").cast("long").alias("n"))
+    return back.select("document_id", F.md5("content").alias("content_hash"), "document_type", "facility")
 
 
 QA = """(SELECT u.conv_id * 1000 + u.turn AS row_order, NULL AS domain, u.text AS question, a.text AS context,
@@ -134,16 +135,23 @@ def atom_roundtrip(t):
 
 
 @register("store_export_roundtrip", f"""
-SELECT chunk_id AS id, CAST(doc_id AS VARCHAR) AS name, CAST(length(chunk_text) AS BIGINT) AS n FROM {window_chunks_sql()}""")
+SELECT chunk_id AS id, CAST(doc_id AS VARCHAR) AS name, CAST(length(chunk_text) AS BIGINT) AS n,
+  md5(chunk_text) AS content_hash, CAST(len(embedding) AS BIGINT) AS dims,
+  round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, round(CAST(embedding[-1] AS DOUBLE), 6) AS last_value
+FROM {window_chunks_sql()} c LEFT JOIN embeddings e ON e.vec_id = c.doc_id""")
 def store_export_roundtrip(t):
-    """K8 + S7: export a chunk table (renamed, text kept) and extract it."""
+    """K8 + S7: export a chunk table (renamed, with text and vectors) and
+    extract it, so that nothing has to be embedded again."""
     path = _tmp(t, "export")
-    ch = chunking.chunk_window(t.documents).select(F.col("chunk_id").alias("id"),
-                                                   F.col("doc_id").cast("string").alias("name"),
-                                                   F.col("chunk_text").alias("content"))
-    K.export_chunks(ch, path)
-    r = D.extract_store_documents(t.spark, path, with_embeddings=False)
-    return r.select("id", "name", F.length("content").cast("long").alias("n"))
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>"))
+    ch = chunking.chunk_window(t.documents).join(vectors, "doc_id", "left").select(
+        "chunk_id", F.col("doc_id").cast("string").alias("name"), "chunk_text", "embedding")
+    K.export_chunks(ch, path, rename={"chunk_id": "id", "chunk_text": "content"})
+    r = D.extract_store_documents(t.spark, path)
+    v = F.col("embedding")
+    return r.select("id", "name", F.length("content").cast("long").alias("n"), F.md5("content").alias("content_hash"),
+                    F.when(v.isNotNull(), F.size(v)).cast("long").alias("dims"),
+                    F.round(v[0], 6).alias("first_value"), F.round(F.element_at(v, -1), 6).alias("last_value"))
 
 
 @register("extract_content_fields", "SELECT page_id, html || chr(10) || chr(10) || url AS content FROM pages")
@@ -220,12 +228,12 @@ def batch_insert(t):
 
 
 @register("evolve_schema", """
-SELECT doc_id, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS DOUBLE) AS importance_score,
-       CAST(NULL AS VARCHAR) AS chunk_hash FROM documents""")
+SELECT doc_id, lang, md5(text) AS chunk_hash, CAST(NULL AS VARCHAR) AS summary,
+       CAST(NULL AS DOUBLE) AS importance_score FROM documents""")
 def evolve_schema(t):
-    """K5: missing required columns added as typed NULLs."""
+    """K5: missing required columns added as typed NULLs, present ones kept."""
     req = {"summary": T.StringType(), "importance_score": T.DoubleType(), "chunk_hash": T.StringType()}
-    return K.evolve_schema(t.documents.select("doc_id"), req)
+    return K.evolve_schema(t.documents.select("doc_id", "lang", F.md5("text").alias("chunk_hash")), req)
 
 
 @register("stream_query_metrics", """
@@ -241,6 +249,26 @@ def stream_query_metrics(t):
                     F.round("error_rate", 6).alias("error_rate"), "latency_alert", "error_alert")
 
 
+_WINDOW_METRICS = """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, CAST(count(*) AS BIGINT) AS queries,
+       round(avg(value), 6) AS avg_ms, max(value) AS max_ms,
+       round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate
+FROM events GROUP BY 1"""
+
+
+@register("stream_query_metrics_run", _WINDOW_METRICS)
+def stream_query_metrics_run(t):
+    """ST3 on a stream: the query log as a file stream of several
+    micro-batches, windowed with state and kept as a table."""
+    src, sink, ck = _tmp(t, "log"), _tmp(t, "metrics"), _tmp(t, "ckpt")
+    log = t.events.select("ts", "value", "event_type")
+    log.repartition(8).write.parquet(src)
+    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    ST.run_complete(ST.query_metrics(stream), sink, ck)
+    return t.spark.read.parquet(sink).select("window_start", "queries", F.round("avg_ms", 6).alias("avg_ms"),
+                                             "max_ms", F.round("error_rate", 6).alias("error_rate"))
+
+
 @register("stream_documents", f"SELECT DISTINCT md5(chunk_text) AS chunk_hash FROM {window_chunks_sql()}")
 def stream_documents(t):
     """ST1 + ST2 + H4: documents as JSON messages -> file stream (4 files
@@ -275,16 +303,26 @@ def coalesce_embedding_fields(t):
                     F.round(F.element_at(v, 1).cast("double"), 6).alias("first_value"))
 
 
-@register("write_text_documents", "SELECT CAST(count(*) AS BIGINT) AS titles FROM documents")
+@register("write_text_documents", """
+SELECT 'line' AS kind, md5(line) AS value, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT unnest(string_split('Title: ' || coalesce(source, '') || chr(10) || chr(10) || coalesce(text, ''), chr(10))) AS line
+  FROM documents) GROUP BY ALL
+UNION ALL
+SELECT 'metadata', concat_ws('|', CAST(doc_id AS VARCHAR), source, lang), CAST(count(*) AS BIGINT)
+FROM documents GROUP BY ALL""")
 def write_text_documents(t):
     """K4: 'Title: t' + blank line + content per document (hash-bucketed
-    files, metadata as a sibling table); read back and count the titles."""
+    files, metadata as a sibling table); every line and every metadata row
+    is read back."""
     path = _tmp(t, "text-docs")
     docs = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("title"),
                               F.col("text").alias("content"), "lang")
     K.write_text_documents(docs, path, buckets=8)
-    lines = t.spark.read.text(path + "/text")
-    return lines.where(F.col("value").startswith("Title: src")).agg(F.count(F.lit(1)).alias("titles"))
+    lines = t.spark.read.option("lineSep", "\n").text(path + "/text")
+    lines = lines.select(F.lit("line").alias("kind"), F.md5("value").alias("value"))
+    rows = t.spark.read.parquet(path + "/metadata").select(
+        F.lit("metadata").alias("kind"), F.concat_ws("|", "document_id", "title", "lang").alias("value"))
+    return lines.union(rows).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("save_report", """

@@ -300,6 +300,28 @@ def upsert_documents(t):
     return r.select("chunk_id", F.md5("chunk_text").alias("chunk_hash"))
 
 
+@register("rewrite_chunk_table", f"""
+WITH nd AS (SELECT d.doc_id, d.text || ' (revised)' AS text FROM documents d
+            WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
+SELECT chunk_id, md5(chunk_text) AS chunk_hash FROM (
+  SELECT * FROM {window_chunks_sql()} WHERE doc_id NOT IN (SELECT doc_id FROM nd)
+  UNION ALL SELECT * FROM {window_chunks_sql(source='nd')})
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)""")
+def rewrite_chunk_table(t):
+    """H13 + H14 as writes: a chunk table is upserted, then deleted from, each
+    staged at a new location and swapped in the catalog."""
+    base = scratch_path(t.spark, f"chunk-table-{uuid.uuid4().hex[:12]}")
+    name = f"chunks_{uuid.uuid4().hex[:12]}"
+    chunking.chunk_window(t.documents).write.parquet(f"{base}/v0")
+    t.spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{base}/v0'")
+    revised = (t.documents.join(t.labels.where(F.col("quality") == 0).select("doc_id"), "doc_id", "left_semi")
+               .select("doc_id", F.concat("text", F.lit(" (revised)")).alias("text")))
+    M.replace_table(M.upsert_documents(t.spark.table(name), revised, chunking.chunk_window), name, f"{base}/v1")
+    M.replace_table(M.delete_documents(t.spark.table(name), t.labels.where(F.col("toxic") == 1)), name, f"{base}/v2")
+    t.spark.sql(f"DROP TABLE {name}")  # an external table: the rows stay
+    return t.spark.read.parquet(f"{base}/v2").select("chunk_id", F.md5("chunk_text").alias("chunk_hash"))
+
+
 @register("compare_systems", None)
 def compare_systems(t):
     """Mean Jaccard of semantic vs hybrid top-5 and issue flags."""

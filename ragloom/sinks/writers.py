@@ -19,9 +19,11 @@ def append_chunks(chunks: DataFrame, path: str, day_col: str = "created_date",
 
 
 def partition_layout(df: DataFrame, day_col: str, cluster: Sequence[str]) -> DataFrame:
-    """K6: co-locate each day's rows and sort them by the clustering keys
-    (hash on the day spreads days over tasks; no global sort)."""
-    return df.repartition(day_col).sortWithinPartitions(day_col, *cluster)
+    """K6: gather each day's rows and sort them by the clustering keys (no
+    global sort). The rebalance hint lets AQE split a day that outgrows the
+    advisory partition size, so a hot day is several tasks and files, and
+    merge small days."""
+    return df.hint("rebalance", day_col).sortWithinPartitions(day_col, *cluster)
 
 
 def batch_insert(rows: DataFrame, path: str, reject_path: str, valid: Column) -> None:
@@ -65,8 +67,9 @@ def evolve_schema(df: DataFrame, required: Mapping[str, T.DataType]) -> DataFram
 
 
 def save_report(report: DataFrame, path: str) -> None:
-    """K7: a small report table as one JSON file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """K7: a small report table as one JSON file. Only the finished rows go to
+    the one writing task; what computes them keeps its own parallelism."""
+    report.repartition(1).write.mode("overwrite").json(path)
 
 
 def export_chunks(chunks: DataFrame, path: str, rename: Mapping[str, str] | None = None,

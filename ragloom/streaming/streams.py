@@ -67,3 +67,14 @@ def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str =
          .trigger(availableNow=True).start(sink_path))
     q.awaitTermination()
     return q
+
+
+def run_complete(df: DataFrame, sink_path: str, checkpoint: str):
+    """ST3 run: process everything available now and keep the whole windowed
+    result as a table. A batch overwrites the table of the one before, so a
+    repeated batch changes nothing."""
+    q = (df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(sink_path))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q

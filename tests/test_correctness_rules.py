@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ragloom.operators import chunking as C
 from ragloom.operators import migrate as M
 from ragloom.operators.vector_search import vector_matrix
+from ragloom.sinks import writers as K
 from ragloom.sources.documents import dense_index, generate_documents
 
 
@@ -88,3 +89,33 @@ def test_incremental_migration_survives_a_failed_attempt(spark, tmp_path):
     assert M.incremental_migration(spark, grown, lambda d: d, target, marks, "b") == 3
     rows = sorted(tuple(r) for r in spark.read.parquet(target).collect())
     assert rows == [(i, "a") for i in range(5)] + [(i, "b") for i in range(5, 8)]
+
+
+def test_a_table_is_staged_then_swapped(spark, tmp_path):
+    spark.range(10).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "v0"))
+    spark.sql(f"CREATE TABLE swap_test USING parquet LOCATION '{tmp_path}/v0'")
+    try:
+        fewer = M.delete_documents(spark.table("swap_test"), spark.range(3).withColumnRenamed("id", "doc_id"))
+        broken = fewer.withColumn("doc_id", F.when(F.col("doc_id") < 8, F.col("doc_id")).otherwise(
+            F.raise_error(F.lit("lost"))).cast("long"))
+        with pytest.raises(Exception, match="lost"):
+            M.replace_table(broken, "swap_test", str(tmp_path / "v1"))
+        assert spark.table("swap_test").count() == 10
+        for _ in range(2):  # the retry, and a repetition after the swap
+            M.replace_table(fewer, "swap_test", str(tmp_path / "v1"))
+            assert sorted(r.doc_id for r in spark.table("swap_test").collect()) == list(range(3, 10))
+    finally:
+        spark.sql("DROP TABLE swap_test")
+
+
+def test_a_hot_day_is_several_sorted_files(spark, tmp_path):
+    rows = spark.range(0, 200_000, 1, 8).select(
+        F.when(F.col("id") % 10 > 0, "2024-01-01").otherwise(F.concat(F.lit("2024-02-0"), F.col("id") % 7 + 1)).alias("day"),
+        F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        K.append_chunks(rows, str(tmp_path / "t"), day_col="day", cluster=("doc_id",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "day=2024-01-01").glob("*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
