@@ -1,8 +1,8 @@
 """Approximate vector search with an inverted-file index (V7).
 
 Build: k-means (``pyspark.ml.clustering.KMeans``, fixed seed) on
-L2-normalised vectors -- on a bounded sample when the table is large --
-then every chunk gets its nearest centroid (``model.transform``, JVM side).
+all L2-normalised vectors, then every chunk gets its nearest centroid (``model.transform``, JVM side). Or with centroids that are
+given, such as the mean vector of each class (``mean_centroids``, ``assign_lists``).
 Written partitioned by that ``ivf_list`` column, a search reads only the
 probed lists (partition pruning).
 
@@ -15,6 +15,7 @@ same exact per-task top-k + final window as the brute-force search.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -40,6 +41,28 @@ def ivf_build(chunks: DataFrame, n_lists: int = 16, vec_col: str = "embedding",
     return cents, assigned
 
 
+def mean_centroids(vectors: DataFrame, by: str, vec_col: str = "embedding") -> np.ndarray:
+    """Unit mean vector of every class of ``by``, in class order.
+
+    Averaged as a distributed aggregate; classes x dimensions numbers are fetched,
+    so ``by`` has to be a column of few classes. NULL vectors take no part."""
+    parts = vectors.where(F.col(by).isNotNull()).select(by, F.posexplode(l2_normalize(vec_col)).alias("at", "x"))
+    means = parts.groupBy(by, "at").agg(F.avg("x").alias("x")).toPandas()
+    cents = means.pivot(index=by, columns="at", values="x").sort_index().to_numpy(dtype=np.float64)
+    nrm = np.linalg.norm(cents, axis=1, keepdims=True)
+    return cents / np.where(nrm > 0, nrm, 1)
+
+
+def assign_lists(chunks: DataFrame, centroids: np.ndarray, vec_col: str = "embedding") -> DataFrame:
+    """Chunks with ``ivf_list``, the first of their nearest given centroids; those without a
+    vector are in no list."""
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series(np.argmax(vector_matrix(v.values, centroids.shape[1]) @ centroids.T, axis=1))
+
+    return chunks.where(F.col(vec_col).isNotNull()).withColumn("ivf_list", nearest(vec_col))
+
+
 def ivf_write_index(assigned: DataFrame, path: str) -> DataFrame:
     """Persist the index partitioned by list under a shared path and read
     it back: later searches prune to the probed lists (partition filter on
@@ -69,7 +92,7 @@ def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k:
     for rows in query_blocks(queries.select(F.col("query_id"), F.col(query_vec).alias("qv")),
                              ["query_id", "qv"], 8 * dim + 64):
         qm = vector_matrix([r["qv"] for r in rows], dim)
-        near = np.argsort(-(qm @ centroids.T), axis=1)[:, :nprobe]
+        near = np.argsort(-(qm @ centroids.T), axis=1, kind="stable")[:, :nprobe]
         probe = np.zeros((n_lists, len(rows)), dtype=bool)
         for j, ls in enumerate(near):
             probe[ls, j] = True

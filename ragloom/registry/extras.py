@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ivf
 from ..plans import retrieval
-from .common import register
+from ..session import scratch_path
+from .common import register, window_chunks_sql
 
 N_LISTS, NPROBE = 8, 3
 
@@ -14,8 +18,6 @@ N_LISTS, NPROBE = 8, 3
 def _ivf(t):
     chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False).select("doc_id", "chunk_id", "embedding")
     cents, assigned = ivf.ivf_build(chunks, n_lists=N_LISTS, seed=7)
-    import uuid
-    from ..session import scratch_path
     idx = ivf.ivf_write_index(assigned, scratch_path(t.spark, f"ivf-{uuid.uuid4().hex[:12]}"))
     q = retrieval.query_vectors(t.embeddings)
     return ivf.ivf_search(idx, q, cents, k=5, nprobe=NPROBE), chunks, q
@@ -37,6 +39,29 @@ def ivf_recall(t):
     return r.agg(F.avg("recall").alias("mean_recall"), F.count(F.lit(1)).alias("queries"))
 
 
+@register("ivf_class_search", f"""
+WITH ch AS {window_chunks_sql(1000, 200)},
+emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+unit AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM emb),
+cent AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM unit GROUP BY ALL) GROUP BY label),
+near AS (SELECT vec_id, v, cent.label AS list,
+                row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(v, c) DESC, cent.label) AS place
+         FROM emb CROSS JOIN cent),
+s AS (SELECT q.vec_id AS query_id, ch.chunk_id, round(list_cosine_similarity(o.v, q.v), 9) AS score
+      FROM near q JOIN near o ON o.place = 1 AND o.list = q.list JOIN ch ON ch.doc_id = o.vec_id
+      WHERE q.place <= {NPROBE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0.3)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def ivf_class_search(t):
+    """V7 with given centroids: one list per vector class, its mean vector
+    the centroid; top-5 of the 3 nearest lists."""
+    chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False).select("doc_id", "chunk_id", "embedding")
+    cents = ivf.mean_centroids(t.embeddings, "label")
+    idx = ivf.ivf_write_index(ivf.assign_lists(chunks, cents), scratch_path(t.spark, f"ivf-{uuid.uuid4().hex[:12]}"))
+    r = ivf.ivf_search(idx, retrieval.query_vectors(t.embeddings), cents, k=5, nprobe=NPROBE)
+    return r.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 COSINE_FN = """
 CREATE OR REPLACE TEMPORARY FUNCTION rl_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
 RETURN CASE WHEN a IS NULL OR b IS NULL OR size(a) <> size(b) THEN 0.0
@@ -69,17 +94,16 @@ def named_parameters(t):
                        d=t.documents)
 
 
-KEY = "0123456789abcdef0123456789abcdef"   # demo key; pass a managed key in real use
-
-
 @register("column_encryption", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
 def column_encryption(t):
     """AES-GCM column encryption with the document id as AAD; the
-    round trip is decrypted and measured."""
+    round trip is decrypted and measured. The key is the session's
+    ``spark.ragloom.encryption.key``, else one made for this query."""
     d = t.documents
+    key = F.lit(t.spark.conf.get("spark.ragloom.encryption.key", None) or secrets.token_hex(16))
     aad = F.col("doc_id").cast("string")
-    enc = F.aes_encrypt(F.col("text"), F.lit(KEY), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"),
+    enc = F.aes_encrypt(F.col("text"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"),
                         aad)
-    dec = F.aes_decrypt(F.col("cipher"), F.lit(KEY), F.lit("GCM"), F.lit("DEFAULT"), aad)
+    dec = F.aes_decrypt(F.col("cipher"), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
     return d.select("doc_id", enc.alias("cipher"), aad.alias("doc_aad")).select(
         "doc_id", F.length(F.decode(dec, "UTF-8")).cast("long").alias("n"))
