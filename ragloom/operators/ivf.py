@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
-from .vector_search import (_dim, _union, broadcast_topk, finish_topk, query_blocks, vector_matrix)
+from .vector_search import BlockScan, _dim, query_blocks, vector_matrix
 
 
 def ivf_build(chunks: DataFrame, n_lists: int = 16, vec_col: str = "embedding", seed: int = 42,
@@ -87,21 +87,20 @@ def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k:
         keep = (s > threshold) & probe[lists, :]
         return s, keep, {"score": s}
 
-    parts = []
-    src = indexed.withColumn("_v", F.col(vec_col))
+    order = [F.col("score").desc()] + [F.col(c).asc() for c in key_cols]
+    scan = BlockScan(indexed.withColumn("_v", F.col(vec_col)), k, order)
     for rows in query_blocks(queries.select(F.col("query_id"), F.col(query_vec).alias("qv")),
-                             ["query_id", "qv"], 8 * dim + 64):
+                             ["query_id", "qv"], 8 * dim + 64,
+                             on_multi=lambda: scan.several(stage_input=False)):
         qm = vector_matrix([r["qv"] for r in rows], dim)
         near = np.argsort(-(qm @ centroids.T), axis=1, kind="stable")[:, :nprobe]
         probe = np.zeros((n_lists, len(rows)), dtype=bool)
         for j, ls in enumerate(near):
             probe[ls, j] = True
         wanted = sorted({int(x) for x in np.unique(near)})
-        cand = src.where(F.col("ivf_list").isin(wanted))
-        parts.append(broadcast_topk(cand, list(key_cols), ["_v", "ivf_list"], [r["query_id"] for r in rows],
-                                    (qm, probe), scorer, k, [("score", T.DoubleType())], qid_type))
-    order = [F.col("score").desc()] + [F.col(c).asc() for c in key_cols]
-    return finish_topk(_union(parts), k, order)
+        scan.add(list(key_cols), ["_v", "ivf_list"], [r["query_id"] for r in rows], (qm, probe), scorer,
+                 [("score", T.DoubleType())], qid_type, where=F.col("ivf_list").isin(wanted))
+    return scan.result()
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -19,8 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.text import WORD_RE, col_
-from .vector_search import (DEFAULT_BLOCK_BYTES, _dim, _union, broadcast_topk, expand_matches,
-                            finish_topk, query_blocks, vector_matrix, vocab_index)
+from .vector_search import (DEFAULT_BLOCK_BYTES, BlockScan, _dim, expand_matches, query_blocks, vector_matrix, vocab_index)
 
 
 # ------------------------------------------------------------------ filters
@@ -157,18 +156,15 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
     outs = [("semantic_score", T.DoubleType()), ("keyword_score", T.DoubleType()),
             ("hybrid_score", T.DoubleType())]
     q = queries.select(F.col("query_id"), F.col(query_vec).alias("qv"), F.col(query_kw).alias("qk"))
-    from .vector_search import ChunkInput
-    inp = ChunkInput(src.select(*dict.fromkeys(list(key_cols) + ["_v", "_kw", "_imp"])))
-    parts = []
+    order = [F.col("hybrid_score").desc()] + [F.col(c).asc() for c in tie_cols]
+    scan = BlockScan(src.select(*dict.fromkeys(list(key_cols) + ["_v", "_kw", "_imp"])), k, order)
     for rows in query_blocks(q, ["query_id", "qv", "qk"], 8 * dim + 512,
-                             block_bytes or DEFAULT_BLOCK_BYTES, on_multi=inp.materialize):
+                             block_bytes or DEFAULT_BLOCK_BYTES, on_multi=scan.several):
         qm = vector_matrix([r["qv"] for r in rows], dim)
         vocab, indptr, qidx = vocab_index([r["qk"] for r in rows])
-        parts.append(broadcast_topk(inp.df, list(key_cols), ["_v", "_kw", "_imp"],
-                                    [r["query_id"] for r in rows], (qm, vocab, indptr, qidx),
-                                    scorer, k, outs, qid_type))
-    order = [F.col("hybrid_score").desc()] + [F.col(c).asc() for c in tie_cols]
-    return finish_topk(_union(parts), k, order)
+        scan.add(list(key_cols), ["_v", "_kw", "_imp"], [r["query_id"] for r in rows],
+                 (qm, vocab, indptr, qidx), scorer, outs, qid_type)
+    return scan.result()
 
 
 def hybrid_left_join(semantic: DataFrame, keyword: DataFrame, k: int = 10, alpha: float = L.HYBRID_ALPHA,
@@ -227,11 +223,10 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
     qid_type = queries.schema["query_id"].dataType
     src = chunks.select(*key_cols, F.col(text_col).alias("_txt"))
     q = queries.select("query_id", F.col(query_text).alias("qt"))
-    from .vector_search import ChunkInput
-    inp = ChunkInput(src)
-    parts = []
+    order = [F.col("score").desc()] + [F.col(c).asc() for c in tie_cols]
+    scan = BlockScan(src, k, order)
     for rows in query_blocks(q, ["query_id", "qt"], 4096, block_bytes or DEFAULT_BLOCK_BYTES,
-                             on_multi=inp.materialize):
+                             on_multi=scan.several):
         qterms = [sorted(set(py_terms(r["qt"]))) for r in rows]
         vocab, indptr, qidx = vocab_index(qterms)
         bv = spark.sparkContext.broadcast(frozenset(vocab))
@@ -249,8 +244,9 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
             terms = list(dfc) + [None]
             yield pd.DataFrame({"term": terms, "n": [dfc[x] for x in dfc] + [n], "dl": [0] * len(dfc) + [dl]})
 
-        agg = inp.df.select("_txt").mapInPandas(stats, "term string, n long, dl long") \
+        agg = scan.df.select("_txt").mapInPandas(stats, "term string, n long, dl long") \
                  .groupBy("term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).collect()
+        bv.destroy()
         tot = [r for r in agg if r["term"] is None]
         n_docs = int(tot[0]["n"]) if tot else 0
         avgdl = (float(tot[0]["dl"]) / n_docs) if n_docs else 1.0
@@ -283,10 +279,9 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
                                         len(pdf), _nq), digits)
             return s, s > 0, {"score": s}
 
-        parts.append(broadcast_topk(inp.df, list(key_cols), ["_txt"], [r["query_id"] for r in rows],
-                                    (vocab, indptr, qidx), scorer, k, [("score", T.DoubleType())], qid_type))
-    order = [F.col("score").desc()] + [F.col(c).asc() for c in tie_cols]
-    return finish_topk(_union(parts), k, order)
+        scan.add(list(key_cols), ["_txt"], [r["query_id"] for r in rows], (vocab, indptr, qidx), scorer,
+                 [("score", T.DoubleType())], qid_type)
+    return scan.result()
 
 
 # ------------------------------------------------------- result processing

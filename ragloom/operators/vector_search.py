@@ -8,7 +8,8 @@ Plan shape, chosen for a chunk table far larger than memory:
   join, no keyword/postings join that would emit every pair of a hot key);
 * the queries are collected in blocks whose size is counted first
   (``block_bytes``), so what is broadcast has a proven bound; more queries
-  simply mean more blocks, each its own scan;
+  simply mean more blocks, each its own scan, whose results are written and
+  whose broadcast is released before the next block is fetched;
 * every task scores its Arrow batch against the whole query block with
   numpy (cache-sized slices) and emits, per query, only the rows that pass
   the filter and can still be in that query's top-k -- every tie at the
@@ -25,6 +26,7 @@ tie columns.
 from __future__ import annotations
 
 import math
+import uuid
 from typing import Callable, Sequence
 
 import numpy as np
@@ -56,25 +58,49 @@ def query_blocks(queries: DataFrame, cols: Sequence[str], row_bytes: int,
         return
     if on_multi is not None:          # several scans follow: let the caller materialise its input
         on_multi()
+    del first                         # one block at a time on the driver
     n = q.count()
     nblocks = max(1, math.ceil(n / per_block))
     for b in range(nblocks):
         yield q.where(F.pmod(F.xxhash64(key), F.lit(nblocks)) == b).collect()
 
 
-class ChunkInput:
-    """The chunk-side input of a broadcast scan. When the query set needs
-    several blocks (``query_blocks`` calls ``materialize``) the chunk plan
-    would be recomputed (chunked, enriched) once per block; it is then
-    written once with a reliable checkpoint into the shared
-    ``spark.checkpoint.dir`` and every block scans that."""
-
-    def __init__(self, df: DataFrame):
-        self.df = df
-
-    def materialize(self) -> None:
-        from ..session import cut_lineage
-        self.df = cut_lineage(self.df)
+class BlockScan:
+    """Top-k results of all query blocks over one chunk table.
+
+    A single block stays a lazy plan. When the query set needs several
+    (``query_blocks`` calls ``several``), the chunk plan, which would be
+    recomputed (chunked, enriched) per block, is written once with a reliable
+    checkpoint, and each block's final rows are appended to a table in the
+    shared ``spark.checkpoint.dir``; so neither the driver nor the executors
+    hold more than one block's payload. A query is in one block only, hence its
+    top-k of that block is final."""
+
+    def __init__(self, df: DataFrame, k: int, order: Sequence):
+        self.df, self.k, self.order = df, k, order
+        self.path: str | None = None
+        self.only: DataFrame | None = None
+
+    def several(self, stage_input: bool = True) -> None:
+        from ..session import cut_lineage, scratch_path
+        self.path = scratch_path(self.df.sparkSession, f"topk-{uuid.uuid4().hex}")
+        if stage_input:
+            self.df = cut_lineage(self.df)
+
+    def add(self, key_cols, in_cols, query_ids, payload, scorer, out_cols, qid_type, where=None) -> None:
+        """Scan the chunks (those that ``where`` selects) for one block."""
+        bc = self.df.sparkSession.sparkContext.broadcast((list(query_ids), payload))
+        src = self.df if where is None else self.df.where(where)
+        found = finish_topk(broadcast_topk(src, key_cols, in_cols, bc, scorer, self.k, out_cols, qid_type),
+                            self.k, self.order)
+        if self.path is None:
+            self.only = found
+        else:
+            found.write.mode("append").parquet(self.path)
+            bc.destroy()
+
+    def result(self) -> DataFrame:
+        return self.only if self.path is None else self.df.sparkSession.read.parquet(self.path)
 
 
 def vector_matrix(values, dim: int) -> np.ndarray:
@@ -141,17 +167,15 @@ def expand_matches(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray,
 
 
 def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence[str],
-                   query_ids: list, payload, scorer: Callable, k: int,
+                   bc, scorer: Callable, k: int,
                    out_cols: Sequence[tuple[str, T.DataType]], qid_type: T.DataType) -> DataFrame:
-    """Generic per-partition top-k scan.
+    """Generic per-partition top-k scan; ``bc`` broadcasts (query ids, payload).
 
     ``scorer(pdf_slice, payload)`` returns ``(rank_matrix, keep_mask,
     {out_name: matrix})`` of shape (rows x queries); rows above the k-th
     ``rank_matrix`` value per query (ties kept) that pass ``keep_mask`` are
     emitted with their key columns and the named output matrices.
     """
-    spark = chunks.sparkSession
-    bc = spark.sparkContext.broadcast((list(query_ids), payload))
     fields = {f.name: f for f in chunks.schema.fields}
     schema = T.StructType([T.StructField("query_id", qid_type)] + [fields[c] for c in key_cols]
                           + [T.StructField(n, t) for n, t in out_cols])
@@ -208,13 +232,6 @@ def finish_topk(cand: DataFrame, k: int, order_cols: Sequence) -> DataFrame:
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _dim(df: DataFrame, col: str) -> int:
     row = df.where(F.col(col).isNotNull()).select(F.max(F.size(col)).alias("d")).first()
     return int(row["d"] or 0)
@@ -246,20 +263,16 @@ def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
 
     src = chunks.withColumn("_v", F.col(chunk_vec))
     keys = list(dict.fromkeys(list(key_cols) + extra_in))
-    inp = ChunkInput(src.select(*dict.fromkeys(keys + ["_v"])))
-    parts = []
-    for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
-                             ["query_id", "qv"], 8 * dim + 64, block_bytes, on_multi=inp.materialize):
-        qm = vector_matrix([r["qv"] for r in rows], dim)
-        parts.append(broadcast_topk(inp.df, keys, ["_v"], [r["query_id"] for r in rows], qm,
-                                    scorer, k,
-                                    out_cols, qid_type))
-    cand = _union(parts)
     order = [F.col("score").desc()]
     if secondary:
         order.append(F.col(secondary).desc())
     order += [F.col(c).asc() for c in (tie_cols or key_cols)]
-    return finish_topk(cand, k, order)
+    scan = BlockScan(src.select(*dict.fromkeys(keys + ["_v"])), k, order)
+    for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
+                             ["query_id", "qv"], 8 * dim + 64, block_bytes, on_multi=scan.several):
+        qm = vector_matrix([r["qv"] for r in rows], dim)
+        scan.add(keys, ["_v"], [r["query_id"] for r in rows], qm, scorer, out_cols, qid_type)
+    return scan.result()
 
 
 def pairs_above(chunks: DataFrame, queries: DataFrame, threshold: float, strict: bool = True,
