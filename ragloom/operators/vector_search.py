@@ -74,9 +74,9 @@ class BlockScan:
     checkpoint, and each block's final rows are appended to a table in the
     shared ``spark.checkpoint.dir``; so neither the driver nor the executors
     hold more than one block's payload. A query is in one block only, hence its
-    top-k of that block is final."""
+    top-k of that block is final. Without ``k`` every passing pair is a result."""
 
-    def __init__(self, df: DataFrame, k: int, order: Sequence):
+    def __init__(self, df: DataFrame, k: int | None = None, order: Sequence = ()):
         self.df, self.k, self.order = df, k, order
         self.path: str | None = None
         self.only: DataFrame | None = None
@@ -91,8 +91,9 @@ class BlockScan:
         """Scan the chunks (those that ``where`` selects) for one block."""
         bc = self.df.sparkSession.sparkContext.broadcast((list(query_ids), payload))
         src = self.df if where is None else self.df.where(where)
-        found = finish_topk(broadcast_topk(src, key_cols, in_cols, bc, scorer, self.k, out_cols, qid_type),
-                            self.k, self.order)
+        found = broadcast_topk(src, key_cols, in_cols, bc, scorer, self.k or UNBOUNDED, out_cols, qid_type)
+        if self.k:
+            found = finish_topk(found, self.k, self.order)
         if self.path is None:
             self.only = found
         else:
@@ -278,7 +279,7 @@ def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
 def pairs_above(chunks: DataFrame, queries: DataFrame, threshold: float, strict: bool = True,
                 key_cols: Sequence[str] = ("chunk_id",), chunk_vec: str = "embedding",
                 query_id: str = "query_id", query_vec: str = "embedding", digits: int = 9,
-                dim: int | None = None) -> DataFrame:
+                dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
     """Every (query, chunk) pair scoring past ``threshold`` (E17 input); the
     same broadcast scan with no k, so only passing pairs are emitted."""
     dim = dim or _dim(queries, query_vec)
@@ -288,11 +289,10 @@ def pairs_above(chunks: DataFrame, queries: DataFrame, threshold: float, strict:
         s = np.round(vector_matrix(pdf["_v"].values, dim) @ qm.T, digits)
         return s, (s > threshold if strict else s >= threshold), {"score": s}
 
-    src = chunks.withColumn("_v", F.col(chunk_vec))
-    parts = []
+    scan = BlockScan(chunks.select(*key_cols, F.col(chunk_vec).alias("_v")))
     for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
-                             ["query_id", "qv"], 8 * dim + 64):
+                             ["query_id", "qv"], 8 * dim + 64, block_bytes, on_multi=scan.several):
         qm = vector_matrix([r["qv"] for r in rows], dim)
-        parts.append(broadcast_topk(src, list(key_cols), ["_v"], [r["query_id"] for r in rows], qm,
-                                    scorer, UNBOUNDED, [("score", T.DoubleType())], qid_type))
-    return _union(parts)
+        scan.add(list(key_cols), ["_v"], [r["query_id"] for r in rows], qm, scorer,
+                 [("score", T.DoubleType())], qid_type)
+    return scan.result()

@@ -71,6 +71,8 @@ def test_topk_exact_with_ties_and_blocks(spark):
     cdf = spark.createDataFrame(chunks, "chunk_id string, embedding array<double>").repartition(3)
     qdf = spark.createDataFrame(queries, "query_id long, embedding array<double>")
     # tiny block size forces several broadcast blocks
+    whole, blocks = (VS.pairs_above(cdf, qdf, 0.1, block_bytes=b) for b in (1 << 20, 8 * 8 * 3))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect()))
     got = VS.top_k_by_vector(cdf, qdf, k=4, threshold=0.1, block_bytes=8 * 8 * 3)
     res = {}
     for r in got.orderBy("query_id", "rank").collect():
