@@ -4,7 +4,8 @@ Every element's subtree is hashed. Spark counts on how many pages of its host a
 hash occurs; subtrees that recur on many pages are the site's, not the page's,
 and are deleted, along with regions that are never main text by their tag or
 role. Inside a page's article only boxes count as template, never its paragraphs
-and headings, as articles may quote or copy each other.
+and headings, as articles may quote or copy each other. Copies of a page or of an
+article count once, and what holds the article or most of the text is no template.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,9 +36,10 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section "
                    "summary table tbody td tfoot th thead tr ul".split())
 BOXES = frozenset("aside details div dl figure footer form header ol section table ul".split())
-CLOSES_P = BLOCKS - frozenset("body html caption td th tr tbody thead tfoot li dd dt".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
+ITEMS = frozenset("body html caption td th tr tbody thead tfoot li dd dt".split())
+CLOSES_P = BLOCKS - ITEMS
 SCOPES = frozenset("ul ol dl table select body html".split())
 REGION_WORDS = frozenset("ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie "
                          "cookies consent gdpr notice popup modal newsletter subscribe subscription breadcrumb "
@@ -49,8 +52,9 @@ REGION_ROLES = frozenset("navigation banner contentinfo complementary search dia
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is a template if it occurs on ``least_pages`` pages and on ``share`` of the
-    pages of its host; so a host has at most (elements per page) / share of them."""
+    """A subtree is a template if it occurs on ``least_pages`` pages of different content and
+    on ``share`` of the pages of its host; so a host has at most (elements per page) / share
+    of them."""
     least_pages: int = 4
     share: float = 0.1
 
@@ -63,6 +67,8 @@ class Element:
     parts: list = field(default_factory=list)  # texts and elements in order
     key: int = 0
     size: int = 0
+    kept: int = 0  # characters outside refused elements
+    holds: bool = False  # is or contains an article or main
 
 
 def _opened(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -142,36 +148,98 @@ def _walk(root: Element):
 
 
 def hash_subtrees(root: Element) -> None:
-    """Sets key (a hash of tag, texts and children) and size (characters) of every element."""
+    """Sets key (a hash of tag, texts and children), size, kept and holds of every element."""
     for element in _walk(root):
         digest = hashlib.blake2b(element.tag.encode(), digest_size=8)
+        element.holds = element.main
         for part in element.parts:
             if isinstance(part, Element):
                 digest.update(part.key.to_bytes(8, "little", signed=True))
                 element.size += part.size
+                element.kept += part.kept
+                element.holds |= part.holds
             else:
                 words = " ".join(part.split())
                 digest.update(b"\0" + words.encode("utf-8", "replace"))
                 element.size += len(words)
+                element.kept += len(words)
+        if element.refused:
+            element.kept = 0
         element.key = int.from_bytes(digest.digest(), "little", signed=True)
 
 
+def _bulk(root: Element) -> Element:
+    """The innermost element with most of the page's text: what stands for a missing article."""
+    bulk, found = root, root
+    while found:
+        bulk = found
+        found = next((p for p in bulk.parts if isinstance(p, Element) and 2 * p.kept > root.kept), None)
+    return bulk
+
+
 def _candidates(root: Element):
-    """Elements that may be a template of the site: all outside articles, boxes inside them."""
-    todo = [(root, 0)]
+    """(element, its article or None) for what may be a template of the site.
+
+    These are all elements outside articles and boxes inside them. On pages without
+    an article it is the blocks outside the bulk of the text, and boxes inside it.
+    Elements that hold an article or most of the text are none.
+    """
+    bulk = None if root.holds else _bulk(root)
+    if bulk and bulk.tag in ("#root", "html", "body"):
+        bulk = None
+    todo = [(root, None)]
     while todo:
         element, article = todo.pop()
-        inside = article or (element.size if element.main else 0)
-        if element.size and (element.tag in BOXES and 2 * element.size < article if article
-                             else not element.main and element.tag not in ("#root", "html", "body")):
-            yield element
+        inside = article or (element if element.main or element is bulk else None)
+        if element.size and not element.holds and 2 * element.kept <= root.kept and (
+                element.tag in BOXES and 2 * element.size < article.size if article
+                else element.tag not in ("#root", "html", "body") and (root.holds or element.tag in BLOCKS - ITEMS)):
+            yield element, article
         todo += [(p, inside) for p in element.parts if isinstance(p, Element)]
 
 
-def subtree_keys(page: str) -> set[int]:
+def _sketch(article: Element, boxes: set[int]) -> int:
+    """Smallest hash of 8 words in a row outside the boxes: mostly equal for near copies."""
+    pieces, todo = [], [article]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            pieces.append(part)
+        elif id(part) not in boxes and not part.refused:
+            todo += reversed(part.parts)
+    words = " ".join(pieces).encode("utf-8", "replace").split()
+    if not words:
+        return article.key
+    return min(zlib.crc32(b" ".join(words[i:i + 8])) for i in range(max(len(words) - 7, 1)))
+
+
+def subtree_places(page: str) -> dict[int, int]:
+    """A number for the content around each candidate's key: equal where a page is a copy.
+
+    Inside an article that is its own text, elsewhere the page; a page has one for a key.
+    """
     root = parse(page)
     hash_subtrees(root)
-    return {e.key for e in _candidates(root)}
+    found = list(_candidates(root))
+    boxes = {id(e) for e, article in found if article}
+    whole = root.key
+    if root.holds:  # what surrounds an article is told apart by the page as it was sent
+        whole = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).digest(),
+                               "little", signed=True)
+    sketches: dict[int, int] = {}
+    places: dict[int, int] = {}
+    for element, article in found:
+        place = whole
+        if article:
+            if id(article) not in sketches:
+                sketches[id(article)] = _sketch(article, boxes)
+            place = sketches[id(article)]
+        places[element.key] = min(place, places.get(element.key, place))
+    return places
+
+
+def subtree_keys(page: str) -> set[int]:
+    return set(subtree_places(page))
 
 
 def main_text(page: str, templates) -> str:
@@ -179,7 +247,7 @@ def main_text(page: str, templates) -> str:
     root = parse(page)
     hash_subtrees(root)
     known = set(templates)
-    dropped = {id(e) for e in _candidates(root) if e.key in known} if known else set()
+    dropped = {id(e) for e, _ in _candidates(root) if e.key in known} if known else set()
 
     def kept(element: Element) -> bool:
         return not (element.refused or id(element) in dropped)
@@ -224,31 +292,22 @@ def host_of(url: Column) -> Column:
 def site_templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(host, pages, templates) from a table (host, html): hashes recurring on many pages of the host.
 
-    Tasks add up their own pages before the shuffle; the list of a host is bounded
-    by the share, whatever its number of pages.
+    Copies of a page count once for a hash, however many there are. The list of a
+    host is bounded by the share, whatever its number of pages.
     """
-    def count(batches):
-        totals: dict[tuple[str, int | None], int] = {}
-
-        def out():
-            hosts, keys = zip(*totals)
-            return pd.DataFrame({"host": hosts, "key": pd.array(keys, dtype="Int64"), "n": list(totals.values())})
-
+    def places(batches):
         for batch in batches:
-            for host, page in zip(batch["host"], batch["html"]):
-                for key in (None, *subtree_keys(page or "")):
-                    totals[host, key] = totals.get((host, key), 0) + 1
-            if len(totals) > 500_000:
-                yield out()
-                totals = {}
-        if totals:
-            yield out()
-
-    counts = (pages.select("host", "html").mapInPandas(count, "host string, key long, n long")
-              .groupBy("host", "key").agg(F.sum("n").alias("n")))
-    hosts = counts.filter("key is null").select("host", F.col("n").alias("pages"))
+            rows = {(host, key, place) for host, page in zip(batch["host"], batch["html"])
+                    for key, place in subtree_places(page or "").items()}
+            if rows:
+                hosts, keys, contents = zip(*rows)
+                yield pd.DataFrame({"host": hosts, "key": keys, "place": contents})
+
+    counts = (pages.select("host", "html").mapInPandas(places, "host string, key long, place long").distinct()
+              .groupBy("host", "key").agg(F.count("*").alias("n")))
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     many = F.greatest(F.lit(settings.least_pages), F.ceil(F.col("pages") * settings.share))
-    recurring = (counts.filter(F.col("key").isNotNull() & (F.col("n") >= settings.least_pages)).join(hosts, "host")
+    recurring = (counts.filter(F.col("n") >= settings.least_pages).join(hosts, "host")
                  .filter(F.col("n") >= many).groupBy("host").agg(F.collect_list("key").alias("templates")))
     return hosts.join(recurring, "host", "left")
 

@@ -163,6 +163,25 @@ def test_templates_by_host_are_counted_whole(spark):
     assert row.pages == 40 and set(row.templates) == expected
 
 
+def test_copies_of_a_page_are_no_templates(spark):
+    own = "<p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
+    boxed = own + "<div>first box of it</div><ul><li>a<li>b</ul>"
+    bare = "<body><div><p>only this here</p><p>and that there too</p></div><p>end</p></body>"
+    rows = [(i, "http://a.org/", f"<body><div>{page('', boxed)}</div></body>") for i in range(6)]  # wrapped article
+    rows += [(10 + i, "http://b.org/", page("", boxed)) for i in range(6)]
+    rows += [(20 + i, "http://c.org/", bare) for i in range(6)]
+    rows += [(30 + i, "http://d.org/", page("", boxed + f"<p>seen {i} times</p>")) for i in range(6)]  # near copies
+    rows += [(40 + i, "http://e.org/", f"<body><div>Notice</div><p>Some text of {i} alone</p></body>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in site_templates.extract_pages(pages).collect()}
+    body = own[3:-4] + " first box of it a b"
+    for i in range(6):
+        assert text[i] == body and text[10 + i] == body
+        assert text[20 + i] == "only this here and that there too end"
+        assert text[30 + i] == f"{body} seen {i} times"
+        assert text[40 + i] == f"Some text of {i} alone"  # what recurs on different pages still goes
+
+
 def test_site_rules_alone_find_the_article(spark):
     """The pages of the table carry one article each; what surrounds it must not come along."""
     pages = table(spark, SF, "pages")
