@@ -49,14 +49,16 @@ REGION_WORDS = frozenset("ad ads advert advertisement advertising banner sponsor
 REGION_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu "
                          "menubar toolbar".split())
 
+SALTS = 16  # parts that a template of all pages of a host is dealt in
+
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is a template if it occurs on ``least_pages`` pages of different content and
-    on ``share`` of the pages of its host; so a host has at most (elements per page) / share
-    of them."""
+    """A subtree is a template if it occurs on ``least_pages`` pages of different content of
+    its host, however many pages the host has. Hosts with up to ``listed`` templates have
+    them joined as one list, others page by page, each with its own."""
     least_pages: int = 4
-    share: float = 0.1
+    listed: int = 1000
 
 
 @dataclass
@@ -289,12 +291,8 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
 
 
-def site_templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, pages, templates) from a table (host, html): hashes recurring on many pages of the host.
-
-    Copies of a page count once for a hash, however many there are. The list of a
-    host is bounded by the share, whatever its number of pages.
-    """
+def recurring_keys(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(host, key) from a table (host, html): hashes on many pages of different content of the host."""
     def places(batches):
         for batch in batches:
             rows = {(host, key, place) for host, page in zip(batch["host"], batch["html"])
@@ -303,13 +301,41 @@ def site_templates(pages: DataFrame, settings: Settings = Settings()) -> DataFra
                 hosts, keys, contents = zip(*rows)
                 yield pd.DataFrame({"host": hosts, "key": keys, "place": contents})
 
-    counts = (pages.select("host", "html").mapInPandas(places, "host string, key long, place long").distinct()
-              .groupBy("host", "key").agg(F.count("*").alias("n")))
+    # Equal rows meet first, then a hash's partial counts: no host or hash is gathered in a task.
+    return (pages.select("host", "html").mapInPandas(places, "host string, key long, place long").distinct()
+            .groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= settings.least_pages)
+            .select("host", "key"))
+
+
+def site_templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(host, pages, templates) from a table (host, html): hashes recurring on many pages of the host.
+
+    Copies of a page count once for a hash, however many there are.
+    """
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    many = F.greatest(F.lit(settings.least_pages), F.ceil(F.col("pages") * settings.share))
-    recurring = (counts.filter(F.col("n") >= settings.least_pages).join(hosts, "host")
-                 .filter(F.col("n") >= many).groupBy("host").agg(F.collect_list("key").alias("templates")))
-    return hosts.join(recurring, "host", "left")
+    lists = recurring_keys(pages, settings).groupBy("host").agg(F.collect_list("key").alias("templates"))
+    return hosts.join(lists, "host", "left")
+
+
+def _own_templates(source: DataFrame, keys: DataFrame) -> DataFrame:
+    """(host, digest, templates) of the pages of (host, html, digest) that have any of the keys (host, key).
+
+    Pages are dealt by their digest and keys by a salt, so neither a host nor a template of
+    all its pages is one task.
+    """
+    def places(batches):
+        for batch in batches:
+            rows = [(host, digest, key, digest[0] % SALTS)
+                    for host, page, digest in zip(batch["host"], batch["html"], map(bytes, batch["digest"]))
+                    for key in subtree_keys(page)]
+            if rows:
+                hosts, digests, found, salts = zip(*rows)
+                yield pd.DataFrame({"host": hosts, "digest": digests, "key": found, "salt": salts})
+
+    held = source.mapInPandas(places, "host string, digest binary, key long, salt int")
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (held.join(salted, ["host", "key", "salt"]).groupBy("host", "digest")
+            .agg(F.collect_set("key").alias("templates")))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -324,20 +350,33 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
                           F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
                           F.nullif(host_of(F.col(url_col)), F.lit("")).alias("host"))
-    known = frozen(site_templates(source.filter("host is not null"), settings))
-    total = known.agg(F.sum("pages")).first()[0] or 0
-    # Hosts with a thousandth of all pages are a thousand at most, with bounded lists: their
-    # pages stay where they are. All other hosts are small keys of a shuffled join.
-    large = F.broadcast(known.filter(F.col("pages") * 1000 >= total))
-    small = known.filter(F.col("pages") * 1000 < total)
-    joined = source.join(large, "host").unionByName(
-        source.join(large.select("host"), "host", "left_anti").join(small, "host", "left"))
+    hosted = source.filter("host is not null")
+    keys = frozen(recurring_keys(hosted, settings))
+    hosts = frozen(hosted.groupBy("host").agg(F.count("*").alias("pages"))
+                   .join(keys.groupBy("host").agg(F.count("*").alias("n")), "host"))
+    total = hosted.count()
+    short = F.col("n") <= settings.listed
+    lists = keys.join(hosts.filter(short), "host").groupBy("host").agg(
+        F.first("pages").alias("pages"), F.collect_list("key").alias("templates"))
+    # Hosts with a thousandth of all pages are a thousand at most, with lists of bounded length:
+    # their pages stay where they are. All other hosts are small keys of a shuffled join.
+    large = F.broadcast(lists.filter(F.col("pages") * 1000 >= total).drop("pages"))
+    small = lists.filter(F.col("pages") * 1000 < total).drop("pages")
+    long = hosts.filter(~short).select("host")
+    known = source.join(large, "host").unionByName(
+        source.join(F.broadcast(hosts.filter(short & (F.col("pages") * 1000 >= total)).select("host")), "host",
+                    "left_anti").join(long, "host", "left_anti").join(small, "host", "left"))
+    if not long.isEmpty():
+        digested = source.join(long, "host", "left_semi").withColumn(
+            "digest", F.unhex(F.md5(F.encode("html", "UTF-8"))))
+        own = _own_templates(digested.select("host", "html", "digest"), keys.join(long, "host", "left_semi"))
+        known = known.unionByName(digested.join(own, ["host", "digest"], "left").drop("digest"))
 
     @F.pandas_udf("string")
     def extracted(page: pd.Series, templates: pd.Series) -> pd.Series:
         return pd.Series([main_text(p or "", () if t is None else np.asarray(t).tolist())
                           for p, t in zip(page, templates)], dtype=object)
 
-    found = joined.select("id", "url", extracted("html", "templates").alias("text"))
+    found = known.select("id", "url", extracted("html", "templates").alias("text"))
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
                         F.length("text").cast("long").alias("n_chars"))

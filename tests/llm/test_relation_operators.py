@@ -182,6 +182,21 @@ def test_copies_of_a_page_are_no_templates(spark):
         assert text[40 + i] == f"Some text of {i} alone"  # what recurs on different pages still goes
 
 
+def test_templates_need_not_recur_on_a_share_of_the_host(spark):
+    rows = [(i, f"http://a.org/{i}", page("", f"<p>This is the own text of page {i}</p><div>notice {i % 20}</div>"))
+            for i in range(100)]  # each notice on 5 of 100 pages
+    rows += [(100, "http://a.org/", rows[0][2]), (101, "http://b.org/", rows[0][2]), (102, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {}
+    for settings in (site_templates.Settings(), site_templates.Settings(listed=3)):
+        found[settings.listed] = Counter(map(tuple, site_templates.extract_pages(pages, settings=settings).collect()))
+    assert found[1000] == found[3]
+    text = {r[0]: r[2] for r in found[3]}
+    for i in range(100):
+        assert text[i] == f"This is the own text of page {i}"
+    assert text[100] == text[0] and text[101] == text[0] + " notice 0" and text[102] == ""
+
+
 def test_site_rules_alone_find_the_article(spark):
     """The pages of the table carry one article each; what surrounds it must not come along."""
     pages = table(spark, SF, "pages")
