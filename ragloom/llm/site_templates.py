@@ -46,6 +46,13 @@ REGION_WORDS = frozenset("ad ads advert advertisement advertising banner sponsor
                          "breadcrumbs share sharing social related recommended sidebar widget menu nav navbar "
                          "navigation footer masthead pagination pager toolbar comment comments disqus respond "
                          "replies".split())
+# Words that may stand beside a region word in one class or id that names the region.
+PART_WORDS = frozenset("a actions area areas article articles bar block body bottom box button buttons card cards "
+                       "center col column container content desktop fixed flex footer form global grid group header "
+                       "heading holder icon icons inline inner item items label large leaderboard left link links "
+                       "list main mobile module news outer overlay page pages panel post posts primary rail region "
+                       "right row secondary section signup site slot small stack sticky stories story strip title "
+                       "top unit ui wrap wrapper zone".split())
 REGION_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu "
                          "menubar toolbar".split())
 
@@ -64,8 +71,9 @@ class Settings:
 @dataclass
 class Element:
     tag: str
-    refused: bool  # never main text, by tag or role
+    refused: bool  # never main text, by tag or role (or by name, once name_regions has run)
     main: bool
+    named: bool = False  # a class or id names a region
     parts: list = field(default_factory=list)  # texts and elements in order
     key: int = 0
     size: int = 0
@@ -73,8 +81,17 @@ class Element:
     holds: bool = False  # is or contains an article or main
 
 
-def _opened(tag: str, attributes: str) -> tuple[bool, bool]:
-    refused, main = tag in NEVER, tag in ("article", "main")
+def _names_region(names: str) -> bool:
+    """Whether a class or id, taken whole, names a region: "post-comments", not "comment-history"."""
+    for name in names.split():
+        words = [w for w in re.split(r"[_-]+", name) if w and not w.isdigit()]
+        if not REGION_WORDS.isdisjoint(words) and all(w in REGION_WORDS or w in PART_WORDS for w in words):
+            return True
+    return False
+
+
+def _opened(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    refused, main, named = tag in NEVER, tag in ("article", "main"), False
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
@@ -84,8 +101,8 @@ def _opened(tag: str, attributes: str) -> tuple[bool, bool]:
                 refused |= value in REGION_ROLES
                 main |= value == "main"
             else:
-                refused |= not REGION_WORDS.isdisjoint(re.split(r"[\s_-]+", value)) and tag not in ("body", "html")
-    return refused, main
+                named |= tag not in ("body", "html") and _names_region(value)
+    return refused, main, named
 
 
 def parse(page: str) -> Element:
@@ -132,8 +149,8 @@ def parse(page: str) -> Element:
                 break
             if stack[i].tag in SCOPES:
                 break
-        refused, main = _opened(tag, found[3] or found[6] or "")
-        element = Element(tag, refused, main)
+        refused, main, named = _opened(tag, found[3] or found[6] or "")
+        element = Element(tag, refused, main, named)
         stack[-1].parts.append(element)
         stack.append(element)
     return root
@@ -170,6 +187,34 @@ def hash_subtrees(root: Element) -> None:
         element.key = int.from_bytes(digest.digest(), "little", signed=True)
 
 
+def name_regions(root: Element) -> None:
+    """Refuses elements whose class or id names a region, unless they are the page's text.
+
+    These hold the only article or main of the page, or all text of the page or article
+    they are in.
+    """
+    plain, todo = False, [root]
+    while todo and not plain:
+        element = todo.pop()
+        if not (element.refused or element.named):
+            plain = element.main
+            todo += [p for p in element.parts if isinstance(p, Element)]
+    changed = False
+    places: list[tuple[Element, Element | None]] = [(root, None)]
+    while places:
+        element, article = places.pop()
+        if element.named and not element.refused and (article or plain or not element.holds) and (
+                element.kept < (article or root).kept):
+            element.refused = changed = True
+        if not element.refused:
+            inside = article or (element if element.main else None)
+            places += [(p, inside) for p in element.parts if isinstance(p, Element)]
+    if changed:
+        for element in _walk(root):
+            own = sum(len(" ".join(p.split())) if isinstance(p, str) else p.kept for p in element.parts)
+            element.kept = 0 if element.refused else own
+
+
 def _bulk(root: Element) -> Element:
     """The innermost element with most of the page's text: what stands for a missing article."""
     bulk, found = root, root
@@ -222,6 +267,7 @@ def subtree_places(page: str) -> dict[int, int]:
     """
     root = parse(page)
     hash_subtrees(root)
+    name_regions(root)
     found = list(_candidates(root))
     boxes = {id(e) for e, article in found if article}
     whole = root.key
@@ -248,6 +294,7 @@ def main_text(page: str, templates) -> str:
     """Blocks of the article (else of main, else of the page) in page order, joined by one space."""
     root = parse(page)
     hash_subtrees(root)
+    name_regions(root)
     known = set(templates)
     dropped = {id(e) for e, _ in _candidates(root) if e.key in known} if known else set()
 

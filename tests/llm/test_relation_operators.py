@@ -197,6 +197,20 @@ def test_templates_need_not_recur_on_a_share_of_the_host(spark):
     assert text[100] == text[0] and text[101] == text[0] + " notice 0" and text[102] == ""
 
 
+def test_words_in_a_class_do_not_refuse_the_article():
+    article = "<p>The whole story of it</p>"
+    for body in (f"<div class='content with-sidebar'><article>{article}</article></div>",
+                 f"<div class='sidebar'><article>{article}</article></div>",
+                 f"<article class='share-enabled'>{article}</article>", f"<article class='post comments'>{article}</article>",
+                 f"<div id='social-history'>{article}</div>", f"<div class='menu'>{article}</div>",
+                 f"<article>{article}</article><div id='comments'><article>c</article>{article * 3}</div>"):
+        text = site_templates.main_text(f"<body><nav>n</nav>{body}</body>", ())
+        assert text == "The whole story of it", body
+    inside = ("<h1>Paper</h1><p>What was found, at some length</p><section id='related-work'><p>Others</p></section>"
+              "<section class='related-posts'>More</section><div class='ad-slot'>Buy</div>")
+    assert site_templates.main_text(page("", inside), ()) == "Paper What was found, at some length Others"
+
+
 def test_site_rules_alone_find_the_article(spark):
     """The pages of the table carry one article each; what surrounds it must not come along."""
     pages = table(spark, SF, "pages")
