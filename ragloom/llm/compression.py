@@ -3,7 +3,9 @@
 Repetitive text compresses far better than prose of its length, random text far
 worse. How well prose compresses depends on its length, so the limits are a
 band over the length, read between knots on a logarithmic scale. The band holds
-for the whole document and for fixed chunks of it, each by its own length.
+for the whole document and for fixed chunks of it, each by its own length. Its
+upper side is where repetition starts, well above prose. Noise made of symbols
+between words compresses like prose and is told by the words that carry them.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import per_process, text_of
 
-#: (bytes, lowest, highest ratio); set from the labelled good documents, with a margin.
+#: (bytes, lowest, highest ratio). Lowest from the labelled good documents, with a margin; highest
+#: above licences, manuals and code in prose (up to 4.0) and below repeated or shouted words.
 KNOTS = (
-    (64, 0.70, 1.90), (128, 0.90, 2.05), (256, 1.05, 2.15), (512, 1.20, 2.15), (1024, 1.45, 2.18),
-    (2048, 1.62, 2.26), (4096, 1.80, 2.34), (8192, 1.95, 2.43), (16384, 2.08, 2.50),
-    (32768, 2.18, 2.57), (65536, 2.25, 2.62),
+    (64, 0.70, 2.00), (128, 0.90, 2.30), (256, 1.05, 2.60), (512, 1.20, 2.90), (1024, 1.45, 3.20),
+    (2048, 1.62, 3.50), (4096, 1.80, 3.80), (8192, 1.95, 4.00), (16384, 2.08, 4.20),
+    (32768, 2.18, 4.40), (65536, 2.25, 4.60), (262144, 2.25, 5.00), (1048576, 2.25, 5.40), (4194304, 2.25, 5.60),
 )
-MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_WORD_PERCENT, WINDOW = 20, 30, 35, 8
 SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -47,20 +50,57 @@ def ratio(data: bytes, level: int) -> float:
     return len(data) / len(packed)
 
 
+def one_byte_letters(data: bytes) -> tuple[bytes, bool]:
+    """Text of an alphabet beyond Latin with a byte a letter, as Latin has; and whether limits below hold.
+
+    Letters of the most used 128 code points become one byte each. Scripts that use many
+    more letters (ideographs, syllables) stay as they are, and no lower limit is known for them.
+    """
+    if data.isascii():
+        return data, True
+    points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    beyond = points[points >= 0x250]
+    if 3 * len(beyond) < np.count_nonzero(points > 0x20):
+        return data, True
+    pages, counts = np.unique(beyond >> 7, return_counts=True)
+    if 2 * counts.max() < len(beyond):
+        return data, False
+    page = pages[counts.argmax()]
+    inside = (points >> 7) == page
+    if len(points) == np.count_nonzero(inside | (points < 0x80)):
+        return np.where(inside, 0x80 | points & 0x7F, points).astype(np.uint8).tobytes(), True
+    # Runs of other letters keep their UTF-8 form.
+    other = ~inside & (points >= 0x80)
+    pieces = [bytes([0x80 | x & 0x7F]) if own else chr(x).encode("utf-8", "replace") if far else bytes([x])
+              for x, own, far in zip(points.tolist(), inside.tolist(), other.tolist())]
+    return b"".join(pieces), True
+
+
 def judge(data: bytes, bands: Bands) -> tuple[float, int, int, bool]:
-    """(whole ratio, chunks, chunks outside their band, accepted)."""
+    """(whole ratio of the UTF-8 text, chunks, chunks outside their band, accepted).
+
+    Limits and chunks are of the text with a byte a letter.
+    """
     if not data:
         return 0.0, 0, 0, False
-    whole = ratio(data, bands.level)
-    low, high = bands.limits(len(data))
+    encoded = whole = ratio(data, bands.level)
+    data, bounded = one_byte_letters(given := data)
+    if data is not given:
+        whole = ratio(data, bands.level)
+
+    def limits(size: int) -> tuple[float, float]:
+        low, high = bands.limits(size)
+        return (low if bounded else 0.0), high
+
+    low, high = limits(len(data))
     # The tail joins the last full chunk, so that no chunk is too short to tell.
     cuts = list(range(0, max(len(data) // bands.chunk, 1) * bands.chunk, bands.chunk))
     chunks = [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])]
     outside = 0
     for part in chunks:
-        low_part, high_part = bands.limits(len(part))
+        low_part, high_part = limits(len(part))
         outside += not low_part <= (whole if len(chunks) == 1 else ratio(part, bands.level)) <= high_part
-    return whole, len(chunks), outside, low <= whole <= high and outside <= bands.bad_chunks * len(chunks)
+    return encoded, len(chunks), outside, low <= whole <= high and outside <= bands.bad_chunks * len(chunks)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -88,6 +128,11 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[:-1]))
 
 
+def symbol_words(words: list[bytes]) -> int:
+    """Words that end in a symbol or are nothing else."""
+    return sum(w[-1] in SYMBOLS for w in words)
+
+
 def duplicate_lines(data: bytes) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [x for x in data.split(b"\n") if x.strip(BLANK)]
@@ -111,7 +156,8 @@ def quality(text: Column, bands: Bands = Bands()) -> Column:
             whole, chunks, outside, accepted = judge(data, bands)
             rows.append((len(words), len(data.translate(None, BLANK).decode()),
                          len(data) - len(data.translate(None, SYMBOLS)), duplicate_lines(data), repeats,
-                         failed, whole, chunks, outside, accepted and not failed))
+                         failed, whole, chunks, outside, accepted and not failed
+                         and 100 * symbol_words(words) <= MAX_SYMBOL_WORD_PERCENT * len(words)))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     return rules(text)

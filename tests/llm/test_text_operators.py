@@ -165,6 +165,28 @@ def test_quality_keeps_good_documents_and_drops_junk(spark):
     assert compression.judge((" ".join(good)).encode()[:30000] + b"spam " * 20000, bands)[2] > 0
 
 
+def test_quality_keeps_prose_and_scripts_it_was_not_fitted_to(spark):
+    """Python's manual (prose with code), plain and in other alphabets; noise and junk in them stay out."""
+    from pydoc_data.topics import topics
+    manual = [t for t in topics.values() if not brute_rules(t)[5]]
+    good = [r.text.lower() for r in table(spark, SF, "documents").join(
+        table(spark, SF, "labels").filter("quality = 1"), "doc_id").limit(60).collect()]
+    rng = random.Random(3)
+    for first in (ord("a"), 0x430, 0x3B1, 0x905):  # Latin, Cyrillic, Greek, Devanagari
+        letters = {ord("a") + i: first + i for i in range(26)}
+        texts = [t.translate(letters) for t in (manual if first == ord("a") else [t.lower() for t in manual] + good)]
+        kept = [compression.judge(t.encode(), compression.Bands())[3] for t in texts]
+        assert sum(kept) >= 0.97 * len(kept), (first, sum(kept), len(kept))
+        noise = "".join(rng.choice([chr(first + i) for i in range(64)] + [" "] * 10) for _ in range(5000))
+        assert not compression.judge(noise.encode(), compression.Bands())[3]
+    whole = " ".join(manual)[:200000]
+    assert compression.judge(whole.encode(), compression.Bands())[3]
+    marked = ["".join(w + rng.choice(["###", "$$$", " |"]) + " " for w in t.split()) for t in manual[:20]]
+    docs = spark.createDataFrame(list(enumerate(manual + marked)), "doc_id int, text string")
+    kept = {r.doc_id for r in compression.keep_quality(docs).collect()}
+    assert len(kept) >= 0.97 * len(manual) and max(kept) < len(manual)
+
+
 def test_templates_accept_exactly_their_wordings():
     machine = licenses.compile_template("Use <<beginOptional>>and <<beginOptional>>or<<endOptional>> copy<<endOptional>>"
                                         " of <<var;words=1-2>> is granted")
