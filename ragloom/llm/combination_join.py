@@ -333,10 +333,12 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
                            settings: Settings = Settings()) -> DataFrame:
     """The document with the smallest id of each component, with all its columns.
 
-    Exact repeats of that document's row count as copies of it: one stays.
-    Rows without an id stay.
+    Rows that repeat that document's id and text count as copies of it: one stays.
+    Different texts under its id all stay, as do rows without an id.
     """
     found = jaccard_components(docs, id_col, text_col, settings)
     first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
     chosen = docs.join(first, docs[id_col] == first["_first"], "left_semi")
-    return chosen.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    digest = F.sha2(F.encode(text_of(text_col), "UTF-8"), 256)
+    one = chosen.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))

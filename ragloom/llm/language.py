@@ -174,8 +174,14 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     least: float = 0.3, settings: Settings = Settings()) -> DataFrame:
-    """The documents with one main language (``least`` of the text), with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(
-        train(docs.filter(~held_out(id_col)), text_col, lang_col, settings))
+    """The documents with one main language (``least`` of the text), with all their columns.
+
+    If no document to learn from has a language, nothing can be told apart and all with
+    letters stay.
+    """
+    learnt = train(docs.filter(~held_out(id_col)), text_col, lang_col, settings)
+    if not learnt.languages:
+        return docs.filter(text_of(text_col).rlike(r"\p{L}"))
+    model = docs.sparkSession.sparkContext.broadcast(learnt)
     found = identified(text_of(text_col), model, settings)
     return docs.filter((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least))

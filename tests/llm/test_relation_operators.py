@@ -127,6 +127,13 @@ def test_search_edges(spark):
     assert permutation_index.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_different_texts_under_one_id_stay(spark):
+    rows = [(1, "one text of its own"), (1, "quite another text here"), (1, "one text of its own"), (2, "one text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, combination_join.keep_one_per_component(docs).collect()))
+    assert kept == [(1, "one text of its own"), (1, "quite another text here")]
+
+
 def page(body, article="<h1>Title</h1><p>One &amp; two<br>three <b>bo</b>ld</p>"):
     return f"<html><head><title>t</title></head><body>{body}<article>{article}</article><footer>f</footer></body></html>"
 

@@ -253,3 +253,9 @@ def test_language_edges(edge_docs, no_docs):
     assert language.identify_language(edge_docs.withColumn("lang", edge_docs.lang.substr(100, 1)).replace(
         {"": None}, subset=["lang"])).filter("lang_pred <> 'und'").count() == 0
     assert language.keep_identified(edge_docs).columns == edge_docs.columns
+
+
+def test_documents_stay_when_no_language_is_known(spark):
+    rows = [(1, "Some words", None), (2, "слова", None), (3, "12 34", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.keep_identified(docs).collect()} == {1, 2}
