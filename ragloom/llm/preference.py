@@ -91,17 +91,23 @@ def echo_negatives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """Chosen and rejected turns from plain conversations.
 
     Chosen is a conversation up to its last assistant turn; in rejected that turn
-    only repeats the turn before it. Conversations without an assistant turn are
-    left out, as there is nothing to prefer.
+    only repeats the turn before it. Turns without a number come first, as in
+    ``preference_pairs``; both sides are numbered by place. Conversations without an
+    assistant turn are left out, as there is nothing to prefer.
     """
-    order = Window.partitionBy(conv_col).orderBy(turn_col, role_col, text_col)
-    last = turns.filter(F.col(role_col) == "assistant").groupBy(conv_col).agg(F.max(turn_col).alias("_last"))
-    kept = turns.withColumn("_before", F.lag(text_col).over(order)).join(last, conv_col).filter(
-        F.col(turn_col) <= F.col("_last"))
-    chosen = kept.select(F.col(conv_col).alias("pair_id"), F.col(turn_col).alias("turn"),
-                         F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    echoed = F.when((F.col(turn_col) == F.col("_last")) & (F.col(role_col) == "assistant"),
-                    F.coalesce("_before", F.lit(""))).otherwise(F.col(text_col))
-    rejected = kept.select(F.col(conv_col).alias("pair_id"), F.col(turn_col).alias("turn"),
-                           F.col(role_col).alias("role"), echoed.alias("text"))
-    return chosen, rejected
+    whole = Window.partitionBy(conv_col)
+    order = whole.orderBy(turn_col, role_col, text_col)
+    assistant = F.col(role_col) == "assistant"
+    placed = turns.filter(F.col(conv_col).isNotNull()).select(
+        F.col(conv_col).alias("pair_id"), F.row_number().over(order).alias("turn"), F.col(role_col).alias("role"),
+        F.col(text_col).alias("text"), F.lag(text_col).over(order).alias("before"), F.col(turn_col).alias("number"),
+        F.max(F.when(assistant, F.col(turn_col))).over(whole).alias("last"))
+    # Turns that share the last number are all kept; the last place tells only where no assistant turn has one.
+    marked = placed.withColumn("last_place", F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(
+        Window.partitionBy("pair_id")))
+    kept = marked.filter((F.col("turn") <= F.col("last_place")) | (F.col("number") <= F.col("last")))
+    ends = F.when(F.col("last").isNull(), F.col("turn") == F.col("last_place")).otherwise(
+        F.coalesce(F.col("number") == F.col("last"), F.lit(False)))
+    echoed = F.when(ends & (F.col("role") == "assistant"), F.coalesce("before", F.lit(""))).otherwise(F.col("text"))
+    columns = ["pair_id", "turn", "role"]
+    return kept.select(*columns, "text"), kept.select(*columns, echoed.alias("text"))

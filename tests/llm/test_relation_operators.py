@@ -275,6 +275,18 @@ def test_preference_query_equals_sql(spark):
     assert Counter(map(tuple, got.collect())) == Counter(expected.fetchall())
 
 
+def test_turns_without_a_number_stay(spark):
+    rows = [(1, None, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "user", "bye"),
+            (2, None, "assistant", "a"), (2, None, "assistant", "b"), (2, 1, "user", "later"), (3, 1, "user", "alone"),
+            (None, 1, "assistant", "lost")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    chosen, rejected = ([(r.pair_id, r.role, r.text) for r in side.orderBy("pair_id", "turn").collect()]
+                        for side in preference.echo_negatives(turns))
+    assert chosen == [(1, "system", "be kind"), (1, "user", "hi"), (1, "assistant", "hello"),
+                      (2, "assistant", "a"), (2, "assistant", "b")]
+    assert rejected == chosen[:2] + [(1, "assistant", "hi"), (2, "assistant", "a"), (2, "assistant", "a")]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import corpus_pipeline
 
