@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (bpe, combination_join, compression, language, licenses, packing, permutation_index, preference,
-               site_templates, token_counts)
+               site_templates, suffix_dedup, token_counts)
 from .common import table
 
 
@@ -49,9 +49,21 @@ def op10_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combination_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def repeat_digests(docs: DataFrame, settings: suffix_dedup.Settings = suffix_dedup.Settings()) -> DataFrame:
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return suffix_dedup.remove_repeats(docs, settings=settings).select(
+        "doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_slack_packing, op2_permutation_search, op3_preference_pairs, op4_license_templates, op5_compression_bands,
-    op6_backtrack_bpe, op7_prefix_counts, op8_language_mixture, op9_site_templates, op10_combination_join)}
+    op6_backtrack_bpe, op7_prefix_counts, op8_language_mixture, op9_site_templates, op10_combination_join,
+    op12_suffix_dedup)}
 
 _CHATML = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
