@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe, combination_join, compression, language, licenses, packing, permutation_index, preference,
-               site_templates, suffix_dedup, token_counts)
+from . import (bpe, combination_join, compression, conversation_repair, language, licenses, packing,
+               permutation_index, preference, site_templates, suffix_dedup, token_counts)
 from .common import table
 
 
@@ -60,10 +60,28 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with one row in four damaged, each by its own checksum."""
+    one_space = F.lit(" ")
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), one_space) for c in ("conv_id", "turn")))
+    harm = F.crc32(F.encode(name, "UTF-8")) % 20
+    role, text = (F.coalesce(F.col(c).cast("string"), one_space) for c in ("role", "text"))
+    return turns.select(
+        "conv_id", "turn", F.when(harm == 4, "user").otherwise(role).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(harm == 0, F.array().cast("array<int>")).when(harm == 3, F.array(F.lit(1), F.lit(2)))
+                  .otherwise(F.array(F.lit(1)))).alias("copy"))
+
+
+def op13_path_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(damaged(turns), conversations=turns)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_slack_packing, op2_permutation_search, op3_preference_pairs, op4_license_templates, op5_compression_bands,
     op6_backtrack_bpe, op7_prefix_counts, op8_language_mixture, op9_site_templates, op10_combination_join,
-    op12_suffix_dedup)}
+    op12_suffix_dedup, op13_path_repair)}
 
 _CHATML = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
