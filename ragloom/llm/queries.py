@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe, combination_join, compression, conversation_repair, language, licenses, packing,
+from . import (bpe, combination_join, compression, conversation_repair, language, licenses, packing, periodic_runs,
                permutation_index, preference, site_templates, suffix_dedup, token_counts)
 from .common import table
 
@@ -49,6 +49,44 @@ def op10_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combination_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """One text in ten with its words from some place on repeated periodically."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+",
+                                              " "), " "), lambda w: w != "")
+    numbered = docs.select("doc_id", "text", h.alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    g = F.floor(F.col("h") / 10)
+    planted = numbered.withColumn("a", F.when(F.col("n") > 0, (g % F.col("n")).cast("int"))).withColumn(
+        "p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil(rest / F.col("p")).cast("int")
+    repeated = F.concat(F.slice("words", F.lit(1), F.col("a")),
+                        F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), rest))
+    return planted.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(repeated, " ")).otherwise(
+        F.col("text")).alias("text"))
+
+
+def run_digests(docs: DataFrame) -> DataFrame:
+    found = periodic_runs.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                               r["period"].cast("string")), F.lit("\n")))
+    # Greatest length, then smallest start, then smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+def op11_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(planted_repeats(table(spark, sf_dir, "documents")))
+
+
 def repeat_digests(docs: DataFrame, settings: suffix_dedup.Settings = suffix_dedup.Settings()) -> DataFrame:
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return suffix_dedup.remove_repeats(docs, settings=settings).select(
@@ -81,7 +119,7 @@ def op13_path_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_slack_packing, op2_permutation_search, op3_preference_pairs, op4_license_templates, op5_compression_bands,
     op6_backtrack_bpe, op7_prefix_counts, op8_language_mixture, op9_site_templates, op10_combination_join,
-    op12_suffix_dedup, op13_path_repair)}
+    op11_automaton_runs, op12_suffix_dedup, op13_path_repair)}
 
 _CHATML = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
