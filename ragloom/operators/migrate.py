@@ -114,21 +114,22 @@ def incremental_migration(spark: SparkSession, source: DataFrame, transform, tar
     """H3: migrate what no earlier batch has migrated; returns the number of ids.
 
     The ids of a batch are written first and stay its ids whatever the source does
-    later. Its rows overwrite ``target_path/batch_id=<id>`` and a finished batch
+    later; no batch takes ids that another has, finished or not. Its rows overwrite ``target_path/batch_id=<id>`` and a finished batch
     is marked last, under ``checkpoint_path``; so a batch that failed anywhere
     is repeated under the same ``batch_id`` without duplicates or losses. Both
     paths are shared storage.
     """
     schema = source.select(key).schema
-    frozen, done = f"{checkpoint_path}/frozen/{batch_id}", f"{checkpoint_path}/done"
+    frozen, done = (f"{checkpoint_path}/{step}" for step in ("frozen", "done"))
     finished = _read_if_there(spark, f"{done}/batch_id={batch_id}", schema)
     if not finished.isEmpty():
         return finished.count()
-    ids = _read_if_there(spark, frozen, schema)
+    own = f"{frozen}/batch_id={batch_id}"
+    ids = _read_if_there(spark, own, schema)
     if ids.isEmpty():
-        earlier = _read_if_there(spark, done, schema)
-        incremental_batch(source, earlier, key).select(key).distinct().write.mode("overwrite").parquet(frozen)
-        ids = _read_if_there(spark, frozen, schema)
+        taken = _read_if_there(spark, frozen, schema)
+        incremental_batch(source, taken, key).select(key).distinct().write.mode("overwrite").parquet(own)
+        ids = _read_if_there(spark, own, schema)
     transform(source.join(ids, key, "left_semi")).write.mode("overwrite").parquet(f"{target_path}/batch_id={batch_id}")
     ids.write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
     return ids.count()
@@ -141,26 +142,34 @@ def delete_documents(chunks: DataFrame, deleted: DataFrame, key: str = "doc_id")
 
 def upsert_documents(chunks: DataFrame, new_docs: DataFrame, chunker, key: str = "doc_id") -> DataFrame:
     """Drop the old chunks of updated documents, add the re-chunked
-    new versions (to be written to a new location, then swapped)."""
+    new versions (``sinks.buckets.upsert_rows`` writes them)."""
     kept = delete_documents(chunks, new_docs, key)
     return kept.unionByName(chunker(new_docs), allowMissingColumns=True)
 
 
-def replace_table(rows: DataFrame, table: str, location: str) -> None:
-    """H13 + H14 write: stage ``rows`` whole at ``location``, then point ``table`` there.
+def replace_table(rows: DataFrame, table: str, location: str, change: str | None = None) -> None:
+    """Replace a whole table: stage ``rows`` at ``location``, then point ``table`` there.
 
+    For changes of most rows; ``sinks.buckets`` rewrites only what a change touches.
     ``rows`` may be computed from the table itself. Readers see the old rows until
     the one catalog change; a failed staging is overwritten by the next attempt at
-    the same ``location``, and an attempt after the change does nothing. The
-    location is shared storage; the old one stays for readers that still use it.
+    the same ``location``, and a repetition of the same ``change`` (by default the
+    location names it) does nothing. A second change to the location in use is an
+    error. The location is shared storage; the old one stays for readers of it.
     """
-    spark = rows.sparkSession
-    now = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
-    if urlparse(now).path.rstrip("/") == urlparse(location).path.rstrip("/"):
+    spark, change = rows.sparkSession, change or location
+    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where(
+        "col_name in ('Location')").collect()}
+    if urlparse(facts["Location"]).path.rstrip("/") == urlparse(location).path.rstrip("/"):
+        made_by = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}.get("change")
+        if made_by != change:
+            raise ValueError(f"{location} is in use and holds change {made_by}, not {change}")
         return
     rows.write.mode("overwrite").parquet(location)
-    quoted = location.replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{quoted}'")
+    place, name = (x.replace("'", "\\'") for x in (location, change))
+    # The change is named first: a failure in between is repeated by staging again.
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('change' = '{name}')")
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
     spark.catalog.refreshTable(table)
 
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import cut_lineage
 
 
 def cache_store(results: DataFrame, key_cols, ts: str = "ts", ttl_hours: int = 24) -> DataFrame:
@@ -57,35 +59,137 @@ REPLAY_SCHEMA = T.StructType([
     T.StructField("entry_start", T.TimestampNTZType())])
 
 
-def cache_replay(log: DataFrame, key, ts: str = "ts", order: str = "event_id", ttl_hours: int = 24) -> DataFrame:
+def _runs(keys: np.ndarray) -> Iterator[tuple[object, int, int]]:
+    """(key, from, to) of the runs of equal keys."""
+    edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield keys[a], a, b
+
+
+def _entries(times: np.ndarray, start: int | None, ttl: int) -> np.ndarray:
+    """Start of the cache entry that each lookup of one key meets or makes.
+
+    ``start``: the entry the key has before, if any. From entry to entry by search."""
+    out = np.empty_like(times)
+    at = 0
+    if start is not None:
+        at = int(np.searchsorted(times, start + ttl))
+        out[:at] = start
+    while at < len(times):
+        after = int(np.searchsorted(times, times[at] + ttl))
+        out[at:after] = times[at]
+        at = after
+    return out
+
+
+def slice_transition(times: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a slice of a key's history does to an entry made before it.
+
+    Returns thresholds and last entries: an entry that ends at x leaves the slice as
+    the last entry of the first threshold >= x; behind the last threshold it stays.
+    Only lookups up to one TTL after the slice began, and the next one, can be the first
+    miss. Entries are followed to the last one by doubling pointers.
+    """
+    n = len(times)
+    following = np.append(np.searchsorted(times, times + ttl), n)
+    last = np.append(np.arange(n), -1)
+    jump = following
+    while (jump[:n] < n).any():
+        last = np.where(jump < n, last[np.minimum(jump, n - 1)], last)
+        jump = np.where(jump < n, jump[jump], n)
+    reach = min(n, int(np.searchsorted(times, times[0] + ttl)) + 1)
+    end = times[last[:reach]]
+    # Neighbours with one last entry are one threshold: the later one's.
+    kept = np.append(end[1:] != end[:-1], True)
+    return times[:reach][kept], end[kept]
+
+
+def cache_replay(log: DataFrame, key, ts: str = "ts", order: str = "event_id", ttl_hours: int = 24,
+                 slices: int | None = None) -> DataFrame:
     """Q5: replay a query log through a TTL cache whose entries live
     ``ttl_hours`` from the miss that created them.
 
-    Each lookup's outcome depends on the previous miss of its key, so the
-    log is hash-partitioned by key and sorted by time within partitions;
-    one streaming pass per partition carries (key, entry start) across
-    Arrow batches. Memory stays O(batch) whatever the size of a key's
-    history -- nothing is collected per key.
+    A lookup's outcome depends on the key's entry before it, but a key's history is
+    not replayed in one task: the log is range-partitioned by key and time into
+    ``slices`` (default: the shuffle partitions), so a hot key has many. Each slice of
+    a key that goes on from the partition before states, as a short table, which entry
+    it ends with for every entry it may begin with; these tables are composed key by key,
+    and every partition is then replayed on its own from the entry it begins with.
+    Lookups without a key form a key; those without a time come first and are misses.
     """
-    ttl = pd.Timedelta(hours=ttl_hours)
+    spark = log.sparkSession
+    ttl = ttl_hours * 3_600_000_000
     src = log.select(F.col(order).cast("long").alias("event_id"), X.col_(key).cast("string").alias("query_key"),
-                     F.col(ts).alias("ts"))
-    parts = src.repartition("query_key").sortWithinPartitions("query_key", "ts", "event_id")
-
-    def run(batches: Iterator[pd.DataFrame]):
-        cur_key, start = None, None
+                     F.col(ts).cast("timestamp_ntz").alias("ts"))
+    known = src.where("ts is not null")
+    dealt = (known.withColumn("at", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")))
+             .withColumn("k", F.coalesce(F.concat(F.lit("="), "query_key"), F.lit(""))))
+    parts = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written once: the borders of ranges are sampled, and two passes have to agree on them.
+    sorted_log = cut_lineage(dealt.repartitionByRange(parts, "k", "ts", "event_id")
+                             .sortWithinPartitions("k", "ts", "event_id"))
+
+    def transitions(batches: Iterator[pd.DataFrame]):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        first, now, held = None, None, []
+
+        def table():
+            times, ends = slice_transition(np.concatenate(held), ttl)
+            return pd.DataFrame({"k": [now], "part": [part], "leads": [first == now],
+                                 "times": [times.tobytes()], "ends": [ends.tobytes()]})
+        for pdf in batches:
+            at = pdf["at"].to_numpy()
+            for k, a, b in _runs(pdf["k"].to_numpy()):
+                first = k if first is None else first
+                if k != now:
+                    if now == first and held:
+                        yield table()
+                    now, held = k, []
+                held.append(at[a:b])
+        if held:
+            yield table()
+
+    def compose(batches: Iterator[pd.DataFrame]):
+        now, entry = None, None
+        for pdf in batches:
+            starts = []
+            for k, times, ends in zip(pdf["k"], pdf["times"], pdf["ends"]):
+                if k != now:
+                    now, entry = k, None
+                starts.append(entry)
+                times, ends = np.frombuffer(times, np.int64), np.frombuffer(ends, np.int64)
+                at = 0 if entry is None else int(np.searchsorted(times, entry + ttl))
+                entry = int(ends[at]) if at < len(ends) else entry
+            yield pd.DataFrame({"part": pdf["part"], "entry": pd.array(starts, dtype="Int64"), "leads": pdf["leads"]})
+
+    tables = sorted_log.mapInPandas(transitions, "k string, part int, leads boolean, times binary, ends binary")
+    begin = (tables.repartition("k").sortWithinPartitions("k", "part")
+             .mapInPandas(compose, "part int, entry long, leads boolean").where("leads and entry is not null"))
+    # At most one row a partition.
+    entry_of = {r["part"]: r["entry"] for r in begin.select("part", "entry").collect()}
+
+    def replay(batches: Iterator[pd.DataFrame]):
+        from pyspark import TaskContext
+        now, entry = None, entry_of.get(TaskContext.get().partitionId())
         for pdf in batches:
-            hits, starts = [], []
-            for k, t in zip(pdf["query_key"].values, pdf["ts"]):
-                if k != cur_key or start is None or t >= start + ttl:
-                    cur_key, start = k, t
-                    hits.append(False)
-                else:
-                    hits.append(True)
-                starts.append(start)
-            out = pdf.copy()
-            out["hit"] = hits
-            out["entry_start"] = pd.Series(starts, index=pdf.index, dtype="datetime64[us]")
+            at = pdf["at"].to_numpy()
+            starts = np.empty_like(at)
+            hit = np.ones(len(at), dtype=bool)
+            for k, a, b in _runs(pdf["k"].to_numpy()):
+                if now is not None and k != now:
+                    entry = None
+                now, before = k, entry
+                starts[a:b] = _entries(at[a:b], entry, ttl)
+                # The first lookup that meets a new entry made it.
+                made = np.append(True if before is None else starts[a] != before, starts[a + 1:b] != starts[a:b - 1])
+                hit[a:b] = ~made
+                entry = int(starts[b - 1])
+            out = pdf[["event_id", "query_key", "ts"]].copy()
+            out["hit"] = hit
+            out["entry_start"] = pd.Series(starts, index=pdf.index).astype("datetime64[us]")
             yield out
 
-    return parts.mapInPandas(run, REPLAY_SCHEMA)
+    timeless = src.where("ts is null").select("event_id", "query_key", "ts", F.lit(False).alias("hit"),
+                                              F.col("ts").alias("entry_start"))
+    return sorted_log.mapInPandas(replay, REPLAY_SCHEMA).unionByName(timeless)

@@ -1,10 +1,9 @@
 """Aggregations over chunk tables and query logs.
 
 All are ``groupBy``/global aggregates with map-side partial aggregation;
-exact percentiles use Spark's ``percentile`` (linear interpolation, equal to
-the reference's formula) whose partial state is a value->count map, and
-``approx=True`` switches to the bounded-memory ``percentile_approx`` sketch
-for very large groups.
+percentiles (linear interpolation) are exact by refined histograms
+(``percentiles``), and ``approx=True`` switches to one pass with the
+``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -15,12 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
+from .percentiles import with_percentiles
 
 
-def pct(col, p: float, approx: bool = False, accuracy: int = 10000) -> Column:
-    """Percentile with linear interpolation (exact) or a bounded sketch."""
-    c = col_(col).cast("double")
-    return F.percentile_approx(c, p, accuracy) if approx else F.percentile(c, F.lit(p))
+def grouped(df: DataFrame, by: Sequence[str], value, shares: dict[str, float], *aggs: Column,
+            approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """``aggs`` and the percentiles ``shares`` (name -> share) of ``value``, one row a group."""
+    if approx:
+        sketches = [F.percentile_approx(col_(value).cast("double"), p, accuracy).alias(n) for n, p in shares.items()]
+        return df.groupBy(*by).agg(*aggs, *sketches)
+    return with_percentiles(df.groupBy(*by).agg(*aggs), df, by, value, shares)
 
 
 def sd0(col) -> Column:
@@ -97,31 +100,32 @@ def analytics_summary(q: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
 
 def daily_query_stats(log: DataFrame, ts="ts", ms="value", approx: bool = False) -> DataFrame:
     """A10: per day count, mean and p95 (grouped percentile)."""
-    return log.groupBy(F.to_date(ts).alias("day")).agg(
-        F.count(F.lit(1)).alias("queries"), F.avg(ms).alias("avg_ms"), pct(ms, 0.95, approx).alias("p95_ms"))
+    days = log.select(F.to_date(ts).alias("day"), col_(ms).alias("ms"))
+    return grouped(days, ["day"], "ms", {"p95_ms": 0.95}, F.count(F.lit(1)).alias("queries"),
+                   F.avg("ms").alias("avg_ms"), approx=approx).select("day", "queries", "avg_ms", "p95_ms")
 
 
 def latency_percentiles(log: DataFrame, by: Sequence[str], ms="value", approx: bool = False) -> DataFrame:
     """Mean, sample stdev (0 if n<2), p50/p95/p99 per group."""
-    return log.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean_ms"), sd0(ms).alias("std_ms"),
-                                pct(ms, 0.5, approx).alias("p50_ms"), pct(ms, 0.95, approx).alias("p95_ms"),
-                                pct(ms, 0.99, approx).alias("p99_ms"))
+    return grouped(log, by, ms, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, F.count(F.lit(1)).alias("n"),
+                   F.avg(ms).alias("mean_ms"), sd0(ms).alias("std_ms"), approx=approx)
 
 
-def latency_by_category(log: DataFrame, category="event_type", query="user_id", ms="value") -> DataFrame:
+def latency_by_category(log: DataFrame, category="event_type", query="user_id", ms="value",
+                        approx: bool = False) -> DataFrame:
     """Per query avg/min/max/std, then per category the mean, median
     and p95 *of the per-query averages*."""
     per_q = log.groupBy(category, query).agg(F.avg(ms).alias("avg_ms"), F.min(ms).alias("min_ms"),
                                               F.max(ms).alias("max_ms"), sd0(ms).alias("std_ms"))
-    return per_q.groupBy(category).agg(F.count(F.lit(1)).alias("queries"), F.avg("avg_ms").alias("avg_latency_ms"),
-                                       pct("avg_ms", 0.5).alias("p50_latency_ms"),
-                                       pct("avg_ms", 0.95).alias("p95_latency_ms"))
+    return grouped(per_q, [category], "avg_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95},
+                   F.count(F.lit(1)).alias("queries"), F.avg("avg_ms").alias("avg_latency_ms"), approx=approx)
 
 
-def latency_by_level(log: DataFrame, level: Column, ms="value") -> DataFrame:
+def latency_by_level(log: DataFrame, level: Column, ms="value", approx: bool = False) -> DataFrame:
     """Avg / p50 / p95 / count per complexity level."""
-    return log.groupBy(level.alias("level")).agg(F.avg(ms).alias("avg_ms"), pct(ms, 0.5).alias("p50_ms"),
-                                                 pct(ms, 0.95).alias("p95_ms"), F.count(F.lit(1)).alias("n"))
+    return grouped(log.select(level.alias("level"), col_(ms).alias("ms")), ["level"], "ms",
+                   {"p50_ms": 0.5, "p95_ms": 0.95}, F.avg("ms").alias("avg_ms"), F.count(F.lit(1)).alias("n"),
+                   approx=approx).select("level", "avg_ms", "p50_ms", "p95_ms", "n")
 
 
 def implementation_compare(runs: DataFrame, impl="implementation", ms="value", ok="success") -> DataFrame:
@@ -138,11 +142,12 @@ def throughput(log: DataFrame, by: Sequence[str], ts="ts") -> DataFrame:
               .withColumn("qps", F.expr("try_divide(completed, elapsed_s)"))
 
 
-def level_success(log: DataFrame, level, ms="value", ok="success", expected: Column | None = None) -> DataFrame:
+def level_success(log: DataFrame, level, ms="value", ok="success", expected: Column | None = None,
+                  approx: bool = False) -> DataFrame:
     """Per concurrency level avg, p95, success %, errors."""
-    g = log.groupBy(col_(level).alias("level")).agg(
-        F.avg(ms).alias("avg_ms"), pct(ms, 0.95).alias("p95_ms"),
-        F.count(F.lit(1)).alias("attempts"), F.sum(F.when(col_(ok), 1).otherwise(0)).alias("succeeded"))
+    g = grouped(log.select(col_(level).alias("level"), col_(ms).alias("ms"), col_(ok).alias("ok")), ["level"], "ms",
+                {"p95_ms": 0.95}, F.avg("ms").alias("avg_ms"), F.count(F.lit(1)).alias("attempts"),
+                F.sum(F.when(F.col("ok"), 1).otherwise(0)).alias("succeeded"), approx=approx)
     return g.select("level", "avg_ms", "p95_ms", (F.col("succeeded") * 100.0 / F.col("attempts")).alias("success_pct"),
                     (F.col("attempts") - F.col("succeeded")).alias("errors"))
 

@@ -213,9 +213,10 @@ def keyword_relevance(t):
     then mean, p95 and count above 0.7."""
     res = _results(t).withColumn("kr", EV.keyword_relevance("chunk_text", TERMS[:3], F.length("chunk_text") > 500))
     q = res.groupBy("query_id").agg(F.avg("kr").alias("s"))
-    return q.agg(F.round(F.avg("s"), 6).alias("avg_relevance"), F.round(A.pct("s", 0.95), 6).alias("p95_relevance"),
-                 F.sum(F.when(F.round("s", 9) > 0.7, 1).otherwise(0)).cast("long").alias("queries_above_0_7"),
-                 F.count(F.lit(1)).alias("queries"))
+    r = A.grouped(q, [], "s", {"p95_relevance": 0.95}, F.avg("s").alias("avg_relevance"),
+                  F.sum(F.when(F.round("s", 9) > 0.7, 1).otherwise(0)).cast("long").alias("queries_above_0_7"),
+                  F.count(F.lit(1)).alias("queries"))
+    return r.select(*[F.round(c, 6).alias(c) for c in ("avg_relevance", "p95_relevance")], "queries_above_0_7", "queries")
 
 
 SD_SQL = (f"CASE WHEN {sql_contains_any('lower(chunk_text)', L.SAFETY_DENSITY_MARKERS)} "
@@ -234,9 +235,9 @@ def safety_density(t):
 def _current_metrics(t):
     """Long (metric, value) table measured from the log and the evaluation."""
     ev = t.events
-    lat = ev.agg(F.avg("value").alias("avg_latency_ms"), A.pct("value", 0.95).alias("p95_latency_ms"),
-                 F.max("value").alias("max_latency_ms"),
-                 F.avg((F.col("event_type") == "error").cast("double")).alias("error_rate"))
+    lat = A.grouped(ev, [], "value", {"p95_latency_ms": 0.95}, F.avg("value").alias("avg_latency_ms"),
+                    F.max("value").alias("max_latency_ms"),
+                    F.avg((F.col("event_type") == "error").cast("double")).alias("error_rate"))
     acc = EV.prf_overall(_per_query(t)).select(F.col("f1").alias("f1_score"), "precision", "recall")
     one = lat.crossJoin(acc)
     names = ["avg_latency_ms", "p95_latency_ms", "max_latency_ms", "error_rate", "f1_score", "precision", "recall"]

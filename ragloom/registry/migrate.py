@@ -19,6 +19,7 @@ from ..operators import migrate as M
 from ..operators import planning as P
 from ..operators import search as S
 from ..session import scratch_path
+from ..sinks import buckets
 from .common import register, window_chunks_sql
 from .planning import ASSESS_SQL, UNIT
 from .text import _quality_sql
@@ -308,18 +309,15 @@ SELECT chunk_id, md5(chunk_text) AS chunk_hash FROM (
   UNION ALL SELECT * FROM {window_chunks_sql(source='nd')})
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)""")
 def rewrite_chunk_table(t):
-    """H13 + H14 as writes: a chunk table is upserted, then deleted from, each
-    staged at a new location and swapped in the catalog."""
-    base = scratch_path(t.spark, f"chunk-table-{uuid.uuid4().hex[:12]}")
-    name = f"chunks_{uuid.uuid4().hex[:12]}"
-    chunking.chunk_window(t.documents).write.parquet(f"{base}/v0")
-    t.spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{base}/v0'")
+    """H13 + H14 as writes: a chunk table in hash buckets is upserted, then deleted
+    from; each change writes the buckets it touches and the next manifest."""
+    folder = scratch_path(t.spark, f"chunk-table-{uuid.uuid4().hex[:12]}")
+    buckets.create_table(chunking.chunk_window(t.documents), folder, buckets=64)
     revised = (t.documents.join(t.labels.where(F.col("quality") == 0).select("doc_id"), "doc_id", "left_semi")
                .select("doc_id", F.concat("text", F.lit(" (revised)")).alias("text")))
-    M.replace_table(M.upsert_documents(t.spark.table(name), revised, chunking.chunk_window), name, f"{base}/v1")
-    M.replace_table(M.delete_documents(t.spark.table(name), t.labels.where(F.col("toxic") == 1)), name, f"{base}/v2")
-    t.spark.sql(f"DROP TABLE {name}")  # an external table: the rows stay
-    return t.spark.read.parquet(f"{base}/v2").select("chunk_id", F.md5("chunk_text").alias("chunk_hash"))
+    buckets.upsert_rows(t.spark, folder, chunking.chunk_window(revised), revised, "revise")
+    buckets.delete_keys(t.spark, folder, t.labels.where(F.col("toxic") == 1), "toxic")
+    return buckets.read_table(t.spark, folder).select("chunk_id", F.md5("chunk_text").alias("chunk_hash"))
 
 
 @register("compare_systems", None)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,39 @@ def test_cache_replay_matches_loop_with_hot_key(spark):
     assert got == want
 
 
+def test_a_hot_key_is_replayed_slice_by_slice(spark):
+    random.seed(7)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(3000):
+        key = "hot" if i % 3 else random.choice(["a", "b", None])
+        step = random.choice([random.randint(0, 4000), random.randint(0, 40) * 24 * 60])   # ties and gaps of a TTL
+        rows.append((i, key, t0 + dt.timedelta(minutes=step)))
+    df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp_ntz")
+    want = py_replay([(e, str(k), ts) for e, k, ts in rows])
+    for slices, hours in ((1, 24), (40, 24), (40, 1), (300, 300)):
+        want = py_replay([(e, str(k), ts) for e, k, ts in rows], dt.timedelta(hours=hours))
+        out = Q.cache_replay(df, F.col("user_id"), slices=slices, ttl_hours=hours)
+        assert {r.event_id: (r.hit, r.entry_start) for r in out.collect()} == want
+    per_task = out.where("query_key = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 50 and max(r["count"] for r in per_task) < 200
+    timeless = Q.cache_replay(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz")), F.col("user_id")).collect()
+    assert [(r.hit, r.entry_start) for r in timeless] == [(False, None)]
+    assert Q.cache_replay(df.limit(0), F.col("user_id")).collect() == []
+
+
+def test_slice_transition_by_trying_every_entry():
+    for seed in range(60):
+        random.seed(seed)
+        ttl = random.randint(1, 30)
+        times = np.sort(np.array([random.randint(100, 100 + 4 * ttl) for _ in range(random.randint(1, 30))]))
+        thresholds, ends = Q.slice_transition(times, ttl)
+        for entry in range(int(times[0]) - ttl - 3, int(times[0]) + 1):
+            expected = int(Q._entries(times, entry, ttl)[-1])
+            at = int(np.searchsorted(thresholds, entry + ttl))
+            assert (int(ends[at]) if at < len(ends) else entry) == expected
+
+
 def test_cache_lookup_boundary(spark):
     cache = spark.createDataFrame([("h1", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)),
                                    ("h2", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3))],
