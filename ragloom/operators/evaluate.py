@@ -206,16 +206,20 @@ def key_metrics(long_metrics: DataFrame, names: Sequence[str], digits: int = 3)
     return p.select(*[F.round(F.col(n), digits).alias(n) for n in names])
 
 
-def threshold_sweep(pairs: DataFrame, thresholds: Sequence[float], score: str = "score",
-                    quality: str | None = None) -> DataFrame:
-    """Result count (and mean score/quality) at every threshold.
-
-    Each scored pair is expanded to the thresholds it passes (a generator
-    over a literal array -- no join), then grouped by threshold."""
-    ths = F.array(*[F.lit(float(x)) for x in thresholds])
-    e = pairs.select("*", F.explode(F.filter(ths, lambda th: F.col(score) >= th)).alias("threshold"))
-    aggs = [F.count(F.lit(1)).alias("results"), F.countDistinct("query_id").alias("queries_with_results"),
-            F.avg(score).alias("avg_score")]
-    if quality:
-        aggs.append(F.avg(quality).alias("avg_quality"))
-    return e.groupBy("threshold").agg(*aggs)
+def threshold_sweep(scores: DataFrame) -> DataFrame:
+    """Per threshold the results, the queries that have any, the mean score, and
+    the quality: precision (results with the query's label among results), recall (among
+    all chunks with it) and F1 over all queries, and the mean precision of the queries
+    with results.
+
+    ``scores`` has one row a query and threshold (``vector_search.sweep_scores``).
+    """
+    hits, results, relevant = (F.sum(c) for c in ("hits", "results", "relevant"))
+    some = F.when(F.col("results") > 0, F.col("hits") / F.col("results"))
+    g = scores.groupBy("threshold").agg(
+        results.cast("long").alias("results"), F.count(F.when(F.col("results") > 0, 1)).alias("queries_with_results"),
+        F.expr("try_divide(sum(score_sum), sum(results))").alias("avg_score"),
+        F.when(results > 0, hits / results).alias("precision"), F.when(relevant > 0, hits / relevant).alias("recall"),
+        F.avg(some).alias("avg_query_precision"))
+    p, r = F.col("precision"), F.col("recall")
+    return g.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).when(p.isNotNull() & r.isNotNull(), 0.0))

@@ -6,10 +6,12 @@ given, such as the mean vector of each class (``mean_centroids``, ``assign_lists
 Written partitioned by that ``ivf_list`` column, a search reads only the
 probed lists (partition pruning).
 
-Search: the query block (bounded, broadcast) carries, per query, its
-``nprobe`` nearest lists; the chunk scan keeps only rows of probed lists
-and scores each row only against the queries that probe its list, with the
-same exact per-task top-k + final window as the brute-force search.
+Search: the first round scores every row of the lists nearest to a query, which
+gives each query a k-th score. On unit vectors no row of a list can be closer
+to a query than the list's centroid by more than the list's radius (the largest angle
+between the centroid and a row), so a second round reads just the lists whose
+bound reaches the k-th score, and the result is the exact top-k. Rows are only scored
+against the queries that read their list.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
-from .vector_search import BlockScan, _dim, query_blocks, vector_matrix
+from ..session import cut_lineage
+from .vector_search import DEFAULT_BLOCK_BYTES, DEFAULT_GROUP_BYTES, finish_topk, scan_topk, vector_matrix
 
 
 def ivf_build(chunks: DataFrame, n_lists: int = 16, vec_col: str = "embedding", seed: int = 42,
@@ -71,36 +74,73 @@ def ivf_write_index(assigned: DataFrame, path: str) -> DataFrame:
     return assigned.sparkSession.read.parquet(path)
 
 
-def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 5,
-               nprobe: int = 4, threshold: float = 0.3, key_cols=("chunk_id",), vec_col: str = "embedding",
-               query_vec: str = "embedding", digits: int = 9) -> DataFrame:
-    """Top-k per query among the chunks of its ``nprobe`` nearest lists."""
-    dim = _dim(queries, query_vec)
-    qid_type = queries.schema["query_id"].dataType
-    n_lists = centroids.shape[0]
+def list_radii(indexed: DataFrame, centroids: np.ndarray, vec_col: str = "embedding") -> np.ndarray:
+    """Largest angle between each centroid and a row of its list (one number a list)."""
+    @F.pandas_udf("double")
+    def closeness(v: pd.Series, own: pd.Series) -> pd.Series:
+        rows = vector_matrix(v.values, centroids.shape[1])
+        return pd.Series(np.einsum("ij,ij->i", rows, centroids[own.to_numpy(dtype=np.int64)]))
+
+    found = indexed.select("ivf_list", closeness(vec_col, "ivf_list").alias("c")).groupBy("ivf_list").agg(
+        F.min("c").alias("c")).collect()
+    radii = np.zeros(len(centroids))
+    for r in found:
+        radii[int(r["ivf_list"])] = np.arccos(np.clip(r["c"], -1, 1)) + _SLACK
+    return radii
+
+
+#: Angles and scores are rounded; bounds are widened by more than that.
+_SLACK = 1e-6
 
-    def scorer(pdf, pay):
-        qm, probe = pay
-        cm = vector_matrix(pdf["_v"].values, dim)
-        s = np.round(cm @ qm.T, digits)
-        lists = pdf["ivf_list"].values.astype(np.int64)
-        keep = (s > threshold) & probe[lists, :]
-        return s, keep, {"score": s}
 
+def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 5,
+               nprobe: int = 4, threshold: float = 0.3, key_cols=("chunk_id",), vec_col: str = "embedding",
+               query_vec: str = "embedding", digits: int = 9, exact: bool = True,
+               block_bytes: int = DEFAULT_BLOCK_BYTES, group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
+    """Top-k per query above ``threshold``: the exact ones, or with ``exact=False`` those
+    among its ``nprobe`` nearest lists."""
+    src = indexed.withColumn("_v", F.col(vec_col))
     order = [F.col("score").desc()] + [F.col(c).asc() for c in key_cols]
-    scan = BlockScan(indexed.withColumn("_v", F.col(vec_col)), k, order)
-    for rows in query_blocks(queries.select(F.col("query_id"), F.col(query_vec).alias("qv")),
-                             ["query_id", "qv"], 8 * dim + 64,
-                             on_multi=lambda: scan.several(stage_input=False)):
-        qm = vector_matrix([r["qv"] for r in rows], dim)
+    q = queries.select("query_id", F.col(query_vec).alias("qv"))
+
+    def nearest(qm):
         near = np.argsort(-(qm @ centroids.T), axis=1, kind="stable")[:, :nprobe]
-        probe = np.zeros((n_lists, len(rows)), dtype=bool)
-        for j, ls in enumerate(near):
-            probe[ls, j] = True
-        wanted = sorted({int(x) for x in np.unique(near)})
-        scan.add(list(key_cols), ["_v", "ivf_list"], [r["query_id"] for r in rows], (qm, probe), scorer,
-                 [("score", T.DoubleType())], qid_type, where=F.col("ivf_list").isin(wanted))
-    return scan.result()
+        read = np.zeros((len(centroids), len(qm)), dtype=bool)
+        read[near.T, np.arange(len(qm))] = True
+        return read
+
+    def scorer(pdf, pay):
+        qm, read = pay
+        s = np.round(vector_matrix(pdf["_v"].values, centroids.shape[1]) @ qm.T, digits)
+        return s, (s > threshold) & read[pdf["ivf_list"].to_numpy(dtype=np.int64)], {"score": s}
+
+    def round_(rows: DataFrame, payload) -> DataFrame:
+        return scan_topk(src, rows, list(key_cols), ["_v", "ivf_list"], payload, scorer,
+                         [("score", T.DoubleType())], k, order,
+                         pruned=lambda pay: F.col("ivf_list").isin(np.flatnonzero(pay[1].any(axis=1)).tolist()),
+                         block_bytes=block_bytes, group_bytes=group_bytes)
+
+    def first(rows, width):
+        qm = vector_matrix(rows["qv"].values, centroids.shape[1])
+        return qm, nearest(qm)
+
+    found = round_(q, first)
+    if not exact:
+        return found
+    found = cut_lineage(found)
+    radii = list_radii(indexed, centroids, vec_col)
+
+    def second(rows, width):
+        qm = vector_matrix(rows["qv"].values, centroids.shape[1])
+        angle = np.arccos(np.clip(centroids @ qm.T, -1, 1))
+        most = np.cos(np.clip(angle - radii[:, None], 0, np.pi))
+        least = rows["least"].to_numpy(dtype=np.float64)
+        return qm, (most >= least[None, :] - _SLACK) & ~nearest(qm)
+
+    kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
+    open_ = q.join(kth, "query_id", "left").select("query_id", "qv", F.coalesce("_kth", F.lit(float(threshold))).alias("least"))
+    both = found.drop("rank").unionByName(round_(open_, second).drop("rank"))
+    return finish_topk(both, k, order)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, key: str = "chunk_id") -> DataFrame:

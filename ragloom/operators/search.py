@@ -1,25 +1,30 @@
 """Search, ranking, filters and result post-processing (R2-R11, V4, F1-F9,
 J2-J8, U1-U4).
 
-Retrieval cores go through ``vector_search.broadcast_topk`` (bounded
-broadcast of a query block, per-task top-k, exact final window); everything
-after retrieval works on the small per-query result table.
+Retrieval cores go through ``vector_search.scan_topk`` (query blocks of measured
+size, per-task top-k, exact final window); everything after retrieval works on the small per-query result table.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from functools import reduce
 from typing import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicons as L
+from ..functions import vectors as V
 from ..functions.text import WORD_RE, col_
-from .vector_search import (DEFAULT_BLOCK_BYTES, BlockScan, _dim, expand_matches, query_blocks, vector_matrix, vocab_index)
+from ..session import scratch_path
+from .vector_search import (DEFAULT_BLOCK_BYTES, DEFAULT_GROUP_BYTES, expand_matches, scan_topk, vector_matrix,
+                            vocab_index)
 
 
 # ------------------------------------------------------------------ filters
@@ -113,7 +118,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
                   chunk_vec: str = "embedding", chunk_kw: str = "keywords",
                   importance: str = "importance_score", query_vec: str = "embedding",
                   query_kw: str = "keywords", digits: int = 9,
-                  block_bytes: int | None = None) -> DataFrame:
+                  block_bytes: int = DEFAULT_BLOCK_BYTES, group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
     """R4 (+J2 collapsed): alpha*semantic + (1-alpha)*keyword*0.5 + importance*0.2,
     keep semantic > threshold OR keyword > 0, top-k per query.
 
@@ -123,15 +128,16 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
     """
     if where is not None:
         chunks = chunks.where(where)
-    dim = _dim(queries, query_vec)
     w_kw = (1 - alpha) * L.HYBRID_KEYWORD_WEIGHT
     w_imp = L.HYBRID_IMPORTANCE_WEIGHT
-    qid_type = queries.schema["query_id"].dataType
+
+    def payload(rows, width):
+        return vector_matrix(rows["qv"].values, width), *vocab_index(rows["qk"].values)
 
     def scorer(pdf, pay):
         qm, vocab, indptr, qidx = pay
         n, nq = len(pdf), qm.shape[0]
-        sem = np.round(vector_matrix(pdf["_v"].values, dim) @ qm.T, digits)
+        sem = np.round(vector_matrix(pdf["_v"].values, qm.shape[1]) @ qm.T, digits)
         rows, terms, nkw = [], [], np.zeros(n)
         for i, kws in enumerate(pdf["_kw"].values):
             if kws is None:
@@ -157,14 +163,40 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: flo
             ("hybrid_score", T.DoubleType())]
     q = queries.select(F.col("query_id"), F.col(query_vec).alias("qv"), F.col(query_kw).alias("qk"))
     order = [F.col("hybrid_score").desc()] + [F.col(c).asc() for c in tie_cols]
-    scan = BlockScan(src.select(*dict.fromkeys(list(key_cols) + ["_v", "_kw", "_imp"])), k, order)
-    for rows in query_blocks(q, ["query_id", "qv", "qk"], 8 * dim + 512,
-                             block_bytes or DEFAULT_BLOCK_BYTES, on_multi=scan.several):
-        qm = vector_matrix([r["qv"] for r in rows], dim)
-        vocab, indptr, qidx = vocab_index([r["qk"] for r in rows])
-        scan.add(list(key_cols), ["_v", "_kw", "_imp"], [r["query_id"] for r in rows],
-                 (qm, vocab, indptr, qidx), scorer, outs, qid_type)
-    return scan.result()
+    return scan_topk(src, q, list(key_cols), ["_v", "_kw", "_imp"], payload, scorer, outs, k, order,
+                     block_bytes=block_bytes, group_bytes=group_bytes)
+
+
+def hybrid_candidates(chunks: DataFrame, queries: DataFrame, keyword: DataFrame, k: int = 10,
+                      alpha: float = L.HYBRID_ALPHA, threshold: float = L.SEMANTIC_THRESHOLD,
+                      importance: str = "importance_score", chunk_vec: str = "embedding",
+                      query_vec: str = "embedding", digits: int = 9, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                      group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
+    """J2 input: the pairs ``hybrid_left_join`` can choose its top-k from.
+
+    These are each query's k best by semantic score and importance alone among the
+    pairs past the threshold, and the pairs of the ``keyword`` table: a keyword score
+    only adds, so a pair without one behind k others stays behind them. At most k rows
+    a query leave the scan. Returns (query_id, chunk_id, semantic_score, importance).
+    """
+    def payload(rows, width):
+        return vector_matrix(rows["qv"].values, width)
+
+    def scorer(pdf, qm):
+        s = np.round(vector_matrix(pdf["_v"].values, qm.shape[1]) @ qm.T, digits)
+        worth = np.nan_to_num(pdf[importance].values.astype(np.float64)) * L.HYBRID_IMPORTANCE_WEIGHT
+        return np.round(alpha * s + worth[:, None], digits), s > threshold, {
+            "semantic_score": s, "base": np.round(alpha * s + worth[:, None], digits)}
+
+    src = chunks.select("chunk_id", importance, F.col(chunk_vec).alias("_v"))
+    q = queries.select("query_id", F.col(query_vec).alias("qv"))
+    best = scan_topk(src, q, ["chunk_id", importance], ["_v"], payload, scorer,
+                     [("semantic_score", T.DoubleType()), ("base", T.DoubleType())], k,
+                     [F.col("base").desc(), F.col("chunk_id")], block_bytes=block_bytes, group_bytes=group_bytes)
+    scored = (keyword.select("query_id", "chunk_id").distinct().join(src, "chunk_id").join(q, "query_id")
+              .select("query_id", "chunk_id", importance,
+                      F.round(V.cosine_similarity("_v", "qv"), digits).alias("semantic_score")))
+    return best.select(scored.columns).unionByName(scored).dropDuplicates(["query_id", "chunk_id"])
 
 
 def hybrid_left_join(semantic: DataFrame, keyword: DataFrame, k: int = 10, alpha: float = L.HYBRID_ALPHA,
@@ -200,88 +232,100 @@ def py_terms(text):
     return _TERM_RE.findall(text.lower()) if text else []
 
 
+def term_counts(chunks: DataFrame, key_cols: Sequence[str], text_col: str = "chunk_text") -> DataFrame:
+    """V4 index: every chunk's distinct terms with their frequencies and its length in terms.
+
+    The one tokenising pass over a corpus (in Arrow tasks, ~4x cheaper than the JVM regex)."""
+    src = chunks.select(*key_cols, F.col(text_col).alias("_txt"))
+    fields = [f for f in src.schema.fields if f.name != "_txt"]
+    schema = T.StructType(fields + [T.StructField("terms", T.ArrayType(T.StringType())),
+                                    T.StructField("tfs", T.ArrayType(T.IntegerType())),
+                                    T.StructField("dl", T.LongType())])
+
+    def count(batches):
+        for batch in batches:
+            counts, lengths = [], []
+            for text in batch.column("_txt").to_pylist():
+                tokens = py_terms(text)
+                counts.append(Counter(tokens))
+                lengths.append(len(tokens))
+            ends = np.cumsum([0] + [len(c) for c in counts]).astype(np.int32)
+            terms = pa.array([w for c in counts for w in c], pa.string())
+            tfs = pa.array([n for c in counts for n in c.values()], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in fields] + [pa.ListArray.from_arrays(ends, terms),
+                                                          pa.ListArray.from_arrays(ends, tfs), pa.array(lengths, pa.int64())],
+                [f.name for f in fields] + ["terms", "tfs", "dl"])
+    return src.mapInArrow(count, schema)
+
+
+def query_weights(counted: DataFrame, queries: DataFrame, n_chunks: int, query_text: str = "query_text") -> DataFrame:
+    """(query_id, terms, idfs): the distinct terms of each query with their inverse document
+    frequencies over ``counted``. Only the queries' terms are counted, by a join that AQE
+    broadcasts when they are few; the vocabulary never reaches the driver."""
+    q = queries.select("query_id", F.col(query_text).alias("qt"))
+    schema = T.StructType([q.schema["query_id"], T.StructField("term", T.StringType())])
+
+    def split(batches):
+        for pdf in batches:
+            found = [(i, w) for i, text in zip(pdf["query_id"], pdf["qt"]) for w in sorted(set(py_terms(text)))]
+            yield pd.DataFrame(found, columns=["query_id", "term"])
+    pairs = q.mapInPandas(split, schema)
+    df = (counted.select(F.explode("terms").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
+          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    d = F.coalesce(F.col("df"), F.lit(0))
+    idf = F.log((F.lit(n_chunks) - d + 0.5) / (d + 0.5) + 1)
+    weighted = pairs.join(df, "term", "left").select("query_id", F.struct("term", idf.alias("idf")).alias("w"))
+    return weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("w")).alias("w")).select(
+        "query_id", F.col("w.term").alias("terms"), F.col("w.idf").alias("idfs"))
+
+
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 10,
                 k1: float = L.BM25_K1, b: float = L.BM25_B,
                 key_cols: Sequence[str] = ("doc_id", "chunk_id"), tie_cols: Sequence[str] = ("chunk_id",),
                 text_col: str = "chunk_text", query_text: str = "query_text",
-                digits: int = 9, where: Column | None = None,
-                block_bytes: int | None = None) -> DataFrame:
+                digits: int = 9, where: Column | None = None, index: DataFrame | None = None,
+                block_bytes: int = DEFAULT_BLOCK_BYTES, group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
     """V4: Okapi BM25 ranking of chunks for a batch of text queries.
 
-    Per query block two scans of the chunk table, both inside Arrow tasks
-    (tokenising once per row there is ~4x cheaper than the JVM regex):
-    (1) statistics -- every task emits its chunk count, token total and the
-    document frequencies of the *query vocabulary only*; a groupBy sums
-    these partials (|vocab| x partitions rows shuffled, never per-token
-    rows); (2) scoring -- every task sums the term weights of its chunks
-    for each query of the block (broadcast inverted index) and keeps its
-    top-k per query.
+    The corpus is tokenised once, into ``index`` (``term_counts``, written as a table
+    unless given); document frequencies and scores come from there. Every task sums
+    the term weights of its chunks for each query of a block (inverted index of the
+    block's terms) and keeps its top-k per query.
     """
-    if where is not None:
-        chunks = chunks.where(where)
     spark = chunks.sparkSession
-    qid_type = queries.schema["query_id"].dataType
-    src = chunks.select(*key_cols, F.col(text_col).alias("_txt"))
-    q = queries.select("query_id", F.col(query_text).alias("qt"))
-    order = [F.col("score").desc()] + [F.col(c).asc() for c in tie_cols]
-    scan = BlockScan(src, k, order)
-    for rows in query_blocks(q, ["query_id", "qt"], 4096, block_bytes or DEFAULT_BLOCK_BYTES,
-                             on_multi=scan.several):
-        qterms = [sorted(set(py_terms(r["qt"]))) for r in rows]
-        vocab, indptr, qidx = vocab_index(qterms)
-        bv = spark.sparkContext.broadcast(frozenset(vocab))
-
-        def stats(batches, _bv=bv):
-            vs = _bv.value
-            n, dl, dfc = 0, 0, {}
-            for pdf in batches:
-                for txt in pdf["_txt"].values:
-                    toks = py_terms(txt)
-                    n += 1
-                    dl += len(toks)
-                    for term in set(toks) & vs:
-                        dfc[term] = dfc.get(term, 0) + 1
-            terms = list(dfc) + [None]
-            yield pd.DataFrame({"term": terms, "n": [dfc[x] for x in dfc] + [n], "dl": [0] * len(dfc) + [dl]})
-
-        agg = scan.df.select("_txt").mapInPandas(stats, "term string, n long, dl long") \
-                 .groupBy("term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).collect()
-        bv.destroy()
-        tot = [r for r in agg if r["term"] is None]
-        n_docs = int(tot[0]["n"]) if tot else 0
-        avgdl = (float(tot[0]["dl"]) / n_docs) if n_docs else 1.0
-        df_map = {r["term"]: int(r["n"]) for r in agg if r["term"] is not None}
+    if index is None:
+        path = scratch_path(spark, f"terms-{uuid.uuid4().hex}")
+        term_counts(chunks if where is None else chunks.where(where), key_cols, text_col).write.parquet(path)
+        index = spark.read.parquet(path)
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    avgdl = float(size["avgdl"] or 1.0)
+
+    def payload(rows, width):
+        vocab, indptr, qidx = vocab_index(rows["terms"].values)
         idf = np.zeros(len(vocab))
-        for term, j in vocab.items():
-            d = df_map.get(term, 0)
-            idf[j] = np.log((n_docs - d + 0.5) / (d + 0.5) + 1)
-
-        def scorer(pdf, pay, _idf=idf, _avgdl=avgdl, _nq=len(rows)):
-            vocab_, indptr_, qidx_ = pay
-            rows_, terms_, tfs, dls = [], [], [], []
-            for i, txt in enumerate(pdf["_txt"].values):
-                toks = py_terms(txt)
-                counts: dict = {}
-                for term in toks:
-                    j = vocab_.get(term)
-                    if j is not None:
-                        counts[j] = counts.get(j, 0) + 1
-                for j, c in counts.items():
-                    rows_.append(i)
-                    terms_.append(j)
-                    tfs.append(c)
-                    dls.append(len(toks))
-            terms_a = np.asarray(terms_, dtype=np.int64)
-            tf = np.asarray(tfs, dtype=np.float64)
-            dl_ = np.asarray(dls, dtype=np.float64)
-            w = (tf * (k1 + 1)) / (tf + k1 * ((1 - b) + b * dl_ / _avgdl)) * _idf[terms_a] if len(tf) else tf
-            s = np.round(expand_matches(np.asarray(rows_, dtype=np.int64), terms_a, w, indptr_, qidx_,
-                                        len(pdf), _nq), digits)
-            return s, s > 0, {"score": s}
-
-        scan.add(list(key_cols), ["_txt"], [r["query_id"] for r in rows], (vocab, indptr, qidx), scorer,
-                 [("score", T.DoubleType())], qid_type)
-    return scan.result()
+        for terms, idfs in zip(rows["terms"].values, rows["idfs"].values):
+            for term, x in zip(terms, idfs):
+                idf[vocab[term]] = x
+        return vocab, indptr, qidx, idf, len(rows)
+
+    def scorer(pdf, pay):
+        vocab, indptr, qidx, idf, nq = pay
+        sizes = [len(x) for x in pdf["terms"].values]
+        row = np.repeat(np.arange(len(pdf)), sizes)
+        found = np.fromiter((vocab.get(w, -1) for x in pdf["terms"].values for w in x), dtype=np.int64, count=len(row))
+        tf = np.concatenate([*pdf["tfs"].values, np.empty(0)]).astype(np.float64)
+        here = found >= 0
+        row, found, tf = row[here], found[here], tf[here]
+        dl = pdf["dl"].to_numpy(dtype=np.float64)[row]
+        w = (tf * (k1 + 1)) / (tf + k1 * ((1 - b) + b * dl / avgdl)) * idf[found]
+        s = np.round(expand_matches(row, found, w, indptr, qidx, len(pdf), nq), digits)
+        return s, s > 0, {"score": s}
+
+    order = [F.col("score").desc()] + [F.col(c).asc() for c in tie_cols]
+    return scan_topk(index, query_weights(index, queries, int(size["n"]), query_text), list(key_cols),
+                     ["terms", "tfs", "dl"], payload, scorer, [("score", T.DoubleType())], k, order,
+                     block_bytes=block_bytes, group_bytes=group_bytes)
 
 
 # ------------------------------------------------------- result processing

@@ -1,22 +1,18 @@
 """Scoring a batch of queries against a large chunk table, exactly, without
-a pair table (J1, and the retrieval cores of R1/R2/R4/R5 and V4).
-
-Plan shape, chosen for a chunk table far larger than memory:
-
-* the chunk table is scanned once, column-pruned to what the scorer needs,
-  and is never shuffled nor joined row-by-row with the queries (no cross
-  join, no keyword/postings join that would emit every pair of a hot key);
-* the queries are collected in blocks whose size is counted first
-  (``block_bytes``), so what is broadcast has a proven bound; more queries
-  simply mean more blocks, each its own scan, whose results are written and
-  whose broadcast is released before the next block is fetched;
-* every task scores its Arrow batch against the whole query block with
-  numpy (cache-sized slices) and emits, per query, only the rows that pass
-  the filter and can still be in that query's top-k -- every tie at the
-  k-th score is kept, so the final cut is exact;
-* one ``row_number() <= k`` window per query finishes the job; Spark plans
-  a partial ``WindowGroupLimit`` before that shuffle, so at most
-  k-plus-ties rows per query and partition move.
+a pair table (J1, and the retrieval cores of R1/R2/R4/R5, V4, V7 and E17).
+
+Queries are packed into blocks (Arrow, measured in bytes). What fits one block
+(``block_bytes``) is broadcast: the chunk table is scanned once, column-pruned, and
+neither shuffled nor joined. A larger query table never passes through the driver:
+chunk batches are packed and dealt into groups of ``group_bytes``, every group
+is sent all query blocks, and a task holds its group and one block at a time.
+
+Either way a task scores its Arrow batches against a block with numpy (cache-sized
+slices) and emits, per query, only the rows that pass the filter and can still be
+in that query's top-k -- every tie at the k-th score is kept, so the final cut is
+exact. One ``row_number() <= k`` window per query finishes the job; Spark plans a
+partial ``WindowGroupLimit`` before that shuffle, so at most k-plus-ties rows per
+query and partition move.
 
 Scores are rounded to ``digits`` decimals (1e-9) before ranking so equal
 inputs tie exactly whatever the summation order; ties go to the caller's
@@ -25,83 +21,101 @@ tie columns.
 
 from __future__ import annotations
 
-import math
 import uuid
-from typing import Callable, Sequence
+from typing import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024       # payload bytes per broadcast block
+DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024       # payload bytes per query block
+DEFAULT_GROUP_BYTES = 64 * 1024 * 1024       # chunk bytes a task holds beside a block
 SLICE_CELLS = 2_000_000                      # score cells per numpy slice
 UNBOUNDED = 1 << 62
 
-
-def query_blocks(queries: DataFrame, cols: Sequence[str], row_bytes: int,
-                 block_bytes: int = DEFAULT_BLOCK_BYTES, key: str = "query_id", on_multi=None):
-    """Collect ``queries`` in blocks of bounded size; yields lists of Rows.
-
-    ``row_bytes`` bounds one row's payload, so a block of
-    ``block_bytes // row_bytes`` rows stays under ``block_bytes``. The first
-    job fetches at most one row more than a block: if that is everything,
-    it is the only block (one job); otherwise the rows are counted and
-    split into hash ranges of the query key, each collected on its own.
+_PACKED = "number long, n long, bytes long, width long, blob binary"
+
+
+def packed(df: DataFrame, limit: int) -> DataFrame:
+    """Rows of ``df`` as Arrow blobs of at most ``limit`` bytes (or one row), numbered;
+    ``width`` is the length of the longest array of a blob."""
+    def pack(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            step = max(1, int(len(batch) * limit / max(batch.nbytes, 1)))
+            for a in range(0, len(batch), step):
+                part = batch.slice(a, min(step, len(batch) - a))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                width = max([len(x) for c in part.columns if pa.types.is_list(c.type)
+                             for x in c if x.is_valid] or [0])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number]), pa.array([len(part)]), pa.array([part.nbytes]), pa.array([width]),
+                    pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                    ["number", "n", "bytes", "width", "blob"])
+                number += 1
+    return df.mapInArrow(pack, _PACKED)
+
+
+def unpacked(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(blob).read_pandas()
+
+
+def scan(chunks: DataFrame, queries: DataFrame, payload: Callable[[pd.DataFrame, int], object],
+         per_block: Callable[[Iterable[pd.DataFrame], object], Iterator[pd.DataFrame]], schema: T.StructType,
+         pruned: Callable[[object], Column] | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES,
+         group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
+    """Every batch of ``chunks`` against every query, block by block.
+
+    ``payload(queries, width)`` prepares a block (``width``: the longest array of all
+    queries), ``per_block(batches, payload)`` yields rows of ``schema``. ``pruned``
+    may turn the payload of a broadcast block into a filter of the chunk table. The
+    queries are computed once; two small numbers of them are fetched to choose the way.
     """
-    q = queries.select(*cols)
-    per_block = max(1, block_bytes // max(row_bytes, 1))
-    first = q.limit(per_block + 1).collect()
-    if len(first) <= per_block:
-        yield first
-        return
-    if on_multi is not None:          # several scans follow: let the caller materialise its input
-        on_multi()
-    del first                         # one block at a time on the driver
-    n = q.count()
-    nblocks = max(1, math.ceil(n / per_block))
-    for b in range(nblocks):
-        yield q.where(F.pmod(F.xxhash64(key), F.lit(nblocks)) == b).collect()
-
-
-class BlockScan:
-    """Top-k results of all query blocks over one chunk table.
-
-    A single block stays a lazy plan. When the query set needs several
-    (``query_blocks`` calls ``several``), the chunk plan, which would be
-    recomputed (chunked, enriched) per block, is written once with a reliable
-    checkpoint, and each block's final rows are appended to a table in the
-    shared ``spark.checkpoint.dir``; so neither the driver nor the executors
-    hold more than one block's payload. A query is in one block only, hence its
-    top-k of that block is final. Without ``k`` every passing pair is a result."""
-
-    def __init__(self, df: DataFrame, k: int | None = None, order: Sequence = ()):
-        self.df, self.k, self.order = df, k, order
-        self.path: str | None = None
-        self.only: DataFrame | None = None
-
-    def several(self, stage_input: bool = True) -> None:
-        from ..session import cut_lineage, scratch_path
-        self.path = scratch_path(self.df.sparkSession, f"topk-{uuid.uuid4().hex}")
-        if stage_input:
-            self.df = cut_lineage(self.df)
-
-    def add(self, key_cols, in_cols, query_ids, payload, scorer, out_cols, qid_type, where=None) -> None:
-        """Scan the chunks (those that ``where`` selects) for one block."""
-        bc = self.df.sparkSession.sparkContext.broadcast((list(query_ids), payload))
-        src = self.df if where is None else self.df.where(where)
-        found = broadcast_topk(src, key_cols, in_cols, bc, scorer, self.k or UNBOUNDED, out_cols, qid_type)
-        if self.k:
-            found = finish_topk(found, self.k, self.order)
-        if self.path is None:
-            self.only = found
-        else:
-            found.write.mode("append").parquet(self.path)
-            bc.destroy()
-
-    def result(self) -> DataFrame:
-        return self.only if self.path is None else self.df.sparkSession.read.parquet(self.path)
+    spark = chunks.sparkSession
+    blocks = packed(queries, block_bytes).persist(StorageLevel.MEMORY_AND_DISK)
+    size = blocks.agg(F.sum("bytes").alias("bytes"), F.max("width").alias("width")).first()
+    width = int(size["width"] or 0)
+    if (size["bytes"] or 0) <= block_bytes:
+        rows = [unpacked(r["blob"]) for r in blocks.orderBy("number").select("blob").collect()]
+        blocks.unpersist()
+        if not rows:
+            return spark.createDataFrame([], schema)
+        ready = payload(pd.concat(rows, ignore_index=True), width)
+        held = spark.sparkContext.broadcast(ready)
+        src = chunks if pruned is None else chunks.where(pruned(ready))
+        return src.mapInPandas(lambda batches: per_block(batches, held.value), schema)
+
+    from ..session import scratch_path
+    folder = scratch_path(spark, f"dealt-{uuid.uuid4().hex}")
+    blocks.write.parquet(f"{folder}/blocks")
+    blocks.unpersist()
+    packed(chunks, min(group_bytes, 8 << 20)).write.parquet(f"{folder}/chunks")
+    blocks, batches_ = (spark.read.parquet(f"{folder}/{x}") for x in ("blocks", "chunks"))
+    groups = max(1, -(-int(batches_.agg(F.sum("bytes")).first()[0] or 0) // group_bytes))
+    own = batches_.select(F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("g"),
+                          F.lit(0).alias("kind"), "blob")
+    everywhere = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
+                               F.lit(1).alias("kind"), "blob")
+    dealt = own.unionByName(everywhere).repartitionById(groups, F.col("g")).sortWithinPartitions("g", "kind")
+
+    def run(batches):
+        now, held = None, []
+        for pdf in batches:
+            for g, kind, blob in zip(pdf["g"], pdf["kind"], pdf["blob"]):
+                if g != now:
+                    now, held = g, []
+                if kind == 0:
+                    held.append(unpacked(blob))
+                else:
+                    yield from per_block(held, payload(unpacked(blob), width))
+    return dealt.mapInPandas(run, schema)
 
 
 def vector_matrix(values, dim: int) -> np.ndarray:
@@ -126,7 +140,7 @@ def vocab_index(term_lists) -> tuple[dict, np.ndarray, np.ndarray]:
     vocab: dict = {}
     pairs = []
     for qi, terms in enumerate(term_lists):
-        for t in set(terms or ()):
+        for t in set(() if terms is None else terms):
             pairs.append((vocab.setdefault(t, len(vocab)), qi))
     pairs.sort()
     indptr = np.zeros(len(vocab) + 1, dtype=np.int64)
@@ -167,26 +181,28 @@ def expand_matches(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray,
     return out.reshape(n, nq)
 
 
-def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence[str],
-                   bc, scorer: Callable, k: int,
-                   out_cols: Sequence[tuple[str, T.DataType]], qid_type: T.DataType) -> DataFrame:
-    """Generic per-partition top-k scan; ``bc`` broadcasts (query ids, payload).
+def scan_topk(chunks: DataFrame, queries: DataFrame, key_cols: Sequence[str], in_cols: Sequence[str],
+              payload: Callable, scorer: Callable, out_cols: Sequence[tuple[str, T.DataType]],
+              k: int | None = None, order: Sequence = (), pruned: Callable | None = None,
+              block_bytes: int = DEFAULT_BLOCK_BYTES, group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
+    """Top-k (all passing rows without ``k``) of every query over ``chunks``.
 
-    ``scorer(pdf_slice, payload)`` returns ``(rank_matrix, keep_mask,
-    {out_name: matrix})`` of shape (rows x queries); rows above the k-th
-    ``rank_matrix`` value per query (ties kept) that pass ``keep_mask`` are
-    emitted with their key columns and the named output matrices.
+    ``queries`` has ``query_id`` and what ``payload(queries, width)`` needs;
+    ``scorer(pdf_slice, payload)`` returns ``(rank_matrix, keep_mask, {out_name: matrix})``
+    of shape (rows x queries); rows above the k-th ``rank_matrix`` value per query
+    (ties kept) that pass ``keep_mask`` are emitted with their key columns and the
+    named output matrices.
     """
     fields = {f.name: f for f in chunks.schema.fields}
-    schema = T.StructType([T.StructField("query_id", qid_type)] + [fields[c] for c in key_cols]
-                          + [T.StructField(n, t) for n, t in out_cols])
-    src = chunks.select(*dict.fromkeys(list(key_cols) + list(in_cols)))
-    keys = list(key_cols)
-    outs = [n for n, _ in out_cols]
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType)]
+                          + [fields[c] for c in key_cols] + [T.StructField(n, t) for n, t in out_cols])
+    keys, outs, most = list(key_cols), [n for n, _ in out_cols], k or UNBOUNDED
 
-    def run(batches):
-        q_ids, pay = bc.value
-        q_ids = np.asarray(q_ids, dtype=object)
+    def prepared(rows: pd.DataFrame, width: int):
+        return rows["query_id"].to_numpy(dtype=object), payload(rows, width)
+
+    def per_block(batches, ready):
+        q_ids, pay = ready
         nq = len(q_ids)
         for pdf in batches:
             n = len(pdf)
@@ -197,9 +213,9 @@ def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence
             for r0 in range(0, n, step):
                 rank, keep, extra = scorer(pdf.iloc[r0:r0 + step], pay)
                 m = rank.shape[0]
-                if m > k:                      # slice top-k per query, ties kept
+                if m > most:                   # slice top-k per query, ties kept
                     masked = np.where(keep, rank, -np.inf)
-                    kth = np.partition(masked, m - k, axis=0)[m - k]
+                    kth = np.partition(masked, m - most, axis=0)[m - most]
                     keep = keep & (rank >= kth[None, :])
                 r, c = np.nonzero(keep)
                 rr.append(r + r0)
@@ -216,7 +232,7 @@ def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence
                 cs, vs = c[o], v[o]
                 starts = np.r_[0, np.flatnonzero(np.diff(cs)) + 1]
                 counts = np.diff(np.r_[starts, len(cs)])
-                kth = vs[starts + np.minimum(counts, k) - 1]
+                kth = vs[starts + np.minimum(counts, most) - 1]
                 sel = o[vs >= np.repeat(kth, counts)]
             res = {"query_id": q_ids[c[sel]]}
             for kc in keys:
@@ -225,7 +241,10 @@ def broadcast_topk(chunks: DataFrame, key_cols: Sequence[str], in_cols: Sequence
                 res[name] = np.concatenate(ex[name])[sel]
             yield pd.DataFrame(res, columns=["query_id"] + keys + outs)
 
-    return src.mapInPandas(run, schema)
+    src = chunks.select(*dict.fromkeys(list(key_cols) + list(in_cols)))
+    found = scan(src, queries, prepared, per_block, schema,
+                 None if pruned is None else (lambda ready: pruned(ready[1])), block_bytes, group_bytes)
+    return finish_topk(found, k, order) if k else found
 
 
 def finish_topk(cand: DataFrame, k: int, order_cols: Sequence) -> DataFrame:
@@ -233,9 +252,8 @@ def finish_topk(cand: DataFrame, k: int, order_cols: Sequence) -> DataFrame:
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _dim(df: DataFrame, col: str) -> int:
-    row = df.where(F.col(col).isNotNull()).select(F.max(F.size(col)).alias("d")).first()
-    return int(row["d"] or 0)
+def _query_vectors(queries: DataFrame, query_id: str, query_vec: str) -> DataFrame:
+    return queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv"))
 
 
 def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
@@ -244,55 +262,77 @@ def top_k_by_vector(chunks: DataFrame, queries: DataFrame, k: int = 5,
                     query_id: str = "query_id", query_vec: str = "embedding",
                     tie_cols: Sequence[str] | None = None, digits: int = 9,
                     dim: int | None = None, secondary: str | None = None,
-                    block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                    block_bytes: int = DEFAULT_BLOCK_BYTES, group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
     """Exact top-k chunks per query by cosine similarity (R1/R2 core).
 
     ``secondary`` names a chunk column used as the second sort key (e.g.
-    quality); it is carried into the output. Returns (query_id, *key_cols,
-    score[, secondary], rank).
+    quality); it is carried into the output. Vectors have to have ``dim`` numbers
+    (default: as many as the longest query vector); others are like nothing. Returns
+    (query_id, *key_cols, score[, secondary], rank).
     """
-    dim = dim or _dim(queries, query_vec)
-    qid_type = queries.schema[query_id].dataType
-    extra_in = [secondary] if secondary else []
-    out_cols = [("score", T.DoubleType())]
+    def payload(rows, width):
+        return vector_matrix(rows["qv"].values, dim or width)
 
     def scorer(pdf, qm):
-        cm = vector_matrix(pdf["_v"].values, dim)
-        s = np.round(cm @ qm.T, digits)
-        keep = s > threshold if strict else s >= threshold
-        return s, keep, {"score": s}
+        s = np.round(vector_matrix(pdf["_v"].values, qm.shape[1]) @ qm.T, digits)
+        return s, (s > threshold if strict else s >= threshold), {"score": s}
 
-    src = chunks.withColumn("_v", F.col(chunk_vec))
-    keys = list(dict.fromkeys(list(key_cols) + extra_in))
+    keys = list(dict.fromkeys(list(key_cols) + ([secondary] if secondary else [])))
     order = [F.col("score").desc()]
     if secondary:
         order.append(F.col(secondary).desc())
     order += [F.col(c).asc() for c in (tie_cols or key_cols)]
-    scan = BlockScan(src.select(*dict.fromkeys(keys + ["_v"])), k, order)
-    for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
-                             ["query_id", "qv"], 8 * dim + 64, block_bytes, on_multi=scan.several):
-        qm = vector_matrix([r["qv"] for r in rows], dim)
-        scan.add(keys, ["_v"], [r["query_id"] for r in rows], qm, scorer, out_cols, qid_type)
-    return scan.result()
-
-
-def pairs_above(chunks: DataFrame, queries: DataFrame, threshold: float, strict: bool = True,
-                key_cols: Sequence[str] = ("chunk_id",), chunk_vec: str = "embedding",
-                query_id: str = "query_id", query_vec: str = "embedding", digits: int = 9,
-                dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """Every (query, chunk) pair scoring past ``threshold`` (E17 input); the
-    same broadcast scan with no k, so only passing pairs are emitted."""
-    dim = dim or _dim(queries, query_vec)
-    qid_type = queries.schema[query_id].dataType
+    src = chunks.withColumn("_v", F.col(chunk_vec)).select(*dict.fromkeys(keys + ["_v"]))
+    return scan_topk(src, _query_vectors(queries, query_id, query_vec), keys, ["_v"], payload, scorer,
+                     [("score", T.DoubleType())], k, order, block_bytes=block_bytes, group_bytes=group_bytes)
 
-    def scorer(pdf, qm):
-        s = np.round(vector_matrix(pdf["_v"].values, dim) @ qm.T, digits)
-        return s, (s > threshold if strict else s >= threshold), {"score": s}
 
-    scan = BlockScan(chunks.select(*key_cols, F.col(chunk_vec).alias("_v")))
-    for rows in query_blocks(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")),
-                             ["query_id", "qv"], 8 * dim + 64, block_bytes, on_multi=scan.several):
-        qm = vector_matrix([r["qv"] for r in rows], dim)
-        scan.add(list(key_cols), ["_v"], [r["query_id"] for r in rows], qm, scorer,
-                 [("score", T.DoubleType())], qid_type)
-    return scan.result()
+def sweep_scores(chunks: DataFrame, queries: DataFrame, thresholds: Sequence[float],
+                 chunk_vec: str = "embedding", query_vec: str = "embedding", chunk_label: str = "label",
+                 query_label: str = "query_label", digits: int = 9, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                 group_bytes: int = DEFAULT_GROUP_BYTES) -> DataFrame:
+    """(query_id, threshold, results, score_sum, hits, relevant) of every query and threshold.
+
+    ``results`` chunks score at least the threshold, ``hits`` of them have the query's
+    label, which ``relevant`` chunks have in all. Counted inside the scan: rows out are
+    queries x thresholds per task, whatever the number of pairs. Null labels match nothing.
+    """
+    steps = np.array(sorted(thresholds), dtype=np.float64)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField("threshold", T.DoubleType()), T.StructField("results", T.LongType()),
+                           T.StructField("score_sum", T.DoubleType()), T.StructField("hits", T.LongType()),
+                           T.StructField("relevant", T.LongType())])
+
+    def payload(rows, width):
+        return (rows["query_id"].to_numpy(dtype=object), vector_matrix(rows["qv"].values, width),
+                rows["ql"].to_numpy(dtype=object))
+
+    def per_block(batches, ready):
+        q_ids, qm, labels = ready
+        nq = len(q_ids)
+        known = {x: i for i, x in enumerate(dict.fromkeys(x for x in labels if not pd.isna(x)))}
+        label = np.array([-1 if pd.isna(x) else known[x] for x in labels], dtype=np.int64)
+        counts, hits = np.zeros((len(steps), nq), np.int64), np.zeros((len(steps), nq), np.int64)
+        sums, relevant = np.zeros((len(steps), nq)), np.zeros(nq, np.int64)
+        for pdf in batches:
+            step = max(1, SLICE_CELLS // max(nq, 1))
+            for r0 in range(0, len(pdf), step):
+                part = pdf.iloc[r0:r0 + step]
+                s = np.round(vector_matrix(part["_v"].values, qm.shape[1]) @ qm.T, digits)
+                own = np.array([-2 if pd.isna(x) else known.get(x, -2) for x in part["_label"].values], dtype=np.int64)
+                same = own[:, None] == label[None, :]
+                relevant += same.sum(axis=0)
+                for i, th in enumerate(steps):
+                    passed = s >= th
+                    counts[i] += passed.sum(axis=0)
+                    hits[i] += (passed & same).sum(axis=0)
+                    sums[i] += np.where(passed, s, 0.0).sum(axis=0)
+        yield pd.DataFrame({"query_id": np.tile(q_ids, len(steps)), "threshold": np.repeat(steps, nq),
+                            "results": counts.ravel(), "score_sum": sums.ravel(), "hits": hits.ravel(),
+                            "relevant": np.tile(relevant, len(steps))})
+
+    src = chunks.select(F.col(chunk_vec).alias("_v"), F.col(chunk_label).alias("_label"))
+    q = queries.select("query_id", F.col(query_vec).alias("qv"), F.col(query_label).alias("ql"))
+    found = scan(src, q, payload, per_block, schema, block_bytes=block_bytes, group_bytes=group_bytes)
+    return found.groupBy("query_id", "threshold").agg(*[F.sum(c).alias(c) for c in
+                                                        ("results", "score_sum", "hits", "relevant")])

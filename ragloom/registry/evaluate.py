@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import evaluate as EV
 from ..operators import stats as A
 from ..operators import vector_search as VS
+from ..plans import fixtures as FX
 from ..plans import retrieval
 from .common import (cosine_sql, register, sql_classify, sql_contains_any, sql_count_present,
                      sql_str_list, window_chunks_sql)
@@ -339,24 +340,35 @@ def key_metrics(t):
     return EV.key_metrics(_current_metrics(t), ["avg_latency_ms", "p95_latency_ms", "f1_score", "error_rate"])
 
 
-SWEEP = [0.1, 0.2, 0.3, 0.4, 0.5]
+SWEEP = [round(0.1 * i, 1) for i in range(1, 10)]
 
 
 @register("threshold_sweep", f"""
 WITH ch AS {window_chunks_sql(source="(SELECT d.doc_id, d.text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)")},
-s AS (SELECT q.vec_id AS query_id, ch.chunk_id, {cosine_sql('ce.embedding', 'q.embedding')} AS score
+s AS (SELECT q.vec_id AS query_id, {cosine_sql('ce.embedding', 'q.embedding')} AS score,
+             CASE WHEN q.label = ce.label THEN 1 ELSE 0 END AS same
       FROM embeddings q CROSS JOIN ch JOIN embeddings ce ON ce.vec_id = ch.doc_id),
-th AS (SELECT CAST(unnest({SWEEP}) AS DOUBLE) AS threshold)
-SELECT threshold, CAST(count(*) AS BIGINT) AS results, CAST(count(DISTINCT query_id) AS BIGINT) AS queries_with_results,
-       round(avg(score), 6) AS avg_score
-FROM s JOIN th ON s.score >= th.threshold GROUP BY threshold""")
+th AS (SELECT CAST(unnest({SWEEP}) AS DOUBLE) AS threshold),
+g AS (SELECT query_id, threshold, count(*) FILTER (score >= threshold) AS n, sum(score) FILTER (score >= threshold) AS total,
+             count(*) FILTER (score >= threshold AND same = 1) AS hits, sum(same) AS relevant
+      FROM s CROSS JOIN th GROUP BY query_id, threshold),
+m AS (SELECT threshold, CAST(sum(n) AS BIGINT) AS results, CAST(count(*) FILTER (n > 0) AS BIGINT) AS queries_with_results,
+             sum(total) / nullif(sum(n), 0) AS avg_score, sum(hits) / CAST(nullif(sum(n), 0) AS DOUBLE) AS p,
+             sum(hits) / CAST(nullif(sum(relevant), 0) AS DOUBLE) AS r,
+             avg(CASE WHEN n > 0 THEN hits / CAST(n AS DOUBLE) END) AS qp
+      FROM g GROUP BY threshold)
+SELECT threshold, results, queries_with_results, round(avg_score, 6) AS avg_score, round(p, 6) AS precision,
+       round(r, 6) AS recall, round(qp, 6) AS avg_query_precision,
+       round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) WHEN p IS NOT NULL AND r IS NOT NULL THEN 0.0 END, 6) AS f1
+FROM m""")
 def threshold_sweep(t):
-    """Result counts at thresholds 0.1..0.5 from one broadcast scan
-    that emits only pairs past the lowest threshold."""
+    """Results and quality (label agreement) at thresholds 0.1 .. 0.9, counted inside one scan."""
     chunks = retrieval.chunk_vectors(t.documents, t.embeddings, with_text=False)
-    pairs = VS.pairs_above(chunks, retrieval.query_vectors(t.embeddings), min(SWEEP), strict=False)
-    r = EV.threshold_sweep(pairs, SWEEP)
-    return r.select("threshold", "results", "queries_with_results", F.round("avg_score", 6).alias("avg_score"))
+    labels = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
+    scores = VS.sweep_scores(chunks.select("doc_id", "embedding").join(labels, "doc_id"), FX.vector_queries(t), SWEEP)
+    r = EV.threshold_sweep(scores)
+    return r.select("threshold", "results", "queries_with_results", *[
+        F.round(c, 6).alias(c) for c in ("avg_score", "precision", "recall", "avg_query_precision", "f1")])
 
 
 def sqlq(x):

@@ -398,24 +398,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hyb DESC, chun
 SELECT query_id, chunk_id, round(semantic_score, 6) AS semantic_score, round(coalesce(kw, 0.0), 6) AS keyword_score,
        round(hyb, 6) AS hybrid_score, rank FROM r WHERE rank <= 10""")
 def hybrid_left_join(t):
-    """J2 + F5: candidates = pairs past the semantic threshold (broadcast
-    scan, only passing pairs emitted) plus the pairs of an external
-    keyword-score table (R3 scores of each query's own document chunks,
-    scored row-wise after an equi-join); candidates LEFT JOIN keyword
-    scores, NULL-aware filter, top-10."""
-    from ..functions import vectors as V_
-    from ..operators import vector_search as VS_
+    """J2 + F5: candidates = each query's ten best past the semantic threshold (kept
+    inside the scan) plus the pairs of an external keyword-score table (R3 scores of
+    each query's own document chunks); candidates LEFT JOIN keyword scores, NULL-aware
+    filter, top-10."""
     ch = FX.search_chunks(t)
-    q = FX.vector_queries(t)
     kws = keyword_score(t)
-    sem = VS_.pairs_above(ch, q, 0.3, key_cols=("chunk_id",)).select("query_id", "chunk_id",
-                                                                     F.col("score").alias("semantic_score"))
-    kw_pairs = kws.select("query_id", "chunk_id") \
-                  .join(ch.select("chunk_id", F.col("embedding").alias("cv")), "chunk_id") \
-                  .join(q.select("query_id", F.col("embedding").alias("qv")), "query_id") \
-                  .select("query_id", "chunk_id", F.round(V_.cosine_similarity("cv", "qv"), 9).alias("semantic_score"))
-    cands = sem.unionByName(kw_pairs).dropDuplicates(["query_id", "chunk_id"]) \
-               .join(ch.select("chunk_id", "importance_score"), "chunk_id")
+    cands = S.hybrid_candidates(ch, FX.vector_queries(t), kws, k=10)
     r = S.hybrid_left_join(cands, kws, k=10)
     return r.select("query_id", "chunk_id", F.round("semantic_score", 6).alias("semantic_score"),
                     F.round("keyword_score", 6).alias("keyword_score"), F.round("hybrid_score", 6).alias("hybrid_score"),

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from ragloom.functions import lexicons as L
 from ragloom.functions import text as X
 from ragloom.functions import vectors as V
+from ragloom.functions import vectors as FV
 from ragloom.operators import evaluate as EV
+from ragloom.operators import ivf as IVF
 from ragloom.operators import search as S
 from ragloom.operators import vector_search as VS
 
@@ -70,15 +73,15 @@ def test_topk_exact_with_ties_and_blocks(spark):
     queries = [(j, rng.normal(size=8).tolist()) for j in range(12)] + [(99, base[3].tolist())]
     cdf = spark.createDataFrame(chunks, "chunk_id string, embedding array<double>").repartition(3)
     qdf = spark.createDataFrame(queries, "query_id long, embedding array<double>")
-    # tiny block size forces several broadcast blocks
-    whole, blocks = (VS.pairs_above(cdf, qdf, 0.1, block_bytes=b) for b in (1 << 20, 8 * 8 * 3))
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect()))
-    got = VS.top_k_by_vector(cdf, qdf, k=4, threshold=0.1, block_bytes=8 * 8 * 3)
-    res = {}
-    for r in got.orderBy("query_id", "rank").collect():
-        res.setdefault(r.query_id, []).append(r.chunk_id)
     want = _brute_topk(chunks, queries, 4, 0.1)
-    assert res == {q: v for q, v in want.items() if v}
+    for block, group in ((1 << 20, 1 << 20), (300, 1 << 20), (300, 700)):   # one block; several; several groups too
+        got = VS.top_k_by_vector(cdf, qdf, k=4, threshold=0.1, block_bytes=block, group_bytes=group)
+        res = {}
+        for r in got.orderBy("query_id", "rank").collect():
+            res.setdefault(r.query_id, []).append(r.chunk_id)
+        assert res == {q: v for q, v in want.items() if v}
+    assert VS.top_k_by_vector(cdf, qdf.limit(0)).collect() == [] == VS.top_k_by_vector(cdf.limit(0), qdf).collect()
+    assert VS.top_k_by_vector(cdf.limit(0), qdf, block_bytes=300).collect() == []
     assert res[99][:3] == ["c003", "c013", "c023"]          # self-similarity ties broken by id
 
 
@@ -183,5 +186,70 @@ def test_multi_block_hybrid_and_bm25_equal_single_block(spark):
     def rows(df):
         return sorted(tuple(r) for r in df.select("query_id", "chunk_id", "rank").collect())
 
-    assert rows(S.hybrid_search(chunks, qv, k=3)) == rows(S.hybrid_search(chunks, qv, k=3, block_bytes=(8 * 4 + 512) * 2))
-    assert rows(S.bm25_search(chunks, qt, k=3)) == rows(S.bm25_search(chunks, qt, k=3, block_bytes=4096 * 2))
+    assert rows(S.hybrid_search(chunks, qv, k=3)) == rows(S.hybrid_search(chunks, qv, k=3, block_bytes=150, group_bytes=400))
+    assert rows(S.bm25_search(chunks, qt, k=3)) == rows(S.bm25_search(chunks, qt, k=3, block_bytes=150, group_bytes=400))
+    index = S.term_counts(chunks, ["doc_id", "chunk_id"])
+    assert rows(S.bm25_search(chunks, qt, k=3)) == rows(S.bm25_search(chunks, qt, k=3, index=index))
+
+
+def _vectors(spark, n, seed, dim=6, kinds=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(kinds, dim)) * 2
+    rows = [(i, f"c{i:04d}", (centres[i % kinds] + rng.normal(size=dim)).tolist(), f"l{i % kinds}" if i % 7 else None,
+             float(i % 5) / 5) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, chunk_id string, embedding array<double>, label string, "
+                                             "importance_score double").repartition(5)
+
+
+def test_sweep_counts_and_quality(spark):
+    rows, df = _vectors(spark, 200, 3)
+    q = df.where("id % 9 = 0").select(F.col("id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+    unit = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows}
+    steps = [0.1, 0.5, 0.9, 0.99999]
+    want = {}
+    for r in rows[::9]:
+        for th in steps:
+            got = [x for x in rows if round(float(unit[x[0]] @ unit[r[0]]), 9) >= th]
+            same = sum(x[3] == r[3] and r[3] is not None for x in got)
+            want[r[0], th] = (len(got), same, sum(x[3] == r[3] and r[3] is not None for x in rows))
+    for block, group in ((1 << 20, 1 << 20), (400, 900)):
+        scores = VS.sweep_scores(df, q, steps, block_bytes=block, group_bytes=group)
+        assert {(r.query_id, r.threshold): (r.results, r.hits, r.relevant) for r in scores.collect()} == want
+    r = {x.threshold: x for x in EV.threshold_sweep(scores).collect()}
+    total = [want[k] for k in want if k[1] == 0.5]
+    assert r[0.5].precision == pytest.approx(sum(t[1] for t in total) / sum(t[0] for t in total))
+    assert r[0.5].recall == pytest.approx(sum(t[1] for t in total) / sum(t[2] for t in total))
+    assert r[0.99999].results == r[0.99999].queries_with_results == len(rows[::9])
+
+
+def test_ivf_rounds_are_exact(spark):
+    for seed, kinds, spread in ((1, 4, 1.0), (2, 40, 1.0)):
+        rows, df = _vectors(spark, 400, seed, kinds=kinds)
+        q = df.where("id % 11 = 0").select(F.col("id").alias("query_id"), "embedding")
+        cents, assigned = IVF.ivf_build(df.select("chunk_id", "embedding"), n_lists=8, seed=3)
+        want = {q_: v for q_, v in _brute_topk([(r[1], r[2]) for r in rows], [(r[0], r[2]) for r in rows[::11]], 5, 0.3).items()}
+        for block in (1 << 20, 400):
+            res = {}
+            for r in IVF.ivf_search(assigned, q, cents, k=5, nprobe=1, block_bytes=block).orderBy("query_id", "rank").collect():
+                res.setdefault(r.query_id, []).append(r.chunk_id)
+            assert res == {k: v for k, v in want.items() if v}
+        first = IVF.ivf_search(assigned, q, cents, k=5, nprobe=1, exact=False)
+        exact = VS.top_k_by_vector(df, q, k=5, threshold=0.3)
+        assert IVF.recall_at_k(first, exact).agg(F.avg("recall")).first()[0] < 1
+
+
+def test_hybrid_join_needs_k_candidates_a_query(spark):
+    rng = np.random.default_rng(4)
+    rows, df = _vectors(spark, 150, 6)
+    q = df.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    kw = [(int(i), f"c{int(j):04d}", float(s)) for i in range(0, 150, 10) for j, s in
+          zip(rng.choice(150, 6, replace=False), rng.choice([0.0, 0.3, 1.0], 6))]
+    kws = spark.createDataFrame(kw, "query_id long, chunk_id string, keyword_score double")
+    every = (df.crossJoin(q.select("query_id", F.col("embedding").alias("qv"))).select(
+        "query_id", "chunk_id", "importance_score",
+        F.round(FV.cosine_similarity("embedding", "qv"), 9).alias("semantic_score")))
+
+    def ranks(pairs):
+        return sorted((r.query_id, r["rank"], r.chunk_id) for r in S.hybrid_left_join(pairs, kws, k=5).collect())
+    few = S.hybrid_candidates(df, q, kws, k=5)
+    assert ranks(few) == ranks(every) and few.count() <= 15 * (5 + 6)
