@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import text_of
@@ -42,6 +43,7 @@ _C = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(0xFFFFFFFF)
 _PRIME, _FACTOR = 2147483647, 48271
 FILTER_BITS = 1 << 24
+_BLOCK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ class Settings:
     counts. ``slice_bytes``: text hashed at once. ``cut``: one sample in so many ends a
     piece. ``hot``: a triple in more texts is compared string by string."""
     length: int = 50
-    bucket_bytes: int = 64 << 20
+    bucket_bytes: int = 32 << 20
     slice_bytes: int = 2 << 20
     cut: int = 8
     hot: int = 65536
@@ -138,7 +140,11 @@ def _stretches(value: np.ndarray, starts: np.ndarray, total: int, s: Settings):
 
 def _sampled(rows, starts, data: bytes, s: Settings):
     """(text, from, to, sample hash) of every stretch of windows with one sample hash."""
-    least = _least(_hashes(np.frombuffer(data, np.uint8)), s.reach + 1)
+    text = np.frombuffer(data, np.uint8)
+    least = np.empty(len(text) - s.length + 1, np.uint64)
+    for at in range(0, len(least), _BLOCK):  # blocks stay in the processor's cache
+        block = text[at:at + _BLOCK + s.length - 1]
+        least[at:at + _BLOCK] = _least(_hashes(block), s.reach + 1)
     part, first, last = _stretches(least, starts, len(data), s)
     return part, first, last, _mixed(least[first])
 
@@ -204,13 +210,23 @@ def _count_samples(parts: int, s: Settings):
 def _answers(ids: np.ndarray, keys: np.ndarray, parts: int) -> list[tuple]:
     """Rows that tell texts which of their samples are shared."""
     dealt = _deal(ids, parts)
-    order = np.argsort(dealt, kind="stable")
+    order = np.lexsort((ids, dealt))
     dealt, ids, keys = dealt[order], ids[order], keys[order]
     edge = _runs(dealt)
-    return [(parts + int(dealt[i]), keys[i:j].tobytes(), ids[i:j].tobytes(), b"", b"")
+    return [(parts + int(dealt[i]), _halves(keys[i:j]), np.diff(ids[i:j], prepend=0).tobytes(), b"", b"")
             for i, j in zip(edge[:-1], edge[1:])]
 
 
+def _halves(keys: np.ndarray) -> bytes:
+    """Low halves, then high ones: the latter (buckets) compress."""
+    return keys.astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def _whole_keys(blob: bytes) -> np.ndarray:
+    low, high = np.frombuffer(blob, np.uint32).reshape(2, -1).astype(np.uint64)
+    return high << np.uint64(32) | low
+
+
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [
@@ -258,7 +274,7 @@ _PIECES = "n0 long, n1 long, piece binary, id long, h long, at long, size int"
 def _cut_pieces(parts: int, s: Settings):
     """Stretches of texts whose samples are shared, cut into pieces by their content."""
     def pieces(ids, hs, texts, known):
-        out = []
+        out: list[tuple] = []
         for rows, offsets, starts, data in _slices(texts, s):
             part, first, last, key = _sampled(rows, starts, data, s)
             bucket = (key >> np.uint64(32)) % np.uint64(parts)
@@ -277,30 +293,65 @@ def _cut_pieces(parts: int, s: Settings):
         return out
 
     def cut(batches):
-        now, held, known = None, [], np.empty(0, np.uint64)
-        for batch in batches:
-            part = batch.column("part").to_numpy(zero_copy_only=False)
-            kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            edge = _runs(part * 2 + kind)
-            for i, j in zip(edge[:-1], edge[1:]):
-                if part[i] != now:
-                    now, held, known = part[i], [], np.empty(0, np.uint64)
-                if kind[i] == 0:
-                    held += list(zip(batch.column("low")[i:j].to_pylist(), batch.column("ids")[i:j].to_pylist()))
-                    continue
-                if held:
-                    fresh = [_mixed(np.frombuffer(i_, np.int64).astype(np.uint64)) ^ np.frombuffer(k, np.uint64)
-                             for k, i_ in held]
-                    known, held = np.unique(np.concatenate([known, *fresh])), []
-                if len(known):
-                    found = pieces(*(batch.column(c)[i:j].to_numpy(zero_copy_only=False) for c in ("id", "h")),
-                                   _bytes(batch.column("text")[i:j]), known)
-                    if found:
-                        yield _records(found, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(),
-                                               pa.int32()), ("n0", "n1", "piece", "id", "h", "at", "size"))
+        for kind, blobs, known in _dealt_rows(batches):
+            if kind == 0:
+                known.setdefault("new", []).append(blobs[:2])
+                continue
+            if "new" in known:
+                known["keys"] = np.unique(np.concatenate([
+                    _mixed(np.cumsum(np.frombuffer(i, np.int64)).astype(np.uint64)) ^ _whole_keys(k)
+                    for k, i in known.pop("new")]))
+            if len(known.get("keys", ())):
+                ids, hs, texts = _unpacked(blobs)
+                found = pieces(ids, hs, texts, known["keys"])
+                if found:
+                    yield _records(found, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(),
+                                           pa.int32()), ("n0", "n1", "piece", "id", "h", "at", "size"))
     return cut
 
 
+_DEALT = "part long, kind int, a binary, b binary, c binary, d binary"
+
+
+def _dealt_rows(batches):
+    """(kind, blobs, memory) of rows sorted by part and kind; the memory is one part's."""
+    now, memory = None, {}
+    for batch in batches:
+        for part, kind, *blobs in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if part != now:
+                now, memory = part, {}
+            yield kind, blobs, memory
+
+
+def _pack_texts(parts: int):
+    """Rows (id, h, text) dealt by id, compressed together."""
+    def pack(batches):
+        for batch in batches:
+            ids, hs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h"))
+            texts = _bytes(batch.column("text"))
+            dealt = _deal(ids, parts)
+            rows = []
+            for p in np.unique(dealt).tolist():
+                here = np.flatnonzero(dealt == p)
+                own = [texts[i] for i in here]
+                rows.append((p, 1, zstandard.compress(b"".join(own), 3), ids[here].tobytes(), hs[here].tobytes(),
+                             np.array([len(x) for x in own], np.int64).tobytes()))
+            if rows:
+                yield _dealt_batch(rows)
+    return pack
+
+
+def _dealt_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return _records(rows, (pa.int64(), pa.int32(), *[pa.binary()] * 4), ("part", "kind", "a", "b", "c", "d"))
+
+
+def _unpacked(blobs) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    data = zstandard.decompress(blobs[0])
+    ids, hs, sizes = (np.frombuffer(b, np.int64) for b in blobs[1:])
+    ends = np.cumsum(sizes).tolist()
+    return ids, hs, [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def _name(piece: bytes) -> tuple[int, int]:
     digest = hashlib.blake2b(piece, digest_size=16).digest()
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
@@ -311,15 +362,16 @@ def _records(rows: list[tuple], kinds, names) -> pa.RecordBatch:
 
 
 def _suffix_type(s: Settings) -> np.dtype:
-    """A sampled suffix: what follows, what stands before (backwards), the distances of
-    the strings that chose it, and the piece, its smallest document and the place there."""
+    """A sampled suffix: what follows, what stands before (backwards), the distances of the
+    strings that chose it, the place in its piece, the piece and its smallest document. Within
+    that document 64 bits of the piece's name tell it from others."""
     return np.dtype([("right", np.uint8, (s.length,)), ("left", np.uint8, (s.reach,)), ("lo", np.uint8),
-                     ("hi", np.uint8), ("at", np.int32), ("n0", np.int64), ("n1", np.int64), ("first", np.int64)])
+                     ("hi", np.uint8), ("at", np.int32), ("n0", np.int64), ("first", np.int64)])
 
 
 def _sample_pieces(batch, s: Settings):
     """(hash, sampled suffix records) of distinct pieces, slice by slice."""
-    n0, n1, first_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n0", "n1", "first"))
+    n0, first_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n0", "first"))
     for rows, offsets, starts, data in _slices(batch.column("piece").to_pylist(), s):
         h = _hashes(np.frombuffer(data, np.uint8))
         place = _least_at(h, s.reach + 1)
@@ -330,9 +382,12 @@ def _sample_pieces(batch, s: Settings):
         found["right"] = padded[(at + s.reach)[:, None] + np.arange(s.length)]
         found["left"] = padded[(at + s.reach - 1)[:, None] - np.arange(s.reach)]
         found["lo"], found["hi"] = at - last + 1, at - first
+        # What no string of the record reaches says nothing and compresses best as zeros.
+        found["right"][np.arange(s.length) >= s.length - found["lo"][:, None].astype(np.int64)] = 0
+        found["left"][np.arange(s.reach) >= found["hi"][:, None]] = 0
         found["at"] = offsets[part] + first - starts[part]
         row = rows[part]
-        found["n0"], found["n1"], found["first"] = n0[row], n1[row], first_id[row]
+        found["n0"], found["first"] = n0[row], first_id[row]
         yield _mixed(h[at]), found
 
 
@@ -343,7 +398,7 @@ def _suffixes(hot: np.ndarray, parts: int, s: Settings):
                 cold = ~_is_hot(key, hot, parts)
                 key, found = key[cold], found[cold]
                 size = found.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.Array.from_buffers(
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.uint32).view(np.int32)), pa.Array.from_buffers(
                     pa.binary(), len(found), [None, pa.py_buffer(np.arange(0, size * len(found) + 1, size, np.int32)),
                                               pa.py_buffer(found.tobytes())])], ["key", "suffix"])
     return emit
@@ -362,12 +417,12 @@ def _hot_strings(hot: np.ndarray, parts: int, s: Settings):
                 out = []
                 for f in found[_is_hot(key, hot, parts)]:
                     context = f["left"][::-1].tobytes() + f["right"].tobytes()
-                    out += [(context[s.reach - d:s.reach - d + s.length], int(f["n0"]), int(f["n1"]),
+                    out += [(context[s.reach - d:s.reach - d + s.length], int(f["n0"]),
                              int(f["at"]) + int(f["hi"]) - d, int(f["first"]))
                             for d in range(int(f["lo"]), int(f["hi"]) + 1)]
                 if out:
-                    yield _records(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()),
-                                   ("string", "n0", "n1", "at", "first"))
+                    yield _records(out, (pa.binary(), pa.int64(), pa.int32(), pa.int64()),
+                                   ("string", "n0", "at", "first"))
     return emit
 
 
@@ -442,8 +497,8 @@ def _compare(s: Settings, at_once: int = 100_000):
         size = np.diff(head, append=len(record))
         own = found[record[head]]
         return pa.RecordBatch.from_arrays([
-            pa.array(own["n0"]), pa.array(own["n1"]), pa.array(own["first"]), pa.array(start[head].astype(np.int64)),
-            pa.array(size.astype(np.int32))], ["n0", "n1", "id", "start", "n"])
+            pa.array(own["n0"]), pa.array(own["first"]), pa.array(start[head].astype(np.int64)),
+            pa.array(size.astype(np.int32))], ["n0", "id", "start", "n"])
 
     def compare(batches):
         keys, held, count = [], [], 0
@@ -462,68 +517,127 @@ def _compare(s: Settings, at_once: int = 100_000):
     return compare
 
 
-def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Left join on (id, h) that moves only rows which may have spans: a broadcast bit
-    table of FILTER_BITS bits (at most 4 MB) tells."""
+def _pack_spans(parts: int):
+    def pack(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "h", "start", "n")]
+            dealt = _deal(columns[0], parts)
+            order = np.lexsort((columns[2], columns[0], dealt))
+            dealt, columns = dealt[order], [c[order] for c in columns]
+            edge = _runs(dealt)
+            rows = [(int(dealt[i]), 0, *(c[i:j].tobytes() for c in columns)) for i, j in zip(edge[:-1], edge[1:])]
+            if rows:
+                yield _dealt_batch(rows)
+    return pack
+
+
+_REMOVED = "id long, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary"
+
+
+def _remove(s: Settings):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def remove(batches):
+        for sort, blobs, known in _dealt_rows(batches):
+            if sort == 0:
+                known.setdefault("new", []).append([np.frombuffer(b, np.int64) for b in blobs])
+                continue
+            if "new" in known:
+                spans = [np.concatenate(c) for c in zip(*known.pop("new"))]
+                order = np.lexsort((spans[2], spans[1], spans[0]))
+                known["spans"] = [c[order] for c in spans]
+                edge = _runs_of_two(*known["spans"][:2])
+                names = zip(*(c[edge[:-1]].tolist() for c in known["spans"][:2]))
+                known["where"] = dict(zip(names, zip(edge[:-1].tolist(), edge[1:].tolist())))
+            out = []
+            for i, h, data in zip(*(x.tolist() if isinstance(x, np.ndarray) else x for x in _unpacked(blobs))):
+                a, b = known.get("where", {}).get((i, h), (0, 0))
+                merged: list[list[int]] = []
+                if a < b:
+                    for start, n in zip(known["spans"][2][a:b].tolist(), known["spans"][3][a:b].tolist()):
+                        if merged and start <= merged[-1][1]:
+                            merged[-1][1] = max(start + n + s.length - 1, merged[-1][1])
+                        else:
+                            merged.append([start, start + n + s.length - 1])
+                edge = [0, *(x for ab in merged for x in ab), len(data)]
+                out.append((i, len(data), [{"start": a, "end": b} for a, b in merged],
+                            b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2]))))
+            yield _records(out, (pa.int64(), pa.int64(), kind, pa.binary()), ("id", "n_bytes", "removed", "kept"))
+    return remove
+
+
+def _runs_of_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Borders of the runs of equal pairs."""
+    return np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(x)]])
+
+
+def _marked(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``may``: whether a row (id, h) may have spans. A broadcast bit table of FILTER_BITS
+    bits (at most 4 MB) tells, so texts without any stay where they are."""
     bit = F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS))
     words = (spans.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("mask")))
     tested = rows.withColumn("bit", bit).join(F.broadcast(words), F.shiftright("bit", 6) == F.col("word"), "left")
     may = F.coalesce(F.expr("(shiftrightunsigned(mask, cast(bit % 64 AS int)) & 1L) = 1"), F.lit(False))
-    tested = tested.withColumn("may", may).drop("bit", "word", "mask")
-    with_spans = tested.filter("may").drop("may").join(spans, ["id", "h"], "left")
-    return with_spans.unionByName(tested.filter("not may").drop("may").withColumn(
-        "spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    return tested.withColumn("may", may & F.col("id").isNotNull()).drop("bit", "word", "mask")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _parts(texts: DataFrame, s: Settings) -> tuple[int, int]:
+    """Number of buckets and bytes of all texts."""
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-total // s.bucket_bytes)), total
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    settings: Settings = Settings()) -> DataFrame:
-    """(id, h, spans) of texts with strings of ``length`` bytes that start in a text with a
-    smaller id too; a span is (start, n): such strings start at n places from start.
+    """(id, h, start, n): strings of ``length`` bytes that start in a text with a smaller id
+    too start at n places of this text from start.
 
     ``h`` is the xxhash64 of the text: rows that share an id but not the text are
     told apart. Rows without an id take no part, nor do texts shorter than ``length``.
     """
     from ragloom.session import scratch_path
     s, spark = settings, docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).filter(
-        F.col("id").isNotNull()).filter(F.octet_length("text") >= s.length)
-    total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // s.bucket_bytes))
+    source = _texts(docs, id_col, text_col).filter(F.col("id").isNotNull()).filter(F.octet_length("text") >= s.length)
+    parts, total = _parts(source, s)
     # Of n samples at most n / hot are hot, so their list has a bound.
     hot_from = max(s.hot, total // 15 >> 20)
-    shared = (source.mapInArrow(_count_samples(parts, s), _COUNTED).repartition(parts, "part")
-              .sortWithinPartitions("part").mapInArrow(_share_samples(parts, hot_from), _COUNTED))
     folder = scratch_path(spark, f"suffixes-{uuid.uuid4().hex}")
-    shared.write.parquet(f"{folder}/shared")
-    shared = spark.read.parquet(f"{folder}/shared")
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    own = F.pmod(F.col("part"), F.lit(parts)).cast("int")
+    shared = staged(source.select("id", "text").mapInArrow(_count_samples(parts, s), _COUNTED).repartitionById(parts, own)
+                    .sortWithinPartitions("part").mapInArrow(_share_samples(parts, hot_from), _COUNTED), "shared")
     lists = [np.frombuffer(r["low"], np.uint64) for r in shared.filter("part = -1").select("low").toLocalIterator()]
     hot = np.concatenate([np.empty(0, np.uint64), *lists])
+    none = F.lit(b"")
     answers = shared.filter(F.col("part") >= parts).select(
-        (F.col("part") - parts).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"),
-        F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("text"), "low", "ids")
-    texts = source.select(
-        _dealt(F.col("id"), parts).alias("part"), F.lit(1).alias("kind"), "id", F.xxhash64("text").alias("h"), "text",
-        F.lit(None).cast("binary").alias("low"), F.lit(None).cast("binary").alias("ids"))
-    (answers.unionByName(texts).repartition(parts, "part").sortWithinPartitions("part", "kind")
-     .mapInArrow(_cut_pieces(parts, s), _PIECES).write.parquet(f"{folder}/pieces"))
-    pieces = spark.read.parquet(f"{folder}/pieces")
+        (F.col("part") - parts).alias("part"), F.lit(0).alias("kind"), F.col("low").alias("a"), F.col("ids").alias("b"),
+        none.alias("c"), none.alias("d"))
+    pieces = staged(answers.unionByName(source.mapInArrow(_pack_texts(parts), _DEALT)).repartitionById(parts, own)
+                    .sortWithinPartitions("part", "kind").mapInArrow(_cut_pieces(parts, s), _PIECES), "pieces")
     distinct = pieces.groupBy("n0", "n1", "piece").agg(F.min("id").alias("first"))
-    spans = (distinct.mapInArrow(_suffixes(hot, parts, s), "key long, suffix binary").repartition("key")
-             .sortWithinPartitions("key")
-             .mapInArrow(_compare(s), "n0 long, n1 long, id long, start long, n int"))
+    spans = (distinct.mapInArrow(_suffixes(hot, parts, s), "key int, suffix binary").repartition("key")
+             .sortWithinPartitions("key").mapInArrow(_compare(s), "n0 long, id long, start long, n int"))
     if len(hot):
-        strings = distinct.mapInArrow(_hot_strings(hot, parts, s),
-                                      "string binary, n0 long, n1 long, at int, first long")
+        strings = distinct.mapInArrow(_hot_strings(hot, parts, s), "string binary, n0 long, at int, first long")
         least = strings.groupBy("string").agg(F.min("first").alias("source"))
         spans = spans.unionByName(strings.join(least, "string").filter("source < first").select(
-            "n0", "n1", F.col("first").alias("id"), F.col("at").cast("long").alias("start"), F.lit(1).alias("n")))
+            "n0", F.col("first").alias("id"), F.col("at").cast("long").alias("start"), F.lit(1).alias("n")))
     places = pieces.select("n0", "n1", "id", "h", "at", "size")
     # A piece goes as a whole where a smaller document holds all of it.
     whole = places.join(places.groupBy("n0", "n1").agg(F.min("id").alias("first")), ["n0", "n1"]).filter(
         "first < id").select("id", "h", F.col("at").alias("start"), F.col("size").alias("n"))
-    inner = places.join(spans, ["n0", "n1", "id"]).select("id", "h", (F.col("at") + F.col("start")).alias("start"), "n")
-    return whole.unionByName(inner).groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    inner = places.join(spans, ["n0", "id"]).select("id", "h", (F.col("at") + F.col("start")).alias("start"), "n")
+    return staged(whole.unionByName(inner), "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -540,29 +654,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     into a task.
     """
     s = settings
-    rows = docs.select(F.col(id_col).alias("key"), F.col(id_col).cast("long").alias("id"),
-                       F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def remove(batches):
-        for batch in batches:
-            removed, kept, sizes = [], [], []
-            for data, found in zip(_bytes(batch.column("text")), batch.column("spans").to_pylist()):
-                merged: list[list[int]] = []
-                for a, b in sorted((x["start"], x["start"] + x["n"] + s.length - 1) for x in found or []):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                edge = [0, *(x for ab in merged for x in ab), len(data)]
-                removed.append([{"start": a, "end": b} for a, b in merged])
-                kept.append(b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2])))
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(removed, spans), pa.array(kept, pa.binary())],
-                ["key", "n_bytes", "removed", "kept"])
-
-    return (_with_spans(rows, repeated_spans(docs, id_col, text_col, s)).select("key", "text", "spans")
-            .mapInArrow(remove, f"key {kind}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
-            .withColumnRenamed("key", id_col))
+    spans = repeated_spans(docs, id_col, text_col, s)
+    rows = _texts(docs, id_col, text_col)
+    parts, _ = _parts(rows, s)
+    tested = _marked(rows, spans)
+    own = F.col("part").cast("int")
+    lost = (spans.mapInArrow(_pack_spans(parts), _DEALT)
+            .unionByName(tested.filter("may").drop("may").mapInArrow(_pack_texts(parts), _DEALT))
+            .repartitionById(parts, own).sortWithinPartitions("part", "kind").mapInArrow(_remove(s), _REMOVED))
+    whole = tested.filter("not may").select(
+        "id", F.octet_length("text").cast("long").alias("n_bytes"),
+        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.encode("text", "UTF-8").alias("kept"))
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType
+    return lost.unionByName(whole).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
