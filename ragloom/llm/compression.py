@@ -5,7 +5,9 @@ worse. How well prose compresses depends on its length, so the limits are a
 band over the length, read between knots on a logarithmic scale. The band holds
 for the whole document and for fixed chunks of it, each by its own length. Its
 upper side is where repetition starts, well above prose. Noise made of symbols
-between words compresses like prose and is told by the words that carry them.
+between words can compress like prose; a second band tells it, the text's compression
+with and without its symbols. Random symbols cost compressed bytes of their own,
+regular ones make the text more regular than its words are.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ KNOTS = (
     (2048, 1.62, 3.50), (4096, 1.80, 3.80), (8192, 1.95, 4.00), (16384, 2.08, 4.20),
     (32768, 2.18, 4.40), (65536, 2.25, 4.60), (262144, 2.25, 5.00), (1048576, 2.25, 5.40), (4194304, 2.25, 5.60),
 )
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_WORD_PERCENT, WINDOW = 20, 30, 35, 8
+MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
 class Bands:
-    """``chunk`` bytes per chunk; a document may have ``bad_chunks`` of its chunks outside."""
+    """``chunk`` bytes per chunk; a document may have ``bad_chunks`` of its chunks outside.
+    ``symbols`` is the most that symbols may change the compressed size, or the ratio, of a
+    document or chunk (manuals with code in prose: 1.077)."""
     knots: tuple = KNOTS
     chunk: int = 4096
-    bad_chunks: float = 0.5
+    bad_chunks: float = 0.25
+    symbols: float = 1.1
     level: int = 3
 
     def limits(self, size: int) -> tuple[float, float]:
@@ -50,6 +55,18 @@ def ratio(data: bytes, level: int) -> float:
     return len(data) / len(packed)
 
 
+def symbol_share(data: bytes, level: int) -> float:
+    """Factor by which the symbols of a text change its compressed size or its ratio, the
+    larger one; 1 without symbols, infinite for nothing else."""
+    words = data.translate(None, SYMBOLS)
+    if len(words) == len(data):
+        return 1.0
+    if not words:
+        return float("inf")
+    size, bare = len(data) / ratio(data, level), len(words) / ratio(words, level)
+    return max(size / bare, ratio(data, level) / ratio(words, level))
+
+
 def one_byte_letters(data: bytes) -> tuple[bytes, bool]:
     """Text of an alphabet beyond Latin with a byte a letter, as Latin has; and whether limits below hold.
 
@@ -76,31 +93,30 @@ def one_byte_letters(data: bytes) -> tuple[bytes, bool]:
     return b"".join(pieces), True
 
 
-def judge(data: bytes, bands: Bands) -> tuple[float, int, int, bool]:
-    """(whole ratio of the UTF-8 text, chunks, chunks outside their band, accepted).
+def judge(data: bytes, bands: Bands) -> tuple[float, int, int, float, bool]:
+    """(whole ratio of the UTF-8 text, chunks, chunks outside a band, symbol share, accepted).
 
     Limits and chunks are of the text with a byte a letter.
     """
     if not data:
-        return 0.0, 0, 0, False
+        return 0.0, 0, 0, 1.0, False
     encoded = whole = ratio(data, bands.level)
     data, bounded = one_byte_letters(given := data)
     if data is not given:
         whole = ratio(data, bands.level)
 
-    def limits(size: int) -> tuple[float, float]:
-        low, high = bands.limits(size)
-        return (low if bounded else 0.0), high
+    def inside(part: bytes, own: float) -> bool:
+        low, high = bands.limits(len(part))
+        return (low if bounded else 0.0) <= own <= high and symbol_share(part, bands.level) <= bands.symbols
 
-    low, high = limits(len(data))
+    accepted = inside(data, whole)
     # The tail joins the last full chunk, so that no chunk is too short to tell.
     cuts = list(range(0, max(len(data) // bands.chunk, 1) * bands.chunk, bands.chunk))
     chunks = [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])]
-    outside = 0
-    for part in chunks:
-        low_part, high_part = limits(len(part))
-        outside += not low_part <= (whole if len(chunks) == 1 else ratio(part, bands.level)) <= high_part
-    return encoded, len(chunks), outside, low <= whole <= high and outside <= bands.bad_chunks * len(chunks)
+    outside = (int(not accepted) if len(chunks) == 1 else
+               sum(not inside(part, ratio(part, bands.level)) for part in chunks))
+    return (encoded, len(chunks), outside, symbol_share(data, bands.level),
+            accepted and outside <= bands.bad_chunks * len(chunks))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -128,11 +144,6 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[:-1]))
 
 
-def symbol_words(words: list[bytes]) -> int:
-    """Words that end in a symbol or are nothing else."""
-    return sum(w[-1] in SYMBOLS for w in words)
-
-
 def duplicate_lines(data: bytes) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [x for x in data.split(b"\n") if x.strip(BLANK)]
@@ -140,7 +151,7 @@ def duplicate_lines(data: bytes) -> int:
 
 
 FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "base_failed boolean, ratio double, n_chunks long, n_chunks_outside long, kept boolean")
+          "base_failed boolean, ratio double, n_chunks long, n_chunks_outside long, symbol_share double, kept boolean")
 
 
 def quality(text: Column, bands: Bands = Bands()) -> Column:
@@ -153,11 +164,10 @@ def quality(text: Column, bands: Bands = Bands()) -> Column:
             words = data.split()
             repeats = repeated_words(words)
             failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
-            whole, chunks, outside, accepted = judge(data, bands)
+            whole, chunks, outside, symbols, accepted = judge(data, bands)
             rows.append((len(words), len(data.translate(None, BLANK).decode()),
                          len(data) - len(data.translate(None, SYMBOLS)), duplicate_lines(data), repeats,
-                         failed, whole, chunks, outside, accepted and not failed
-                         and 100 * symbol_words(words) <= MAX_SYMBOL_WORD_PERCENT * len(words)))
+                         failed, whole, chunks, outside, symbols, accepted and not failed))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     return rules(text)
@@ -167,12 +177,16 @@ def compression_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         bands: Bands = Bands()) -> DataFrame:
     """One row per document: its figures, base_failed, the ratios and kept.
 
-    A null text has no words and is not kept, like an empty one. Rows are judged
-    alone, so ties, repeated rows and other columns have no effect.
+    ``kept`` is the verdict of the bands for documents that pass the base rules. A null
+    text has no words and is not kept, like an empty one. Rows are judged alone, so ties,
+    repeated rows and other columns have no effect; an empty table gives no rows. Long
+    texts are compressed whole and chunk by chunk; a text has to fit into a task.
     """
     return docs.select(F.col(id_col), quality(text_of(text_col), bands).alias("rules")).select(id_col, "rules.*")
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays empty."""
     return docs.filter(quality(text_of(text_col), bands)["kept"])
