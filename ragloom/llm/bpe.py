@@ -34,6 +34,7 @@ class BacktrackBpe:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.pair_entries = pair_entries
         self.shorter: dict[bytes, bytes | None] = {}
+        self.longest = max(map(len, ranks))
         self.trie = ahocorasick.Automaton()
         for token in ranks:
             # A token that merging never yields takes no part in matching.
@@ -92,8 +93,9 @@ class BacktrackBpe:
         return [self.ranks[t] for t in taken]
 
     def _longest(self, chars: str, at: int) -> bytes:
-        # Every single byte is a token, so the first match starts at ``at``.
-        return next(self.trie.iter_long(chars, at))[1]
+        # Every single byte is a token, so the first match starts at ``at``; no match is
+        # longer than the longest token, and the automaton is given no more than that.
+        return next(self.trie.iter_long(chars[at:at + self.longest]))[1]
 
     def packed(self, text: str) -> bytes:
         return np.array([i for piece in self.pieces.findall(text) for i in self.known_word(piece)],

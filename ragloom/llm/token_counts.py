@@ -74,11 +74,13 @@ class PrefixCounter:
         whole, rest = divmod(marks, self.runs or 1)
         return whole + (len(self.merge(MARK * rest)) if rest else 0)
 
-    def word_counts(self, word: str) -> np.ndarray:
-        """Token counts after each character of a word with at most one mark, in front."""
+    def word_counts(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts after each character of a word with at most one mark, in front; and
+        whether the first token of that prefix is its first character alone."""
         size = len(word)
         count = [0] * (size + 1)
         last = [""] * (size + 1)
+        alone = [True] * (size + 1)
         ending: list[list[str]] = [[] for _ in range(size)]
         for end, piece in self.trie.iter(word):
             ending[end].append(piece)
@@ -87,31 +89,28 @@ class PrefixCounter:
                 start = i + 1 - len(piece)
                 if not last[start] or self.compatible(last[start], piece):
                     last[i + 1], count[i + 1] = piece, count[start] + 1
+                    alone[i + 1] = alone[start] and start > 0
                     break
             else:
                 last[i + 1] = char
                 count[i + 1] = count[i] + (1 if char in self.score else len(char.encode()))
-        return np.array(count[1:], dtype=np.int32)
+                alone[i + 1] = alone[i]
+        return np.array(count[1:], dtype=np.int32), np.array(alone[1:], dtype=bool)
 
     def segment_counts(self, segment: str) -> np.ndarray:
         """Token counts after each character of marks followed by a word."""
         word = segment.lstrip(MARK)
         marks = len(segment) - len(word)
         if marks < 2 and word:
-            return self.word(segment)
+            return self.word(segment)[0]
         alone = np.array([self.run_count(n) for n in range(1, marks + 1)], dtype=np.int32)
         if not word:
             return alone
-        inner = self.word(MARK + word)
-        # The last mark joins the word if any piece of the word's start takes it in,
-        # else it stays in the run.
-        free = [self._mark_alone(word[:n]) for n in range(1, len(word) + 1)]
-        return np.concatenate([alone, [
-            self.run_count(marks) + c - 1 if f else self.run_count(marks - 1) + c
-            for c, f in zip(inner[1:], free)]]).astype(np.int32)
-
-    def _mark_alone(self, word: str) -> bool:
-        return self.merge(MARK + word)[0] == MARK
+        # The last mark joins the word if the word's first token takes it in, else it
+        # stays in the run.
+        inner, free = self.word(MARK + word)
+        rest = np.where(free, self.run_count(marks) + inner - 1, self.run_count(marks - 1) + inner)
+        return np.concatenate([alone, rest[1:]]).astype(np.int32)
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Element i: the tokens of the text's first i characters."""
