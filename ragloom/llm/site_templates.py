@@ -22,15 +22,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import frozen
 
+# Nothing is given back once matched, so that a tag without an end is read once.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: What may begin behind the last ">" of a page.
+_UNENDED = re.compile(r"<!--.*|<!\[CDATA\[(.*)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 # Element kinds of HTML and words that name regions of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas".split())
+RAW_TEXT = frozenset("script style textarea title iframe".split())  # these end at their end tag alone
 NEVER = frozenset("head nav footer aside form button select option fieldset dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset "
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section "
@@ -105,54 +109,81 @@ def _opened(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return refused, main, named
 
 
+class _Open:
+    """The stack of open elements, with the places of each tag in it."""
+
+    def __init__(self, root: Element):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, element: Element) -> None:
+        self.stack[-1].parts.append(element)
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place of the stack and all inside it."""
+        for element in self.stack[at:]:
+            self.places[element.tag].pop()
+        del self.stack[at:]
+
+    def innermost(self, tags) -> int:
+        """Place of the innermost open element of the tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def parse(page: str) -> Element:
-    """A forgiving element tree: ends that are missing are implied, as browsers do."""
+    """A forgiving element tree: ends that are missing are implied, as browsers do.
+
+    Takes time in proportion to the page, however deep it nests and whatever it leaves open."""
     root = Element("#root", False, False)
-    stack, at, size = [root], 0, len(page)
+    open_, at, size, last_end = _Open(root), 0, len(page), page.rfind(">")
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].parts.append(html.unescape(piece) if "&" in piece else piece)
+            open_.stack[-1].parts.append(html.unescape(piece) if "&" in piece else piece)
 
     while at < size:
-        found = _TAG.search(page, at)
+        found = (_TAG if at <= last_end else _UNENDED).search(page, at)
         if not found:
+            if at <= last_end:  # no tag ends; a comment may still begin
+                last_end = at - 1
+                continue
             text(page[at:])
             break
         text(page[at:found.start()])
         at = found.end()
+        if found.re is _UNENDED:
+            text(found[1] or "")
+            break
         tag = (found[2] or found[5] or "").lower()
         if not tag:
             if found[0].startswith("<![CDATA["):
                 text(found[0][9:].removesuffix("]]>"))
             continue
         if found[1] or found[4]:
-            names = [e.tag for e in stack]
-            if tag in names[1:]:
-                del stack[len(names) - 1 - names[::-1].index(tag):]
+            place = open_.innermost((tag,))
+            if place:
+                open_.cut(place)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if not found[0].endswith("/>"):
+            if tag in RAW_TEXT or not found[0].endswith("/>"):
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
         if tag in VOID:
-            stack[-1].parts.append(Element(tag, True, False))
+            open_.stack[-1].parts.append(Element(tag, True, False))
             continue
         if tag in CLOSES_P:
-            names = [e.tag for e in stack]
-            if "p" in names and not SCOPES & set(names[len(names) - names[::-1].index("p"):]):
-                del stack[len(names) - 1 - names[::-1].index("p"):]
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in SIBLINGS.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPES:
-                break
+            place = open_.innermost(("p",))
+            if place > open_.innermost(SCOPES):
+                open_.cut(place)
+        if tag in SIBLINGS:
+            place = open_.innermost(SIBLINGS[tag])
+            if place > open_.innermost(SCOPES):
+                open_.cut(place)
         refused, main, named = _opened(tag, found[3] or found[6] or "")
-        element = Element(tag, refused, main, named)
-        stack[-1].parts.append(element)
-        stack.append(element)
+        open_.push(Element(tag, refused, main, named))
     return root
 
 
@@ -290,13 +321,21 @@ def subtree_keys(page: str) -> set[int]:
     return set(subtree_places(page))
 
 
-def main_text(page: str, templates) -> str:
-    """Blocks of the article (else of main, else of the page) in page order, joined by one space."""
+def main_text(page: str, templates) -> tuple[str, int]:
+    """Blocks of the article (else of main, else of the page) in page order, joined by one
+    space; and the characters of the templates that were deleted first."""
     root = parse(page)
     hash_subtrees(root)
     name_regions(root)
     known = set(templates)
     dropped = {id(e) for e, _ in _candidates(root) if e.key in known} if known else set()
+    deleted, todo = 0, [root]
+    while todo and dropped:
+        element = todo.pop()
+        if id(element) in dropped:
+            deleted += element.size
+        else:
+            todo += [p for p in element.parts if isinstance(p, Element)]
 
     def kept(element: Element) -> bool:
         return not (element.refused or id(element) in dropped)
@@ -331,7 +370,7 @@ def main_text(page: str, templates) -> str:
             if part.tag in BLOCKS:
                 todo.append(" ")
             todo += reversed(part.parts)
-    return " ".join("".join(pieces).split())
+    return " ".join("".join(pieces).split()), deleted
 
 
 def host_of(url: Column) -> Column:
@@ -387,7 +426,11 @@ def _own_templates(source: DataFrame, keys: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                   settings: Settings = Settings()) -> DataFrame:
-    """Main text of every page: id, url, text (empty if none) and n_chars.
+    """Main text of every page: id, url, text (empty if none), n_chars and template_chars.
+
+    Templates of the host are deleted first and the article is read from what remains; regions
+    told by tag, role or class go as well, which is all that hosts of few pages have.
+    ``template_chars`` counts the characters of deleted templates.
 
     Null html is an empty page; a url without a host has no templates removed but
     keeps the rules by tag and role. Repeated rows count as pages of their own and
@@ -419,11 +462,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         own = _own_templates(digested.select("host", "html", "digest"), keys.join(long, "host", "left_semi"))
         known = known.unionByName(digested.join(own, ["host", "digest"], "left").drop("digest"))
 
-    @F.pandas_udf("string")
-    def extracted(page: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p or "", () if t is None else np.asarray(t).tolist())
-                          for p, t in zip(page, templates)], dtype=object)
+    @F.pandas_udf("struct<text string, template_chars long>")
+    def extracted(page: pd.Series, templates: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([main_text(p or "", () if t is None else np.asarray(t).tolist())
+                             for p, t in zip(page, templates)], columns=["text", "template_chars"])
 
-    found = known.select("id", "url", extracted("html", "templates").alias("text"))
-    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
-                        F.length("text").cast("long").alias("n_chars"))
+    found = known.select("id", "url", extracted("html", "templates").alias("found"))
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("found.text").alias("text"),
+                        F.length("found.text").cast("long").alias("n_chars"),
+                        F.col("found.template_chars").alias("template_chars"))

@@ -1,6 +1,7 @@
 """Near duplicates, neighbours, pages, preferences and the pipeline against brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -113,6 +114,60 @@ def test_search_recall_order_and_edges(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def recall_of(spark, rows, settings=None, k=20, every=20):
+    """Share of the true neighbours found; every query has to have min(k, candidates) rows in order."""
+    vectors = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(rows)],
+                                    "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    found = permutation_index.nearest(vectors, F.col("vec_id") % every == 0, k=k,
+                                      settings=settings or permutation_index.Settings())
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r)
+    hits = 0
+    for q in range(0, len(rows), every):
+        scores = (rows * rows[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(len(rows)), -scores)) if i != q][:k]
+        assert [r["rank"] for r in got[q]] == list(range(1, min(k, len(rows) - 1) + 1))
+        assert [(-r.score, r.vec_id) for r in got[q]] == sorted((-scores[r.vec_id], r.vec_id) for r in got[q])
+        hits += len(set(order) & {r.vec_id for r in got[q]})
+    return hits / (min(k, len(rows) - 1) * len(range(0, len(rows), every)))
+
+
+def test_recall_on_clusters_norms_and_outliers(spark):
+    rng = np.random.default_rng(11)
+    plain = rng.normal(size=(3000, 32))
+    unit = plain / np.linalg.norm(plain, axis=1)[:, None]
+    clusters = np.concatenate([rng.normal(size=32) * 5 + rng.normal(size=(1000, 32)) for _ in range(2)])
+    assert recall_of(spark, clusters) >= 0.9
+    assert recall_of(spark, unit * rng.lognormal(0, 1, size=(3000, 1))) >= 0.9
+    opposite = unit[:1000].copy()
+    opposite[:, 0] = np.abs(opposite[:, 0]) + 2
+    opposite[::160, 0] *= -1      # queries that point away from all others
+    few = permutation_index.Settings(file=64, posted=2, probed=0.3, least=1)
+    assert recall_of(spark, opposite, few) > 0
+    assert recall_of(spark, unit[:15]) == 1
+
+
+def test_share_of_postings_falls():
+    s = permutation_index.Settings()
+    share = []
+    for n in (10_000, 50_000, 400_000, 520_000):
+        files = s.files(n, s.pivots)
+        share.append(s.opened(files, 0) * s.posted / files)
+    assert share == sorted(share, reverse=True) and share[1] < 0.9 and share[-1] < 0.3
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(30)] + [(100, [1.0]), (120, [1.0, 2.0, 3.0]), (140, []), (160, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = permutation_index.nearest(vectors, F.col("vec_id") % 20 == 0).collect()
+    assert {r.query_id for r in found} == {0, 20} and all(r.vec_id < 30 for r in found) and len(found) == 40
+    huge = [(i, [1e200 * (i + 1), -1e-200]) for i in range(4)]
+    found = permutation_index.nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>"),
+                                      F.col("vec_id") == 0, k=2).collect()
+    assert len(found) == 2
+
+
 def test_search_edges(spark):
     one = [0.6, 0.8]
     rows = [(0, one), (1, one), (2, one), (20, one), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]),
@@ -211,11 +266,11 @@ def test_words_in_a_class_do_not_refuse_the_article():
                  f"<article class='share-enabled'>{article}</article>", f"<article class='post comments'>{article}</article>",
                  f"<div id='social-history'>{article}</div>", f"<div class='menu'>{article}</div>",
                  f"<article>{article}</article><div id='comments'><article>c</article>{article * 3}</div>"):
-        text = site_templates.main_text(f"<body><nav>n</nav>{body}</body>", ())
+        text, _ = site_templates.main_text(f"<body><nav>n</nav>{body}</body>", ())
         assert text == "The whole story of it", body
     inside = ("<h1>Paper</h1><p>What was found, at some length</p><section id='related-work'><p>Others</p></section>"
               "<section class='related-posts'>More</section><div class='ad-slot'>Buy</div>")
-    assert site_templates.main_text(page("", inside), ()) == "Paper What was found, at some length Others"
+    assert site_templates.main_text(page("", inside), ())[0] == "Paper What was found, at some length Others"
 
 
 def test_site_rules_alone_find_the_article(spark):
@@ -307,3 +362,41 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert len(corpus_pipeline.STAGES) == 4
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_templates_remove_most_of_what_is_not_text(spark):
+    """Pages of plain boxes: neither tag, role nor class tells the site's parts from the text."""
+    menu = "<div><div>Home</div><div>About the makers</div><div>All that we ever wrote</div></div>"
+    foot = "<div><p>Words of the owners of this place, the same below each page</p></div>"
+    rows = [(i, f"http://site.org/{i}", f"<body>{menu}<div><p>Report number {i} tells of {i * 7} things that happened</p>"
+                                        f"<p>and of nothing else that day {i}</p></div>{foot}</body>") for i in range(9)]
+    rows += [(20, "http://small.org/1", f"<body>{menu}<div><p>A page of its own here</p></div></body>")]
+    found = {r.page_id: r for r in site_templates.extract_pages(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    boilerplate = len("HomeAbout the makersAll that we ever wrote") + len(
+        "Words of the owners of this place, the same below each page")
+    for i in range(9):
+        assert found[i].text == f"Report number {i} tells of {i * 7} things that happened and of nothing else that day {i}"
+        assert found[i].template_chars == boilerplate
+    # A host of one page has no templates: what is not told by tag, role or class stays.
+    assert found[20].template_chars == 0 and found[20].text.startswith("Home About")
+
+
+def test_raw_elements_end_at_their_end_tag():
+    text = site_templates.main_text
+    assert text('<article>a <script src="x"/>code</script> b</article>', ())[0] == "a b"
+    assert text('<article>a <svg/> b <video src="x"/> c</article>', ())[0] == "a b c"
+    assert text("<article>one<!-- gone", ())[0] == "one" and text("<p>x<![CDATA[y z", ())[0] == "xy z"
+    assert text("a < b <c", ())[0] == "a < b <c"
+
+
+def test_parsing_takes_time_in_proportion():
+    made = [lambda n: "<div>" * n + "text", lambda n: "<a x=\"1\" y='2' " * n, lambda n: "<p>" + "<table><td>" * n + "<div>x" * n,
+            lambda n: "<div>" * n + "<li>x</li>" * n, lambda n: "<!" * n, lambda n: "<article>" * n + "x", lambda n: "<b '" * n + ">"]
+    for make in made:
+        times = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            site_templates.main_text(make(n), ())
+            times.append(time.process_time() - began)
+        assert times[1] < 6 * times[0] + 0.2, make(2)

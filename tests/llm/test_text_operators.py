@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -156,11 +157,11 @@ def test_quality_keeps_good_documents_and_drops_junk(spark):
     good = [r.text for r in table(spark, SF, "documents").join(
         table(spark, SF, "labels").filter("quality = 1"), "doc_id").collect()]
     bands = compression.Bands()
-    kept = [compression.judge(t.encode(), bands)[3] for t in good if not brute_rules(t)[5]]
+    kept = [compression.judge(t.encode(), bands)[-1] for t in good if not brute_rules(t)[5]]
     assert sum(kept) >= 0.99 * len(kept)
     noise = base64.b85encode(rng.randbytes(5000))
-    assert not compression.judge(noise, bands)[3]
-    assert not compression.judge(b"buy this now " * 300, bands)[3]
+    assert not compression.judge(noise, bands)[-1]
+    assert not compression.judge(b"buy this now " * 300, bands)[-1]
     # Half of the chunks of a long text repetitive: the whole ratio alone need not tell.
     assert compression.judge((" ".join(good)).encode()[:30000] + b"spam " * 20000, bands)[2] > 0
 
@@ -175,18 +176,92 @@ def test_quality_keeps_prose_and_scripts_it_was_not_fitted_to(spark):
     for first in (ord("a"), 0x430, 0x3B1, 0x905):  # Latin, Cyrillic, Greek, Devanagari
         letters = {ord("a") + i: first + i for i in range(26)}
         texts = [t.translate(letters) for t in (manual if first == ord("a") else [t.lower() for t in manual] + good)]
-        kept = [compression.judge(t.encode(), compression.Bands())[3] for t in texts]
+        kept = [compression.judge(t.encode(), compression.Bands())[-1] for t in texts]
         assert sum(kept) >= 0.97 * len(kept), (first, sum(kept), len(kept))
         noise = "".join(rng.choice([chr(first + i) for i in range(64)] + [" "] * 10) for _ in range(5000))
-        assert not compression.judge(noise.encode(), compression.Bands())[3]
+        assert not compression.judge(noise.encode(), compression.Bands())[-1]
     whole = " ".join(manual)[:200000]
-    assert compression.judge(whole.encode(), compression.Bands())[3]
+    assert compression.judge(whole.encode(), compression.Bands())[-1]
     marked = ["".join(w + rng.choice(["###", "$$$", " |"]) + " " for w in t.split()) for t in manual[:20]]
     docs = spark.createDataFrame(list(enumerate(manual + marked)), "doc_id int, text string")
     kept = {r.doc_id for r in compression.keep_quality(docs).collect()}
     assert len(kept) >= 0.97 * len(manual) and max(kept) < len(manual)
 
 
+def test_long_runs_take_time_in_proportion():
+    tool, counter = bpe.encoder().bpe, token_counts.counter().prefix
+    rng = random.Random(2)
+    for run in (lambda n: tool.word(bytes(rng.choices(b"abcdeinrst", k=n))),
+                lambda n: counter.segment_counts("▁▁" + "".join(rng.choices("abcdeinrst", k=n))),
+                lambda n: counter.segment_counts("▁▁▁" + "ab" * (n // 2))):
+        run(1000)
+        times = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            run(n)
+            times.append(time.process_time() - began)
+        assert times[1] < 6 * times[0] + 0.3
+
+
+def test_counts_behind_several_spaces_at_every_prefix():
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = random.Random(12)
+    for _ in range(60):
+        text = " " * rng.randint(0, 4) + "".join(rng.choices("abehint1中", k=rng.randint(0, 14))) + " " * rng.randint(0, 3)
+        text += "".join(rng.choices("the x", k=5))
+        got = token_counts.counter().prefix.prefix_counts(text)
+        assert got.tolist() == [len(library.encode(text[:n])) for n in range(len(text) + 1)], repr(text)
+
+
+def test_the_bands_decide(spark, edge_docs):
+    """Ratios, chunks, both bands and the verdict by a second computation; and what they reject."""
+    import math
+
+    import zstandard
+    bands = compression.Bands()
+    rng = random.Random(5)
+    words = [w for r in table(spark, SF, "documents").limit(30).collect() for w in (r.text or "").split()]
+
+    def size(data):
+        return len(zstandard.ZstdCompressor(level=3).compress(data))
+
+    def between(points, at, column):
+        for (x0, *y0), (x1, *y1) in zip(points, points[1:]):
+            if at <= x1:
+                share = max(0.0, (math.log(at) - math.log(x0)) / (math.log(x1) - math.log(x0)))
+                return y0[column] + share * (y1[column] - y0[column])
+        return points[-1][1 + column]
+
+    def fits(part):
+        own, bare = len(part) / size(part), bytes(b for b in part if b not in b"#*$%&|<>")
+        if not between(bands.knots, len(part), 0) <= own <= between(bands.knots, len(part), 1):
+            return False
+        return bare == part or bool(bare) and max(size(part) / size(bare), own * size(bare) / len(bare)) <= bands.symbols
+
+    def verdict(data):
+        n = max(len(data) // 4096, 1)
+        chunks = [data[i * 4096:len(data) if i == n - 1 else (i + 1) * 4096] for i in range(n)]
+        bad = sum(not fits(c) for c in chunks)
+        return n, bad, fits(data) and bad <= 0.25 * n
+
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([30, 300, 3000]))) for _ in range(30)]
+    texts += ["".join(w + rng.choice(["###", "$$$", "&&&"]) + " " for w in t.split()) for t in texts[:10]]
+    texts += [t[:len(t) // 2] + "spam and eggs " * (len(t) // 28) for t in texts[:10]]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8)) * 1 + " " for _ in range(3)]
+    texts += [" ".join("%08x" % rng.getrandbits(32) for _ in range(400)), "# " * 400]
+    texts = [t.encode("ascii", "ignore").decode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    by_bands = 0
+    for r in compression.compression_quality(docs).collect():
+        data = texts[r.doc_id].encode()
+        n, bad, kept = verdict(data)
+        assert (r.n_chunks, r.n_chunks_outside, r.kept) == (n, bad, kept and not r.base_failed), r.doc_id
+        assert r.ratio == pytest.approx(len(data) / size(data))
+        by_bands += not r.base_failed and not kept
+    assert by_bands >= 10  # the symbol noise and the random words, which the base rules let pass
+
+
 def test_templates_accept_exactly_their_wordings():
     machine = licenses.compile_template("Use <<beginOptional>>and <<beginOptional>>or<<endOptional>> copy<<endOptional>>"
                                         " of <<var;words=1-2>> is granted")
