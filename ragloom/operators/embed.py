@@ -18,10 +18,14 @@ from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = re.compile(r"\w+")
+#: Tokens whose place a worker remembers.
+TOKENS_KEPT = 500_000
 
 
 def hash_embedder(dim: int = 64) -> Callable[[Sequence[str]], list]:
@@ -32,13 +36,22 @@ def hash_embedder(dim: int = 64) -> Callable[[Sequence[str]], list]:
     engine (the SQL oracle rebuilds the same vectors)."""
     import hashlib
 
+    known: dict[str, tuple[int, float]] = {}     # of each worker; forgotten when it has grown
+
+    def place(token: str) -> tuple[int, float]:
+        h = hashlib.md5(token.encode("utf-8")).hexdigest()
+        if len(known) >= TOKENS_KEPT:
+            known.clear()
+        known[token] = found = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) & 1 else -1.0
+        return found
+
     def embed(texts: Sequence[str]) -> list:
         out = []
         for t in texts:
             v = np.zeros(dim, dtype=np.float64)
             for tok in _WORD.findall(t.lower()):
-                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                v[int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) & 1 else -1.0
+                at, sign = known.get(tok) or place(tok)
+                v[at] += sign
             n = np.sqrt(v @ v)
             out.append((v / n).tolist() if n > 0 else v.tolist())
         return out
@@ -84,3 +97,58 @@ def embed_batches(df: DataFrame, text_col: str = "chunk_text", out_col: str = "e
 
     from ..session import spread
     return spread(df).mapInPandas(run, schema)
+
+
+STORED = "text_hash string, vector array<double>"
+
+
+def stored_vectors(spark, store: str, model_name: str) -> DataFrame:
+    """(text_hash, vector) of all texts that runs with ``model_name`` have embedded."""
+    try:
+        return spark.read.schema(f"{STORED}, model string, run string").parquet(store).where(
+            F.col("model") == model_name).select("text_hash", "vector")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORED)
+
+
+def embed_stored(df: DataFrame, store: str, run: str, text_col: str = "chunk_text", out_col: str = "embedding",
+                 embedder: Callable[[Sequence[str]], list] | None = None, dim: int = 64, batch_size: int = 100,
+                 model_name: str = "hash-embedder", hot: int = 100_000, salts: int = 64) -> DataFrame:
+    """V5 + X4 + J8 across runs: as ``embed_batches``, but each distinct text is embedded once.
+
+    Vectors are kept under ``store`` (shared storage) by the SHA-256 of the text and the
+    model. A run embeds what the store lacks and writes it as its own part, which a
+    repetition under the same ``run`` replaces; texts that fail are not stored and are
+    tried again by the next run. Every row then takes its vector from the store. A text
+    with over ``hot`` rows (and over a thousandth of all, so there are less than a
+    thousand) is joined in ``salts`` parts.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn("_h", F.when(F.length(text_col) > 0, F.sha2(F.encode(text_col, "UTF-8"), 256)))
+    texts = rows.where("_h is not null").groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.min(text_col).alias("_t"))
+    # Parts of this run are not looked at, so a repetition writes the same.
+    part = f"{store}/model={model_name}/run={run}"
+    try:
+        earlier = spark.read.schema(f"{STORED}, model string, run string").parquet(store).where(
+            (F.col("model") == model_name) & (F.col("run") != run)).select("text_hash")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        earlier = spark.createDataFrame([], "text_hash string")
+    new = texts.join(earlier, texts["_h"] == earlier["text_hash"], "left_anti").select(F.col("_h").alias("text_hash"), "_t")
+    made = embed_batches(new, "_t", "vector", embedder, dim, batch_size, model_name)
+    made.where("embed_status = 'ok'").select("text_hash", "vector").write.mode("overwrite").parquet(part)
+    total = texts.agg(F.sum("_n")).first()[0] or 0
+    often = texts.where(F.col("_n") > max(hot, total // 1000)).select("_h", F.lit(True).alias("_hot"))
+    salted = rows.join(F.broadcast(often), "_h", "left").withColumn("_salt", F.when(
+        F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts).cast("long"))).otherwise(F.lit(0).cast("long")))
+    found = stored_vectors(spark, store, model_name).withColumnRenamed("text_hash", "_h").join(
+        F.broadcast(often), "_h", "left")
+    zero = F.lit(0).cast("long")
+    spread_out = found.select("_h", F.col("vector").alias(out_col), F.explode(F.when(
+        F.col("_hot"), F.sequence(zero, F.lit(salts - 1).cast("long"))).otherwise(F.array(zero))).alias("_salt"))
+    status = F.when(F.col("_h").isNull(), "empty").when(F.col(out_col).isNull(), "failed").otherwise("ok")
+    return salted.join(spread_out, ["_h", "_salt"], "left").select(
+        *[F.col(c) for c in df.columns], out_col, F.lit(model_name).alias("embedding_model"), status.alias("embed_status"))

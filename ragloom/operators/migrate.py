@@ -77,9 +77,10 @@ def batch_ingest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                  source_col: str | None = "source", embedder=None, dim: int = 64) -> DataFrame:
     """H1: boundary chunks -> manufacturing metadata + quality + hash ->
     vectors; one plan, failures as ``embed_status``."""
-    ch = chunking.chunk_boundary(docs, text_col=text_col, id_col=id_col, type_col=type_col)
+    keep = [source_col] if source_col else []
+    ch = chunking.chunk_boundary(docs, text_col=text_col, id_col=id_col, type_col=type_col, keep=keep)
     if source_col:
-        ch = ch.join(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source_system")), "doc_id")
+        ch = ch.withColumnRenamed(source_col, "source_system")
     meta = enrich.manufacturing_metadata(ch).withColumn("chunk_hash", F.md5("chunk_text"))
     return embed.embed_batches(meta, "chunk_text", embedder=embedder, dim=dim)
 

@@ -19,18 +19,21 @@ LEVEL_PRIORITY = {"low": 4, "medium": 3, "high": 2, "very_high": 1}
 
 
 def store_inventory(docs: DataFrame, store="source", text="text", doc_type="lang", doc_id="doc_id",
-                    doc_unit: int = 1) -> DataFrame:
-    """G1: per store documents, MB, document types, last document.
+                    doc_unit: int = 1, api_usage: str | None = None, custom: str | None = None) -> DataFrame:
+    """G1: per store documents, MB, document types, last document, API use, custom schema.
 
     ``doc_unit`` scales the document count (a store record may stand for
-    ``doc_unit`` source documents per stored row)."""
+    ``doc_unit`` source documents per stored row). ``api_usage`` names a numeric column
+    that is summed to the monthly use, ``custom`` a boolean one that is true for rows
+    outside the standard schema; without them a store has no use and no custom schema."""
+    used = F.sum(api_usage) if api_usage else F.lit(0)
+    own = F.coalesce(F.max(custom), F.lit(False)) if custom else F.lit(False)
     g = docs.groupBy(F.col(store).alias("store_id")).agg(
         (F.count(F.lit(1)) * doc_unit).alias("document_count"),
         (F.sum(F.octet_length(text)) * doc_unit / 1048576.0).alias("total_size_mb"),
         F.sort_array(F.collect_set(doc_type)).alias("document_types"),
         F.max(doc_id).alias("last_document"),
-        (F.sum(F.length(text)) / 4).cast("long").alias("api_usage_monthly"),
-        (F.max(F.length(text)) > 20000).alias("custom_schema"))
+        F.coalesce(used.cast("long"), F.lit(0).cast("long")).alias("api_usage_monthly"), own.alias("custom_schema"))
     return g
 
 

@@ -289,6 +289,30 @@ def stream_documents(t):
     return spark.read.parquet(sink).select("chunk_hash")
 
 
+@register("stream_dedup_accounts", f"""
+WITH ch AS (SELECT md5(chunk_text) AS chunk_hash, doc_id FROM {window_chunks_sql()})
+SELECT 'kept' AS fate, CAST(count(DISTINCT chunk_hash) AS BIGINT) AS rows FROM ch
+UNION ALL SELECT 'repeated', CAST(count(*) - count(DISTINCT chunk_hash) AS BIGINT) FROM ch
+UNION ALL SELECT 'late', CAST(count(*) FILTER (doc_id % 10 = 0) AS BIGINT) FROM ch""")
+def stream_dedup_accounts(t):
+    """ST2 with late rows: all documents as messages of one day, then a tenth of them again
+    a week too late; the run's accounts add up to every row that came in."""
+    src, folder = _tmp(t, "msgs"), _tmp(t, "dedup")
+    start = F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")
+    docs = t.documents.select("doc_id", "text", "lang", "source")
+    at = start + F.make_interval(mins=(F.col("doc_id") % 600).cast("int"))
+    docs.withColumn("published_at", at).coalesce(4).write.json(src)
+    stream = ST.document_stream(t.spark, src, max_files=1)
+    chunks = ST.process_documents(stream).select("doc_id", "chunk_id", "chunk_hash", "published_at")
+    ST.run_dedup(chunks, folder, delay="24 hours")
+    old = docs.where(F.col("doc_id") % 10 == 0).withColumn("published_at", start - F.expr("INTERVAL 7 DAYS"))
+    old.coalesce(1).write.mode("append").json(src)
+    _, late, marks = ST.run_dedup(chunks, folder, delay="24 hours")
+    total = marks.agg(*[F.sum(c).cast("long").alias(c) for c in ("kept", "repeated")]).crossJoin(
+        late.agg(F.count(F.lit(1)).alias("late")))
+    return total.select(F.expr("stack(3, 'kept', kept, 'repeated', repeated, 'late', late) AS (fate, rows)"))
+
+
 @register("coalesce_embedding_fields", """
 SELECT vec_id, CAST(CASE WHEN label % 2 = 0 THEN 64 ELSE 63 END AS INTEGER) AS dims,
        round(CAST(CASE WHEN label % 2 = 0 THEN embedding[1] ELSE embedding[2] END AS DOUBLE), 6) AS first_value

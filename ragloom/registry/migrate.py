@@ -21,7 +21,7 @@ from ..operators import search as S
 from ..session import scratch_path
 from ..sinks import buckets
 from .common import register, window_chunks_sql
-from .planning import ASSESS_SQL, UNIT
+from .planning import ASSESS_SQL, inventory
 from .text import _quality_sql
 
 ALIAS = {"en": "procedure", "fr": "specification", "de": "safety_guide", "es": "quality_manual"}
@@ -61,7 +61,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY type_pos, temp
 SELECT store_id, query_rank, query FROM r""")
 def template_expand(t):
     """The test queries of every store from its document types + general."""
-    stores = P.store_inventory(t.documents, doc_unit=UNIT)
+    stores = inventory(t)
     r = M.template_expand(stores, alias=ALIAS)
     return r.select("store_id", F.col("query_rank").cast("long").alias("query_rank"), "query")
 
@@ -91,6 +91,33 @@ def embed_batches(t):
     return r.select("doc_id", "embedding_action", "embed_status", dims.cast("int").alias("dims"))
 
 
+@register("embed_store", f"""
+WITH ch AS {window_chunks_sql()}
+SELECT 'first' AS run, CAST(count(DISTINCT chunk_text) AS BIGINT) AS embedded, CAST(count(*) AS BIGINT) AS chunks,
+       CAST(count(*) AS BIGINT) AS with_vector FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL
+SELECT 'second', CAST((SELECT count(DISTINCT chunk_text) FROM ch)
+                      - (SELECT count(DISTINCT chunk_text) FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS BIGINT),
+       CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT) FROM ch
+UNION ALL
+SELECT 'third', 0, CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT) FROM ch""")
+def embed_store(t):
+    """V5 + J8 across runs: chunks of unlabelled documents, then of all, then of all again,
+    against one store of vectors; each distinct text is embedded once."""
+    store = scratch_path(t.spark, f"vectors-{uuid.uuid4().hex[:12]}")
+    every = chunking.chunk_window(t.documents).select("doc_id", "chunk_id", "chunk_text")
+    out = None
+    for run, chunks in (("first", M.incremental_batch(every, t.labels.select("doc_id"))), ("second", every),
+                        ("third", every)):
+        done = EM.embed_stored(chunks, store, run)
+        new = t.spark.read.schema(EM.STORED).parquet(f"{store}/model=hash-embedder/run={run}").agg(
+            F.count(F.lit(1)).alias("embedded"))
+        row = done.agg(F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("with_vector")).crossJoin(new).select(
+            F.lit(run).alias("run"), "embedded", "chunks", "with_vector")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _batch_ingest_sql() -> str:
     return f"""WITH bi AS ({_ingest_meta_sql()})
 SELECT bi.*, 'ok' AS embed_status, d.source AS source_system FROM bi JOIN documents d ON d.doc_id = bi.doc_id"""
@@ -249,7 +276,7 @@ SELECT CAST(floor((priority_rank - 1) / 2) + 1 AS INTEGER) AS wave_number,
 FROM ranked JOIN integ ON integ.source = ranked.store_id GROUP BY 1""")
 def validate_wave(t):
     """H9: waves (G7 order) pass when >= 80 % of their stores pass H8."""
-    pr = P.migration_priority(P.migration_time(P.migration_complexity(P.store_inventory(t.documents, doc_unit=UNIT))))
+    pr = P.migration_priority(P.migration_time(P.migration_complexity(inventory(t))))
     wv = pr.withColumn("wave_number", F.floor((F.col("priority_rank") - 1) / 2).cast("int") + 1)
     j = wv.join(_integrity(t).withColumnRenamed("source", "store_id"), "store_id")
     r = M.validate_wave(j)

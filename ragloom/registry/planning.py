@@ -57,8 +57,14 @@ risks AS (
   UNION ALL SELECT store_id, 'embedding_compatibility', 'low' FROM t WHERE migration_complexity IN ('high', 'very_high'))"""
 
 
-def _inv(t):
-    return P.store_inventory(t.documents, doc_unit=UNIT)
+def inventory(t):
+    """The stores of the fixture; text length stands for API use and custom schemas."""
+    size = F.length("text")
+    docs = t.documents.withColumn("api_calls", size / 4).withColumn("custom", size > 20000)
+    return P.store_inventory(docs, doc_unit=UNIT, api_usage="api_calls", custom="custom")
+
+
+_inv = inventory
 
 
 def _timed(t):

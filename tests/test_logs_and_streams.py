@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragloom.operators import embed as EM
 from ragloom.operators import planning as P
 from ragloom.operators import querylog as Q
 from ragloom.session import scratch_path
@@ -109,6 +110,50 @@ def test_stream_dedup_late_duplicate(spark):
     assert got.count("h2") == 1 and 1 <= got.count("h1") <= 2
 
 
+def test_late_rows_are_kept_in_a_table(spark, tmp_path):
+    schema = "chunk_hash string, published_at timestamp_ntz, n int"
+    at = dt.datetime(2024, 1, 1)
+    hours = [[("a", 0, 1), ("a", 0, 2), ("b", 1, 3)], [("a", 2, 4), ("c", 30, 5)], [("b", 3, 6), ("c", 31, 7), ("d", 20, 8)],
+             [("a", 33, 9), (None, 33, 10), ("e", None, 11)]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for rows in hours:
+        made = [(k, None if h is None else at + dt.timedelta(hours=h), n) for k, h, n in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        kept, late, marks = ST.run_dedup(stream, str(tmp_path / "out"), delay="24 hours")
+    # Behind 30 h the watermark is 6 h: hour 3 is late; behind 31 h hour 20 is not. "a" of hour 0 is forgotten by 33 h.
+    assert sorted(r.n for r in late.collect()) == [6, 11]
+    assert sorted((r.n for r in kept.collect())) in ([1, 3, 5, 8, 9, 10], [2, 3, 5, 8, 9, 10])
+    total = marks.agg(*[F.sum(c).alias(c) for c in ("seen", "kept", "late", "repeated")]).first()
+    assert tuple(total) == (11, 6, 2, 3) and marks.count() == 4
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        calls.add(len(texts))
+        if "bad" in texts:
+            raise ValueError
+        return [[float(len(t)), 1.0] for t in texts]
+    rows = [(i, ["hot", f"t{i % 7}", "", None, "bad"][i % 5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, chunk_text string").withColumn("embed_status_", F.lit(1)).repartition(4)
+    store = str(tmp_path / "store")
+
+    def run(name, frame):
+        before = calls.value
+        out = EM.embed_stored(frame, store, name, embedder=embedder, batch_size=1, hot=10, salts=4)
+        got = {r.id: (r.embedding, r.embed_status) for r in out.collect()}
+        return got, calls.value - before
+    got, n = run("r1", df)
+    assert len(got) == 200 and n == 8 + 2              # 8 good texts; the bad one alone and again
+    assert got[0] == ([3.0, 1.0], "ok") and got[2] == got[3] == (None, "empty") and got[4] == (None, "failed")
+    again, n = run("r2", df)
+    assert again == got and n == 2                     # only what failed
+    more, n = run("r3", df.unionByName(spark.createDataFrame([(999, "new", 1)], df.schema)))
+    assert n == 3 and more[999] == ([3.0, 1.0], "ok")
+
+
 def test_evolve_schema_adds_nulls(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, summary string")
     out = K.evolve_schema(df, {"summary": T.StringType(), "importance_score": T.DoubleType()})
