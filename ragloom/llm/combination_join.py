@@ -329,16 +329,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.unionByName(nameless)
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any spelling of case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            settings: Settings = Settings()) -> DataFrame:
     """The document with the smallest id of each component, with all its columns.
 
     Rows that repeat that document's id and text count as copies of it: one stays.
-    Different texts under its id all stay, as do rows without an id.
+    Different texts under its id all stay, as do rows without an id. Null and empty texts
+    are in no group and stay; columns may have any names; an empty table stays empty.
     """
     found = jaccard_components(docs, id_col, text_col, settings)
-    first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
-    chosen = docs.join(first, docs[id_col] == first["_first"], "left_semi")
+    first_col, digest_col = (_free_name(docs, name) for name in ("first", "digest"))
+    first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(first_col)).distinct()
+    chosen = docs.join(first, docs[id_col] == first[first_col], "left_semi")
     digest = F.sha2(F.encode(text_of(text_col), "UTF-8"), 256)
-    one = chosen.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    one = chosen.withColumn(digest_col, digest).dropDuplicates([id_col, digest_col]).drop(digest_col)
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
