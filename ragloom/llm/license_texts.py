@@ -1,9 +1,12 @@
-"""License wordings in template markup. Public license texts.
+"""License wordings in template markup. Public license texts, short ones here,
+whole ones in the files of ``license_templates`` (name of the license: name of the file).
 
 <<beginOptional>> ... <<endOptional>> may be left out; <<var;words=a-b>> stands for
 a to b words of any kind.
 """
 
+from importlib.resources import files
+
 TEMPLATES = {
     "gpl-notice": """<<beginOptional>>this <<var;words=1-3>> is<<endOptional>> licensed under
         <<beginOptional>>the terms of<<endOptional>> the GNU General Public License
@@ -35,3 +38,13 @@ TEMPLATES = {
         conditions and the following disclaimer in the documentation and/or other materials provided with the
         distribution.""",
 }
+
+
+def whole_texts() -> dict[str, str]:
+    """label -> markup of the whole license texts that come with the package."""
+    folder = files(__package__).joinpath("license_templates")
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name)
+            if f.name.endswith(".txt")}
+
+
+TEMPLATES |= whole_texts()

@@ -183,6 +183,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``matches`` lists template:first-end word spans. Null and empty texts have no
     words, no labels (empty strings) and score 0. Rows are scanned alone, so
-    repeated rows and other columns have no effect.
+    repeated rows, ties and other columns have no effect; an empty table gives no rows.
+    A template that is accepted is a label; texts of whole licenses are told by license
+    and version. A text of any length is read in one pass a template that may occur in it.
     """
     return docs.select(F.col(id_col), scanned(text_of(text_col), templates).alias("found")).select(id_col, "found.*")
