@@ -163,7 +163,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chosen languages. Null texts and texts without letters are ``und`` with
     score 0, as is everything if no document has a language. A null id is not
     held out. Equal shares go to the name that sorts first; other columns are
-    not looked at.
+    not looked at; an empty table gives no rows. A text of any length counts whole, by at
+    most ``buckets`` numbers.
     """
     model = docs.sparkSession.sparkContext.broadcast(
         train(docs.filter(~held_out(id_col)), text_col, lang_col, settings))
@@ -177,7 +178,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents with one main language (``least`` of the text), with all their columns.
 
     If no document to learn from has a language, nothing can be told apart and all with
-    letters stay.
+    letters stay. Null texts and texts without letters go; repeated rows stay or go together;
+    columns may have any names; an empty table stays empty.
     """
     learnt = train(docs.filter(~held_out(id_col)), text_col, lang_col, settings)
     if not learnt.languages:

@@ -131,9 +131,12 @@ WITH turns AS (
          max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last
   FROM conversations WHERE conv_id IS NOT NULL
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+numbered AS (
+  SELECT *, max(CASE WHEN role = 'assistant' THEN place END) OVER (PARTITION BY pair_id) AS last_place FROM turns),
 kept AS (
-  SELECT *, CASE WHEN turn = last AND role = 'assistant' THEN before ELSE text END AS echoed
-  FROM turns WHERE turn <= last),
+  SELECT *, CASE WHEN role = 'assistant' AND (CASE WHEN last IS NULL THEN place = last_place ELSE turn = last END)
+                 THEN before ELSE text END AS echoed
+  FROM numbered WHERE place <= last_place OR turn <= last),
 parted AS (
   SELECT *, min(CASE WHEN text <> echoed THEN place END) OVER (PARTITION BY pair_id) AS parting FROM kept),
 sides AS (

@@ -400,3 +400,32 @@ def test_parsing_takes_time_in_proportion():
             site_templates.main_text(make(n), ())
             times.append(time.process_time() - began)
         assert times[1] < 6 * times[0] + 0.2, make(2)
+
+
+def test_columns_of_any_name_in_the_stages(spark):
+    import corpus_pipeline
+    words = "these are words of one longer document that tells of many things in turn and of none of them twice over".split()
+    rows = [(i, " ".join(words[i % 7:] + [f"word{i}{j}" for j in range(12)]), "en", "x", 1, b"d", "f", "b", 2.0, "t", 5)
+            for i in range(12)] + [(3, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, _digest binary, "
+                                       "_first string, First string, digest double, id string, n int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns, name
+        assert stage(spark, docs.limit(0), "").collect() == []
+        docs = stage(spark, docs, "")
+    assert docs.count() == 12
+
+
+def test_preferences_against_sql_with_turns_without_number(spark):
+    import duckdb
+    rows = [(1, None, "user", "a"), (1, None, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"),
+            (1, 4, "user", "e"), (2, None, "assistant", "x"), (2, None, "user", "y"), (2, 5, "user", "z"),
+            (3, 1, "user", "q"), (4, 1, None, None), (4, 2, "assistant", None), (4, 2, "assistant", "two"),
+            (None, 1, "assistant", "n"), (5, None, "user", None), (5, 1, "assistant", "r")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = preference.preference_pairs(*preference.echo_negatives(turns))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    rel = con.sql(queries.ORACLES["op3_preference_pairs"])
+    assert sorted(map(tuple, got.select(*rel.columns).collect()), key=str) == sorted(rel.fetchall(), key=str)

@@ -274,6 +274,32 @@ def test_templates_accept_exactly_their_wordings():
             assert (end == len(choice)) == (text in accepted), text
 
 
+def test_whole_license_texts():
+    """Each text is told by license and version; without what is optional too; not with one word changed."""
+    import re
+    from ragloom.llm.license_texts import whole_texts
+    texts, tool = whole_texts(), licenses.scanner()
+    assert len(texts) == 14
+    rng = random.Random(7)
+
+    def labels(words):
+        return {n for n, _, _ in tool.accepted(words) if n in texts}
+    for name, markup in texts.items():
+        filled = re.sub("<<var;words=.*?>>", "some holder", markup).replace("some holder Redistrib", "Redistrib")
+        filled = re.sub(r"some holder (Redistributions|Neither)", r"1 \1", filled)
+        whole = re.sub("<<.*?>>", "", filled)
+        bare = re.sub("<<beginOptional>>.*?<<endOptional>>", "", filled, flags=re.S)
+        for text in (whole, bare, "before it " + bare + " and after", whole.upper() if whole.isascii() else whole):
+            assert labels(licenses.words_of(text)) == {name}, name
+        words = licenses.words_of(bare)
+        for _ in range(4):
+            at = rng.randrange(len(words))
+            if words[at] not in (b"some", b"holder", b"1"):
+                assert name not in labels(words[:at] + [b"otherwise"] + words[at + 1:])
+                assert name not in labels(words[:at] + words[at + 1:])
+        assert name not in labels(words[:-1])
+
+
 def test_license_scan(edge_docs, no_docs, spark):
     def brute(text):
         words = "".join(c.lower() if "A" <= c <= "Z" else c if c.isdigit() and c < "\x80" or "a" <= c <= "z" or c > "\x7f"
@@ -320,6 +346,70 @@ def test_language_of_mixtures(spark):
         assert {x.split(":")[0] for x in found.split(",")} == {a, b}
 
 
+def test_likelihoods_mixtures_and_penalty_by_hand():
+    """The model's figures, expectation-maximisation and the choice of the set, word for word from their definitions."""
+    import math
+    settings = language.Settings()
+    rng = random.Random(3)
+    alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "vwxyz "}
+    samples = {n: "".join(rng.choices(a, k=900)) for n, a in alphabets.items()}
+    counts = {}
+    for name, text in samples.items():
+        bucket, n = language.grams(text, settings)
+        counts[name] = dict(zip(bucket.tolist(), n.tolist()))
+    names = sorted(samples)
+    table_ = np.full((settings.buckets, 3), settings.smoothing)
+    for j, name in enumerate(names):
+        for b, n in counts[name].items():
+            table_[b, j] += n
+    model = language.Model(tuple(names), np.log(table_ / table_.sum(axis=0)))
+
+    def chance(b, j):
+        total = sum(counts[names[j]].values()) + settings.smoothing * settings.buckets
+        return (counts[names[j]].get(b, 0) + settings.smoothing) / total
+
+    def mixture(found, chosen):
+        share, total = [1 / len(chosen)] * len(chosen), sum(found.values())
+        for _ in range(settings.rounds if len(chosen) > 1 else 0):
+            new = [0.0] * len(chosen)
+            for b, n in found.items():
+                parts = [s * chance(b, j) for s, j in zip(share, chosen)]
+                for i, x in enumerate(parts):
+                    new[i] += n * x / sum(parts) / total
+            done = max(abs(a - b) for a, b in zip(new, share)) < settings.tolerance
+            share = new
+            if done:
+                break
+        return share, sum(n * math.log(sum(s * chance(b, j) for s, j in zip(share, chosen))) for b, n in found.items())
+
+    def predicted(text):
+        bucket, n = language.grams(text, settings)
+        found = dict(zip(bucket.tolist(), n.tolist()))
+        alone = [mixture(found, [j])[1] for j in range(3)]
+        first = max(range(3), key=lambda j: (alone[j], -j))
+        whole, _ = mixture(found, list(range(3)))
+        order = [first] + sorted((j for j in range(3) if j != first), key=lambda j: -whole[j])
+        best, chosen, share = alone[first], [first], [1.0]
+        for size in (2, 3):
+            new, value = mixture(found, order[:size])
+            if value - best <= settings.penalty * math.log(sum(found.values()) + 1) / 2 or new[-1] < settings.least_share:
+                break
+            best, chosen, share = value, order[:size], new
+        top = min(zip([-s for s in share], [names[j] for j in chosen]))
+        return top[1], -top[0], len(chosen)
+
+    sizes = set()
+    for _ in range(25):
+        parts = [samples[n][a:a + rng.choice([0, 40, 200])] for n in rng.sample(names, 3) for a in [rng.randrange(600)]]
+        text = " ".join(parts).strip() or "abc"
+        name, share, found = model.predict(text, settings)
+        expected = predicted(text)
+        assert (name, len(found.split(","))) == (expected[0], expected[2])
+        assert share == pytest.approx(min(expected[1], 1.0), abs=1e-9)
+        sizes.add(expected[2])
+    assert len(sizes) > 1
+
+
 def test_language_edges(edge_docs, no_docs):
     got = {r.doc_id: r for r in language.identify_language(edge_docs).collect()}
     assert got[0].lang_pred == got[1].lang_pred == "und" and got[0].score == 0
