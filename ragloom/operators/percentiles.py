@@ -41,60 +41,72 @@ def _matched(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFra
     return left.join(renamed, on).drop(*[f"_{n}" for n in names])
 
 
-def _holding(counts: DataFrame, ranks: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
-    """For each rank the bucket that holds it, and the rank within that bucket."""
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return (_matched(placed, ranks, group).where("rank >= before and rank < before + n")
+def _before(counts: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
+    """Histogram rows with the number of values before their bucket in the group."""
+    w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """Rows whose bucket holds their rank, the rank counted from the bucket's start."""
+    return (rows.where("rank >= before and rank < before + n")
             .withColumn("rank", F.col("rank") - F.col("before")).drop("before", "n"))
 
 
+def _percentiles(rows: DataFrame, group: Sequence[str], wanted: Mapping[str, float]) -> DataFrame:
+    """One row a group that has values; ``rows`` has the group's columns and ``v``."""
+    real = rows.where("v is not null").withColumn("c", _coarse(F.col("v")))
+    coarse = real.groupBy(*group, "c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    total = F.sum("n").over(Window.partitionBy(*group))
+    # Each percentile lies between two ranks, which may be one.
+    exact = [(name, F.lit(float(p)) * (F.col("total") - 1)) for name, p in wanted.items()]
+    ends = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), (at - F.floor(at)).alias("share"),
+                 F.least(F.floor(at) + side, F.col("total") - 1).alias("rank"))
+        for name, at in exact for side in (0, 1)]))
+    in_bucket = _within(_before(coarse.withColumn("total", total), group, "c")
+                        .select(*group, "c", "low", "high", "n", "before", ends.alias("e"))
+                        .select(*group, "c", "low", "high", "n", "before", "e.*"))
+    stepped = _matched(real, in_bucket.select(*group, "c", "low", "high").distinct(), [*group, "c"]).withColumn(
+        "f", _fine(F.col("v"), F.col("low"), F.col("high"))).drop("low", "high")
+    fine = _before(stepped.groupBy(*group, "c", "f").agg(F.count("*").alias("n")), [*group, "c"], "f")
+    in_step = _within(_matched(fine, in_bucket.drop("low", "high"), [*group, "c"]))
+    values = _matched(stepped, in_step.select(*group, "c", "f").distinct(), [*group, "c", "f"]).groupBy(
+        *group, "c", "f", "v").agg(F.count("*").alias("n"))
+    found = _within(_matched(_before(values, [*group, "c", "f"], "v"), in_step, [*group, "c", "f"]))
+
+    def between(name: str) -> Column:
+        own = F.col("name") == name
+        low, high = F.min(F.when(own, F.col("v"))), F.max(F.when(own, F.col("v")))
+        share = F.max(F.when(own, F.col("share")))
+        # Ranks that meet give one value; no difference of infinite ones is taken.
+        return F.when((low == high) | (share == 0), low).otherwise(low + share * (high - low)).alias(name)
+
+    return found.groupBy(*group).agg(*[between(n) for n in wanted])
+
+
+def _grouped(df: DataFrame, by: Sequence[str], value) -> tuple[list[str], DataFrame]:
+    group = [f"g{i}" for i in range(len(by))] or ["g0"]
+    keys = [F.col(b).alias(g) for b, g in zip(by, group)] or [F.lit(0).alias("g0")]
+    return group, df.select(*keys, col_(value).cast("double").alias("v"))
+
+
 def exact_percentiles(df: DataFrame, by: Sequence[str], value, wanted: Mapping[str, float]) -> DataFrame:
     """One row a group of ``by`` (null groups too) with a column for each of ``wanted``
     (name -> share): percentiles with linear interpolation, null where no value is.
 
     Null values do not count. ``by`` may be empty (one row) and names columns of ``df``.
     """
-    group = [f"g{i}" for i in range(len(by))] or ["g0"]
-    keys = [F.col(b).alias(g) for b, g in zip(by, group)] or [F.lit(0).alias("g0")]
-    rows = df.select(*keys, col_(value).cast("double").alias("v"))
-    real = rows.where("v is not null").withColumn("c", _coarse(F.col("v")))
-    coarse = real.groupBy(*group, "c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    size = coarse.groupBy(*group).agg(F.sum("n").alias("total"))
-    # Each percentile lies between two ranks.
-    at = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
-                             for name, p in wanted.items()]))
-    asked = (size.select(*group, "total", at.alias("w"))
-             .withColumn("exact", F.col("w.p") * (F.col("total") - 1)).withColumn("floor", F.floor("exact"))
-             .select(*group, F.col("w.name").alias("name"), (F.col("exact") - F.col("floor")).alias("share"),
-                     F.explode(F.array("floor", F.least(F.col("floor") + 1, F.col("total") - 1))).alias("whole")))
-    ranks = asked.select(*group, F.col("whole").alias("rank"), F.col("whole")).distinct()
-    in_bucket = _holding(coarse, ranks, group, "c")
-    buckets = in_bucket.select(*group, "c", "low", "high").distinct()
-    stepped = _matched(real, buckets, [*group, "c"]).withColumn("f", _fine(F.col("v"), F.col("low"), F.col("high")))
-    fine = stepped.groupBy(*group, "c", "f").agg(F.count("*").alias("n"))
-    in_step = _holding(fine, in_bucket.drop("low", "high"), [*group, "c"], "f")
-    steps = in_step.select(*group, "c", "f").distinct()
-    values = _matched(stepped, steps, [*group, "c", "f"]).groupBy(*group, "c", "f", "v").agg(F.count("*").alias("n"))
-    found = _holding(values, in_step, [*group, "c", "f"], "v").select(*group, "whole", "v")
-    ends = _matched(asked, found, [*group, "whole"])
-    low, high = F.min("v"), F.max("v")
-    # Ranks that meet give one value; no difference of infinite ones is taken.
-    between = F.when(low == high, low).when(F.first("share") == 0, low).otherwise(
-        low + F.first("share") * (high - low))
-    each = ends.groupBy(*group, "name").agg(between.alias("v"))
-    wide = each.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in wanted])
-    every = rows.select(*group).distinct() if by else df.sparkSession.range(1).select(F.lit(0).alias("g0"))
-    out = every.join(wide.select(*[F.col(g).alias(f"_{g}") for g in group], *wanted),
-                     reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group)), "left")
-    return out.select(*[F.col(g).alias(b) for b, g in zip(by, group)], *wanted)
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select(F.lit(0).alias("_one"))
+    return with_percentiles(groups, df, by, value, wanted).select(*by, *wanted)
 
 
 def with_percentiles(stats: DataFrame, df: DataFrame, by: Sequence[str], value, wanted: Mapping[str, float]) -> DataFrame:
     """``stats``, one row a group, with the percentiles of ``df`` beside."""
-    found = exact_percentiles(df, by, value, wanted)
+    group, rows = _grouped(df, by, value)
+    found = _percentiles(rows, group, wanted)
     if not by:
-        return stats.crossJoin(found)  # one row each
-    renamed = found.select(*[F.col(b).alias(f"_{b}") for b in by], *wanted)
-    on = reduce(lambda x, y: x & y, (stats[b].eqNullSafe(renamed[f"_{b}"]) for b in by))
-    return stats.join(renamed, on).select(*stats.columns, *wanted)
+        return stats.join(found.drop("g0"), F.lit(True), "left")  # one row each
+    found = found.select(*[F.col(g).alias(f"_{g}") for g in group], *wanted)
+    on = reduce(lambda x, y: x & y, (stats[b].eqNullSafe(found[f"_{g}"]) for b, g in zip(by, group)))
+    return stats.join(found, on, "left").select(*stats.columns, *wanted)

@@ -350,8 +350,8 @@ def context_assembly(results: DataFrame, texts: DataFrame, n: int = 3, sep: str
                      on: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
     """The first ``n`` result texts of each query joined by ``sep``.
 
-    The per-query results (queries x n rows) are the broadcast side when
-    their counted size allows, so the chunk table is only scanned.
+    The per-query results (queries x n rows) are joined without a hint: AQE broadcasts
+    them while they are small, so that the chunk table is only scanned.
     """
     top = results.where(F.col("rank") <= n).select("query_id", "rank", on)
     j = texts.select(on, text_col).join(top, on)
