@@ -12,7 +12,10 @@ a set has about as many combinations as prefix tokens.
 Sets that share an entry are not paired with each other. They are gathered
 under the smallest of them (the entry's leader), the distinct memberships of a
 leader are verified together on whole texts, and only the links that join
-clusters are kept. Large gatherings are dealt out in pairs of blocks.
+clusters are kept. In a large gathering all sets are compared with its leader first:
+those that link to it are one cluster already and need no comparison with each
+other. The rest is compared with all, dealt out in pairs of blocks, so a gathering
+of near copies costs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import frozen, text_of
 from .components import components
@@ -40,7 +43,8 @@ class Settings:
 
     ``extension``: k as a share of the set's size. ``rare``: a token that at most
     so many sets have in their prefixes is indexed alone. ``block`` sets and
-    ``block_tokens`` tokens make a block of a large gathering.
+    ``block_tokens`` tokens make a block of a large gathering; ``star`` sets are compared
+    with its leader in one group.
     """
     words: int = 3
     percent: int = 90
@@ -48,6 +52,7 @@ class Settings:
     rare: int = 16
     block: int = 1024
     block_tokens: int = 1_000_000
+    star: int = 256
 
     def extended(self, size: int) -> int:
         return max(1, math.ceil(round(self.extension * size, 9)))
@@ -229,52 +234,67 @@ def _verified(settings: Settings):
     return verify
 
 
-def _gatherings(entries: DataFrame, settings: Settings) -> DataFrame:
-    """(leader, i, j, id): which sets are verified together.
-
-    A gathering within the block limits is one group (i = j = 0). In a larger one
-    sets are dealt by size band and hash into blocks, and each pair of blocks that
-    can hold partners is a group.
-    """
+def _gatherings(entries: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(leader, id) of sets that are verified together, and (leader, id, n) of those in
+    gatherings over the block limits."""
     leaders = entries.groupBy("entry").agg(F.min("id").alias("leader"), F.count("*").alias("sets")).filter("sets > 1")
-    member = entries.join(leaders.drop("sets"), "entry").select("leader", "id", "n").distinct()
-    log = math.log(100 / settings.percent)
-    member = frozen(member.withColumn("band", F.floor(F.log("n") / log + 1e-9)))
-    load = member.groupBy("leader", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    over = load.groupBy("leader").agg(F.sum("sets").alias("all_sets"), F.sum("tokens").alias("all_tokens"))
-    parts = F.greatest(F.ceil(F.col("sets") / settings.block), F.ceil(F.col("tokens") / settings.block_tokens))
-    whole = (F.col("all_sets") <= settings.block) & (F.col("all_tokens") <= 2 * settings.block_tokens)
-    load = load.select("leader", "band", parts.alias("parts"))
-    near = load.select("leader", "band", "parts",
-                       # blocks in the neighbouring bands, by a small window over the bands of one leader
-                       F.max(F.struct("band", "parts")).over(_bands(-1, -1)).alias("below"),
-                       F.max(F.struct("band", "parts")).over(_bands(1, 1)).alias("above"))
-
-    def count(side):
-        return F.coalesce(F.col(f"{side}.parts"), F.lit(0))
-
-    dealt = member.join(near, ["leader", "band"]).join(over, "leader")
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    member = frozen(entries.join(leaders.drop("sets"), "entry").select("leader", "id", "n").distinct())
+    load = member.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    small = (F.col("sets") <= settings.block) & (F.col("tokens") <= 2 * settings.block_tokens)
+    sized = member.join(load.select("leader", small.alias("small")), "leader")
+    return sized.filter("small").select("leader", "id"), sized.filter("not small").select("leader", "id", "n")
 
-    def name(band, part):
-        return F.concat_ws(".", band.cast("string"), part.cast("string"))
 
-    def all_of(side, band):
-        return F.transform(F.sequence(F.lit(1), count(side)), lambda p: name(band, p - 1))
+def _stars(docs: DataFrame, large: DataFrame, settings: Settings) -> DataFrame:
+    """(leader, id, linked): whether each set of a large gathering links to its leader.
 
-    empty = F.array().cast("array<string>")
-    others = F.concat(
-        F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: name(F.col("band"), p - 1)),
-        F.when(count("below") > 0, all_of("below", F.col("band") - 1)).otherwise(empty),
-        F.when(count("above") > 0, all_of("above", F.col("band") + 1)).otherwise(empty))
-    groups = F.when(whole, F.array(F.lit(""))).otherwise(others)
-    mine = F.when(whole, F.lit("")).otherwise(name(F.col("band"), own))
-    return (dealt.select("leader", "id", mine.alias("mine"), F.explode(groups).alias("other"))
-            .select("leader", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-
-
-def _bands(first: int, last: int):
-    return Window.partitionBy("leader").orderBy("band").rangeBetween(first, last)
+    A gathering is dealt out in blocks, each with the leader's text."""
+    kind = docs.schema["id"].dataType.simpleString()
+    parts = large.groupBy("leader").agg(F.ceil(F.greatest(
+        F.count("*") / settings.star, F.sum("n") * settings.block / settings.star / settings.block_tokens)).alias("parts"))
+    own = large.join(parts, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    first = parts.select("leader", F.col("leader").alias("id"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rows = own.filter("id != leader").unionByName(first)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["id", "text"])
+        leads = (group["id"] == group["leader"]).to_numpy()
+        # Texts under one id are one document, so any of the leader's texts will do.
+        heads = [shingles(t, settings.words) for t in group["text"][leads]]
+        others = group[~leads]
+        linked = []
+        for text in others["text"]:
+            tokens = shingles(text, settings.words)
+            common = [len(np.intersect1d(tokens, h, assume_unique=True)) for h in heads]
+            linked.append(any(100 * c >= settings.percent * (len(tokens) + len(h) - c) and c for c, h in zip(common, heads)))
+        return pd.DataFrame({"leader": others["leader"].to_numpy(), "id": others["id"].to_numpy(), "linked": linked})
+
+    texts = _likely_members(docs, rows.select("id").distinct())
+    found = rows.join(texts, "id").groupBy("leader", "part").applyInPandas(
+        compare, f"leader {kind}, id {kind}, linked boolean")
+    return found.groupBy("leader", "id").agg(F.max("linked").alias("linked"))
+
+
+def _block_pairs(large: DataFrame, stars: DataFrame, settings: Settings) -> DataFrame:
+    """(leader, i, j, id): the sets that do not link to their leader with each other and
+    with all others, in pairs of blocks of neighbouring size bands."""
+    log = math.log(100 / settings.percent)
+    sets = large.filter("id != leader").join(stars, ["leader", "id"]).withColumn(
+        "band", F.floor(F.log("n") / log + 1e-9))
+    load = sets.groupBy("leader", "linked", "band").agg(F.greatest(
+        F.ceil(F.count("*") / settings.block), F.ceil(F.sum("n") / settings.block_tokens)).alias("parts"))
+    named = sets.join(load, ["leader", "linked", "band"]).select(
+        "leader", "id", "linked", "band", F.concat_ws(".", F.when(F.col("linked"), "l").otherwise("r"), F.col("band").cast(
+            "string"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")).alias("block"))
+    # The blocks of a gathering are a thousandth of its sets at most.
+    blocks = named.select("leader", "linked", "band", "block").distinct()
+    one, two = (blocks.select("leader", *[F.col(c).alias(f"{c}{k}") for c in ("linked", "band", "block")]) for k in (1, 2))
+    pairs = one.filter("not linked1").join(two, "leader").filter(
+        "abs(band1 - band2) <= 1 and (linked2 or block1 <= block2)").select(
+        "leader", F.col("block1").alias("i"), F.col("block2").alias("j"))
+    each = pairs.select("leader", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return named.select("leader", "id", "block").join(each, ["leader", "block"]).select("leader", "i", "j", "id")
 
 
 def jaccard_links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -298,10 +318,19 @@ def jaccard_links(docs: DataFrame, settings: Settings = Settings()) -> tuple[Dat
              .agg(F.collect_list(F.struct("token", (F.col("holders") > settings.rare).alias("frequent"))).alias("tokens"))
              .filter(F.size("tokens") >= least))
     entries = frozen(_index_entries(found, settings))
-    groups = frozen(_gatherings(entries, settings))
+    small, large = _gatherings(entries, settings)
     kind = docs.schema["id"].dataType.simpleString()
+    groups = small.select("leader", F.lit("").alias("i"), F.lit("").alias("j"), "id")
+    starred = None
+    if not large.isEmpty():
+        large = frozen(large)
+        stars = frozen(_stars(docs, large, settings))
+        groups = groups.unionByName(_block_pairs(large, stars, settings))
+        starred = stars.filter("linked").select(F.col("id").alias("u"), F.col("leader").alias("v"))
+    groups = frozen(groups)
     links = (groups.join(_likely_members(docs, groups.select("id").distinct()), "id").groupBy("leader", "i", "j")
              .applyInPandas(_verified(settings), f"u {kind}, v {kind}"))
+    links = links.unionByName(starred) if starred else links
     return signed, links
 
 

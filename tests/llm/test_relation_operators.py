@@ -60,7 +60,7 @@ def noisy_rows():
 
 @pytest.mark.parametrize("settings", [
     combination_join.Settings(),
-    combination_join.Settings(rare=2, block=5),
+    combination_join.Settings(rare=2, block=5, star=3),
     combination_join.Settings(rare=1, extension=0.3, block=7, block_tokens=100),
     combination_join.Settings(words=5, percent=80, extension=0.05, rare=1)])
 def test_join_equals_all_pairs(spark, settings):
