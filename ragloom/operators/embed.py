@@ -102,15 +102,24 @@ def embed_batches(df: DataFrame, text_col: str = "chunk_text", out_col: str = "e
 STORED = "text_hash string, vector array<double>"
 
 
-def stored_vectors(spark, store: str, model_name: str) -> DataFrame:
-    """(text_hash, vector) of all texts that runs with ``model_name`` have embedded."""
+def stored_runs(spark, store: str, model_name: str) -> list[str]:
+    """Names of the runs that have written vectors of ``model_name``; one row a run is fetched."""
     try:
-        return spark.read.schema(f"{STORED}, model string, run string").parquet(store).where(
-            F.col("model") == model_name).select("text_hash", "vector")
+        found = spark.read.schema(f"{STORED}, run string").parquet(f"{store}/model={model_name}").select("run").distinct()
+        return sorted(r["run"] for r in found.collect())
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STORED)
+        return []
+
+
+def stored_vectors(spark, store: str, model_name: str, runs: Sequence[str] | None = None) -> DataFrame:
+    """(text_hash, vector) of the texts that ``runs`` (default: all) have embedded.
+
+    Parts are named one by one: Spark takes two scans of one folder for the same even if
+    parts came in between, and might use the older one's rows for both."""
+    parts = [f"{store}/model={model_name}/run={r}" for r in (stored_runs(spark, store, model_name) if runs is None else runs)]
+    return spark.read.schema(STORED).parquet(*parts) if parts else spark.createDataFrame([], STORED)
 
 
 def embed_stored(df: DataFrame, store: str, run: str, text_col: str = "chunk_text", out_col: str = "embedding",
@@ -129,22 +138,17 @@ def embed_stored(df: DataFrame, store: str, run: str, text_col: str = "chunk_tex
     rows = df.withColumn("_h", F.when(F.length(text_col) > 0, F.sha2(F.encode(text_col, "UTF-8"), 256)))
     texts = rows.where("_h is not null").groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.min(text_col).alias("_t"))
     # Parts of this run are not looked at, so a repetition writes the same.
-    part = f"{store}/model={model_name}/run={run}"
-    try:
-        earlier = spark.read.schema(f"{STORED}, model string, run string").parquet(store).where(
-            (F.col("model") == model_name) & (F.col("run") != run)).select("text_hash")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        earlier = spark.createDataFrame([], "text_hash string")
-    new = texts.join(earlier, texts["_h"] == earlier["text_hash"], "left_anti").select(F.col("_h").alias("text_hash"), "_t")
+    earlier = [r for r in stored_runs(spark, store, model_name) if r != run]
+    known = stored_vectors(spark, store, model_name, earlier).select("text_hash")
+    new = texts.join(known, texts["_h"] == known["text_hash"], "left_anti").select(F.col("_h").alias("text_hash"), "_t")
     made = embed_batches(new, "_t", "vector", embedder, dim, batch_size, model_name)
-    made.where("embed_status = 'ok'").select("text_hash", "vector").write.mode("overwrite").parquet(part)
+    made.where("embed_status = 'ok'").select("text_hash", "vector").write.mode("overwrite").parquet(
+        f"{store}/model={model_name}/run={run}")
     total = texts.agg(F.sum("_n")).first()[0] or 0
     often = texts.where(F.col("_n") > max(hot, total // 1000)).select("_h", F.lit(True).alias("_hot"))
     salted = rows.join(F.broadcast(often), "_h", "left").withColumn("_salt", F.when(
         F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts).cast("long"))).otherwise(F.lit(0).cast("long")))
-    found = stored_vectors(spark, store, model_name).withColumnRenamed("text_hash", "_h").join(
+    found = stored_vectors(spark, store, model_name, [*earlier, run]).withColumnRenamed("text_hash", "_h").join(
         F.broadcast(often), "_h", "left")
     zero = F.lit(0).cast("long")
     spread_out = found.select("_h", F.col("vector").alias(out_col), F.explode(F.when(
