@@ -100,6 +100,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "staged", name)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table of ``scratch_path`` that nothing will read again."""
+    if "/staged/" not in path:
+        raise ValueError(f"{path} is not a staged table")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df, target: int | None = None):
     """Round-robin spread of an under-split input before heavy per-row work.
 
