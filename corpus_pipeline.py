@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.llm import combination_join, compression, language, packing
-from ragloom.session import scratch_path
+from ragloom.session import discard, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; intermediate tables go to the shared checkpoint folder."""
+    """All stages over documents; intermediate tables go to the shared checkpoint folder.
+
+    A stage's table is removed once the next stage's is whole; the last one stays, as the
+    result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = scratch_path(spark, f"pipeline-{uuid.uuid4().hex}")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, f"{folder}/{before}")
+        before = name
     return docs
