@@ -130,12 +130,15 @@ def _search(shared, k: int):
         q, v = (np.stack(x["vector"]).astype(np.float64) for x in (asks, file))
         ids = file["id"].to_numpy()
         ranking = pivots.value[:settings.rank_pivots]
-        places = np.argsort(_orders(_units(v)[0], ranking, len(ranking)), axis=1).astype(np.int16)
+        # A row per pivot, and sums as narrow as they can be: both are read fastest so.
+        places = np.argsort(_orders(_units(v)[0], ranking, len(ranking)), axis=1).T.astype(np.int16, order="C")
         near = _orders(_units(q)[0], ranking, settings.ranked)
+        own_ranks = np.arange(near.shape[1], dtype=np.int16)[:, None]
+        narrow = np.int16 if len(ranking) * near.shape[1] < 1 << 15 else np.int32
         depth = max(settings.least, k, int(np.ceil(settings.share * len(v))))
         found = []
         for one, query in enumerate(asks["id"].to_numpy()):
-            footrule = np.abs(places[:, near[one]] - np.arange(near.shape[1], dtype=np.int16)).sum(axis=1)
+            footrule = np.abs(places[near[one]] - own_ranks).sum(axis=0, dtype=narrow)
             others = np.flatnonzero(ids != query)
             if not len(others):
                 continue
