@@ -118,7 +118,7 @@ def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k:
         return scan_topk(src, rows, list(key_cols), ["_v", "ivf_list"], payload, scorer,
                          [("score", T.DoubleType())], k, order,
                          pruned=lambda pay: F.col("ivf_list").isin(np.flatnonzero(pay[1].any(axis=1)).tolist()),
-                         block_bytes=block_bytes, group_bytes=group_bytes)
+                         block_bytes=block_bytes, group_bytes=group_bytes, fold=True)
 
     def first(rows, width):
         qm = vector_matrix(rows["qv"].values, centroids.shape[1])

@@ -253,3 +253,23 @@ def test_hybrid_join_needs_k_candidates_a_query(spark):
         return sorted((r.query_id, r["rank"], r.chunk_id) for r in S.hybrid_left_join(pairs, kws, k=5).collect())
     few = S.hybrid_candidates(df, q, kws, k=5)
     assert ranks(few) == ranks(every) and few.count() <= 15 * (5 + 6)
+
+
+def test_dealt_queries_keep_k_rows_whatever_the_copies(spark, monkeypatch):
+    seen = []
+    finish = VS.finish_topk
+    monkeypatch.setattr(VS, "finish_topk", lambda cand, k, order: seen.append(cand) or finish(cand, k, order))
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(4, 6))
+    chunks = [(f"c{i:04d}", base[i % 4 if i > 600 else 0].tolist(), float(i % 3)) for i in range(900)]
+    queries = [(j % 38 if j else None, (base[j % 4] + rng.normal(size=6) * 0.05).tolist()) for j in range(40)]
+    cdf = spark.createDataFrame(chunks, "chunk_id string, embedding array<double>, quality double").repartition(4)
+    qdf = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+
+    def got(block, group):
+        r = VS.top_k_by_vector(cdf, qdf, k=3, secondary="quality", block_bytes=block, group_bytes=group)
+        return sorted((-1 if x.query_id is None else x.query_id, x["rank"], x.chunk_id, x.score) for x in r.collect())
+    whole = got(1 << 20, 1 << 20)
+    assert got(500, 900) == whole and len(whole) == 39 * 3      # two ids are asked for twice
+    parts = spark.sparkContext.defaultParallelism
+    assert seen[-1].count() <= 40 * 3 * parts                   # not one row for each of 600 equal scores
