@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -273,3 +274,39 @@ def test_dealt_queries_keep_k_rows_whatever_the_copies(spark, monkeypatch):
     assert got(500, 900) == whole and len(whole) == 39 * 3      # two ids are asked for twice
     parts = spark.sparkContext.defaultParallelism
     assert seen[-1].count() <= 40 * 3 * parts                   # not one row for each of 600 equal scores
+
+
+def test_unit_vectors_take_the_norm_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([2.0, None],)], "v array<double>")
+    assert [r.u for r in df.select(V.l2_normalize("v").alias("u")).collect()] == [[0.6, 0.8], None, None, [1.0, None]]
+    many = spark.createDataFrame([([float(i) for i in range(1, 3001)],)] * 8, "v array<double>").repartition(1)
+    t = time.time()
+    many.select(F.sum(F.aggregate(V.l2_normalize("v"), F.lit(0.0), lambda a, x: a + x))).collect()
+    assert time.time() - t < 10                                 # a norm for each number: 3000 times the work
+
+
+def test_sweep_scores_equal_chunks_once(spark, monkeypatch):
+    seen = []
+    scan = VS.scan
+    monkeypatch.setattr(VS, "scan", lambda chunks, *a, **b: seen.append(chunks) or scan(chunks, *a, **b))
+    rows = [(i, [1.0, float(i % 3)], "a" if i % 2 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, label string")
+    q = df.where("id < 4").select(F.col("id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+    small = {tuple(r) for r in VS.sweep_scores(df, q, [0.2, 0.9]).collect()}
+    assert seen[-1].count() == 6
+    assert {(r[0], r[1], r[2], r[4], r[5]) for r in small} == {
+        (r[0], r[1], r[2], r[4], r[5]) for r in VS.sweep_scores(df, q, [0.2, 0.9], block_bytes=60, group_bytes=100).collect()}
+    assert {(r[0], r[1], r[2], r[4], r[5]) for r in small} >= {(1, 0.2, 120, 60, 60), (0, 0.9, 40, 0, 0)}
+
+
+def test_common_terms_score_as_rare_ones(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"k{i:02d}", f"pump w{i % 7} seal w{i % 5}") for i in range(40)],
+                                   "doc_id long, chunk_id string, chunk_text string")
+    qt = spark.createDataFrame([(f"q{j}", f"pump seal w{j % 9}") for j in range(60)], "query_id string, query_text string")
+
+    def got(**sizes):
+        r = S.bm25_search(chunks, qt, k=4, **sizes).collect()
+        return sorted((x.query_id, x["rank"], x.chunk_id, round(x.score, 8)) for x in r)
+    dense = got(), got(block_bytes=300, group_bytes=1 << 20)
+    monkeypatch.setattr(S, "OFTEN_TERMS", 0)
+    assert dense == (got(),) * 2 and len(dense[0]) == 240
