@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -310,3 +311,39 @@ def test_common_terms_score_as_rare_ones(spark, monkeypatch):
     dense = got(), got(block_bytes=300, group_bytes=1 << 20)
     monkeypatch.setattr(S, "OFTEN_TERMS", 0)
     assert dense == (got(),) * 2 and len(dense[0]) == 240
+
+
+def test_hybrid_finder_gives_what_the_scorer_gives_above_the_floor(spark, monkeypatch):
+    held = {}
+    scan = S.scan_topk
+    monkeypatch.setattr(S, "scan_topk", lambda *a, **b: held.update(payload=a[4], scorer=a[5], **b) or scan(*a, **b))
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+
+    def some(n):
+        return [rng.choice(words, n, replace=False).tolist() for _ in range(60)]
+    vec, kw, imp = rng.normal(size=(60, 6)).round(1).tolist(), some(3), rng.random(60).round(2).tolist()
+    vec[3], vec[4], kw[5], kw[6], imp[7] = None, [0.0] * 6, [], None, None
+    qv, qk = rng.normal(size=(800, 6)).round(1).tolist(), [x for _ in range(14) for x in some(2)][:800]
+    qv[8], qk[9], qv[10] = None, None, vec[0]
+    cdf = spark.createDataFrame([(i, f"c{i:02d}", *x) for i, x in enumerate(zip(vec, kw, imp))],
+                                "doc_id long, chunk_id string, embedding array<double>, keywords array<string>, importance_score double")
+    qdf = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(qv, qk))],
+                                "query_id long, embedding array<double>, keywords array<string>")
+
+    def rows(**limits):
+        return sorted(map(tuple, S.hybrid_search(cdf, qdf, k=4, **limits).collect()))
+    whole = rows()
+    assert rows(block_bytes=2000, group_bytes=1 << 20) == whole and len(whole) > 800 * 3
+
+    ready = held["payload"](pd.DataFrame({"qv": qv, "qk": qk}), 6)
+    part = pd.DataFrame({"_v": vec, "_kw": kw, "_imp": imp})
+    rank, keep, extra = held["scorer"](part, ready)
+    floor = np.sort(np.where(keep, rank, -np.inf), axis=0)[-4]
+    r, c = np.nonzero(keep & (rank >= floor))
+    got = held["finder"](part, ready, floor)
+    assert set(zip(*got[:2])) == set(zip(r, c)) and len(got[0]) == len(r)
+    for name in extra:
+        assert np.array_equal(got[3][name], extra[name][got[0], got[1]])
+    assert np.array_equal(got[2], rank[got[0], got[1]])
+    assert held["finder"](part, ready, np.full(800, -np.inf)) is None    # most cells pass: the scorer's
