@@ -347,3 +347,22 @@ def test_hybrid_finder_gives_what_the_scorer_gives_above_the_floor(spark, monkey
         assert np.array_equal(got[3][name], extra[name][got[0], got[1]])
     assert np.array_equal(got[2], rank[got[0], got[1]])
     assert held["finder"](part, ready, np.full(800, -np.inf)) is None    # most cells pass: the scorer's
+
+
+def test_hybrid_candidates_of_many_queries(spark):
+    rows, df = _vectors(spark, 120, 8)
+    q = df.where("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding")
+    kws = spark.createDataFrame([(0, "c0007", 0.5), (5, "c0011", 0.2)], "query_id long, chunk_id string, keyword_score double")
+
+    def got(**sizes):
+        cands = S.hybrid_candidates(df, q, kws, k=5, **sizes)
+        return sorted(tuple(r) for r in S.hybrid_left_join(cands, kws, k=5).drop("semantic_score", "hybrid_score").collect())
+    assert got(block_bytes=400, group_bytes=900) == got() and len(got()) > 90
+
+
+def test_quality_score_of_texts_without_sentences(spark):
+    from ragloom.operators import enrich as E
+    texts = ["", "  ", "...", " . ", "word " * 10 + ".", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(2)
+    got = {r.i: r.q for r in df.select("i", F.round(E.quality_score("text"), 6).alias("q")).collect()}
+    assert got == {0: 0.6, 1: 0.6, 2: 0.6, 3: 0.6, 4: 0.7, 5: 1.7}
