@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
 from ..session import cut_lineage
-from .vector_search import DEFAULT_BLOCK_BYTES, DEFAULT_GROUP_BYTES, finish_topk, scan_topk, vector_matrix
+from .vector_search import (DEFAULT_BLOCK_BYTES, DEFAULT_GROUP_BYTES, Screen, finish_topk, pair_products, scan_topk,
+                            vector_matrix)
 
 
 def ivf_build(chunks: DataFrame, n_lists: int = 16, vec_col: str = "embedding", seed: int = 42,
@@ -110,19 +111,41 @@ def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k:
         return read
 
     def scorer(pdf, pay):
-        qm, read = pay
+        qm, read, least, _ = pay
         s = np.round(vector_matrix(pdf["_v"].values, centroids.shape[1]) @ qm.T, digits)
-        return s, (s > threshold) & read[pdf["ivf_list"].to_numpy(dtype=np.int64)], {"score": s}
+        return s, (s > threshold) & (s >= least) & read[pdf["ivf_list"].to_numpy(dtype=np.int64)], {"score": s}
+
+    def finder(pdf, pay, floor):
+        """The rows of each list against the queries that read it."""
+        qm, read, least, screens = pay
+        vectors, own = vector_matrix(pdf["_v"].values, centroids.shape[1]), pdf["ivf_list"].to_numpy(dtype=np.int64)
+        floor = np.maximum(floor, least)
+        rows, asking = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in np.unique(own):
+            if x not in screens:
+                reading = np.flatnonzero(read[x])
+                screens[x] = reading, Screen(qm[reading])
+            reading, screen = screens[x]
+            at = np.flatnonzero(own == x)
+            hit = screen.hits(vectors[at], 0, np.maximum(floor[reading], threshold) - 10.0 ** -digits)
+            if hit is None:
+                return None
+            rows.append(at[hit[0]])
+            asking.append(reading[hit[1]])
+        r, c = np.concatenate(rows), np.concatenate(asking)
+        s = np.round(pair_products(vectors, r, qm, c), digits)
+        keep = (s > threshold) & (s >= floor[c])
+        return r[keep], c[keep], s[keep], {"score": s[keep]}
 
     def round_(rows: DataFrame, payload) -> DataFrame:
         return scan_topk(src, rows, list(key_cols), ["_v", "ivf_list"], payload, scorer,
                          [("score", T.DoubleType())], k, order,
                          pruned=lambda pay: F.col("ivf_list").isin(np.flatnonzero(pay[1].any(axis=1)).tolist()),
-                         block_bytes=block_bytes, group_bytes=group_bytes, fold=True)
+                         block_bytes=block_bytes, group_bytes=group_bytes, fold=True, finder=finder, near=["ivf_list"])
 
     def first(rows, width):
         qm = vector_matrix(rows["qv"].values, centroids.shape[1])
-        return qm, nearest(qm)
+        return qm, nearest(qm), np.full(len(qm), -np.inf), {}
 
     found = round_(q, first)
     if not exact:
@@ -135,7 +158,7 @@ def ivf_search(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k:
         angle = np.arccos(np.clip(centroids @ qm.T, -1, 1))
         most = np.cos(np.clip(angle - radii[:, None], 0, np.pi))
         least = rows["least"].to_numpy(dtype=np.float64)
-        return qm, (most >= least[None, :] - _SLACK) & ~nearest(qm)
+        return qm, (most >= least[None, :] - _SLACK) & ~nearest(qm), least, {}
 
     kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
     open_ = q.join(kth, "query_id", "left").select("query_id", "qv", F.coalesce("_kth", F.lit(float(threshold))).alias("least"))

@@ -366,3 +366,85 @@ def test_quality_score_of_texts_without_sentences(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(2)
     got = {r.i: r.q for r in df.select("i", F.round(E.quality_score("text"), 6).alias("q")).collect()}
     assert got == {0: 0.6, 1: 0.6, 2: 0.6, 3: 0.6, 4: 0.7, 5: 1.7}
+
+
+def test_screen_misses_nothing_at_the_floor():
+    rng = np.random.default_rng(9)
+    rows, queries = rng.normal(size=(300, 24)), rng.normal(size=(400, 24))
+    worth, product = rng.random(300), rows @ queries.T
+    floor = np.sort(product + worth[:, None], axis=0)[-3]      # exactly the third best
+    floor[7], floor[8] = np.inf, -np.inf
+    r, c = VS.Screen(queries).hits(rows, worth, floor)
+    found = set(zip(r.tolist(), c.tolist()))
+    assert found >= set(zip(*np.nonzero(product + worth[:, None] >= floor))) and len(found) < 400 * 3 + 300 + 20
+    assert VS.Screen(queries).hits(rows, worth, np.full(400, -np.inf)) is None      # most entries: left to the scorer
+
+
+def _finder_against_scorer(held, part, ready, k):
+    rank, keep, extra = held["scorer"](part, ready)
+    floor = np.sort(np.where(keep, rank, -np.inf), axis=0)[-k]
+    r, c = np.nonzero(keep & (rank >= floor))
+    got = held["finder"](part, ready, floor)
+    assert set(zip(*got[:2])) == set(zip(r, c)) and len(got[0]) == len(r) > 0
+    for name in extra:
+        assert np.allclose(got[3][name], extra[name][got[0], got[1]], atol=2e-9)
+
+
+def test_bm25_finder_gives_what_the_scorer_gives_above_the_floor(spark, monkeypatch):
+    held = {}
+    scan = S.scan_topk
+    monkeypatch.setattr(S, "scan_topk", lambda *a, **b: held.update(payload=a[4], scorer=a[5], **b) or scan(*a, **b))
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+
+    def text(n):
+        return " ".join(["pump", "seal"][:1 + n % 2] + rng.choice(words, n % 9).tolist())
+    chunks = [(i, f"k{i:03d}", text(int(rng.integers(1, 60)))) for i in range(150)] + [(999, "none", None)]
+    asked = [(f"q{j}", text(j)) for j in range(900)] + [("rare", "w3"), ("nothing", "zzz"), ("empty", ""), ("null", None)]
+    cdf = spark.createDataFrame(chunks, "doc_id long, chunk_id string, chunk_text string")
+    qdf = spark.createDataFrame(asked, "query_id string, query_text string")
+
+    def rows(**sizes):
+        return sorted((x.query_id, x["rank"], x.chunk_id, round(x.score, 8)) for x in S.bm25_search(cdf, qdf, k=2, **sizes).collect())
+    whole = rows()
+    monkeypatch.setattr(VS, "SCREEN_CELLS", 20 * 900)           # several slices, so that floors are used
+    monkeypatch.setattr(VS, "SLICE_CELLS", 20 * 900)
+    assert rows(block_bytes=3000, group_bytes=1 << 20) == whole and len(whole) > 1700
+
+    index = S.term_counts(cdf, ["doc_id", "chunk_id"]).toPandas()
+    weights = S.query_weights(S.term_counts(cdf, ["doc_id", "chunk_id"]), qdf, 151).toPandas()
+    _finder_against_scorer(held, index, held["payload"](weights, 0), 2)
+
+
+def test_vector_and_ivf_finders_give_what_the_scorers_give_above_the_floor(spark, monkeypatch):
+    held = []
+    for module in (VS, IVF):
+        scan = module.scan_topk
+        monkeypatch.setattr(module, "scan_topk", lambda *a, _scan=scan, **b: held.append(dict(payload=a[4], scorer=a[5], **b)) or _scan(*a, **b))
+    rows, df = _vectors(spark, 300, 13)
+    q = df.select(F.col("id").alias("query_id"), "embedding")
+    exact = VS.top_k_by_vector(df, q, k=4)
+    cents, lists = IVF.ivf_build(df.select("chunk_id", "embedding"), n_lists=5, seed=3)
+    IVF.ivf_search(lists, q, cents, k=4, nprobe=2).count()
+    part = lists.select(F.col("embedding").alias("_v"), "ivf_list").orderBy("ivf_list").toPandas()
+    asked = pd.DataFrame({"query_id": range(300), "qv": [r[2] for r in rows], "least": 0.9})
+    for use in held:
+        _finder_against_scorer(use, part, use["payload"](asked, 6), 1 if len(held) and use is held[-1] else 3)
+    assert len(held) == 3 and exact.count() > 1000
+
+
+def test_query_keywords_only_of_documents_that_ask(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from ragloom.plans import fixtures as FX
+    seen = []
+    take = X.with_keywords
+    monkeypatch.setattr(X, "with_keywords", lambda df, *a, **b: seen.append(df) or take(df, *a, **b))
+    docs = spark.createDataFrame([(1, "pump valve pump"), (2, "seal"), (2, "motor motor"), (None, "belt"), (5, None)],
+                                 "doc_id long, text string")
+    vectors = spark.createDataFrame([(2, [1.0], "a"), (2, [2.0], "a"), (3, [1.0], "b"), (None, [1.0], "c"), (5, [1.0], None)],
+                                    "vec_id long, embedding array<double>, label string")
+    got = FX.vector_queries(SimpleNamespace(documents=docs, embeddings=vectors), with_keywords=True)
+    assert seen[0].count() == 3
+    assert sorted((r.query_id or 0, r.keywords) for r in got.collect()) == [
+        (0, []), (2, ["motor"]), (2, ["motor"]), (2, ["seal"]), (2, ["seal"]), (3, []), (5, [])]
